@@ -69,7 +69,7 @@ def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node goes to the smallest of its neighbourhood
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: smaller neighbours and the node itself go to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
