@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, secrets, sql, substrings
+from . import minhash, mixing, packing, secrets, sql, substrings, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +30,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"), window=35, with_text=False)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op4_minhash_near_dedup, op5_secret_scan, op7_substring_dedup, op9_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op4_minhash_near_dedup, op5_secret_scan, op7_substring_dedup, op8_embedding_near_dedup, op9_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.MIX_SOURCES}
