@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction, minhash, mixing, packing, secrets, sql, substrings, vectors
+from . import extraction, minhash, mixing, packing, quality, secrets, sql, substrings, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(_table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op3_html_extraction, op4_minhash_near_dedup, op5_secret_scan, op7_substring_dedup, op8_embedding_near_dedup, op9_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_secret_scan, op7_substring_dedup, op8_embedding_near_dedup, op9_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.MIX_SOURCES}
