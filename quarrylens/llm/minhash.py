@@ -36,8 +36,7 @@ from ._spark import components, text_column, written
 from ._words import hashed_texts, mix, window_hashes
 
 PERMUTATIONS = 128
-BANDS = 32
-ROWS = 8
+MISS = 5e-5
 BLOCK = 256
 COLUMNS = 4096  # shingles that a block compares at once
 SALT = 0x51ED2701
@@ -47,6 +46,15 @@ def _multipliers(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def banding(percent: int, permutations: int, miss: float) -> tuple[int, int]:
+    """Bands and values in each, for a similarity of ``percent`` hundredths."""
+    values = 2 * permutations
+    for rows in range(min(16, values), 1, -1):
+        if (1 - (percent / 100) ** rows) ** (values // rows) <= miss:
+            return values // rows, rows
+    return values, 1
+
+
 def shingle_sets(words: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a slice."""
     shingles = window_hashes(words, size, SALT)
@@ -178,8 +186,9 @@ def spanning_links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray],
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    bands, rows = banding(percent, permutations, miss)
     signed = written(signatures(docs, shingle, permutations, bands, rows), "minhash-signatures")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
@@ -219,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that near-duplicate detection keeps, all columns unchanged.
 
-    Where several rows have the kept doc_id, all of them stay.
+    Rows that share the kept doc_id all stay.
     """
     gone = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

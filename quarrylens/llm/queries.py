@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import extraction, minhash, mixing, packing, quality, secrets, sql, substrings, vectors
+from . import extraction, lines, minhash, mixing, packing, quality, secrets, sql, substrings, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.repeated_lines(_table(spark, sf_dir, "documents"))
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r[0].cast("string"), r[1].cast("string"))), ",")
+    return found.select("doc_id", "n_lines", "n_removed", runs.alias("removed_runs"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"), window=35, with_text=False)
 
@@ -47,7 +54,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_secret_scan, op7_substring_dedup, op8_embedding_near_dedup, op9_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_secret_scan, op6_line_dedup, op7_substring_dedup, op8_embedding_near_dedup, op9_best_fit_packing)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.MIX_SOURCES}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.MIX_SOURCES, "op6_line_dedup": sql.LINE_DEDUP}

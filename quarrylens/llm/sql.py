@@ -37,3 +37,33 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken
 FROM queued LEFT JOIN taken USING (source_key, place)
 """
+
+LINE_DEDUP = r"""
+WITH numbered AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS row, doc_id, coalesce(text, '') AS text FROM documents
+), every AS (
+  SELECT row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS j FROM numbered
+), lines AS (
+  SELECT row, j, line, row_number() OVER (PARTITION BY row ORDER BY j) AS i,
+         lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3
+  FROM every WHERE trim(translate(line, chr(9) || chr(13), '  ')) <> ''
+  WINDOW w AS (PARTITION BY row ORDER BY j)
+), starts AS (
+  SELECT row, i, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY row, i) AS nth FROM lines WHERE line3 IS NOT NULL
+), gone AS (
+  SELECT DISTINCT l.row, l.j FROM lines l JOIN (SELECT row, i + k AS i FROM starts, (VALUES (0), (1), (2)) v(k) WHERE nth > 1) s USING (row, i)
+), runs AS (
+  SELECT row, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_runs
+  FROM (SELECT row, min(j) AS a, max(j) + 1 AS b FROM (SELECT row, j, j - row_number() OVER (PARTITION BY row ORDER BY j) AS run FROM gone) GROUP BY row, run)
+  GROUP BY row
+), counts AS (
+  SELECT row, count(*) AS n_lines FROM lines GROUP BY row
+), removed AS (
+  SELECT row, count(*) AS n_removed FROM gone GROUP BY row
+), kept AS (
+  SELECT row, string_agg(line, chr(10) ORDER BY j) AS kept_text FROM every ANTI JOIN gone USING (row, j) GROUP BY row
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_runs, '') AS removed_runs,
+       sha256(CASE WHEN n_removed = n_lines THEN '' ELSE coalesce(kept_text, '') END) AS kept_sha256
+FROM numbered LEFT JOIN counts USING (row) LEFT JOIN removed USING (row) LEFT JOIN runs USING (row) LEFT JOIN kept USING (row)
+"""
