@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, lines, minhash, mixing, packing, quality, secrets, sql, substrings, vectors
+from . import extraction, lines, minhash, mixing, packing, quality, search, secrets, sql, substrings, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_secret_scan, op6_line_dedup, op7_substring_dedup, op8_embedding_near_dedup, op9_best_fit_packing)
+    f.__name__: f for f in (op1_mix_sources, op2_quality_classifier, op3_html_extraction, op4_minhash_near_dedup, op5_secret_scan, op6_line_dedup, op7_substring_dedup, op8_embedding_near_dedup, op9_best_fit_packing, op10_top_k_search)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.MIX_SOURCES, "op6_line_dedup": sql.LINE_DEDUP}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.MIX_SOURCES, "op6_line_dedup": sql.LINE_DEDUP, "op10_top_k_search": sql.TOP_K_SEARCH}

@@ -67,3 +67,32 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_remo
        sha256(CASE WHEN n_removed = n_lines THEN '' ELSE coalesce(kept_text, '') END) AS kept_sha256
 FROM numbered LEFT JOIN counts USING (row) LEFT JOIN removed USING (row) LEFT JOIN runs USING (row) LEFT JOIN kept USING (row)
 """
+
+TOP_K_SEARCH = r"""
+WITH numbered AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT row, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS term FROM numbered
+), counts AS (
+  SELECT row, term, count(*) AS tf FROM words GROUP BY row, term
+), lengths AS (
+  SELECT row, count(*) AS dl FROM words GROUP BY row
+), totals AS (
+  SELECT count(*) AS n, sum(dl) / count(*) AS mean FROM lengths
+), idf AS (
+  SELECT term, ln(1 + ((SELECT n FROM totals) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM counts GROUP BY term
+), weights AS (
+  SELECT row, term, tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / (SELECT mean FROM totals))) AS weight
+  FROM counts JOIN lengths USING (row)
+), asked AS (
+  SELECT q.row AS query, term, tf * idf AS ask FROM counts q JOIN idf USING (term)
+  JOIN numbered n ON n.row = q.row AND n.doc_id % 100 = 0
+), scores AS (
+  SELECT query, w.row, round(sum(ask * weight), 6) AS score FROM asked JOIN weights w USING (term) GROUP BY query, w.row
+), ranked AS (
+  SELECT query, doc_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scores JOIN numbered USING (row) WHERE score > 0
+)
+SELECT n.doc_id AS query_id, rank, r.doc_id, score FROM ranked r JOIN numbered n ON n.row = r.query WHERE rank <= 10
+"""
