@@ -11,6 +11,7 @@ from ..functions import codecs
 from ..functions.text import canonical_url, normal_title
 from ..operators import acquisition, alarms, collections, finders, graph, notifications, preparation, retrieval, rules
 from ..sources.views import VIEWS, articles, raw_documents, sources, table
+from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -786,3 +787,41 @@ def d36_d37_selection(spark, d):
     listed = F.when(F.col("priority") == 0, F.array(F.lit("tier1"), F.lit("tier1"))).otherwise(F.array().cast("array<string>"))
     single = F.when(F.col("priority") == 1, F.col("name"))
     return sources(spark, d).select("id", F.array_join(retrieval.selected_bases(listed, single, F.col("tags")), ",").alias("chosen"))
+
+
+# --- streams -------------------------------------------------------------------------------
+
+
+def _stream(spark, d):
+    return streams.read(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n, max(value) AS worst FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+def s01_tumbling_alarm_counts(spark, d):
+    return streams.finished(streams.alarm_counts(_stream(spark, d)), ["start", "user_id"]).withColumn("start", _stamp("start"))
+
+
+@query("""SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOURS, ts), time_bucket(INTERVAL 12 HOURS, ts) - INTERVAL 12 HOURS]) AS start FROM events) GROUP BY 1, 2""")
+def s02_sliding_counts(spark, d):
+    return streams.finished(streams.sliding_counts(_stream(spark, d)), ["start", "event_type"]).withColumn("start", _stamp("start"))
+
+
+@query("""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS episode FROM (
+SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 12 HOURS, true) THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, episode""")
+def s03_sessions(spark, d):
+    """The same plan over the whole table at once; a stream emits sessions as they close."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return streams.sessions(rows).withColumn("start", _stamp("start"))
+
+
+@query("SELECT event_type, user_id FROM events GROUP BY ALL")
+def s04_first_notifications(spark, d):
+    found = streams.first_notifications(_stream(spark, d), ["event_type", "user_id"], "60 days")
+    return streams.finished(found).select("event_type", "user_id")
+
+
+@query("""SELECT user_id, max(episode) AS episode, count(*) FILTER (episode = top) AS occurrences FROM (SELECT *, max(episode) OVER (PARTITION BY user_id) AS top FROM (
+SELECT user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS episode FROM (
+SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 48 HOURS, true) THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type = 'error'))) GROUP BY 1""")
+def s05_open_alarms(spark, d):
+    return streams.finished(streams.open_alarms(_stream(spark, d), 48 * 3600), ["user_id"]).drop("last_seconds")
