@@ -1,12 +1,13 @@
 """Document quality: random-indexing word vectors, pooled, and a two-layer network.
 
 Random indexing gives every word a sparse random index vector (a few entries of +1 and -1,
-chosen by the word's hash).  Words are indexed in three ways, so that unseen words say something
-too: as themselves, by their last characters, and by their shape (classes of characters, runs
-shortened).  A word's context vector sums the index vectors of its neighbours, moved one place
-by direction.  A document's vector pools the index and context vectors of all its words: as
-context vectors are sums over neighbours, the pool needs each pair of neighbours once and no
-vocabulary table, whatever the corpus.
+chosen by the word's hash).  A word's context vector sums the index vectors of its neighbours
+over the whole corpus.  Words share CONTEXTS hashed places, so the table of context vectors has
+one size whatever the corpus; its entries are sums of whole numbers, the same in any order.
+
+A document pools the context vectors of its words.  So that words without a past say something
+too, it also pools the index vectors of its words as themselves, by their last characters, by
+their shape (classes of the first and last characters, length), and by neighbouring shapes.
 
 A network of two layers (numpy) reads the pooled vector and a few plain measures of the same
 words, and gives a logit.  On rows set aside from training, a temperature is fitted that makes
@@ -31,15 +32,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import text_column
-from ._words import hash_spans, mix, text_bytes, word_spans
+from ._words import hash_spans, hashed_texts, mix, text_bytes, word_spans
 
 DIMENSIONS = 128  # of each pooled vector
+CONTEXTS = 4096  # places of the table of context vectors
+CONTEXT_DIMENSIONS = 64
 ENTRIES = 4  # non-zero entries of an index vector
 SAMPLE = 8_000
 HIDDEN = 48
@@ -47,6 +49,7 @@ EPOCHS = 40
 FOLDS = 5
 THRESHOLD = 0.3
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 512
 
 # The character classes of a word's shape.
 _CLASS = np.full(256, 5, np.uint8)  # bytes of other letters
@@ -69,11 +72,47 @@ def _index(hashes: np.ndarray, docs: np.ndarray, n: int, salt: int, weight: np.n
     return out.reshape(n, DIMENSIONS)
 
 
+def neighbour_sums(words: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each place of the table, the sum of the index vectors of its words' neighbours."""
+    size = CONTEXTS * CONTEXT_DIMENSIONS
+    out = np.zeros(size)
+    near = np.flatnonzero(docs[1:] == docs[:-1]) if len(docs) else np.zeros(0, np.int64)
+    place = (words & np.uint64(CONTEXTS - 1)).astype(np.int64) * CONTEXT_DIMENSIONS
+    h = mix(words ^ np.uint64(0x55))
+    for _ in range(ENTRIES):
+        entry = (h & np.uint64(CONTEXT_DIMENSIONS - 1)).astype(np.int64)
+        sign = ((h >> np.uint64(20)) & np.uint64(1)).astype(np.float64) * 2 - 1
+        out += np.bincount(place[near] + entry[near + 1], sign[near + 1], minlength=size)
+        out += np.bincount(place[near + 1] + entry[near], sign[near], minlength=size)
+        h = mix(h)
+    return out
+
+
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """The table of unit context vectors over all of ``docs``: CONTEXTS rows at any corpus size."""
+    names = [f"d{k}" for k in range(CONTEXT_DIMENSIONS)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CONTEXTS * CONTEXT_DIMENSIONS)
+        for batch in batches:
+            for _, words, offsets in hashed_texts(batch.column(0)):
+                total += neighbour_sums(words, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
+        table = total.reshape(CONTEXTS, CONTEXT_DIMENSIONS).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS, dtype=np.int32)), *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(CONTEXT_DIMENSIONS)]], ["place", *names])
+
+    parts = docs.select(text_column(docs).alias("text")).mapInArrow(sums, "place int, " + ", ".join(f"{n} bigint" for n in names))
+    rows = parts.groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    table = np.zeros((CONTEXTS, CONTEXT_DIMENSIONS))
+    for r in rows:
+        table[r["place"]] = r[1:]
+    return _unit(table).astype(np.float32)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def pooled(data: np.ndarray, offsets: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Features of the texts at ``offsets`` of a byte buffer, one row each."""
     n = len(offsets) - 1
     starts, ends = word_spans(data, offsets)
@@ -93,10 +132,11 @@ def pooled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     count = np.bincount(docs, minlength=n).astype(np.float64)
     own = np.maximum(count, 1)[:, None]
     near = np.flatnonzero(docs[1:] == docs[:-1]) if len(docs) else np.zeros(0, np.int64)
-    # context vectors: each word takes its neighbours' index vectors, from the left and the right
     pair = mix(shape[near] * np.uint64(0x9E3779B97F4A7C15) ^ shape[near + 1]) if len(near) else np.zeros(0, np.uint64)
     same = np.bincount(docs[near], (words[near] == words[near + 1]).astype(np.float64), minlength=n)
     sums = [_index(words, docs, n, 0x11), _index(tails, docs, n, 0x22), _index(shape, docs, n, 0x33), _index(pair, docs[near], n, 0x44)]
+    places = np.bincount(docs * CONTEXTS + (words & np.uint64(CONTEXTS - 1)).astype(np.int64), minlength=n * CONTEXTS).reshape(n, CONTEXTS)
+    sums.append(places.astype(np.float32) @ contexts)
     # the pooled vector's length against the count says how varied the words are
     spread = [np.linalg.norm(x, axis=1, keepdims=True) / own for x in sums]
     by_class = [np.bincount(np.searchsorted(offsets, np.flatnonzero(kinds == k), side="right") - 1, minlength=n) / np.maximum(np.diff(offsets), 1) for k in (0, 1, 2, 5)]
@@ -107,13 +147,13 @@ def pooled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.hstack([*[x / own for x in sums], *[_unit(x) for x in sums], *spread, plain]).astype(np.float32)
 
 
-def feature_rows(column: pa.Array) -> Iterator[np.ndarray]:
+def feature_rows(column: pa.Array, contexts: np.ndarray) -> Iterator[np.ndarray]:
     """Features of a text column, in order, about a megabyte of text at a time."""
     data, offs = text_bytes(column)
     row, rows = 0, len(offs) - 1
     while row < rows:
-        last = min(max(int(np.searchsorted(offs, offs[row] + SLICE_BYTES, side="right")) - 1, row + 1), rows)
-        yield pooled(data[offs[row] : offs[last]], offs[row : last + 1] - offs[row])
+        last = min(max(int(np.searchsorted(offs, offs[row] + SLICE_BYTES, side="right")) - 1, row + 1), rows, row + SLICE_ROWS)
+        yield pooled(data[offs[row] : offs[last]], offs[row : last + 1] - offs[row], contexts)
         row = last
 
 
@@ -173,7 +213,7 @@ def held_out_rows(doc_id, folds: int = FOLDS):
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
+def trained(docs: DataFrame, labels: DataFrame, contexts: np.ndarray, sample: int = SAMPLE) -> Network | None:
     """A network fitted on at most ``sample`` labelled rows that aren't held out."""
     marks = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).filter("label IN (0, 1)")
     marks = marks.filter(~held_out_rows(F.col("id")))
@@ -182,7 +222,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(feature_rows(batch.column(0)))
+            found = list(feature_rows(batch.column(0), contexts))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for part in found for x in part], pa.binary()), batch.column(1), batch.column(2)], ["x", "label", "nth"])
 
@@ -195,12 +235,13 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    network = trained(docs, labels, sample)
+    contexts = context_vectors(docs)
+    network = trained(docs, labels, contexts, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [network.probabilities(x) if network else np.full(len(x), 0.5) for x in feature_rows(batch.column(1))]
+            parts = [network.probabilities(x) if network else np.full(len(x), 0.5) for x in feature_rows(batch.column(1), contexts)]
             scores = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
@@ -210,11 +251,12 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that score the threshold or more, all columns unchanged."""
-    network = trained(docs, labels, sample)
+    contexts = context_vectors(docs)
+    network = trained(docs, labels, contexts, sample)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        parts = [network.probabilities(x) if network else np.full(len(x), 0.5) for x in feature_rows(pa.array(text, pa.large_string()))]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [network.probabilities(x) if network else np.full(len(x), 0.5) for x in feature_rows(batch.column("text"), contexts)]
+            yield batch.filter(pa.array(np.concatenate(scores) >= threshold)) if scores else batch
 
-    return docs.filter(score(text_column(docs)) >= threshold)
+    return docs.mapInArrow(keep, docs.schema)

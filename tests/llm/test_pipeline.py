@@ -38,19 +38,14 @@ def test_quality_keeps_good_documents(spark, middle, steps):
 
 def test_lines_are_only_deleted(steps):
     _, before, after = steps[1]
-    old, seen = {r["doc_id"]: r["text"] for r in before.collect()}, set()
+    old = {r["doc_id"]: r["text"] for r in before.collect()}
     for r in after.collect():
         assert r["n_chars"] == len(r["text"])
         left = iter(old[r["doc_id"]].split("\n"))
         assert all(line in left for line in r["text"].split("\n"))
-    for i in sorted(old):  # first copies stay
-        parts = [x for x in old[i].split("\n") if x.strip()]
-        seen |= {tuple(parts[k : k + 3]) for k in range(len(parts) - 2)}
-    kept = set()
-    for r in after.collect():
-        parts = [x for x in r["text"].split("\n") if x.strip()]
-        kept |= {tuple(parts[k : k + 3]) for k in range(len(parts) - 2)}
-    assert seen <= kept | seen and len(seen - kept) == 0
+    # a removed line stands earlier, so every distinct line stays somewhere
+    distinct = lambda texts: {x for t in texts for x in t.split("\n") if x.strip()}
+    assert distinct(old.values()) == distinct(r["text"] for r in after.collect())
 
 
 def test_one_of_each_group_stays(steps):
