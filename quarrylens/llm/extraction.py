@@ -57,6 +57,7 @@ NOISE_WORDS = frozenset(
     login share sharing social related recommended comment comments respond disqus discussion
     pagination pager widget toolbar skip masthead topbar copyright disclaimer""".split()
 )
+NOISE_STARTS = ("advert", "breadcrumb", "commentlist", "cookie", "newsletter", "sidebar", "sponsor")
 NOISE_NAMES = frozenset("header footer site-header site-footer page-header page-footer".split())
 HOLDERS = frozenset("div section article main body td center".split())
 # An end tag of one of these ends whatever is still open inside.
@@ -68,14 +69,14 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
     re.IGNORECASE | re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 
 
 def is_noise(name: str, rest: str, in_article: bool) -> bool:
     """Whether an element holds nothing of the main text, by its name and attributes."""
     if name in NOISE or (name == "header" and not in_article):
         return True
-    if not rest or name in ("html", "body", "article", "main"):
+    if not rest or name in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -83,9 +84,14 @@ def is_noise(name: str, rest: str, in_article: bool) -> bool:
             return True
         if key == "role" and value in NOISE_ROLES:
             return True
+        if key == "style" and "display:none" in value.replace(" ", ""):
+            return True
         if key in ("class", "id"):
             for token in value.split():
-                if token in NOISE_NAMES or any(x in NOISE_WORDS for x in re.split(r"[-_]+", token)):
+                if name == "article":  # a comment or an advert; not an article about one
+                    if token in NOISE_WORDS:
+                        return True
+                elif token in NOISE_NAMES or any(x in NOISE_WORDS or x.startswith(NOISE_STARTS) for x in re.split(r"[-_]+", token)):
                     return True
     return False
 
