@@ -40,6 +40,7 @@ WINDOW = 20
 HEX_BITS, OTHER_BITS = 3.0, 3.6
 
 # Allow-list: what such strings are when they aren't secrets.
+ALLOWED_LENGTH = 256  # longer candidates are never names or paths; patterns aren't tried on them
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(.)\1{7,}",
@@ -78,16 +79,17 @@ def located(pattern: str, body: str, keep: str, order: str = "0") -> str:
 def entropy_span(span: str, window: int, hex_bits: float, other_bits: float) -> str:
     """SQL for a candidate's span of high entropy, a struct like its own; null if there is none.
 
+    The candidate has ``symbols``, its characters' places in the alphabet, beside its body.
     The state holds the window's count of every character of the alphabet and the sum of
     c * log2(c); a step changes two counts.
     """
     f = lambda c: f"IF({c} > 0, {c} * log2({c}), 0D)"
-    symbol = lambda i: f"CAST(locate(substr({span}.body, {i}, 1), '{ALPHABET}') - 1 AS INT)"
+    symbol = lambda i: f"{span}.symbols[{i} - 1]"
     bits = f"IF({span}.body RLIKE '{HEX_ONLY}', {hex_bits}D, {other_bits}D)"
     least = f"((log2({window}) - {bits}) * {window})"  # the sum may be this large
     return f"""
       aggregate(
-        sequence(1, length({span}.body)),
+        sequence(1, size({span}.symbols)),
         named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'total', 0D, 'first', 0, 'last', 0),
         (acc, i) -> aggregate(
           array(named_struct('now', {symbol('i')}, 'old', IF(i > {window}, {symbol(f'i - {window}')}, -1), 'x', acc)),
@@ -135,9 +137,10 @@ def secret_spans(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BI
         when_found(CANDIDATE, located(CANDIDATE, "0", "true", "3")).alias("candidates"),
     )
     found = found.withColumn("base", F.concat("assign", "access", "hex"))
-    allowed = " OR ".join(f"c.body RLIKE {_quoted(p)}" for p in ALLOWED)
+    allowed = f"length(c.body) <= {ALLOWED_LENGTH} AND (" + " OR ".join(f"c.body RLIKE {_quoted(p)}" for p in ALLOWED) + ")"
     open_ones = f"filter(candidates, c -> NOT ({allowed}) AND NOT exists(base, b -> b.start <= c.start AND c.stop <= b.stop))"
-    added = f"filter(transform({open_ones}, c -> {entropy_span('c', window, hex_bits, other_bits)}), s -> s IS NOT NULL)"
+    spelled = f"transform({open_ones}, c -> named_struct('start', c.start, 'body', c.body, 'symbols', transform(split(c.body, ''), x -> CAST(locate(x, '{ALPHABET}') - 1 AS INT))))"
+    added = f"filter(transform({spelled}, c -> {entropy_span('c', window, hex_bits, other_bits)}), s -> s IS NOT NULL)"
     return found.withColumn("added", F.when(F.size("candidates") > 0, F.expr(added)).otherwise(none))
 
 

@@ -111,6 +111,8 @@ def test_main_text():
     assert extraction.main_text(article) == "T\na b\nc\nd\ne"
     assert extraction.main_text("&amp;amp; &#65;&eacute;") == "&amp; Aé"
     assert extraction.main_text("") == "" and extraction.main_text("<div class=ad>x") == ""
+    assert extraction.main_text("<article><p>a</p></article><article class='comment'><p>b</p></article><article class='notice-board-story'>c</article><div style='display: none'>d</div>") == "a\nc"
+    assert extraction.main_text("<article><p>a<p data-class='ad'>b<p class=ads-by>c</p>d</article>") == "a\nb\nd"
     assert extraction.distribution([1, 2, 3, 4], 2) == [1, 3, 5, 7]
 
 
@@ -200,6 +202,15 @@ def test_entropy_spans(spark):
         assert spans[n] == [(over[0] + shift, over[-1] + secrets.WINDOW + shift, 3 if n == 6 else 4)]
 
 
+def test_very_long_candidates(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["/".join("a1" for _ in range(20_000)), "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(30_000)), " ".join("deadbeefdeadbeef" for _ in range(2_000))]
+    rows = secrets.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r["n_entropy"] for r in rows] == [0, 1, 0] and rows[1]["spans"] == "entropy_mixed:0:30000" and rows[2]["n_hex"] == 2_000
+
+
 def test_no_python_in_the_secret_plan(spark, middle):
     plan = QUERIES["op5_secret_scan"](spark, middle)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
