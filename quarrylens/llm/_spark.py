@@ -28,6 +28,19 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` written as a table bucketed by ``column`` and read back.
+
+    Later joins and groups on that column leave its rows where they are.  Rows of one value
+    should come together in the input, or every task writes a file for every bucket.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(table)
+    return spark.table(table)
+
+
 def text_column(docs: DataFrame, name: str = "text") -> Column:
     """The text of a row as a string that is never null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -31,9 +31,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import level_size, running_total, text_column, written
+from ._spark import bucketed, level_size, running_total, text_column, written
 
 MIN_LINES = 3
+CHUNK_ROWS = 512
 END = -1  # the rank past a document's end
 
 
@@ -90,8 +91,20 @@ def line_copies(numbered: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return marked.groupBy("row").agg(flags.alias("flags"), F.count_if("line.gone").alias("n_removed"), F.first("n_lines").alias("n_lines"))
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    return written(docs.withColumn("row", F.monotonically_increasing_id()), name, "zstd")
+def _with_flags(docs: DataFrame, min_lines: int) -> DataFrame:
+    """``docs`` with __flags, and __whole: every line that isn't blank goes (null: no line does).
+
+    Documents are numbered and written as a table bucketed by runs of CHUNK_ROWS numbers; what
+    is found out about them goes back to their bucket, so that no text is moved.
+    """
+    row = F.monotonically_increasing_id()
+    numbered = docs.withColumn("__row", row).withColumn("__chunk", F.floor(F.col("__row") / F.lit(CHUNK_ROWS)).cast("long"))
+    numbered = bucketed(numbered, "__chunk", "lines")
+    copies = line_copies(numbered.select(F.col("__row").alias("row"), "doc_id", "text"), min_lines)
+    found = copies.select(F.floor(F.col("row") / F.lit(CHUNK_ROWS)).cast("long").alias("__chunk"), F.struct("row", "flags", (F.col("n_removed") == F.col("n_lines")).alias("whole")).alias("found"))
+    found = written(found.groupBy("__chunk").agg(F.collect_list("found").alias("__found")), "lines-copies")  # of CHUNK_ROWS documents
+    own = F.get(F.filter("__found", lambda x: x["row"] == F.col("__row")), F.lit(0))
+    return numbered.join(found, "__chunk", "left").select(*docs.columns, own.alias("__own")).select(*docs.columns, F.col("__own.flags").alias("__flags"), F.col("__own.whole").alias("__whole"))
 
 
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -99,21 +112,19 @@ def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     ``runs`` are [first line, end) pairs of line numbers, blank lines counted.
     """
-    numbered = _numbered(docs.select("doc_id", "text"), "lines-documents")
-    copies = written(line_copies(numbered, min_lines), "lines-copies")
-    both = numbered.join(copies, "row", "left")
+    both = _with_flags(docs.select("doc_id", "text"), min_lines)
     text = text_column(both)
-    kept = F.expr("array_join(filter(split(coalesce(CAST(text AS STRING), ''), '\\n', -1), (x, j) -> NOT coalesce(get(flags, j), false)), '\\n')")
-    whole = F.col("n_removed") == F.col("n_lines")
-    begin = F.expr("filter(sequence(0, size(flags) - 1), j -> flags[j] AND NOT coalesce(get(flags, j - 1), false))")
-    end = F.expr("filter(sequence(0, size(flags) - 1), j -> flags[j] AND NOT coalesce(get(flags, j + 1), false))")
+    kept = F.expr("array_join(filter(split(coalesce(CAST(text AS STRING), ''), '\\n', -1), (x, j) -> NOT coalesce(get(__flags, j), false)), '\\n')")
+    begin = F.expr("filter(sequence(0, size(__flags) - 1), j -> __flags[j] AND NOT coalesce(get(__flags, j - 1), false))")
+    end = F.expr("filter(sequence(0, size(__flags) - 1), j -> __flags[j] AND NOT coalesce(get(__flags, j + 1), false))")
     n_lines = F.expr("size(filter(split(coalesce(CAST(text AS STRING), ''), '\\n', -1), x -> trim(translate(x, '\\t\\r', '  ')) <> ''))")
+    none = F.col("__flags").isNull()
     return both.select(
         "doc_id",
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.zip_with(begin, end, lambda a, b: F.array(a, b + 1)), F.array().cast("array<array<int>>")).alias("runs"),
-        F.when(F.col("flags").isNull(), text).when(whole, "").otherwise(kept).alias("kept_text"),
+        F.when(none, 0).otherwise(F.size(F.filter("__flags", lambda x: x))).cast("long").alias("n_removed"),
+        F.when(none, F.array().cast("array<array<int>>")).otherwise(F.zip_with(begin, end, lambda a, b: F.array(a, b + 1))).alias("runs"),
+        F.when(none, text).when(F.col("__whole"), "").otherwise(kept).alias("kept_text"),
     )
 
 
@@ -122,11 +133,7 @@ def without_repeats(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     All columns stay; ``text`` is what is left and ``n_chars``, if there, its length.
     """
-    at = "__line_row"
-    numbered = written(docs.withColumn(at, F.monotonically_increasing_id()), "lines-documents", "zstd")
-    copies = line_copies(numbered.select(F.col(at).alias("row"), "doc_id", "text"), min_lines)
-    copies = written(copies.select(F.col("row").alias(at), F.col("flags").alias("__flags"), (F.col("n_removed") == F.col("n_lines")).alias("__whole")), "lines-copies")
-    both = numbered.join(copies, at, "left").filter("__whole IS NULL OR NOT __whole")
+    both = _with_flags(docs, min_lines).filter("__whole IS NULL OR NOT __whole")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, j) -> NOT coalesce(get(__flags, j), false)), '\\n')")
     both = both.withColumn("text", F.when(F.col("__flags").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:

@@ -31,7 +31,6 @@ Defined results
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import text_column, written
+from ._spark import bucketed, text_column, written
 from ._words import hashed_texts, window_hashes
 
 WINDOW = 35
@@ -53,7 +52,6 @@ SALT = 0x2545F491
 
 def _chunked(docs: DataFrame) -> DataFrame:
     """doc_id and text in order (chunk, nth), as a table bucketed by chunk."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", text_column(docs).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -69,11 +67,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(np.arange(nth, nth + len(batch)), pa.int64()), batch.column(0), batch.column(1)], ["chunk", "nth", "doc_id", "text"])
             nth += len(batch)
 
-    name = f"passages_{uuid.uuid4().hex}"
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = rows.mapInArrow(number, f"chunk bigint, nth bigint, doc_id {kind}, text string")
-    table.write.option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows.mapInArrow(number, f"chunk bigint, nth bigint, doc_id {kind}, text string"), "chunk", "passages")
 
 
 class _Runs:
