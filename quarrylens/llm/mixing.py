@@ -109,10 +109,14 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     turns = turns.select("at", "size", "budget", F.when(t < 2, F.floor(t * buckets)).otherwise(2 * buckets + F.floor(F.log2(t / 2) * buckets)).cast("long").alias("time_bucket"))
     ordered = running_total(turns, [], "time_bucket", ["at"], "size", "spent")
     over = ordered.filter(F.col("spent") + F.col("size") > F.col("budget")).agg(F.min("at").alias("cut"))
-    copies = sum((F.when(F.col("cut").isNull() | (stamp(F.lit(k)) < F.col("cut")), 1).otherwise(0) for k in range(limit)), F.lit(0))
+    cut = over.first()["cut"]  # the first document over the budget, if there is one
+    if cut is None:
+        copies = F.lit(limit)
+    else:
+        border = F.struct(*[F.lit(cut[f.name]).cast(f.dataType).alias(f.name) for f in over.schema["cut"].dataType.fields])
+        copies = sum((F.when(stamp(F.lit(k)) < border, 1).otherwise(0) for k in range(limit)), F.lit(0))
     return (
-        queued.crossJoin(F.broadcast(over))  # one row
-        .withColumn("copies", F.when(can, copies).otherwise(0).cast("int"))
+        queued.withColumn("copies", F.when(can, copies).otherwise(0).cast("int"))
         .select("key", "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
