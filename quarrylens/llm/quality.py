@@ -167,8 +167,9 @@ class Network:
     def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS, seeds: int = 2):
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
         aside = np.arange(len(x)) % 5 == 4 if len(x) >= 50 else np.zeros(len(x), bool)
-        z = self._scaled(x)
-        self.layers = [self._fit(z[~aside], y[~aside], hidden, epochs, seed) for seed in range(seeds)]
+        z = self._scaled(x[~aside])
+        self.layers = [self._fit(z, y[~aside], hidden, epochs, seed) for seed in range(seeds)]
+        del z
         self.temperature = 1.0
         if aside.any() and len(set(y[aside])) == 2:
             logits = self.logits(x[aside])
@@ -177,7 +178,9 @@ class Network:
             self.temperature = float(grid[int(np.argmin(loss))])
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -5, 5)
+        z = x - self.mean
+        z /= self.scale
+        return np.clip(z, -5, 5, out=z)
 
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray, hidden: int, epochs: int, seed: int) -> list[np.ndarray]:
@@ -230,7 +233,11 @@ def trained(docs: DataFrame, labels: DataFrame, contexts: np.ndarray, sample: in
     if not got:
         return None
     got.sort(key=lambda r: (r["nth"], r["label"], bytes(r["x"])))
-    return Network(np.array([np.frombuffer(r["x"], np.float32) for r in got]), np.array([r["label"] for r in got], np.float32))
+    y = np.array([r["label"] for r in got], np.float32)
+    x = np.empty((len(got), len(got[0]["x"]) // 4), np.float32)
+    for k in range(len(got)):
+        x[k], got[k] = np.frombuffer(got[k]["x"], np.float32), None  # rows go as they are copied
+    return Network(x, y)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
