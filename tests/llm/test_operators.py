@@ -305,6 +305,34 @@ def test_vector_recall(spark):
     assert sum(degree) > 2000 and sum(got.values()) >= 0.9 * sum(degree)
 
 
+def test_hot_group_of_vectors(spark):
+    """A third of the rows in one group of distinct near copies, and no link lost."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x[:2000] = rng.normal(size=64) + 0.3 * x[:2000]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.9).collect()
+    assert linked.sum() > 2_000_000
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate(linked.sum(1).tolist()))
+    assert sum(r["component_id"] == 0 for r in got) == 2000
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.05, 0.2])
+def test_cells_reached_hold_every_link(noise):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 16)), 20, axis=0)
+    x += noise * rng.normal(size=x.shape) * np.linalg.norm(x, axis=1)[:, None] / 4
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    centers = vectors.spherical_k_means(x, 40, 5)
+    home, cells = vectors.reached(x, centers, 0.9)
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    assert len(a) > len(x) and cells[a, home[b]].all()
+    assert cells.mean() < 0.9  # and some are ruled out
+
+
 # 9 packing
 
 
