@@ -8,10 +8,11 @@
 3.  In a region the surge point is where the distribution first rises over the threshold, and
     the dive point where it falls back to zero.  Lines of the region before the surge belong to
     it (a heading before the first paragraph); a region that never surges isn't text.
-4.  Lines inside ``article`` or ``main`` are kept whether or not their region surges.  On pages
-    without those the distribution decides: regions that surge are kept, and regions beside
-    them in the same element (a short paragraph after an advert); if a page has no surge
-    anywhere, its region of the highest sum is taken.
+4.  Regions that surge are kept, and regions beside them in the same element (a short paragraph
+    after an advert); if a page has no surge anywhere, its region of the highest sum is taken.
+5.  ``article`` and ``main`` extend this: their short lines are kept as well.  Where a page has
+    several ``article`` elements and text outside them surges, those without a surge are
+    teasers and go.  One loose line after the last article, in no element, isn't text.
 
 Links weigh nothing in the distribution, so that lists of links don't surge.
 
@@ -96,13 +97,13 @@ def is_noise(name: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], list[bool], list[int]]:
-    """Lines of a page, their weights (lengths without links), whether they are in an article,
-    and the numbers of the elements that hold them."""
+def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], list[int], list[int]]:
+    """Lines of a page, their weights (lengths without links), the article they are in
+    (the number of the outermost, negative for main, or 0), and the numbers of the elements that hold them."""
     lines, weights, anchored, holders = [], [], [], []
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # open elements: name, whether noise begins there, number
-    noise = article = link = weight = at = 0
+    noise = article = owner = link = weight = at = 0
 
     def flush() -> None:
         nonlocal weight
@@ -110,7 +111,7 @@ def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], l
         if text:
             lines.append(text)
             weights.append(weight)
-            anchored.append(article > 0)
+            anchored.append(owner if article > 0 else 0)
             holders.append(next((n for name, _, n in reversed(stack) if name in HOLDERS), 0))
         parts.clear()
         weight = 0
@@ -118,7 +119,7 @@ def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], l
     def blank() -> None:
         lines.extend([""] * window)
         weights.extend([0] * window)
-        anchored.extend([False] * window)
+        anchored.extend([0] * window)
         holders.extend([0] * window)
 
     def add(text: str) -> None:
@@ -168,6 +169,8 @@ def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], l
                 blank()
             stack.append((name, noisy, m.start() + 1))
             noise += noisy
+            if name in ARTICLE and not article:
+                owner = m.start() + 1 if name == "article" else -m.start() - 1
             article += name in ARTICLE
         else:
             for k in range(len(stack) - 1, -1, -1):
@@ -201,12 +204,20 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     regions = [list(run) for full, run in itertools.groupby(range(len(lines)), key=lambda k: bool(lines[k])) if full]
     if not regions:
         return ""
-    kept = [run for run in regions if any(anchored[k] for k in run)]
-    if not kept:
-        peaks = [max(sums[k] for k in run) for run in regions]
-        least = min(surge, max(peaks))
-        near = {holders[k] for run, peak in zip(regions, peaks) if peak >= least for k in run}
-        kept = [run for run, peak in zip(regions, peaks) if peak >= least or any(holders[k] in near for k in run)]
+    peaks = [max(sums[k] for k in run) for run in regions]
+    owners = [next((anchored[k] for k in run if anchored[k]), 0) for run in regions]
+    last = max((n for n, owner in enumerate(owners) if owner), default=None)
+    least = min(surge, max(peaks)) if last is None else surge
+    loose = [last is not None and n > last and len(run) == 1 and not holders[run[0]] for n, run in enumerate(regions)]
+    outside = [peak >= least and not owner and not alone for peak, owner, alone in zip(peaks, owners, loose)]
+    near = {holders[k] for run, surges in zip(regions, outside) if surges for k in run}
+    full = {owner for owner, peak in zip(owners, peaks) if peak >= surge}
+    cards = {owner for owner in owners if owner > 0}
+    teasers = cards - full if len(cards) > 1 and any(outside) else set()
+    kept = []
+    for run, owner, surges, alone in zip(regions, owners, outside, loose):
+        if owner and owner not in teasers or surges or not owner and not alone and any(holders[k] in near for k in run):
+            kept.append(run)
     return "\n".join(lines[k] for run in kept for k in run)
 
 

@@ -116,6 +116,16 @@ def test_main_text():
     assert extraction.distribution([1, 2, 3, 4], 2) == [1, 3, 5, 7]
 
 
+def test_text_outside_articles():
+    text, cards = "A paragraph of the main text that is long enough to surge on its own, surely.", "<article><a href=/>Title</a><p>Teaser.</p></article>" * 3
+    page = f"<html><body>{{}}<div id=story><p>{text}<p>Short.<p>{text}</div>{{}}</body></html>"
+    main = f"{text}\nShort.\n{text}"
+    assert extraction.main_text(page.format("", cards)) == extraction.main_text(page.format(cards, "")) == main
+    assert extraction.main_text(page.format("<article><p>One.</p></article>", "")) == "One.\n" + main
+    assert extraction.main_text(page.format(f"<article><h1>T</h1><p>{text}</p></article>", cards)) == f"T\n{text}\n{main}"
+    assert extraction.main_text(f"<body>{cards}</body>") == "\n".join(["Title", "Teaser."] * 3)
+
+
 def test_pages(spark, edge, middle):
     rows = extraction.extracted(table(spark, edge, "pages")).collect()
     assert len(rows) == 9 and all(r["n_chars"] == len(r["text"]) for r in rows)
