@@ -60,6 +60,13 @@ NOISE_WORDS = frozenset(
 )
 NOISE_STARTS = ("advert", "breadcrumb", "commentlist", "cookie", "newsletter", "sidebar", "sponsor")
 NOISE_NAMES = frozenset("header footer site-header site-footer page-header page-footer".split())
+# After a noise word these only name a box of it; beside one, the others say that it's about the rest.
+NOISE_BOXES = frozenset(
+    """area bar block bottom box btn button buttons by col column container content form header footer icons inner item
+    items left line link links list panel posts right section slot small stories text title top unit""".split()
+)
+WRAPPERS = frozenset("has with no without wrap wrapper layout".split())
+HARD, SOFT = 2, 1  # noise by what an element is; noise by its name only
 HOLDERS = frozenset("div section article main body td center".split())
 # An end tag of one of these ends whatever is still open inside.
 OUTER = frozenset("article main body html section div nav aside footer header form ul ol table".split())
@@ -73,36 +80,70 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 
 
-def is_noise(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element holds nothing of the main text, by its name and attributes."""
-    if name in NOISE or (name == "header" and not in_article):
+def is_noise_name(token: str) -> bool:
+    """Whether a class or id names noise: a noise word, then at most words for a box of it."""
+    if token in NOISE_NAMES or token in NOISE_WORDS:
         return True
-    if not rest or name in ("html", "body", "main"):
+    parts = [x for x in re.split(r"[-_]+", token) if x]
+    if not WRAPPERS.isdisjoint(parts):
         return False
+    words = [x in NOISE_WORDS or x.startswith(NOISE_STARTS) for x in parts]
+    return any(words) and all(word or x in NOISE_BOXES or x.isdigit() for x, word in list(zip(parts, words))[words.index(True) :])
+
+
+def is_noise(name: str, rest: str, in_article: bool) -> int:
+    """Whether an element holds nothing of the main text, by its name and attributes (HARD),
+    or by its class or id (SOFT); else 0."""
+    if name in NOISE or (name == "header" and not in_article):
+        return HARD
+    if not rest or name in ("html", "body", "main"):
+        return 0
+    found = 0
     for m in _ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return HARD
         if key == "role" and value in NOISE_ROLES:
-            return True
+            return HARD
         if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
+            return HARD
         if key in ("class", "id"):
-            for token in value.split():
-                if name == "article":  # a comment or an advert; not an article about one
-                    if token in NOISE_WORDS:
-                        return True
-                elif token in NOISE_NAMES or any(x in NOISE_WORDS or x.startswith(NOISE_STARTS) for x in re.split(r"[-_]+", token)):
-                    return True
-    return False
+            for token in value.split():  # an article: a comment or an advert; not one about them
+                if token in NOISE_WORDS if name == "article" else is_noise_name(token):
+                    found = SOFT
+    return found
 
 
-def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], list[int], list[int]]:
+def page_lines(html: str, window: int = WINDOW, surge: int = SURGE) -> tuple[list[str], list[int], list[int], list[int]]:
     """Lines of a page, their weights (lengths without links), the article they are in
-    (the number of the outermost, negative for main, or 0), and the numbers of the elements that hold them."""
+    (the number of the outermost, negative for main, or 0), and the numbers of the elements
+    that hold them.
+
+    An element that is noise by its class or id alone is spared, and the page read again, if it
+    holds ``main``, or most of the weight of a page where nothing surges without it or every
+    article is inside.
+    """
+    *out, named = _page_lines(html, window, frozenset())
+    if named:
+        lines, weights, anchored, _ = out
+        total = sum(weights) + named.pop("weight")
+        alone = not any(x > 0 for x in anchored)
+        calm = not any(anchored) and max(distribution(weights, window), default=0) < surge
+        spared = {k for k, (weight, articles, mains) in named.items() if mains or (2 * weight > total and weight >= surge and (calm or (articles and alone)))}
+        if spared:
+            *out, _ = _page_lines(html, window, frozenset(spared))
+    return tuple(out)
+
+
+def _page_lines(html: str, window: int, spared: frozenset[int]) -> tuple[list[str], list[int], list[int], list[int], dict]:
+    """The lines of a page; and by number, the weight, articles and mains in each element that is
+    noise by its class or id (their weight together at "weight")."""
     lines, weights, anchored, holders = [], [], [], []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, whether noise begins there, number
+    stack: list[tuple[str, int, int]] = []  # open elements: name, the kind of noise that begins there, number
+    named: dict = {}
+    inside = [0, 0, 0]  # weight, articles and mains so far in noise that isn't hard
+    hard = 0
     noise = article = owner = link = weight = at = 0
 
     def flush() -> None:
@@ -124,6 +165,8 @@ def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], l
 
     def add(text: str) -> None:
         nonlocal weight
+        if noise and not hard and not link:
+            inside[0] += len(text.strip())
         if text and not noise:
             parts.append(text)
             if not link:
@@ -131,10 +174,13 @@ def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], l
 
     def close(k: int) -> None:
         """Closes the elements of the stack from k on."""
-        nonlocal noise, article
-        for name, noisy, _ in stack[k:]:
-            noise -= noisy
+        nonlocal noise, hard, article
+        for name, noisy, n in stack[k:]:
+            noise -= noisy > 0
+            hard -= noisy == HARD
             article -= name in ARTICLE
+            if n in named:
+                named[n] = [now - then for now, then in zip(inside, named[n])]
         del stack[k:]
 
     for m in _TOKEN.finditer(html):
@@ -162,13 +208,20 @@ def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], l
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 close(len(stack) - 1)  # its end tag may be left out
             noisy = is_noise(name, m["rest"], article > 0)
+            if noisy == SOFT and m.start() + 1 in spared:
+                noisy = 0
+            if noise and not hard and not noisy and name in ARTICLE:
+                inside[1 if name == "article" else 2] += 1
+            if noisy == SOFT and not hard:
+                named[m.start() + 1] = list(inside)
             if noisy and not noise:
                 flush()
                 blank()
             if name in ARTICLE and not noise:
                 blank()
             stack.append((name, noisy, m.start() + 1))
-            noise += noisy
+            noise += noisy > 0
+            hard += noisy == HARD
             if name in ARTICLE and not article:
                 owner = m.start() + 1 if name == "article" else -m.start() - 1
             article += name in ARTICLE
@@ -183,7 +236,10 @@ def page_lines(html: str, window: int = WINDOW) -> tuple[list[str], list[int], l
                     break  # a stray end tag
     add(html[at:])
     flush()
-    return lines, weights, anchored, holders
+    close(0)
+    if named:
+        named["weight"] = inside[0]
+    return lines, weights, anchored, holders, named
 
 
 def distribution(weights: list[int], window: int = WINDOW) -> list[int]:
@@ -199,7 +255,7 @@ def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page."""
     if not html:
         return ""
-    lines, weights, anchored, holders = page_lines(html, window)
+    lines, weights, anchored, holders = page_lines(html, window, surge)
     sums = distribution(weights, window)
     regions = [list(run) for full, run in itertools.groupby(range(len(lines)), key=lambda k: bool(lines[k])) if full]
     if not regions:

@@ -126,6 +126,22 @@ def test_text_outside_articles():
     assert extraction.main_text(f"<body>{cards}</body>") == "\n".join(["Title", "Teaser."] * 3)
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "with-sidebar", "content-sidebar-wrap", "no-ads", "share-prices", "copyright-reform", "related", "share", "notice", "alert widget"])
+def test_wrappers_of_the_text(name):
+    text = "A paragraph of the main text that is long enough to surge on its own, surely."
+    ad = "<div class=ad>Buy this.</div>"
+    for inner in (f"<article><h1>T</h1><p>{text}</p></article>", f"<main><h1>T</h1><p>{text}</p></main>", f"<h1>T</h1><p>{text}</p>"):
+        assert extraction.main_text(f"<body>{ad}<div class='{name}'>{inner}</div><footer>f</footer></body>") == f"T\n{text}"
+
+
+def test_noise_beside_the_text():
+    text = "A paragraph of the main text that is long enough to surge on its own, surely."
+    page = f"<body><article><p>{text}</p></article>{{}}</body>"
+    for name in ("cookie-bar", "sidebar-left", "related-posts", "main-nav", "ads-by", "advert1", "comment-list", "share"):
+        assert extraction.main_text(page.format(f"<div class={name}><article>{text} {text}</article></div>")) == text
+    assert extraction.main_text(page.format(f"<div class=stock-share-prices>{text}</div>")) == f"{text}\n{text}"
+
+
 def test_pages(spark, edge, middle):
     rows = extraction.extracted(table(spark, edge, "pages")).collect()
     assert len(rows) == 9 and all(r["n_chars"] == len(r["text"]) for r in rows)
