@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BASES = 5
+BLOCK_ROWS, SLICE = 4096, 256  # rows of a block, and of it multiplied at a time
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -35,13 +38,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "kb", "vec_id", "score", "rank")
 
 
-def sign_pattern(vector: Column, dims: int) -> Column:
-    """Block of a vector: the signs of its first ``dims`` components."""
-    return F.array_join(F.transform(F.slice(vector, 1, dims), lambda x: F.when(x >= 0, "+").otherwise("-")), "")
+def close_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """Pairs of vectors with a cosine of ``least`` or more, all of them.
 
-
-def close_pairs(vectors: DataFrame, dims: int, least: float) -> DataFrame:
-    """Pairs of vectors of one block with a cosine of ``least`` or more."""
-    a = vectors.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), sign_pattern(F.col("embedding"), dims).alias("block"))
-    b = a.select(F.col("a").alias("b"), F.col("va").alias("vb"), "block")
-    return a.join(b, "block").filter("a < b").withColumn("cosine", F.round(cosine(F.col("va"), F.col("vb")), 6)).filter(F.col("cosine") >= least).select("a", "b", "cosine")
+    Rows are dealt to blocks by hash and every two blocks are multiplied, so a task holds two
+    blocks at most; only pairs near ``least`` or above leave it, for the cosine itself.  Null,
+    zero and non-finite vectors have no pairs, nor have different lengths.
+    """
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("n"))
+    rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
+    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.withColumn("own", block).withColumn("other", every).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        a, b = part[part["own"] == i], part[part["own"] == j]
+        out = [pd.DataFrame([], columns=["a", "va", "b", "vb"])]
+        if len(a) and len(b):
+            x, y = (np.stack(list(side["v"])) for side in (a, b))
+            x, y = (side / np.abs(side).max(1)[:, None] for side in (x, y))
+            x, y = (side / np.linalg.norm(side, axis=1)[:, None] for side in (x, y))
+            ids_a, ids_b, va, vb = a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), a["v"].to_numpy(), b["v"].to_numpy()
+            for k in range(0, len(a), SLICE):
+                r, c = np.nonzero(x[k : k + SLICE] @ y.T >= least - 1e-5)
+                r += k
+                turned = ids_a[r] > ids_b[c]
+                some = (ids_a[r] < ids_b[c]) | (turned & (i != j))
+                r, c, turned = r[some], c[some], turned[some]
+                out += [
+                    pd.DataFrame({"a": ids_a[r[~turned]], "va": va[r[~turned]], "b": ids_b[c[~turned]], "vb": vb[c[~turned]]}),
+                    pd.DataFrame({"a": ids_b[c[turned]], "va": vb[c[turned]], "b": ids_a[r[turned]], "vb": va[r[turned]]}),
+                ]
+        return pd.concat(out)
+
+    near = dealt.groupBy("n", "i", "j").applyInPandas(compare, f"a {kind}, va array<double>, b {kind}, vb array<double>")
+    return near.withColumn("cosine", F.round(cosine(F.col("va"), F.col("vb")), 6)).filter(F.col("cosine") >= least).select("a", "b", "cosine")

@@ -330,7 +330,7 @@ def c06_hash_copies(spark, d):
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 AND list_transform(a.embedding[1:6], lambda x: x >= 0) = list_transform(b.embedding[1:6], lambda x: x >= 0) WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.5""")
 def c07_close_vectors(spark, d):
-    return retrieval.close_pairs(table(spark, d, "embeddings"), 6, 0.5)
+    return retrieval.close_pairs(table(spark, d, "embeddings"), 0.5)
 
 
 @query(r"SELECT trim(regexp_replace(lower(title), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS key, count(*) AS n, min(id) AS first_id FROM articles GROUP BY 1 HAVING count(*) > 1 AND key <> ''", VIEWS)

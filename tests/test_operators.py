@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quarrylens import config, schemas
 from quarrylens.functions import codecs
 from quarrylens.functions.text import canonical_url, normal_title
-from quarrylens.operators import alarms, collections, finders, preparation, rules
+from quarrylens.operators import alarms, collections, finders, preparation, retrieval, rules
 from quarrylens.sources.connectors import FolderConnector, JsonLinesConnector
 from quarrylens.sources.store import Collection, DuplicateKey
 
@@ -104,6 +104,19 @@ def test_addresses_and_titles(spark):
     assert tuple(df.select(canonical_url(F.col("u")), normal_title(F.col("t"))).first()) == ("example.org/a", "the big news")
 
 
+@pytest.mark.parametrize("block", [4096, 50])
+def test_close_pairs_across_signs(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", block)
+    x = np.random.default_rng(1).normal(size=(300, 12))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(np.round(unit @ unit.T, 6) >= 0.5, 1)))}
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12), (903, [1.0])]
+    got = values(retrieval.close_pairs(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 0.5), "a", "b")
+    assert len(want) > 1000 and len(got) == len(want) and set(got) == want
+
+
 def test_working_hours(spark):
     rows = [("2024-01-05 15:00:00", "HIGH"), ("2024-01-05 15:00:00", "CRITICAL"), ("2024-01-06 12:00:00", "HIGH"), ("2024-01-01 07:00:00", "MEDIUM"), ("2024-01-01 20:00:00", "LOW")]
     df = spark.createDataFrame(rows, "t string, s string").select(alarms.sla_due(F.col("t").cast("timestamp"), F.col("s")).cast("string").alias("d"))
