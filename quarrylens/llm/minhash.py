@@ -6,20 +6,25 @@
     and its maximum, two signature values for one pass.  The values are dealt to bands of
     ``rows`` values; documents that agree in a band share a bucket.  With 128 permutations,
     32 bands of 8 values, a pair at similarity 0.85 shares no bucket with probability 4e-5.
-3.  Every member of a bucket is tied to the smallest id there; the components of these ties are
-    families, which hold all candidate pairs of their members.
-4.  A family is confirmed on full sets: it is dealt to blocks, and each pair of blocks is one
-    task's work, which intersects the sets by shared shingles and returns only the links that
-    join different groups, never all pairs.  A family of any size spreads over many tasks.
-5.  Components of the confirmed links, and the members of each class, give the result.
+3.  Stars: every member of a bucket is compared, on full sets, with the smallest id there.  A
+    group of copies of any size is linked by this already, in one comparison for each member.
+4.  What is left to compare are pairs in buckets whose members are in different components so
+    far.  Such buckets join to families; a family of many members, which chains of buckets may
+    make, is taken bucket by bucket instead.  Families and buckets are dealt to blocks, and each
+    pair of blocks is one task's work, which intersects the sets by shared shingles and returns
+    only the links that join different components, never all pairs.
+5.  Components of all links, and the members of each class, give the result.
 
 Defined results
     null or empty text, no words   n_shingles 0, linked with nothing, kept
     fewer words than a shingle     the whole sequence is the one shingle
+    very long text                 its set is one row (8 bytes a shingle), sent once for each star
+                                   and block that it is compared in
     null doc_id                    linked with nothing, component_id null, kept
     repeated doc_id                rows with one id are one node: its links are those of all its rows
+    ties                           none: similarity is exact, components have their smallest id
     empty table                    no rows
-    other columns                  ignored
+    other columns                  ignored.  doc_id is a whole number
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import components, text_column, written
@@ -38,6 +43,7 @@ from ._words import hashed_texts, mix, window_hashes
 PERMUTATIONS = 128
 MISS = 5e-5
 BLOCK = 256
+FAMILY = 4 * BLOCK  # members; larger families are taken bucket by bucket
 COLUMNS = 4096  # shingles that a block compares at once
 SALT = 0x51ED2701
 
@@ -163,63 +169,111 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def spanning_links(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
-    """Links enough to connect what is linked: pairs with 100 * |a & b| >= percent * |a | b|."""
+def spanning_links(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
+    """Links enough to connect what is linked: pairs with 100 * |a & b| >= percent * |a | b|.
+
+    Rows of one group are connected already.
+    """
     sizes = np.array([len(s) for s in sets], np.float64)
     both = intersections(sets)
     linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     linked &= both > 0
     if cross:  # pairs inside one block are another task's
         linked &= blocks[:, None] != blocks[None, :]
-    np.fill_diagonal(linked, False)
-    seen, out = np.zeros(len(ids), bool), []
-    for root in range(len(ids)):
-        if seen[root]:
-            continue
-        seen[root], reach = True, [root]
-        while reach:
-            x = reach.pop()
-            for y in np.flatnonzero(linked[x] & ~seen):
-                seen[y] = True
-                out.append((int(ids[x]), int(ids[y])))
-                reach.append(int(y))
+    linked &= groups[:, None] != groups[None, :]
+    known: dict[int, int] = {}
+
+    def root(g: int) -> int:
+        while known.get(g, g) != g:
+            g = known[g]
+        return g
+
+    out = []
+    for x, y in np.argwhere(np.triu(linked)):
+        a, b = root(int(groups[x])), root(int(groups[y]))
+        if a != b:
+            known[max(a, b)] = min(a, b)
+            out.append((int(ids[x]), int(ids[y])))
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    bands, rows = banding(percent, permutations, miss)
-    signed = written(signatures(docs, shingle, permutations, bands, rows), "minhash-signatures")
-    full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
-    classes = written(classes, "minhash-classes")
+def _stars(ties: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) among ``ties`` (leader, class_id), confirmed on full sets; a crowded star is
+    dealt to blocks, each with the leader's set."""
+    size = ties.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    leaders = size.select("leader", every.alias("block"), F.col("leader").alias("class_id"))
+    members = ties.join(size, "leader").select("leader", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int").alias("block"), "class_id")
+    rows = leaders.unionByName(members).join(sets, "class_id")
 
-    # candidate ties: every member of a bucket with the smallest id there
-    entries = classes.select("class_id", F.explode("bands").alias("bucket"))
-    leaders = entries.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    ties = entries.join(leaders, "bucket").filter("class_id > leader")
-    families = components(ties.select(F.col("leader").alias("a"), F.col("class_id").alias("b")), "minhash-families")
-    sizes = families.groupBy("component").agg(F.count("*").alias("size"))
-    families = written(families.join(sizes, "component"), "minhash-members")
-
-    # every class of a family by its full set, in blocks; pairs of blocks meet in one task
-    text = docs.select("doc_id", "text").join(families.withColumnRenamed("id", "doc_id"), "doc_id")
-    members = full_sets(text, shingle).filter(F.length("shingles") > 0)
-    members = members.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "shingles")
+    def confirm(part: pd.DataFrame) -> pd.DataFrame:
+        leader, ids = int(part["leader"].iloc[0]), part["class_id"].to_numpy()
+        arrays = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+        linked = []
+        for own in (s for i, s in zip(ids, arrays) if i == leader):  # one, unless rows share the id
+            for i, s in zip(ids, arrays):
+                if i != leader:
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    if both and 100 * both >= percent * (len(own) + len(s) - both):
+                        linked.append(i)
+        return pd.DataFrame({"a": [leader] * len(linked), "b": linked}, dtype="int64")
+
+    return rows.groupBy("leader", "block").applyInPandas(confirm, "a bigint, b bigint")
+
+
+def _open_buckets(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """bucket, class_id, grp of the buckets whose members are in different components."""
+    marked = entries.join(groups.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("bucket", "class_id", F.coalesce("component", "class_id").alias("grp"))
+    mixed = marked.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("class_id").alias("leader")).filter("low < high")
+    return marked.join(mixed.select("bucket", "leader"), "bucket")
+
+
+def _remaining(open_ones: DataFrame, sets: DataFrame, percent: int, block: int, family: int) -> DataFrame:
+    """Links (a, b) between members of open buckets that are in different components."""
+    ties = open_ones.filter("class_id > leader").select(F.col("leader").alias("a"), F.col("class_id").alias("b"))
+    families = components(ties, "minhash-families").withColumnRenamed("component", "family")
+    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
+    large = sizes.filter(F.col("size") > family).select("family")
+    of_family = open_ones.join(families.withColumnRenamed("id", "class_id"), "class_id")
+    # a unit of work: a family, or a bucket of a large one
+    small = of_family.join(large, "family", "left_anti").select(F.lit(0).alias("kind"), F.col("family").alias("unit"), "class_id", "grp").distinct()
+    chained = of_family.join(large, "family", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("unit"), "class_id", "grp")
+    units = written(small.unionByName(chained), "minhash-units")
+    count = units.groupBy("kind", "unit").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    rows = units.join(count, ["kind", "unit"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("kind", "unit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class_id", "grp").join(sets, "class_id")
 
     def confirm(part: pd.DataFrame) -> pd.DataFrame:
         arrays = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
         own = part["lo"].iloc[0] == part["hi"].iloc[0]
-        found = spanning_links(part["doc_id"].to_numpy(), part["block"].to_numpy(), arrays, percent, not own)
+        found = spanning_links(part["class_id"].to_numpy(), part["grp"].to_numpy(), part["block"].to_numpy(), arrays, percent, not own)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    links = members.groupBy("component", "lo", "hi").applyInPandas(confirm, "a bigint, b bigint")
+    return rows.groupBy("kind", "unit", "lo", "hi").applyInPandas(confirm, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, miss: float = MISS, block: int = BLOCK, family: int = FAMILY) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+    bands, rows = banding(percent, permutations, miss)
+    signed = written(signatures(docs, shingle, permutations, bands, rows), "minhash-signatures")
+    full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands"))
+    classes = written(classes, "minhash-classes")
+    entries = classes.select("class_id", F.explode("bands").alias("bucket"))
+    leaders = entries.groupBy("bucket").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).filter("leader < last").drop("last")
+    entries = written(entries.join(leaders, "bucket"), "minhash-buckets")
+
+    # full sets of the classes that share a bucket (of all rows, if several have the id)
+    text = docs.select("doc_id", "text").join(entries.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id")
+    sets = full_sets(text, shingle).filter(F.length("shingles") > 0).withColumnRenamed("doc_id", "class_id")
+    sets = written(sets, "minhash-sets", "uncompressed")
+    ties = entries.filter("class_id > leader").select("leader", "class_id").distinct()
+    groups = written(components(written(_stars(ties, sets, percent, block), "minhash-stars"), "minhash-groups"), "minhash-grouped")
+    rest = _remaining(written(_open_buckets(entries.select("bucket", "class_id"), groups), "minhash-open"), sets, percent, block, family)
     # rows of one document id are one node even if their texts differ
     same = full.join(classes.drop("bands"), ["n_shingles", "set_a", "set_b"]).filter("doc_id > class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.union(same), "minhash-links")
+    found = components(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).union(rest).union(same), "minhash-links")
     out = signed.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.isNull() | (component == F.col("doc_id"))).alias("kept"))
@@ -228,7 +282,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that near-duplicate detection keeps, all columns unchanged.
 
-    Rows that share the kept doc_id all stay.
+    Of rows that share their doc_id (or have none) and their text, one stays; rows of a kept
+    doc_id with different texts all stay.  Columns __gone, __again and __nth are reserved.
     """
-    gone = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    found = written(near_duplicates(docs, **parameters), "minhash-found")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    again = found.filter("kept").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__again")
+    if again.isEmpty():
+        return left
+    meets = left["doc_id"].eqNullSafe(again["__again"])
+    order = Window.partitionBy("doc_id", F.xxhash64(text_column(docs)), F.md5(text_column(docs))).orderBy(F.xxhash64(*docs.columns))
+    once = left.join(again, meets, "left_semi").withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
+    return left.join(again, meets, "left_anti").unionByName(once)

@@ -40,18 +40,20 @@ FROM queued LEFT JOIN taken USING (source_key, place)
 
 LINE_DEDUP = r"""
 WITH numbered AS (
-  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST) AS row, doc_id, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS row, doc_id, coalesce(text, '') AS text FROM documents
 ), every AS (
   SELECT row, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS j FROM numbered
 ), lines AS (
-  SELECT row, j, line, row_number() OVER (PARTITION BY row ORDER BY j) AS i,
-         lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3
-  FROM every WHERE trim(translate(line, chr(9) || chr(13), '  ')) <> ''
+  SELECT row, j, line, row_number() OVER (PARTITION BY row ORDER BY j) AS i, words,
+         lead(line, 1) OVER w AS line2, lead(line, 2) OVER w AS line3, lead(words, 1) OVER w AS words2
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM every) WHERE trim(translate(line, chr(9) || chr(13), '  ')) <> ''
   WINDOW w AS (PARTITION BY row ORDER BY j)
 ), starts AS (
-  SELECT row, i, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY row, i) AS nth FROM lines WHERE line3 IS NOT NULL
+  SELECT row, i, 3 AS depth, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY row, i) AS nth FROM lines WHERE line3 IS NOT NULL
+  UNION ALL SELECT row, i, 2, row_number() OVER (PARTITION BY line, line2 ORDER BY row, i) FROM lines WHERE words + words2 >= 50
+  UNION ALL SELECT row, i, 1, row_number() OVER (PARTITION BY line ORDER BY row, i) FROM lines WHERE words >= 50
 ), gone AS (
-  SELECT DISTINCT l.row, l.j FROM lines l JOIN (SELECT row, i + k AS i FROM starts, (VALUES (0), (1), (2)) v(k) WHERE nth > 1) s USING (row, i)
+  SELECT DISTINCT l.row, l.j FROM lines l JOIN (SELECT row, i + k AS i FROM starts, (VALUES (0), (1), (2)) v(k) WHERE nth > 1 AND k < depth) s USING (row, i)
 ), runs AS (
   SELECT row, string_agg(a || ':' || b, ',' ORDER BY a) AS removed_runs
   FROM (SELECT row, min(j) AS a, max(j) + 1 AS b FROM (SELECT row, j, j - row_number() OVER (PARTITION BY row ORDER BY j) AS run FROM gone) GROUP BY row, run)

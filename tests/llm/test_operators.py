@@ -160,12 +160,12 @@ def test_pages(spark, edge, middle):
 # 4 near-duplicates
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates(spark, edge, middle, size, percent):
+@pytest.mark.parametrize(("size", "percent", "more"), [(3, 85, {}), (5, 80, {"family": 2})])
+def test_near_duplicates(spark, edge, middle, size, percent, more):
     for folder in (edge, middle):
         rows = documents(spark, folder)
         want, sizes = brute.near_duplicates(rows, size, percent)
-        got = minhash.near_duplicates(table(spark, folder, "documents"), shingle=size, percent=percent).collect()
+        got = minhash.near_duplicates(table(spark, folder, "documents"), shingle=size, percent=percent, **more).collect()
         assert Counter((r["doc_id"], r["n_shingles"]) for r in got) == Counter((i, n) for (i, _), n in zip(rows, sizes))
         assert all(r["component_id"] == want.get(r["doc_id"]) and r["kept"] == (r["doc_id"] is None or want[r["doc_id"]] == r["doc_id"]) for r in got)
 
@@ -184,8 +184,25 @@ def test_crowded_family(spark):
         texts.append(" ".join(w))
     rows = list(enumerate(texts))
     want, _ = brute.near_duplicates(rows, 3, 85)
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, percent=85, block=64).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 5
+    for family in (1024, 100):  # as one family, and bucket by bucket
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, percent=85, block=64, family=family).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 5
+
+
+def test_regular_texts_do_not_collide(spark):
+    """A Thue-Morse word and its complement in otherwise equal texts (equal under sums of powers)."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:30], x, *base[30:]]) for x in (morse, other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r["n_removed"] for r in substrings.repeated_passages(docs, 35).collect()] == [0, 0]
+    assert all(r["kept"] for r in minhash.near_duplicates(docs, shingle=3, percent=99).collect())
+    # words as letters: windows that are such sequences
+    letters = [" ".join(x[k : k + 64]) for x in (morse, other) for k in (0,)]
+    docs = spark.createDataFrame(list(enumerate(letters)), "doc_id bigint, text string")
+    want = [x[1] for x in brute.passages(letters, 35)]
+    assert [r["n_removed"] for r in substrings.repeated_passages(docs, 35).orderBy("doc_id").collect()] == want
 
 
 def test_one_of_each(spark, edge):
@@ -193,7 +210,10 @@ def test_one_of_each(spark, edge):
     kept = minhash.one_of_each(docs, shingle=3, percent=85)
     assert kept.columns == docs.columns
     want, _ = brute.near_duplicates(documents(spark, edge), 3, 85)
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _ in documents(spark, edge) if i is None or want[i] == i)
+    rows = {(i, t) for i, t in documents(spark, edge) if i is None or want[i] == i}  # of equal rows one
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(rows)
+    twice = spark.createDataFrame([(1, "a b c d"), (2, "e f g h"), (1, "a b c d"), (None, "x y"), (None, "x y"), (2, "other words")], "doc_id bigint, text string")
+    assert Counter(map(tuple, minhash.one_of_each(twice).collect())) == Counter([(1, "a b c d"), (2, "e f g h"), (2, "other words"), (None, "x y")])
 
 
 # 5 secrets
@@ -273,7 +293,7 @@ def test_line_runs_by_brute_force(spark):
                     gone |= {j for j, _ in parts[k : k + least]}
                 seen.add(run)
             want[i] = len(gone)
-        got = {r["doc_id"]: r["n_removed"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id int, text string"), min_lines=least).collect()}
+        got = {r["doc_id"]: r["n_removed"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id int, text string"), min_lines=least, min_words=None).collect()}
         assert got == want
 
 
