@@ -9,10 +9,11 @@
 3.  Stars: every member of a bucket is compared, on full sets, with the smallest id there.  A
     group of copies of any size is linked by this already, in one comparison for each member.
 4.  What is left to compare are pairs in buckets whose members are in different components so
-    far.  Such buckets join to families; a family of many members, which chains of buckets may
-    make, is taken bucket by bucket instead.  Families and buckets are dealt to blocks, and each
-    pair of blocks is one task's work, which intersects the sets by shared shingles and returns
-    only the links that join different components, never all pairs.
+    far.  Such buckets join to families; a large family is taken bucket by bucket instead where
+    that is less work (chains of buckets).  Members of the largest component there aren't compared
+    with each other; the others are dealt to blocks, and each pair of blocks is one task's work,
+    which intersects the sets by shared shingles and returns only the links that join different
+    components, never all pairs.
 5.  Components of all links, and the members of each class, give the result.
 
 Defined results
@@ -169,31 +170,32 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def spanning_links(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple[int, int]]:
+def spanning_links(ids: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links enough to connect what is linked: pairs with 100 * |a & b| >= percent * |a | b|.
 
-    Rows of one group are connected already.
+    Rows of one group are connected already.  If there are two sides, pairs on one side are
+    another task's.
     """
     sizes = np.array([len(s) for s in sets], np.float64)
     both = intersections(sets)
     linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     linked &= both > 0
-    if cross:  # pairs inside one block are another task's
-        linked &= blocks[:, None] != blocks[None, :]
-    linked &= groups[:, None] != groups[None, :]
-    known: dict[int, int] = {}
-
-    def root(g: int) -> int:
-        while known.get(g, g) != g:
-            g = known[g]
-        return g
-
-    out = []
-    for x, y in np.argwhere(np.triu(linked)):
-        a, b = root(int(groups[x])), root(int(groups[y]))
-        if a != b:
-            known[max(a, b)] = min(a, b)
-            out.append((int(ids[x]), int(ids[y])))
+    if (sides != sides[0]).any():
+        linked &= sides[:, None] != sides[None, :]
+    same = groups[:, None] == groups[None, :]
+    linked &= ~same
+    seen, out = np.zeros(len(ids), bool), []
+    for root in range(len(ids)):
+        if seen[root]:
+            continue
+        seen[root], reach = True, [root]
+        while reach:
+            x = reach.pop()
+            for y in np.flatnonzero((linked[x] | same[x]) & ~seen):
+                seen[y] = True
+                if linked[x, y]:
+                    out.append((int(ids[x]), int(ids[y])))
+                reach.append(int(y))
     return out
 
 
@@ -228,29 +230,48 @@ def _open_buckets(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return marked.join(mixed.select("bucket", "leader"), "bucket")
 
 
-def _remaining(open_ones: DataFrame, sets: DataFrame, percent: int, block: int, family: int) -> DataFrame:
-    """Links (a, b) between members of open buckets that are in different components."""
+def _units(open_ones: DataFrame, family: int) -> DataFrame:
+    """kind, unit, class_id, grp: what has to be compared.  A unit is a family of buckets (kind 0),
+    or, in large families where that is less work, each of its buckets (kind 1)."""
     ties = open_ones.filter("class_id > leader").select(F.col("leader").alias("a"), F.col("class_id").alias("b"))
-    families = components(ties, "minhash-families").withColumnRenamed("component", "family")
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    large = sizes.filter(F.col("size") > family).select("family")
-    of_family = open_ones.join(families.withColumnRenamed("id", "class_id"), "class_id")
-    # a unit of work: a family, or a bucket of a large one
-    small = of_family.join(large, "family", "left_anti").select(F.lit(0).alias("kind"), F.col("family").alias("unit"), "class_id", "grp").distinct()
-    chained = of_family.join(large, "family", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("unit"), "class_id", "grp")
-    units = written(small.unionByName(chained), "minhash-units")
-    count = units.groupBy("kind", "unit").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    rows = units.join(count, ["kind", "unit"]).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("kind", "unit", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class_id", "grp").join(sets, "class_id")
+    families = components(ties, "minhash-families").select(F.col("id").alias("class_id"), F.col("component").alias("family"))
+    of_family = open_ones.join(families, "class_id")
+    work = of_family.groupBy("family", "bucket").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("by_bucket"))
+    size = families.groupBy("family").agg(F.count("*").alias("size"))
+    apart = work.join(size, "family").filter((F.col("size") > family) & (2 * F.col("by_bucket") < F.col("size").cast("double") * F.col("size"))).select("family")
+    whole = of_family.join(apart, "family", "left_anti").select(F.lit(0).alias("kind"), F.col("family").alias("unit"), "class_id", "grp").distinct()
+    chained = of_family.join(apart, "family", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("unit"), "class_id", "grp")
+    return whole.unionByName(chained)
+
+
+def _remaining(open_ones: DataFrame, sets: DataFrame, percent: int, block: int, family: int) -> DataFrame:
+    """Links (a, b) between members of open buckets that are in different components.
+
+    The members of a unit's largest component are not compared with each other: the others are
+    dealt to blocks, and each of these meets the blocks of others and those of the largest.
+    """
+    units = written(_units(open_ones, family), "minhash-units")
+    by_group = units.groupBy("kind", "unit", "grp").agg(F.count("*").alias("n"))
+    count = by_group.groupBy("kind", "unit").agg(F.max_by("grp", F.struct("n", "grp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    in_blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    count = count.select("kind", "unit", "main", in_blocks(F.col("all") - F.col("most")).alias("others"), in_blocks(F.col("most")).alias("mains"))
+    rows = units.join(count, ["kind", "unit"]).withColumn("is_main", F.col("grp") == F.col("main"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class_id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    place = lambda lo, hi, across: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(across).alias("across"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_main = F.transform(every("others"), lambda k: place(k, F.col("block"), True))
+    of_other = F.concat(F.transform(every("others"), lambda k: place(F.least("block", k), F.greatest("block", k), False)), F.transform(every("mains"), lambda k: place(F.col("block"), k, True)))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)))
+    rows = rows.select("kind", "unit", "at.*", "is_main", "block", "class_id", "grp").join(sets, "class_id")
 
     def confirm(part: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
-        own = part["lo"].iloc[0] == part["hi"].iloc[0]
-        found = spanning_links(part["class_id"].to_numpy(), part["grp"].to_numpy(), part["block"].to_numpy(), arrays, percent, not own)
+        sides = part["is_main" if part["across"].iloc[0] else "block"].to_numpy()
+        found = []
+        if (sides != sides[0]).any() or not part["across"].iloc[0] and part["lo"].iloc[0] == part["hi"].iloc[0]:
+            found = spanning_links(part["class_id"].to_numpy(), part["grp"].to_numpy(), sides, [np.frombuffer(x, np.uint64) for x in part["shingles"]], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("kind", "unit", "lo", "hi").applyInPandas(confirm, "a bigint, b bigint")
+    return rows.groupBy("kind", "unit", "lo", "hi", "across").applyInPandas(confirm, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, miss: float = MISS, block: int = BLOCK, family: int = FAMILY) -> DataFrame:
