@@ -1,35 +1,44 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences.
 
 Every document becomes its token ids and an end id.  Only documents over the capacity are cut,
-into pieces of exactly the capacity; what is left over is the first piece.  Pieces are packed
-best-fit decreasing in supersteps: pieces of one length, longest first, are sorted by rank and
-sweep over the gaps, sorted by size; each takes the smallest gap that holds it (its successor),
-the k-th piece the k-th sequence with that gap, so that no two claim the same one; the gaps
-shrink, and the next step begins.  Pieces that no gap holds open new sequences.
-
-Lengths and gaps are whole numbers up to the capacity, so both sorted orders are held as counts
-of pieces and of sequences by size: a table of at most ``capacity`` rows at any corpus size,
-which is all that the driver sees.  Ranks are running counts over all executors, and each
-piece finds its place by joining its (length, rank) with the ranges that the sweeps assigned.
+into pieces of exactly the capacity; what is left over is the first piece.  Pieces are packed in
+supersteps, longer ones (over a quarter of the capacity) before the others:
+
+1.  Range-sort: pieces are ranked within their length, once; open sequences within their gap, in
+    every superstep.  (Length, rank) and (gap, rank) are the two sorted orders.
+2.  Successor sweep: from the longest pieces down, each takes the smallest gap that holds it and
+    that no longer piece has taken.  A sweep only needs how many there are of each size, at most
+    ``capacity`` numbers of either kind, which meet in one task; its result is ranges of ranks,
+    and is broadcast.
+3.  Conflicts are resolved by rank: the k-th piece of a range gets the k-th sequence (or as many
+    of them as fit take the same one), so that no two claim the same room.
+4.  Gaps are updated, sequences that are too full for every piece leave, and the next superstep
+    begins.  Pieces longer than every gap open new sequences, as few as hold their tokens.
+
+All rows stay on the executors: sequences are ranked, matched and updated there, and pieces join
+the sequences they were matched with by (superstep, gap, rank).  The driver gets one row a
+superstep: pieces left, sequences to open.
 
 Defined results
     null or empty text     one piece that holds the end id only
+    very long text         tokenized whole by one task
     repeated rows          each is packed
+    ties                   pieces of one length are in order of doc_id, piece and content
     null doc_id            kept, like any other value
     empty table            no rows
-    other columns          ignored
+    other columns          ignored.  Names that begin with an underscore are the operator's own
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._spark import level_size, running_total, text_column, written
@@ -122,61 +131,116 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     return rows.mapInArrow(cut, schema)
 
 
-def best_fit_sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Ranges (length, first rank, count, first sequence, offset) of best-fit decreasing.
+def swept(lengths: list[tuple[int, int, int]], gaps: dict[int, int], least: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """One successor sweep of the pieces of ``least`` tokens or more.
 
-    ``counts``: pieces of each length.  Piece ``first rank + i`` stands in sequence
-    ``first sequence + i`` at ``offset``.
+    ``lengths``: (length, pieces left, pieces placed before); ``gaps``: sequences of each gap.
+    Returns ranges (length, first rank, pieces, gap, first rank of its sequences), where a
+    sequence takes as many of the pieces as its gap holds, and what is left of ``lengths``.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: ranges of sequences (first, count)
-    sizes: list[int] = []  # the gaps that there are, ascending
-    placed, opened = [], 0
-
-    def leave(gap: int, first: int, count: int) -> None:
-        if gap:
-            if gap not in gaps:
-                bisect.insort(sizes, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, count))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(sizes, length)
-            if k == len(sizes):  # no successor: open as many sequences as this length fills
-                fit = capacity // length
-                many = left // fit or 1
-                each = min(fit, left)
-                for n in range(each):
-                    placed.append((length, rank + n * many, many, opened, n * length))
-                rank, left = rank + many * each, left - many * each
-                leave(capacity - each * length, opened, many)
-                opened += many
-                continue
-            gap = sizes[k]
-            first, count = gaps[gap].pop()
-            take = min(count, left)
-            placed.append((length, rank, take, first, capacity - gap))
-            if take < count:
-                gaps[gap].append((first + take, count - take))
-            if not gaps[gap]:
-                del gaps[gap], sizes[k]
-            leave(gap - length, first, take)
-            rank, left = rank + take, left - take
-    return placed
+    by_gap = sorted(gaps, reverse=True)
+    stack: list[list[int]] = []  # gaps that hold the piece: gap, first rank, sequences; the smallest on top
+    plan, rest, at = [], [], 0
+    for length, left, done in sorted(lengths, reverse=True):
+        while at < len(by_gap) and by_gap[at] >= length:
+            stack.append([by_gap[at], 0, gaps[by_gap[at]]])
+            at += 1
+        while left and length >= least and stack:
+            gap, first, count = stack[-1]
+            each = gap // length
+            take = min(count, -(-left // each))
+            many = min(left, take * each)
+            plan.append((length, done, many, gap, first))
+            left, done = left - many, done + many
+            stack[-1][1:] = first + take, count - take
+            if take == count:
+                stack.pop()
+        rest.append((length, left, done))
+    return plan, rest
+
+
+def to_open(lengths: list[tuple[int, int, int]], widest: int, capacity: int) -> int:
+    """Sequences that the pieces need which are longer than every gap."""
+    big = [(length, left) for length, left, _ in lengths if length > widest]
+    return max(-(-sum(length * left for length, left in big) // capacity), sum(left for length, left in big if 2 * length > capacity))
+
+
+_PLAN = "kind int, length bigint, first_rank bigint, many bigint, gap bigint, first_gap bigint"
+
+
+def _superstep(counts: DataFrame, capacity: int) -> DataFrame:
+    """The plan of a superstep, from the numbers of pieces (kind 1: length, left, done) and of
+    sequences (kind 2: gap, number): its ranges (kind 0), the pieces left (kind 1), and one row
+    of totals (kind 3: pieces left, sequences to open, the shortest piece left)."""
+
+    def plan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts))
+        pieces, gaps = rows[rows["kind"] == 1], rows[rows["kind"] == 2]
+        lengths = list(zip(pieces["length"], pieces["first_rank"], pieces["many"]))
+        open_gaps = dict(zip(gaps["length"], gaps["first_rank"]))
+        least = capacity // 4 if any(4 * length >= capacity and left for length, left, _ in lengths) else 1
+        ranges, rest = swept(lengths, open_gaps, least)
+        # gaps after it
+        now = dict(open_gaps)
+        for length, _, many, gap, _ in ranges:
+            each = gap // length
+            full, part = divmod(many, each)
+            now[gap] -= full + (part > 0)
+            for size, n in ((gap - each * length, full), (gap - part * length, part > 0)):
+                now[size] = now.get(size, 0) + n
+        rest = [r for r in rest if r[1]]
+        turn = [r for r in rest if 4 * r[0] >= capacity] or rest  # the pieces of the next superstep
+        more = to_open(turn, max((g for g, n in now.items() if n), default=0), capacity)
+        out = [(0, *r) for r in ranges] + [(1, *r, 0, 0) for r in rest]
+        out.append((3, sum(left for _, left, _ in rest), more, min((r[0] for r in rest), default=capacity + 1), 0, 0))
+        yield pd.DataFrame(out, columns=["kind", "length", "first_rank", "many", "gap", "first_gap"])
+
+    return counts.repartition(1).mapInPandas(plan, _PLAN)  # at most 2 * capacity rows
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Every piece with its place: the columns of ``pieces``, sequence_id and offset."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, vocabulary, capacity, end_id, with_ids), "pack-pieces")
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    ranges = spark.createDataFrame(best_fit_sweeps(counts, capacity), "length bigint, first_rank bigint, many bigint, first_sequence bigint, offset bigint")
-    buckets = level_size(sum(counts.values()))
+    seen = Observation()
+    cut = pieces(docs, vocabulary, capacity, end_id, with_ids).observe(seen, F.count("*").alias("n"), F.sum("length").alias("tokens"), F.count_if(F.col("length") * 2 > capacity).alias("alone"))
+    cut = written(cut, "pack-pieces")
+    total, buckets = seen.get["n"], level_size(seen.get["n"])
     ranked = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets))).withColumn("_one", F.lit(1).cast("long"))
     ranked = running_total(ranked, ["length"], "_bucket", ["doc_id", "piece", "ids_crc32"], "_one", "_rank")
-    places = ranked.join(ranges, (ranked["length"] == ranges["length"]) & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("first_rank") + F.col("many")))
-    return places.select(*[cut[c] if c not in ("length",) else ranked[c] for c in cut.columns], (F.col("first_sequence") + F.col("_rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+
+    left, more, opened, step = total, max(-(-(seen.get["tokens"] or 0) // capacity), seen.get["alone"]), 0, 0
+    none = spark.range(0).select(F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("gap"))
+    todo = cut.groupBy("length").agg(F.count("*").alias("first_rank"), F.lit(0).cast("long").alias("many")).select(F.lit(1).alias("kind"), "length", "first_rank", "many")
+    open_ones, plans, matched = none, None, None
+    while left:
+        fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
+        sorted_gaps = open_ones.union(fresh).withColumn("_bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(level_size(opened + more)))).withColumn("_one", F.lit(1).cast("long"))
+        sorted_gaps = written(running_total(sorted_gaps, ["gap"], "_bucket", ["sequence_id"], "_one", "gap_rank").select("sequence_id", "gap", "gap_rank"), "pack-gaps")
+        opened += more
+        counts = todo.unionByName(sorted_gaps.groupBy(F.col("gap").alias("length")).agg(F.count("*").alias("first_rank")).withColumns({"kind": F.lit(2), "many": F.lit(0).cast("long")}))
+        plan = written(_superstep(counts, capacity), "pack-plan")
+        totals = plan.filter("kind = 3").first()
+        left, more, shortest = totals["length"], totals["first_rank"], totals["many"]
+        ranges = F.broadcast(plan.filter("kind = 0").select("length", "first_rank", "many", F.col("gap").alias("_gap"), "first_gap"))
+        place = F.col("gap_rank") - F.col("first_gap")
+        each = F.floor(F.col("gap") / F.col("length"))
+        meets = (F.col("gap") == F.col("_gap")) & (place >= 0) & (place * each < F.col("many"))
+        taken = F.coalesce(F.least(each, F.col("many") - place * each) * F.col("length"), F.lit(0))
+        both = sorted_gaps.join(ranges, meets, "left").select("sequence_id", "gap", "gap_rank", taken.cast("long").alias("taken"))
+        own = both.filter("taken > 0").select(F.lit(step).alias("step"), "gap", "gap_rank", "sequence_id")
+        matched = own if matched is None else matched.unionByName(own)
+        plans = ranges.withColumn("step", F.lit(step)) if plans is None else plans.unionByName(ranges.withColumn("step", F.lit(step)))
+        open_ones = both.select("sequence_id", (F.col("gap") - F.col("taken")).alias("gap")).filter(F.col("gap") >= shortest)
+        todo = plan.filter("kind = 1").select("kind", "length", "first_rank", "many")
+        step += 1
+    if not step:
+        return cut.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # every piece to its range, and so to its sequence
+    ranges = F.broadcast(written(plans, "pack-ranges").withColumnRenamed("length", "_length"))  # at most 2 * capacity rows a superstep
+    nth, each = F.col("_rank") - F.col("first_rank"), F.floor(F.col("_gap") / F.col("_length"))
+    meets = (ranked["length"] == F.col("_length")) & (nth >= 0) & (nth < F.col("many"))
+    placed = ranked.join(ranges, meets).select(*cut.columns, "step", F.col("_gap").alias("gap"), (F.col("first_gap") + F.floor(nth / each)).alias("gap_rank"), (capacity - F.col("_gap") + nth % each * F.col("_length")).cast("long").alias("offset"))
+    return placed.join(matched, ["step", "gap", "gap_rank"]).select(*cut.columns, "sequence_id", "offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
