@@ -3,23 +3,27 @@
 1.  Markup is stripped into lines: one for each block of the page, in page order.  What is
     never main text (scripts, styles, forms, menus, page headers and footers, sidebars, notices,
     adverts, reader comments, told by element, role, class or id) leaves blank lines instead.
-2.  The distribution is the sum of text lengths over a sliding window of lines.  Blank lines as
-    wide as the window bring it to zero, so that it falls into regions.
-3.  In a region the surge point is where the distribution first rises over the threshold, and
-    the dive point where it falls back to zero.  Lines of the region before the surge belong to
-    it (a heading before the first paragraph); a region that never surges isn't text.
-4.  Regions that surge are kept, and regions beside them in the same element (a short paragraph
-    after an advert); if a page has no surge anywhere, its region of the highest sum is taken.
-5.  ``article`` and ``main`` extend this: their short lines are kept as well.  Where a page has
-    several ``article`` elements and text outside them surges, those without a surge are
-    teasers and go.  One loose line after the last article, in no element, isn't text.
-
-Links weigh nothing in the distribution, so that lists of links don't surge.
+2.  A line weighs as much as its text, decoded and trimmed, without links, so that lists of links
+    don't weigh.  What else is known about it only changes its weight: lines of ``article`` and
+    ``main``, and lines in the same element as text that surges on its own, are lifted by the
+    threshold; a loose line after the last article, in no element, weighs nothing.  Of several
+    ``article`` elements those that don't surge are teasers, and not lifted, if text outside
+    surges.
+3.  The distribution is the sum of weights over a sliding window of lines.  Blank lines as wide
+    as the window bring it to zero, so that it falls into regions.
+4.  In a region the surge point is where the distribution first rises over the threshold, and
+    the dive point where it falls back to zero.  The text of every page is what lies between
+    them, and the lines of the region before the surge (a heading before the first paragraph); a
+    region that never surges isn't text.  On a page without ``article`` and ``main`` where
+    nothing surges, the threshold is the highest sum there is.
 
 Defined results
     null or empty html     empty text, n_chars 0
     unclosed elements      end with the element around them, or at the end of the page
-    repeated rows          each is extracted
+    unclosed quotes        the tag ends at the next >
+    very long html         read whole by one task; a quoted value over QUOTED characters ends its tag
+                           at the next >
+    repeated rows, ties    each row is extracted on its own
     null page_id or url    kept, like any other value
     empty table            no rows
     other columns          ignored
@@ -71,10 +75,13 @@ HOLDERS = frozenset("div section article main body td center".split())
 # An end tag of one of these ends whatever is still open inside.
 OUTER = frozenset("article main body html section div nav aside footer header form ul ol table".split())
 
+QUOTED = 65_536
+# The inside of a tag: quoted values end before a space, / or >; if quotes don't, the next > ends it.
+_INSIDE = rf"""(?:(?>(?:[^>"']|"[^"]{{0,{QUOTED}}}"(?=[\s/>])|'[^']{{0,{QUOTED}}}'(?=[\s/>]))*)(?=>)|[^>]*)"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)",
+    r"|<(?P<raw>" + "|".join(RAW) + r")\b" + _INSIDE + r"(?:>|$).*?(?:</(?P=raw)\s*>|$)"
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>" + _INSIDE + r")(?:>|$)",
     re.IGNORECASE | re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
@@ -140,22 +147,22 @@ def _page_lines(html: str, window: int, spared: frozenset[int]) -> tuple[list[st
     noise by its class or id (their weight together at "weight")."""
     lines, weights, anchored, holders = [], [], [], []
     parts: list[str] = []
+    unlinked: list[str] = []  # those outside links
     stack: list[tuple[str, int, int]] = []  # open elements: name, the kind of noise that begins there, number
     named: dict = {}
     inside = [0, 0, 0]  # weight, articles and mains so far in noise that isn't hard
     hard = 0
-    noise = article = owner = link = weight = at = 0
+    noise = article = owner = link = at = 0
 
     def flush() -> None:
-        nonlocal weight
         text = " ".join(references.unescape("".join(parts)).split())
         if text:
             lines.append(text)
-            weights.append(weight)
+            weights.append(len(text) if len(unlinked) == len(parts) else len(" ".join(references.unescape(" ".join(unlinked)).split())))
             anchored.append(owner if article > 0 else 0)
             holders.append(next((n for name, _, n in reversed(stack) if name in HOLDERS), 0))
         parts.clear()
-        weight = 0
+        unlinked.clear()
 
     def blank() -> None:
         lines.extend([""] * window)
@@ -164,13 +171,12 @@ def _page_lines(html: str, window: int, spared: frozenset[int]) -> tuple[list[st
         holders.extend([0] * window)
 
     def add(text: str) -> None:
-        nonlocal weight
         if noise and not hard and not link:
             inside[0] += len(text.strip())
         if text and not noise:
             parts.append(text)
             if not link:
-                weight += len(text)
+                unlinked.append(text)
 
     def close(k: int) -> None:
         """Closes the elements of the stack from k on."""
@@ -251,29 +257,44 @@ def distribution(weights: list[int], window: int = WINDOW) -> list[int]:
     return out
 
 
-def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of a page."""
-    if not html:
-        return ""
-    lines, weights, anchored, holders = page_lines(html, window, surge)
+def lifted(lines: list[str], weights: list[int], anchored: list[int], holders: list[int], window: int, surge: int) -> tuple[list[int], int]:
+    """The weights that lines have by what holds them, and the threshold."""
     sums = distribution(weights, window)
-    regions = [list(run) for full, run in itertools.groupby(range(len(lines)), key=lambda k: bool(lines[k])) if full]
-    if not regions:
-        return ""
+    regions = regions_of(lines)
     peaks = [max(sums[k] for k in run) for run in regions]
     owners = [next((anchored[k] for k in run if anchored[k]), 0) for run in regions]
     last = max((n for n, owner in enumerate(owners) if owner), default=None)
-    least = min(surge, max(peaks)) if last is None else surge
+    least = min(surge, max(peaks, default=0)) if last is None else surge
     loose = [last is not None and n > last and len(run) == 1 and not holders[run[0]] for n, run in enumerate(regions)]
     outside = [peak >= least and not owner and not alone for peak, owner, alone in zip(peaks, owners, loose)]
     near = {holders[k] for run, surges in zip(regions, outside) if surges for k in run}
     full = {owner for owner, peak in zip(owners, peaks) if peak >= surge}
     cards = {owner for owner in owners if owner > 0}
     teasers = cards - full if len(cards) > 1 and any(outside) else set()
-    kept = []
-    for run, owner, surges, alone in zip(regions, owners, outside, loose):
-        if owner and owner not in teasers or surges or not owner and not alone and any(holders[k] in near for k in run):
-            kept.append(run)
+    out = list(weights)
+    for run, owner, alone in zip(regions, owners, loose):
+        for k in run:
+            if alone:
+                out[k] = 0
+            elif (owner and owner not in teasers) or (not owner and holders[k] in near):
+                out[k] += surge
+    return out, least
+
+
+def regions_of(lines: list[str]) -> list[list[int]]:
+    return [list(run) for full, run in itertools.groupby(range(len(lines)), key=lambda k: bool(lines[k])) if full]
+
+
+def main_text(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The main text of a page: what lies between the surge and the dive points of its distribution."""
+    if not html:
+        return ""
+    lines, *known = page_lines(html, window, surge)
+    weights, least = lifted(lines, *known, window, surge)
+    sums = distribution(weights, window)
+    kept = [run for run in regions_of(lines) if any(sums[k] >= max(least, 1) for k in run)]  # it dives at the run's end
+    if not kept and not any(weights) and not any(known[1]):
+        kept = regions_of(lines)  # links only
     return "\n".join(lines[k] for run in kept for k in run)
 
 
