@@ -1,8 +1,8 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells.
 
 1.  Equal vectors form a class; one row with a count stands for them.
-2.  Spherical k-means is fitted on a bounded sample (``sample`` classes, chosen by hash); the
-    number of cells is bounded by the root of the table and by ``max_cells``, so the centroids
+2.  Spherical k-means is fitted by a task on a bounded sample (``sample`` classes, chosen by
+    hash); the number of cells is bounded by the root of the table and by ``max_cells``, so the centroids
     that every task gets are bounded too.  Centroids within the link angle are merged, so that a
     hot group isn't cut into cells that all visit each other.
 3.  Every class has its home in the nearest cell and visits every cell where a vector linked
@@ -21,10 +21,12 @@ Defined results
     null, zero, null or non-finite components   n_links 0, a component of its own, kept
     different lengths                           linked with nothing of another length
     repeated rows                               linked with each other
+    ties                                        a cosine of just the threshold links; the least id of a group is kept
+    very long vectors                           one row each, held whole
     repeated vec_id                             one node, with the links of all its rows; counts by row
     null vec_id                                 counted by others, component_id null, kept
     empty table                                 no rows
-    other columns                               ignored
+    other columns                               ignored.  vec_id is a whole number
 """
 
 from __future__ import annotations
@@ -47,6 +49,7 @@ MAX_CELLS = 4096
 ROUNDS = 12
 HOME_BLOCK, VISIT_BLOCK = 8192, 16384
 SLICE = 256  # rows of a block multiplied at a time
+MAX_TASKS = 20_000
 COPY = 500  # a moved row costs about as much as so many comparisons
 
 
@@ -78,14 +81,16 @@ def spherical_k_means(x: np.ndarray, cells: int, rounds: int, seed: int = 7) ->
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), cells, replace=False)]
     for _ in range(rounds):
-        products = x @ centers.T
-        own = products.argmax(1)
+        own, best = np.empty(len(x), np.int64), np.empty(len(x))
+        for k in range(0, len(x), SLICE):  # so that products stay small
+            products = x[k : k + SLICE] @ centers.T
+            own[k : k + SLICE], best[k : k + SLICE] = products.argmax(1), products.max(1)
         sums = np.zeros_like(centers)
         np.add.at(sums, own, x)
         norms = np.linalg.norm(sums, axis=1)
         empty = np.flatnonzero(norms < 1e-9)
         if len(empty):
-            sums[empty] = x[np.argsort(products.max(1))[: len(empty)]]
+            sums[empty] = x[np.argsort(best)[: len(empty)]]
             norms = np.linalg.norm(sums, axis=1)
         centers = sums / np.maximum(norms, 1e-12)[:, None]
     return centers
@@ -147,14 +152,22 @@ def _cost(x: np.ndarray, centers: np.ndarray, n: int, cosine: float) -> float:
 
 
 def _fitted(classes: DataFrame, cosine: float, sample: int, max_cells: int) -> dict[int, np.ndarray]:
-    """Centroids for each vector length (a length is its number of bytes)."""
+    """Centroids for each vector length (a length is its number of bytes), fitted by one task
+    for each length, on at most ``sample`` rows."""
     out = {}
     for length, n in classes.groupBy(F.length("body").alias("length")).agg(F.count("*").alias("n")).collect():
-        rows = classes.filter(F.length("body") == length).select("key", "body").orderBy("key").limit(sample).collect()
-        x = _unit(_matrix(pd.Series([bytes(r["body"]) for r in rows])))
-        most = max(1, min(math.isqrt(n), max_cells, len(x) // 4))
-        tried = [_merged(spherical_k_means(x, k, ROUNDS), cosine) for k in sorted({max(1, most >> d) for d in (0, 3, 6, 12)})]
-        out[length] = min(tried, key=lambda c: _cost(x, c, n, cosine))
+
+        def fit(parts: Iterator[pd.DataFrame], n: int = n) -> Iterator[pd.DataFrame]:
+            rows = pd.concat(list(parts)).sort_values("key")
+            x = _unit(_matrix(rows["body"]))
+            most = max(1, min(math.isqrt(n), max_cells, len(x) // 4))
+            tried = [_merged(spherical_k_means(x, k, ROUNDS), cosine) for k in sorted({max(1, most >> d) for d in (0, 3, 6, 12)})]
+            best = min(tried, key=lambda c: _cost(x, c, n, cosine))
+            yield pd.DataFrame({"cells": [len(best)], "centers": [best.tobytes()]})
+
+        rows = classes.filter(F.length("body") == length).select("key", "body").orderBy("key").limit(sample)
+        found = rows.repartition(1).mapInPandas(fit, "cells int, centers binary").first()
+        out[length] = np.frombuffer(bytes(found["centers"]), np.float64).reshape(found["cells"], -1)
     return out
 
 
@@ -226,7 +239,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, sample: i
         ties = pd.DataFrame(ties, columns=["a", "b"]).dropna()
         return pd.concat([counts, ties]).astype({"links": "Int64", "a": "Int64", "b": "Int64"})
 
-    found = one.union(two).groupBy("length", "cell", "i", "j").applyInPandas(compare, "key string, links bigint, a bigint, b bigint")
+    units = count.agg(F.sum(F.col("own_blocks").cast("long") * F.col("all_blocks"))).first()[0] or 1
+    dealt = one.union(two).repartition(min(units, MAX_TASKS), "length", "cell", "i", "j")  # work is in products, not in bytes
+    found = dealt.groupBy("length", "cell", "i", "j").applyInPandas(compare, "key string, links bigint, a bigint, b bigint")
     found = written(found, "vectors-links")
     same = good.join(classes.select("key", "class_id"), "key").filter("vec_id > class_id").select(F.col("class_id").alias("a"), F.col("vec_id").alias("b"))
     groups = components(found.filter("a IS NOT NULL").select("a", "b").union(same), "vectors-groups")
