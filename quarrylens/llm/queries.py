@@ -1,4 +1,7 @@
-"""One thin query for each operator, over the whole of its table."""
+"""One thin query for each operator, over the whole of its table.
+
+Queries with intermediate tables write their result and remove the others.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import extraction, lines, minhash, mixing, packing, quality, search, secrets, sql, substrings, vectors
+from ._spark import finished
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    docs = _table(spark, sf_dir, "documents")
+    return finished(spark, "op1", lambda: mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +32,8 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    docs = _table(spark, sf_dir, "documents")
+    return finished(spark, "op4", lambda: minhash.near_duplicates(docs, shingle=3, percent=85))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,25 +41,29 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.repeated_lines(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
     runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r[0].cast("string"), r[1].cast("string"))), ",")
-    return found.select("doc_id", "n_lines", "n_removed", runs.alias("removed_runs"), F.sha2("kept_text", 256).alias("kept_sha256"))
+    return finished(spark, "op6", lambda: lines.repeated_lines(docs).select("doc_id", "n_lines", "n_removed", runs.alias("removed_runs"), F.sha2("kept_text", 256).alias("kept_sha256")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_passages(_table(spark, sf_dir, "documents"), window=35, with_text=False)
+    docs = _table(spark, sf_dir, "documents")
+    return finished(spark, "op7", lambda: substrings.repeated_passages(docs, window=35, with_text=False))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+    rows = _table(spark, sf_dir, "embeddings")
+    return finished(spark, "op8", lambda: vectors.near_duplicate_vectors(rows, cosine=0.9))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return finished(spark, "op9", lambda: packing.packed(docs))
 
 
 def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top_k(_table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+    docs = _table(spark, sf_dir, "documents")
+    return finished(spark, "op10", lambda: search.top_k(docs, F.col("doc_id") % 100 == 0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
