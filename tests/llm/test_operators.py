@@ -142,6 +142,38 @@ def test_noise_beside_the_text():
     assert extraction.main_text(page.format(f"<div class=stock-share-prices>{text}</div>")) == f"{text}\n{text}"
 
 
+def test_markup_that_is_not_well_formed():
+    assert extraction.main_text('<p>Hello <a title="x>link</a> text</p>') == "Hello link text"
+    assert extraction.main_text('<p title="x>Hello <a href="y">link</a> text</p>') == "Hello link text"
+    assert extraction.main_text("<p title='a > b' data-x=\"<b>c</b>\">Hello</p><img alt='a>b'/>there") == "Hello\nthere"
+    assert extraction.main_text("<p class=it's>Hello</p>") == "Hello"
+    story = "A story of the page that is long enough to surge on its own, as it should be."
+    assert extraction.main_text(f"<div class='article-comment-free share-price-story'><article><p>{story}</p></article></div><div class=related>Other stories</div>") == story
+    # references count as the characters they stand for, indentation not at all
+    assert extraction.page_lines("<p>\n      &eacute;&amp;   <a href=/>link</a> b</p>")[1] == [4]
+
+
+def test_pages_without_article(spark):
+    """Made of blocks with known windows: what lies between surge and dive, and nothing else."""
+    import random
+
+    rng = random.Random(9)
+    rows, want = [], []
+    for n in range(60):
+        html, kept = ["<body>"], []
+        for _ in range(rng.randrange(1, 6)):
+            sizes = [rng.choice([5, 18, 70, 200]) for _ in range(rng.randrange(1, 6))]
+            texts = [("w" * (k - 1)) + str(rng.randrange(10)) for k in sizes]
+            sums = [sum(sizes[max(0, k - 2) : k + 1]) for k in range(len(sizes))]
+            html.append("<table><tr><td>" + "".join(f"<p>{t}</p>" for t in texts) + "</td></tr></table><nav><a href=/>menu</a></nav>")
+            kept.append((max(sums), texts))
+        least = min(60, max(peak for peak, _ in kept))
+        rows.append((n, "u", "".join(html) + "</body>"))
+        want.append("\n".join(t for peak, texts in kept if peak >= least for t in texts))
+    got = extraction.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).orderBy("page_id").collect()
+    assert [r["text"] for r in got] == want and len(set(want)) > 50
+
+
 def test_pages(spark, edge, middle):
     rows = extraction.extracted(table(spark, edge, "pages")).collect()
     assert len(rows) == 9 and all(r["n_chars"] == len(r["text"]) for r in rows)
@@ -184,7 +216,7 @@ def test_crowded_family(spark):
         texts.append(" ".join(w))
     rows = list(enumerate(texts))
     want, _ = brute.near_duplicates(rows, 3, 85)
-    for family in (1024, 100):  # as one family, and bucket by bucket
+    for family in (1024, 0):  # as one family, and by buckets where that is less work
         got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=3, percent=85, block=64, family=family).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 5
 
@@ -250,11 +282,35 @@ def test_entropy_spans(spark):
 
 def test_very_long_candidates(spark):
     import random
+    import time
 
     rng = random.Random(3)
     texts = ["/".join("a1" for _ in range(20_000)), "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(30_000)), " ".join("deadbeefdeadbeef" for _ in range(2_000))]
     rows = secrets.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
     assert [r["n_entropy"] for r in rows] == [0, 1, 0] and rows[1]["spans"] == "entropy_mixed:0:30000" and rows[2]["n_hex"] == 2_000
+    # half a million matches in one text
+    many = spark.createDataFrame([(1, " ".join("deadbeefdeadbeef" for _ in range(500_000)))], "doc_id int, text string")
+    began = time.perf_counter()
+    found = secrets.secret_spans(many).select(F.size("hex").alias("n"), F.col("hex")[499_999]["start"].alias("start"), F.size("added").alias("added")).first()
+    assert tuple(found) == (500_000, 17 * 499_999, 0) and time.perf_counter() - began < 120
+
+
+def test_candidates_inside_base_spans(spark):
+    """Against every pair, with more spans than a run holds."""
+    import random
+
+    rng = random.Random(8)
+    pieces = []
+    for k in range(1_500):
+        body = "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(24))
+        pieces.append(rng.choice([f"token={body}", body, f"secret: {body}", "0123456789abcdef0123456789", "word"]))
+    text = " ".join(pieces)
+    got = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    base = [(s["start"], s["stop"]) for s in (*got["assign"], *got["access"], *got["hex"])]
+    assert sorted(base) == sorted((a, b) for a, _, b in brute.secrets(text)) and len(base) > secrets.RUN
+    assert got["added"] and not any(a <= s["start"] and s["stop"] <= b for s in got["added"] for a, b in base)
+    bare = sum(len(p) == 24 for p in pieces)
+    assert 0.9 * bare <= len(got["added"]) <= bare
 
 
 def test_no_python_in_the_secret_plan(spark, middle):
@@ -393,17 +449,42 @@ def test_packing(spark, edge, middle):
         assert rows["sequence_id"].nunique() <= 1.02 * -(-rows["length"].sum() // 1024) + 2
 
 
-def test_sweeps_fill_sequences():
+def test_sweeps_take_the_smallest_gap_that_holds():
     rng = np.random.default_rng(1)
     for capacity in (7, 64, 1024):
-        counts = dict(Counter(int(x) for x in rng.integers(1, capacity + 1, 500)))
-        used, places = Counter(), Counter()
-        for length, rank, many, first, offset in packing.best_fit_sweeps(counts, capacity):
-            places[length] += many
-            for k in range(many):
-                assert offset == used[first + k]
-                used[first + k] += length
-        assert places == Counter(counts) and max(used.values()) <= capacity
+        counts, gaps = (Counter(int(x) for x in rng.integers(1, capacity + 1, 300)) for _ in range(2))
+        plan, rest = packing.swept([(n, c, 0) for n, c in counts.items()], dict(gaps), 1)
+        free, want = [[g, 0] for g in sorted(gaps.elements())], Counter()  # gap and what is in it
+        for length in sorted(counts.elements(), reverse=True):  # one by one
+            fits = [x for x in free if x[0] - x[1] >= length and x[1] % length == 0 and (x[1] == 0 or x[2] == length)]
+            if fits:
+                best = min(fits, key=lambda x: (x[0], -x[1]))
+                best[1:] = [best[1] + length, length]
+                want[length, best[0]] += 1
+        got = Counter()
+        for length, _, many, gap, _ in plan:
+            got[length, gap] += many
+        assert got == want
+        assert all(left == counts[n] - sum(k for (length, _), k in want.items() if length == n) for n, left, _ in rest)
+
+
+def test_packing_is_tight(spark):
+    """Against best-fit decreasing, one piece after the other."""
+    import random
+
+    rng = random.Random(2)
+    texts = [" ".join(["a"] * rng.choice([1, 3, 30, 120, 300, 500, 700])) for _ in range(400)] + [None] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = packing.packed(docs, capacity=512).toPandas()
+    bins = []
+    for length in sorted(rows["length"], reverse=True):
+        best = min((b for b in bins if 512 - b[0] >= length), key=lambda b: 512 - b[0], default=None)
+        if best:
+            best[0] += length
+        else:
+            bins.append([length])
+    assert rows.groupby("sequence_id")["length"].sum().max() <= 512
+    assert rows["sequence_id"].nunique() <= 1.02 * len(bins) + 1
 
 
 def test_sequences_round_trip(spark, middle):

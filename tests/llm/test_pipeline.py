@@ -72,6 +72,19 @@ def test_everything_is_packed(steps):
     assert got == brute.token_pieces([(r["doc_id"], r["text"]) for r in before.collect()], default_vocabulary(), 1024, 2)
 
 
+def test_odd_rows_pass_every_stage(spark, edge):
+    """Stage by stage on rows with nulls, repeats, very long texts and clashing columns."""
+    docs = spark.read.parquet(f"{edge}/documents.parquet")
+    columns, rows = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, edge)
+        assert docs.columns == columns
+        if name != "mixing":
+            assert docs.count() <= rows
+            rows = docs.count()
+    assert corpus_pipeline.run(spark, edge).count() > 0
+
+
 def test_run_and_empty(spark, empty, middle, steps):
     assert corpus_pipeline.run(spark, empty).count() == 0
     assert corpus_pipeline.run(spark, middle).count() == steps[-1][2].count()
