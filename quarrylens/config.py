@@ -1,15 +1,13 @@
-"""Settings of endpoints and display, with a default in place of every unusable value."""
+"""Settings of endpoints and display as YAML, with a default in place of every unusable value."""
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
-# Default endpoints and the accepted display settings.
-ENDPOINTS = {"neo4j": ("localhost", 7687), "qdrant_http": ("localhost", 6333), "qdrant_grpc": ("localhost", 6334), "mongodb": ("localhost", 27017)}
-DENSITIES = ("COMPACT", "NORMAL", "SPACIOUS")
-COLORS = ("DEFAULT", "BLACK", "RED", "GREEN", "YELLOW", "BLUE", "MAGENTA", "CYAN", "WHITE")
+# Default endpoints and display settings, and the accepted names.
+COLORS = ("GREEN_BRIGHT", "RED_BRIGHT", "YELLOW_BRIGHT", "CYAN_BRIGHT", "MAGENTA_BRIGHT", "BLUE_BRIGHT", "WHITE_BRIGHT")
+DENSITIES = ("COMPACT", "COMFORTABLE", "LARGE")
 
 
 @dataclass(frozen=True)
@@ -23,37 +21,102 @@ class Endpoint:
 
 
 @dataclass(frozen=True)
-class Settings:
-    endpoints: dict[str, Endpoint] = field(default_factory=lambda: {k: Endpoint(*v) for k, v in ENDPOINTS.items()})
-    density: str = "NORMAL"
-    color: str = "DEFAULT"
+class VectorStore:
+    host: str
+    httpPort: int
+    grpcPort: int
 
 
-def normalized(given: dict | None) -> Settings:
-    """Field by field: blank hosts, ports out of range and unknown names give way to defaults."""
-    given = given if isinstance(given, dict) else {}
-    endpoints, own = {}, given.get("endpoints") if isinstance(given.get("endpoints"), dict) else {}
-    for name, (host, port) in ENDPOINTS.items():
-        x = own.get(name) if isinstance(own.get(name), dict) else {}
-        h, p = x.get("host"), x.get("port")
-        usable = isinstance(p, int) and not isinstance(p, bool) and 1 <= p <= 65535
-        endpoints[name] = Endpoint(h.strip() if isinstance(h, str) and h.strip() else host, p if usable else port)
+@dataclass(frozen=True)
+class Theme:
+    onlineColor: str = "GREEN_BRIGHT"
+    offlineColor: str = "RED_BRIGHT"
+    invalidColor: str = "YELLOW_BRIGHT"
+
+
+@dataclass(frozen=True)
+class Display:
+    mouseEnabled: bool = True
+    density: str = "COMFORTABLE"
+
+
+@dataclass(frozen=True)
+class Settings:
+    neo4j: Endpoint = Endpoint("localhost", 7687)
+    qdrant: VectorStore = VectorStore("localhost", 6333, 6334)
+    mongodb: Endpoint = Endpoint("localhost", 27017)
+    theme: Theme = field(default_factory=Theme)
+    ui: Display = field(default_factory=Display)
+
+
+def _usable(name: str, value, default):
+    """One field: the value if it can be used, else the default."""
+    if name.lower().endswith("port"):
+        return value if isinstance(value, int) and not isinstance(value, bool) and 0 < value <= 65535 else default
+    if name == "mouseEnabled":
+        return value if isinstance(value, bool) else False  # a section without the flag has it off
+    text = value.strip() if isinstance(value, str) else ""
+    if name == "host":
+        return text or default
+    known = DENSITIES if name == "density" else COLORS
+    return text.upper() if text.upper() in known else default
 
-    def known(key: str, values: tuple[str, ...], default: str) -> str:
-        value = str(given.get(key, "")).strip().upper().removesuffix("_BRIGHT") if key == "color" else str(given.get(key, "")).strip().upper()
-        return value if value in values else default
 
-    return Settings(endpoints, known("density", DENSITIES, "NORMAL"), known("color", COLORS, "DEFAULT"))
+def normalized(given: dict | None) -> Settings:
+    """Field by field: blank hosts, ports out of range and unknown names give way to defaults; a
+    section that is missing is the default one."""
+    given, parts = given if isinstance(given, dict) else {}, {}
+    for name, default in vars(Settings()).items():
+        own = given.get(name)
+        parts[name] = type(default)(**{k: _usable(k, own.get(k), v) for k, v in vars(default).items()}) if isinstance(own, dict) else default
+    return Settings(**parts)
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'":
+        return text[1:-1]
+    text = text.split(" #")[0].strip()
+    if text in ("true", "false"):
+        return text == "true"
+    return int(text) if text.removeprefix("-").isdigit() else None if text in ("", "null", "~") else text
+
+
+def parsed(text: str) -> dict:
+    """Sections of ``name: value`` lines, the part of YAML that settings use."""
+    out, section = {}, None
+    for line in text.splitlines():
+        if not line.strip() or line.lstrip().startswith("#") or line.strip() == "---":
+            continue
+        name, colon, value = line.strip().partition(":")
+        if not colon:
+            raise ValueError(f"no setting: {line!r}")
+        if line[0] in " \t":
+            if section is None:
+                raise ValueError(f"in no section: {line!r}")
+            section[name.strip()] = _scalar(value)
+        else:
+            section = out[name.strip()] = {}
+            if value.strip():
+                out[name.strip()], section = _scalar(value), None
+    return out
 
 
 def load(path: str | Path) -> Settings:
-    """Settings of a JSON file; defaults if it is missing or can't be read."""
+    """Settings of a YAML file; defaults if it is missing or can't be read."""
     try:
-        return normalized(json.loads(Path(path).read_text(encoding="utf-8")))
+        return normalized(parsed(Path(path).read_text(encoding="utf-8")))
     except (OSError, ValueError):
-        return normalized(None)
+        return Settings()
 
 
 def save(settings: Settings, path: str | Path) -> None:
+    """Writes what ``normalized`` makes of the settings."""
+    lines = []
+    for name, own in asdict(normalized(asdict(settings))).items():
+        lines.append(f"{name}:")
+        for k, v in own.items():
+            shown = str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else '"' + v + '"'
+            lines.append(f"  {k}: {shown}")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(asdict(settings), indent=2), encoding="utf-8")
+    Path(path).write_text("\n".join(lines) + "\n", encoding="utf-8")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, normal_title
+from ..sources.connectors import SourceConnector
 
 SECRETS = ("password", "api_key", "bearer_token")
 
@@ -27,6 +28,29 @@ def acquired(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     return fetched.join(enabled, "source_id")
 
 
+def acquire(sources: DataFrame, connectors: dict[str, SourceConnector], documents, limit: int = 100) -> list[tuple[str, int, int]]:
+    """Enabled sources by priority, each fetched by the connector of its type and saved to the
+    collection ``documents``: (source id, fetched, saved) in that order.
+
+    What a source has delivered before (its address or content is known) is not saved again;
+    sources of a type without a connector are passed over.  The loop is over sources, of which at
+    most ``limit`` are taken; their documents stay on the executors.
+    """
+    done = []
+    turn = sources.filter(F.col("status") == "ENABLED").orderBy(F.col("priority").asc_nulls_first(), F.col("name").asc_nulls_first(), "id").limit(limit)
+    for source in turn.select("id", "type", "endpoint").collect():
+        connector = connectors.get(source["type"])
+        if connector is None:
+            continue
+        fetched = connector.fetch(sources.sparkSession, source["id"], source["endpoint"])
+        fresh = first_by(first_by(fetched.dropDuplicates(["id"]), "source_id", "original_uri"), "source_id", "content_hash")
+        for key in ("original_uri", "content_hash"):
+            fresh = fresh.join(documents.read().select("source_id", key), ["source_id", key], "left_anti")
+        saved = documents.save(fresh)
+        done.append((source["id"], fetched.count(), saved.count()))
+    return done
+
+
 def first_by(documents: DataFrame, *keys: str) -> DataFrame:
     """The earliest acquired document of each key, ids settle ties; whole rows, pre-aggregated."""
     rows = documents.groupBy(*keys).agg(F.min(F.struct("acquisition_time", "id")).alias("__first"))
@@ -92,17 +116,6 @@ def masked(sources: DataFrame) -> DataFrame:
     return sources.withColumn("authentication", F.struct(*fields))
 
 
-def enriched(articles: DataFrame) -> DataFrame:
-    """Rule-based enrichment in order: taxonomy, entities, claims and events, assessment, provenance."""
-    return (
-        articles.withColumn("impact_level", F.when(F.size("events") >= 3, "HIGH").when(F.size("events") >= 1, "MEDIUM").otherwise("LOW"))
-        .withColumn("main_entity", F.array_min(F.transform("entities", lambda e: F.struct((-e["confidence"]).alias("c"), e["normalized_name"].alias("name"))))["name"])
-        .withColumn("n_statements", F.size("claims") + F.size("events"))
-        .withColumn("relevance", F.round(F.least(F.lit(1.0), F.col("n_statements") / 5), 2))
-        .withColumn("complete", F.col("embedding.vector").isNotNull() & F.col("assessment.reliability").isNotNull())
-    )
-
-
 def taxonomy_rollup(articles: DataFrame) -> DataFrame:
     """Counts by domain, sub_domain and event_type, with subtotals."""
     return articles.select("taxonomy.domain", "taxonomy.sub_domain", "taxonomy.event_type").rollup("domain", "sub_domain", "event_type").agg(F.count("*").alias("n"))

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import running_sum
+
 # Time to the service level, in minutes; working time runs 8 to 16 on weekdays.
 SLA_MINUTES = {"CRITICAL": 60, "HIGH": 8 * 60, "MEDIUM": 2 * 480, "LOW": 5 * 480}
 WORK_START, WORK_MINUTES = 8 * 60, 8 * 60
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 ACTIVE = ("OPEN", "ACKNOWLEDGED", "IN_PROGRESS")
-# The legal status transitions.
+# The legal status transitions; those for administrators only, and those not for plain users.
 TRANSITIONS = (
     ("OPEN", "ACKNOWLEDGED"), ("OPEN", "IN_PROGRESS"), ("OPEN", "RESOLVED"), ("ACKNOWLEDGED", "IN_PROGRESS"), ("ACKNOWLEDGED", "RESOLVED"),
-    ("IN_PROGRESS", "RESOLVED"), ("RESOLVED", "CLOSED"), ("RESOLVED", "IN_PROGRESS"),
+    ("IN_PROGRESS", "RESOLVED"), ("RESOLVED", "CLOSED"), ("RESOLVED", "IN_PROGRESS"), ("CLOSED", "OPEN"),
 )
+ADMINISTRATOR_ONLY = (("CLOSED", "OPEN"),)
+NOT_FOR_USERS = (("RESOLVED", "CLOSED"),)
 
 
 def alarm_key(*parts: str) -> Column:
@@ -30,15 +34,40 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity)
 
 
-def deduplicated(events: DataFrame) -> DataFrame:
-    """One alarm for each key: occurrences, first and last, highest severity."""
-    return events.groupBy("alarm_key").agg(
-        F.count("*").alias("occurrence_count"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max(severity_rank(F.col("severity"))).alias("severity_rank")
+def alarm_history(events: DataFrame) -> DataFrame:
+    """Alarms from ``events`` (alarm_key, event_id, ts, severity, closes): one row for each alarm.
+
+    An event whose key has an alarm that isn't closed adds to its occurrences and last time, and
+    changes nothing else; its severity stays that of the first event.  A closing event (``closes``)
+    closes the key's alarm.  The next event with that key opens a new alarm, which names the one
+    before.  Events are in order of (ts, event_id).
+    """
+    rows = events.withColumns({"__day": F.to_date("ts"), "__one": F.col("closes").cast("int")})
+    rows = running_sum(rows, ["alarm_key"], "__day", ["ts", "event_id"], "__one", "closings")
+    alarms = rows.filter("NOT closes").groupBy("alarm_key", "closings").agg(
+        F.min(F.struct("ts", "event_id", "severity")).alias("first"), F.count("*").alias("occurrence_count"), F.max("ts").alias("last_at")
     )
+    closed = rows.filter("closes").groupBy("alarm_key", "closings").agg(F.min("ts").alias("closed_at"))
+    found = alarms.join(closed, ["alarm_key", "closings"], "left")
+    before = F.lag("first.event_id").over(Window.partitionBy("alarm_key").orderBy("closings"))
+    return found.select(
+        "alarm_key", F.col("first.event_id").alias("alarm_id"), before.alias("previous_alarm_id"), F.col("first.severity").alias("severity"), "occurrence_count",
+        (F.col("occurrence_count") - 1).alias("n_ignored"), F.col("first.ts").alias("first_at"), "last_at", "closed_at", F.when(F.col("closed_at").isNull(), "OPEN").otherwise("CLOSED").alias("status"),
+    )
+
+
+def deduplicated(events: DataFrame) -> DataFrame:
+    """The alarm that is open now for each key that has one."""
+    return alarm_history(events).filter("status = 'OPEN'")
+
+
+def reopened(events: DataFrame) -> DataFrame:
+    """Alarms that follow a closed one with the same key."""
+    return alarm_history(events).filter("previous_alarm_id IS NOT NULL")
 
 
 def episodes(events: DataFrame, gap: str) -> DataFrame:
-    """Alarms of a key that reopen after a quiet ``gap``: one row each, with the alarm before."""
+    """Alarms of a key that begin anew after a quiet ``gap``: one row each, with the alarm before."""
     by_key = Window.partitionBy("alarm_key").orderBy("ts", "event_id")
     fresh = F.coalesce(F.col("ts") - F.lag("ts").over(by_key) > F.expr(f"INTERVAL {gap}"), F.lit(True))
     numbered = events.withColumn("fresh", fresh.cast("int")).withColumn("episode", F.sum("fresh").over(by_key))
@@ -47,9 +76,15 @@ def episodes(events: DataFrame, gap: str) -> DataFrame:
 
 
 def illegal_transitions(history: DataFrame) -> DataFrame:
-    """Status changes (alarm_id, nth, status) that the table of transitions doesn't have."""
+    """Status changes (alarm_id, nth, status, profile of the actor) that aren't allowed.
+
+    A closed alarm is opened again by administrators only, and plain users don't close alarms.
+    """
     before = F.lag("status").over(Window.partitionBy("alarm_id").orderBy("nth"))
-    legal = F.concat_ws(">", "before", "status").isin(*[f"{a}>{b}" for a, b in TRANSITIONS])
+    change = F.concat_ws(">", "before", "status")
+    among = lambda table: change.isin(*[f"{a}>{b}" for a, b in table])
+    profile = F.coalesce("profile", F.lit(""))
+    legal = among(TRANSITIONS) & (~among(ADMINISTRATOR_ONLY) | (profile == "ADMINISTRATOR")) & (~among(NOT_FOR_USERS) | (profile != "USER"))
     return history.withColumn("before", before).filter(F.col("before").isNotNull() & ~legal)
 
 
@@ -93,9 +128,13 @@ def with_new_severity(alarms: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumn("due_at", F.when(open_ones, sla_due(F.col("created_at"), severity)).otherwise(F.col("due_at"))).withColumn("severity", severity).drop("new_severity")
 
 
+FILTERS = ("status", "severity", "recipient_type", "organization", "recipient_user", "responsible_user", "source_type", "overdue")
+
+
 def filtered(alarms: DataFrame, **given) -> DataFrame:
-    """Optional filters, all of those given: status, severity, user_id, overdue, created_from, created_to."""
-    for name in ("status", "severity", "user_id", "overdue"):
+    """Optional filters, all of those given: those of FILTERS by a value or a list of values, and
+    created_from (included) and created_to (not)."""
+    for name in FILTERS:
         value = given.pop(name, None)
         if value is not None:
             alarms = alarms.filter(F.col(name).isin(*value) if isinstance(value, (list, tuple)) else F.col(name) == F.lit(value))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import step
+
 
 def upserted(existing: DataFrame, new: DataFrame, key: str = "id", newest: Sequence = ()) -> DataFrame:
     """``existing`` with whole rows of ``new`` in place of, or added to, those with the same key.
@@ -49,27 +50,35 @@ def unique_first(df: DataFrame, keys: Sequence[str], order: Sequence, exempt_nul
 
 
 def unique_by_two(df: DataFrame, scope: str, one: str, two: str, order: Sequence[str]) -> DataFrame:
-    """``df`` with ``accepted`` and ``reason`` under two unique keys, (scope, one) and (scope, two).
+    """``df`` with ``accepted`` and ``reason`` (the key that is taken) under two unique keys,
+    (scope, one) and (scope, two).
 
-    A row rejected for one key doesn't occupy the other, so rows are taken in turn.  Turns can
-    only depend on each other within a group of rows that share keys: most groups are single
-    rows and are accepted at once; only the keys of rows that share one with another row of
-    their scope go to a sequential pass, a scope at a time.
+    A row rejected for one key doesn't occupy the other, as if rows came one by one.  In rounds:
+    undecided rows that come first for both their keys are accepted; undecided rows that share a
+    key with an accepted one are rejected.  What is left is written and goes on.  Null keys are
+    exempt.  Groups are minima and joins are equi-joins, so no task gets a scope's rows.
     """
-    count = lambda k: F.when(F.col(k).isNotNull(), F.count("*").over(Window.partitionBy(scope, k))).otherwise(1)
-    marked = df.withColumn("__shared", (count(one) > 1) | (count(two) > 1))
-    keys = marked.filter("__shared").select("id", scope, one, two, *[c for c in order if c not in ("id", scope, one, two)])
-
-    def in_turn(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([*order, "id"], kind="stable")
-        seen_one, seen_two, out = set(), set(), []
-        for i, a, b in zip(part["id"], part[one], part[two]):
-            reason = one if a is not None and a in seen_one else two if b is not None and b in seen_two else None
-            if reason is None:
-                seen_one.add(a)
-                seen_two.add(b)
-            out.append((i, reason))
-        return pd.DataFrame(out, columns=["id", "reason"])
-
-    turns = keys.groupBy(scope).applyInPandas(in_turn, "id string, reason string")
-    return marked.drop("__shared").join(turns, "id", "left").withColumn("accepted", F.col("reason").isNull())
+    at = F.struct(*order, "id")
+    rows = step(df.select("id", scope, one, two, at.alias("at")), "unique-rows")
+    left, taken = rows, None
+    while True:
+        first = lambda k, name: left.filter(F.col(k).isNotNull()).groupBy(scope, k).agg(F.min("at").alias(name))  # noqa: B023, E731
+        both = left.join(first(one, "first_one"), [scope, one], "left").join(first(two, "first_two"), [scope, two], "left")
+        good = lambda k, name: F.col(k).isNull() | (F.col("at") == F.col(name))
+        now = step(both.filter(good(one, "first_one") & good(two, "first_two")).select("id", scope, one, two), "unique-accepted")
+        taken = now if taken is None else taken.unionByName(now)
+        rest = left.join(now.select("id"), "id", "left_anti")
+        for k in (one, two):
+            rest = rest.join(now.select(scope, k).distinct(), [scope, k], "left_anti")
+        left = step(rest.select(*rows.columns), "unique-left")
+        if left.isEmpty():
+            break
+    out = df.join(taken.select("id", F.lit(True).alias("accepted")), "id", "left").join(_taken_before(rows, taken, scope, one, two), "id", "left")
+    reason = F.when(F.col("accepted"), None).when(F.col("__by_one"), one).otherwise(two)
+    return out.withColumn("reason", reason).withColumn("accepted", F.coalesce("accepted", F.lit(False))).select(*df.columns, "accepted", "reason")
+
+
+def _taken_before(rows: DataFrame, taken: DataFrame, scope: str, one: str, two: str) -> DataFrame:
+    """id and __by_one: whether a row's first key was taken by an earlier one."""
+    own = taken.select("id").join(rows, "id").filter(F.col(one).isNotNull()).select(scope, one, F.col("at").alias("__at"))
+    return rows.join(own, [scope, one]).filter(F.col("__at") < F.col("at")).select("id", F.lit(True).alias("__by_one"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .steps import step
+
 
 def mentions(articles: DataFrame) -> DataFrame:
     return articles.select(F.col("id").alias("article_id"), F.explode("entities").alias("e")).select("article_id", "e.id", "e.type", "e.name", "e.normalized_name", "e.confidence")
@@ -16,15 +20,21 @@ def vertices(articles: DataFrame) -> DataFrame:
     return mentions(articles).groupBy("normalized_name", "type").agg(F.count("*").alias("n_mentions"), F.count_distinct("article_id").alias("n_articles"), F.max("confidence").alias("confidence"), best["name"].alias("name"))
 
 
+def _names(articles: DataFrame) -> DataFrame:
+    """article_id, id and normalized_name of every mention, the first if an id is named twice."""
+    rows = articles.select(F.col("id").alias("article_id"), F.posexplode("entities").alias("place", "e")).select("article_id", "place", "e.id", "e.normalized_name")
+    return rows.groupBy("article_id", "id").agg(F.min_by("normalized_name", "place").alias("name"))
+
+
 def edges(articles: DataFrame) -> DataFrame:
     """Edges between vertices, summed over articles.
 
-    A relation names entities of its own article, so both ends are looked up in that article's
-    list, not joined.
+    A relation names entities of its own article, so both ends are equi-joins on (article, id).
     """
-    rows = articles.select("entities", F.explode("relationships").alias("r"))
-    name = lambda end: F.filter("entities", lambda e: e["id"] == F.col(f"r.{end}"))[0]["normalized_name"]
-    named = rows.select(name("source").alias("source"), name("target").alias("target"), "r.predicate", "r.confidence")
+    rows = articles.select(F.col("id").alias("article_id"), F.explode("relationships").alias("r")).select("article_id", "r.source", "r.target", "r.predicate", "r.confidence")
+    names = _names(articles)
+    named = rows.withColumnRenamed("source", "id").join(names.withColumnRenamed("name", "source"), ["article_id", "id"], "left").drop("id")
+    named = named.withColumnRenamed("target", "id").join(names.withColumnRenamed("name", "target"), ["article_id", "id"], "left")
     return named.groupBy("source", "target", "predicate").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))
 
 
@@ -42,27 +52,71 @@ def evidence_with_provenance(articles: DataFrame) -> DataFrame:
 
 def event_links(articles: DataFrame) -> DataFrame:
     """Each event with each participant and location, by name."""
-    rows = articles.select(F.col("id").alias("article_id"), "entities", F.explode("events").alias("e"))
+    rows = articles.select(F.col("id").alias("article_id"), F.explode("events").alias("e"))
     ends = F.concat(
         F.transform("e.participants", lambda x: F.struct(F.lit("participant").alias("role"), x.alias("id"))),
         F.transform("e.locations", lambda x: F.struct(F.lit("location").alias("role"), x.alias("id"))),
     )
-    rows = rows.select("article_id", "entities", F.col("e.id").alias("event_id"), F.col("e.type").alias("event_type"), F.explode(ends).alias("x"))
-    name = F.filter("entities", lambda e: e["id"] == F.col("x.id"))[0]["normalized_name"]
-    return rows.select("article_id", "event_id", "event_type", "x.role", name.alias("entity"))
+    rows = rows.select("article_id", F.col("e.id").alias("event_id"), F.col("e.type").alias("event_type"), F.explode(ends).alias("x")).select("article_id", "event_id", "event_type", "x.role", "x.id")
+    return rows.join(_names(articles), ["article_id", "id"], "left").select("article_id", "event_id", "event_type", "role", F.col("name").alias("entity"))
+
+
+BLOCK = 512  # sets that meet others in one task
 
 
-def shared_entities(articles: DataFrame, min_share: float, max_df: int) -> DataFrame:
-    """Pairs of articles by the share (Jaccard) of their entities.
+def shared_entities(articles: DataFrame, min_share: float) -> DataFrame:
+    """article_id, n_links and best_share: other articles whose entities overlap by ``min_share``
+    (Jaccard) or more, exact.
 
-    Pairs meet at entities that at most ``max_df`` articles name; sizes and overlaps count
-    those entities only.
+    Articles with equal sets are one class.  Two sets that overlap so much share one of their
+    rarest names, as many as a share below would miss, so classes meet at those names only
+    (prefix filter), in blocks where a name is frequent.  A pair counts at the rarest name it
+    shares.  Tasks return counts for each class, never pairs.
     """
-    rows = mentions(articles).select("article_id", "normalized_name").distinct()
-    rare = rows.groupBy("normalized_name").agg(F.count("*").alias("df")).filter(F.col("df").between(2, max_df)).drop("df")
-    rows = rows.join(rare, "normalized_name")
-    sizes = rows.groupBy("article_id").agg(F.count("*").alias("n"))
-    a, b = rows.withColumnRenamed("article_id", "a"), rows.withColumnRenamed("article_id", "b")
-    both = a.join(b, "normalized_name").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    both = both.join(sizes.select(F.col("article_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("article_id").alias("b"), F.col("n").alias("nb")), "b")
-    return both.withColumn("share", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6)).filter(F.col("share") >= min_share).select("a", "b", "shared", "share")
+    names = mentions(articles).select("article_id", "normalized_name").distinct()
+    df = names.groupBy("normalized_name").agg(F.count("*").alias("df"))
+    keyed = names.join(df, "normalized_name").select("article_id", F.struct("df", F.xxhash64("normalized_name").alias("h")).alias("t"))
+    sets = keyed.groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["h"]).alias("names"))
+    sets = step(sets.withColumn("class", F.md5(F.to_json("names"))), "graph-sets")
+    classes = sets.groupBy("class").agg(F.count("*").alias("weight"), F.first("names").alias("names"))
+    prefix = F.size("names") - F.ceil(F.size("names") * F.lit(min_share) - 1e-9).cast("int") + 1
+    met = step(classes.select("class", "weight", "names", F.explode(F.slice("names", F.lit(1), prefix)).alias("name")), "graph-prefixes")
+    count = met.groupBy("name").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    dealt = met.join(count, "name").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("name", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "weight", "names")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        own, name = part["lo"].iloc[0] == part["hi"].iloc[0], part["name"].iloc[0]
+        sizes = part["names"].map(len).to_numpy()
+        flat = np.concatenate(part["names"].to_list())
+        owner = np.repeat(np.arange(len(part)), sizes)
+        place = np.concatenate([np.arange(n) for n in sizes])
+        at = np.full(len(part), -1)
+        at[owner[flat == name]] = place[flat == name]
+        _, column = np.unique(flat, return_inverse=True)
+        both, early = np.zeros((len(part), len(part))), np.zeros((len(part), len(part)))
+        for a in range(0, int(column.max()) + 1, 4096):  # names, a slice at a time
+            some = (column >= a) & (column < a + 4096)
+            table = np.zeros((len(part), 4096), np.float32)
+            table[owner[some], column[some] - a] = 1
+            both += table @ table.T
+            table[:] = 0
+            some &= place < at[owner]
+            table[owner[some], column[some] - a] = 1
+            early += table @ table.T
+        share = both / (sizes[:, None] + sizes[None, :] - both)
+        linked = (share >= min_share - 1e-9) & (early == 0)
+        if not own:
+            blocks = part["block"].to_numpy()
+            linked &= blocks[:, None] != blocks[None, :]
+        np.fill_diagonal(linked, False)
+        some = np.flatnonzero(linked.any(1))
+        best = np.where(linked, share, 0).max(1)
+        return pd.DataFrame({"class": part["class"].to_numpy()[some], "links": (linked @ part["weight"].to_numpy())[some].astype("int64"), "best": best[some]})
+
+    found = dealt.groupBy("name", "lo", "hi").applyInPandas(compare, "class string, links bigint, best double")
+    found = classes.select("class", "weight").join(found.groupBy("class").agg(F.sum("links").alias("links"), F.max("best").alias("best")), "class", "left")
+    rows = articles.select(F.col("id").alias("article_id")).join(sets.select("article_id", "class"), "article_id", "left").join(found, "class", "left")
+    links = F.coalesce(F.coalesce("links", F.lit(0)) + F.col("weight") - 1, F.lit(0))
+    return rows.select("article_id", links.cast("long").alias("n_links"), F.when(links > 0, F.round(F.when(F.col("weight") > 1, 1.0).otherwise(F.col("best")), 6)).alias("best_share"))

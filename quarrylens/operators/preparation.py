@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .steps import exists, shared_folder
+
 CHUNK, OVERLAP = 800, 100
 
 
@@ -78,3 +82,73 @@ def appended(*parts: DataFrame) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+Stage = tuple[str, Callable[[DataFrame], DataFrame]]
+
+
+def run_stages(spark: SparkSession, request: str, start: DataFrame, stages: Sequence[Stage], upto: str | None = None) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """The last stage's rows, and for each stage whether it was there already.
+
+    A stage's rows are written under the request's id; a stage counts once its write is complete.
+    A later run of the same request takes up after the last such stage, and repeats none.
+    ``upto`` ends a run early.
+    """
+    root, now, log = f"{shared_folder(spark)}/requests/{request}", start, []
+    for name, work in stages:
+        path = f"{root}/{name}"
+        there = exists(spark, f"{path}/_SUCCESS")
+        if not there:
+            work(now).write.mode("overwrite").parquet(path)
+        now = spark.read.parquet(path)
+        log.append((name, there))
+        if name == upto:
+            break
+    return now, log
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """(id, text): what can be prepared; empty documents fail with a reason."""
+    return docs.withColumn("fault", F.when(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0, "no text")).withColumn("status", F.when(F.col("fault").isNull(), "PROCESSING").otherwise("FAILED"))
+
+
+def normalized(docs: DataFrame) -> DataFrame:
+    """Runs of white space within lines as one space, no blank lines."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r]+", " ")))
+    return docs.withColumn("text", F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
+
+
+def classified(docs: DataFrame) -> DataFrame:
+    """A type by length and lines."""
+    n = F.length("text")
+    return docs.withColumn("type", F.when(n == 0, "EMPTY").when(n < 300, "NOTE").when(F.size(F.split("text", "\n")) > 10, "REPORT").otherwise("ARTICLE"))
+
+
+def extracted(docs: DataFrame) -> DataFrame:
+    """Fields with plain rules: title and amounts."""
+    return docs.withColumns({"title": F.substring_index("text", "\n", 1), "n_numbers": F.size(F.regexp_extract_all("text", F.lit("[0-9]+"), 0))})
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """A row for each chunk; failed and empty documents keep one row without a body."""
+    cut = chunks(docs, "id", "text").withColumnRenamed("body", "chunk_text")
+    return docs.drop("text").join(cut, "id", "left")
+
+
+def embedded(rows: DataFrame) -> DataFrame:
+    """A small vector of each chunk by character classes; a stand-in for a model's vector."""
+    n = F.greatest(F.length("chunk_text"), F.lit(1))
+    count = lambda pattern: F.round((F.length("chunk_text") - F.length(F.regexp_replace("chunk_text", pattern, ""))) / n, 6)
+    return rows.withColumn("vector", F.when(F.col("chunk_text").isNotNull(), F.array(count("[a-z]"), count("[A-Z]"), count("[0-9]"), count(r"\s"))))
+
+
+def committed(rows: DataFrame) -> DataFrame:
+    """One row for each document: INDEXED with its chunks, or FAILED with the reason."""
+    out = rows.groupBy("id").agg(F.first("type").alias("type"), F.first("title").alias("title"), F.first("n_numbers").alias("n_numbers"), F.first("fault").alias("fault"), F.count("vector").alias("n_chunks"))
+    return out.withColumn("status", F.when(F.col("fault").isNull(), "INDEXED").otherwise("FAILED"))
+
+
+STAGES: tuple[Stage, ...] = (
+    ("parse", parsed), ("normalize", normalized), ("classify", classified), ("extract", extracted),
+    ("chunk", chunked), ("embed", embedded), ("commit", committed),
+)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import blocks_for, step
+
 MAX_BASES = 5
 BLOCK_ROWS, SLICE = 4096, 256  # rows of a block, and of it multiplied at a time
 
@@ -27,52 +29,91 @@ def selected_bases(listed: Column, single: Column, accessible: Column) -> Column
     return F.array_distinct(F.coalesce(some, F.when(single.isNotNull(), F.array(single)), accessible))
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Unit rows in double precision."""
+    x = np.stack([np.asarray(v, np.float64) for v in vectors])
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def usable(vector: Column) -> Column:
+    """Whether a vector has a direction: not null, empty or zero, no null or non-finite component."""
+    v = vector.cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(fine, F.lit(False))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest vectors of each query in each knowledge base, exact.
+    """The ``k`` nearest vectors of each query in each knowledge base, exact; ties by id.
 
-    A stated set of queries (query_id, kb, query_vector) meets only vectors of its knowledge
-    base; ties by id.
+    A stated set of queries (query_id, kb, query_vector) meets the vectors of its knowledge base
+    in blocks of BLOCK_ROWS of either side, however large the base is; a block returns its best
+    ``k`` for each query, and these are ranked.
     """
-    scored = queries.join(vectors, "kb").withColumn("score", F.round(cosine(F.col("vector"), F.col("query_vector")), 9))
+    rows = vectors.filter(usable(F.col("vector"))).select("kb", "vec_id", F.col("vector").cast("array<double>").alias("v"))
+    asked = queries.filter(usable(F.col("query_vector"))).select("kb", F.col("query_id").alias("id"), F.col("query_vector").cast("array<double>").alias("v"))
+    parts = lambda df, name: df.groupBy("kb").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias(name))
+    both = parts(rows, "n").join(parts(asked, "m"), "kb")  # one row for each base
+    deal = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kind = rows.schema["vec_id"].dataType.simpleString()
+    q_kind = asked.schema["id"].dataType.simpleString()
+    left = rows.join(both, "kb").select("kb", F.size("v").alias("length"), deal("vec_id", "n").alias("i"), every("m").alias("j"), "vec_id", F.lit(None).cast(q_kind).alias("id"), "v")
+    right = asked.join(both, "kb").select("kb", F.size("v").alias("length"), every("n").alias("i"), deal("id", "m").alias("j"), F.lit(None).cast(kind).alias("vec_id"), "id", "v")
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        a, b = part[part["id"].isna()], part[part["vec_id"].isna()]
+        out = []
+        if len(a) and len(b):
+            y, ids = _matrix(a["v"]), a["vec_id"].to_numpy()
+            for n in range(0, len(b), SLICE):
+                some = b.iloc[n : n + SLICE]
+                scores = np.round(_matrix(some["v"]) @ y.T, 9)
+                for query, row in zip(some["id"], scores):
+                    top = np.flatnonzero(row >= np.partition(row, max(len(row) - k, 0))[max(len(row) - k, 0)])
+                    top = top[np.lexsort((ids[top], -row[top]))[:k]]
+                    out.append(pd.DataFrame({"kb": part["kb"].iloc[0], "query_id": query, "vec_id": ids[top], "score": row[top]}))
+        return pd.concat(out) if out else pd.DataFrame([], columns=["kb", "query_id", "vec_id", "score"])
+
+    found = left.unionByName(right).groupBy("kb", "length", "i", "j").applyInPandas(best, f"kb string, query_id {q_kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id", "kb").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "kb", "vec_id", "score", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "kb", "vec_id", "score", "rank")
 
 
-def close_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs of vectors with a cosine of ``least`` or more, all of them.
+def close_vectors(vectors: DataFrame, least: float) -> DataFrame:
+    """vec_id, n_close and best_cosine: other rows with a cosine of ``least`` or more, exact.
 
     Rows are dealt to blocks by hash and every two blocks are multiplied, so a task holds two
-    blocks at most; only pairs near ``least`` or above leave it, for the cosine itself.  Null,
-    zero and non-finite vectors have no pairs, nor have different lengths.
+    blocks at most and returns a count and a maximum for each row, never pairs.  At so low a
+    cosine no cells or buckets rule out anything, so the work grows with the square of the rows.
+    Null, zero and non-finite vectors have none, nor have different lengths.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("n"))
-    rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    rows = vectors.filter(usable(F.col("embedding"))).select("vec_id", F.monotonically_increasing_id().alias("row"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = step(rows, "vectors-usable")
+    blocks = blocks_for(rows.count(), BLOCK_ROWS)
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = rows.withColumn("own", block).withColumn("other", every).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    kind = vectors.schema["vec_id"].dataType.simpleString()
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("other", every)
+    dealt = dealt.select(F.size("v").alias("n"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "row", "v")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         i, j = part["i"].iloc[0], part["j"].iloc[0]
-        a, b = part[part["own"] == i], part[part["own"] == j]
-        out = [pd.DataFrame([], columns=["a", "va", "b", "vb"])]
-        if len(a) and len(b):
-            x, y = (np.stack(list(side["v"])) for side in (a, b))
-            x, y = (side / np.abs(side).max(1)[:, None] for side in (x, y))
-            x, y = (side / np.linalg.norm(side, axis=1)[:, None] for side in (x, y))
-            ids_a, ids_b, va, vb = a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), a["v"].to_numpy(), b["v"].to_numpy()
-            for k in range(0, len(a), SLICE):
-                r, c = np.nonzero(x[k : k + SLICE] @ y.T >= least - 1e-5)
-                r += k
-                turned = ids_a[r] > ids_b[c]
-                some = (ids_a[r] < ids_b[c]) | (turned & (i != j))
-                r, c, turned = r[some], c[some], turned[some]
-                out += [
-                    pd.DataFrame({"a": ids_a[r[~turned]], "va": va[r[~turned]], "b": ids_b[c[~turned]], "vb": vb[c[~turned]]}),
-                    pd.DataFrame({"a": ids_b[c[turned]], "va": vb[c[turned]], "b": ids_a[r[turned]], "vb": va[r[turned]]}),
-                ]
-        return pd.concat(out)
-
-    near = dealt.groupBy("n", "i", "j").applyInPandas(compare, f"a {kind}, va array<double>, b {kind}, vb array<double>")
-    return near.withColumn("cosine", F.round(cosine(F.col("va"), F.col("vb")), 6)).filter(F.col("cosine") >= least).select("a", "b", "cosine")
+        out = [pd.DataFrame([], columns=["row", "n_close", "best"])]
+        for here, there in [(i, j)] if i == j else [(i, j), (j, i)]:
+            a, b = part[part["own"] == here], part[part["own"] == there]
+            if len(a) and len(b):
+                x, y, others = _matrix(a["v"]), _matrix(b["v"]), b["row"].to_numpy()
+                for k in range(0, len(a), SLICE):
+                    ids = a["row"].to_numpy()[k : k + SLICE]
+                    products = np.round(x[k : k + SLICE] @ y.T, 6)
+                    products[ids[:, None] == others[None, :]] = -2  # itself
+                    close = products >= least
+                    some = close.any(1)
+                    out.append(pd.DataFrame({"row": ids[some], "n_close": close.sum(1)[some], "best": products.max(1)[some]}))
+        return pd.concat(out).astype({"row": "int64", "n_close": "int64", "best": "float64"})
+
+    pairs = blocks * (blocks + 1) // 2
+    found = dealt.repartition(min(pairs, 10_000), "n", "i", "j").groupBy("n", "i", "j").applyInPandas(compare, "row bigint, n_close bigint, best double")
+    found = rows.select("row", "vec_id").join(found.groupBy("row").agg(F.sum("n_close").alias("n_close"), F.max("best").alias("best_cosine")), "row")
+    none = vectors.filter(~usable(F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_close"), F.lit(None).cast("double").alias("best_cosine"))
+    alone = rows.join(found.select("row"), "row", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_close"), F.lit(None).cast("double").alias("best_cosine"))
+    return found.select("vec_id", "n_close", "best_cosine").unionByName(alone).unionByName(none)

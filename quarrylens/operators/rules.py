@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .steps import step
+
 MAX_DEPTH = 5
+NUMERIC = ("gt", "gte", "lt", "lte")
 
 
 def event_type_filter(events: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -34,12 +37,20 @@ def field_condition(path: str, op: str, value=None, payload: str = "props") -> C
     return F.coalesce(compare[op](), F.lit(False))
 
 
+def field_fault(path: str, op: str, payload: str = "props") -> Column:
+    """Whether a condition can't be judged: an order asked of a value that is no number."""
+    text = F.get_json_object(payload, path)
+    return text.isNotNull() & text.try_cast("double").isNull() if op in NUMERIC else F.lit(False)
+
+
 def field_filter(events: DataFrame, conditions: Sequence[dict], payload: str = "props") -> DataFrame:
-    """``relation`` True where all conditions {path, op, value} hold."""
-    every = F.lit(True)
+    """``relation`` True where all conditions {path, op, value} hold, Failure where one can't be
+    judged or the payload is no JSON, else False."""
+    every, fault = F.lit(True), F.get_json_object(payload, "$").isNull()
     for c in conditions:
         every = every & field_condition(c["path"], c["op"], c.get("value"), payload)
-    return events.withColumn("relation", F.when(every, "True").otherwise("False"))
+        fault = fault | field_fault(c["path"], c["op"], payload)
+    return events.withColumn("relation", F.when(F.coalesce(fault, F.lit(True)), "Failure").when(every, "True").otherwise("False"))
 
 
 def with_scope(events: DataFrame, users: DataFrame) -> DataFrame:
@@ -50,7 +61,8 @@ def with_scope(events: DataFrame, users: DataFrame) -> DataFrame:
 def resolved_workflows(events: DataFrame, workflows: DataFrame) -> DataFrame:
     """Each event with its active workflows, shared by the tenant or of its organization, in order."""
     active = workflows.filter(F.col("status") == "ACTIVE").select("tenant", F.col("org").alias("owner"), "uuid", "priority", "updated_at", F.col("event_type").alias("on_type"))
-    both = events.join(active, "tenant").filter((F.col("owner").isNull() | (F.col("owner") == F.col("org"))) & (F.col("on_type") == F.col("event_type")))
+    meets = (events["tenant"] == active["tenant"]) & (F.col("on_type") == F.col("event_type")) & (F.col("owner").isNull() | (F.col("owner") == F.col("org")))
+    both = events.join(active, meets).drop(active["tenant"])
     order = Window.partitionBy("event_id").orderBy("priority", F.desc("updated_at"), "uuid")
     return both.withColumn("nth", F.row_number().over(order))
 
@@ -69,13 +81,38 @@ def call_chains(spark: SparkSession, calls: DataFrame, max_depth: int = MAX_DEPT
     return out.select("root", "node", "depth", "cyclic")
 
 
+def cycles(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """graph and node of every node that leads back to itself.
+
+    Nodes without a way in or out are peeled off until none is left of that kind; what remains is
+    small, and is closed by doubling paths.  A graph's nodes are few, graphs may be many.
+    """
+    now = step(edges.select("graph", "source", "target").distinct(), "rules-edges")
+    n = now.count()
+    for _ in range(max_rounds):
+        inner = now.join(now.select("graph", F.col("target").alias("source")).distinct(), ["graph", "source"], "left_semi")
+        inner = inner.join(now.select("graph", F.col("source").alias("target")).distinct(), ["graph", "target"], "left_semi").select("graph", "source", "target")
+        now, before = step(inner, "rules-edges"), n
+        n = now.count()
+        if n in (0, before):
+            break
+    for _ in range(max_rounds if n else 0):
+        longer = now.select("graph", "source", F.col("target").alias("via")).join(now.select("graph", F.col("source").alias("via"), "target"), ["graph", "via"])
+        now, before = step(now.union(longer.select("graph", "source", "target")).distinct(), "rules-paths"), n
+        n = now.count()
+        if n == before:
+            break
+    return now.filter("source = target").select("graph", F.col("source").alias("node"))
+
+
 def graph_faults(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """graph and fault: no root, an edge to no node."""
+    """graph, fault and place: no root, an edge to no node, a node on a cycle."""
     known = nodes.select("graph", "node")
     rootless = roots.join(known, ["graph", "node"], "left_anti").select("graph", F.lit("root missing").alias("fault"), F.col("node").alias("at"))
     ends = edges.select("graph", F.explode(F.array("source", "target")).alias("node")).distinct()
     loose = ends.join(known, ["graph", "node"], "left_anti").select("graph", F.lit("edge to no node").alias("fault"), F.col("node").alias("at"))
-    return rootless.unionByName(loose)
+    turning = cycles(edges).select("graph", F.lit("cycle").alias("fault"), F.col("node").alias("at"))
+    return rootless.unionByName(loose).unionByName(turning)
 
 
 def execution_counters(runs: DataFrame) -> DataFrame:

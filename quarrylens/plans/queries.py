@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.text import canonical_url, normal_title
-from ..operators import acquisition, alarms, collections, finders, graph, notifications, preparation, retrieval, rules
+from ..operators import acquisition, alarms, collections, enrichment, finders, graph, notifications, preparation, retrieval, rules
+from ..operators.steps import shared_folder
+from ..sources.store import SCHEMAS as COLLECTION_SCHEMAS
+from ..sources.store import Collection
+from ..schemas import ARTICLE as ARTICLE_SCHEMA
 from ..sources.views import VIEWS, articles, raw_documents, sources, table
 from ..streaming import streams
 
@@ -234,11 +239,97 @@ def i35_unique_source_name(spark, d):
     return _source(kept)
 
 
-@query("SELECT id, source_id, row_number() OVER (PARTITION BY source_id, content_hash ORDER BY acquisition_time, id) = 1 AS accepted FROM raw_documents", VIEWS)
+_TWO_KEYS = """RECURSIVE given AS (
+  SELECT event_id, event_type AS scope, user_id % 40 AS one, CASE WHEN event_id % 11 <> 0 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 30 END AS two,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts, lpad(CAST(event_id AS VARCHAR), 9, '0')) AS nth FROM events
+), walk AS (
+  SELECT DISTINCT scope, CAST(0 AS BIGINT) AS nth, CAST(NULL AS BIGINT) AS event_id, true AS accepted, CAST(NULL AS VARCHAR) AS reason, CAST([] AS BIGINT[]) AS ones, CAST([] AS INTEGER[]) AS twos FROM given
+  UNION ALL
+  SELECT g.scope, g.nth, g.event_id, free, CASE WHEN free THEN NULL WHEN list_contains(ones, g.one) THEN 'one' ELSE 'two' END,
+         CASE WHEN free THEN list_append(ones, g.one) ELSE ones END, CASE WHEN free AND g.two IS NOT NULL THEN list_append(twos, g.two) ELSE twos END
+  FROM (SELECT g.*, w.ones, w.twos, NOT list_contains(ones, g.one) AND (g.two IS NULL OR NOT list_contains(twos, g.two)) AS free FROM walk w JOIN given g ON g.scope = w.scope AND g.nth = w.nth + 1) g
+)"""
+
+
+@query("SELECT event_id, accepted, reason FROM walk WHERE event_id IS NOT NULL", _TWO_KEYS)
 def i33_i34_two_unique_keys(spark, d):
-    """Addresses are unique in these tables, so both keys together agree with the hash alone."""
-    found = collections.unique_by_two(raw_documents(spark, d), "source_id", "original_uri", "content_hash", ["acquisition_time"])
-    return found.select("id", "source_id", "accepted")
+    """Events as rows that collide in either key; the SQL takes them one by one."""
+    k = F.when(F.col("event_id") % 11 != 0, F.get_json_object("props", "$.k").cast("int") % 30)
+    rows = table(spark, d, "events").select(F.lpad(F.col("event_id").cast("string"), 9, "0").alias("id"), "event_id", F.col("event_type").alias("scope"), (F.col("user_id") % 40).alias("one"), k.alias("two"), "ts")
+    return collections.unique_by_two(rows, "scope", "one", "two", ["ts"]).select("event_id", "accepted", "reason")
+
+
+# --- stored collections --------------------------------------------------------------------
+
+
+def _collection(spark, name: str) -> Collection:
+    return Collection(spark, f"{shared_folder(spark)}/collections-{uuid.uuid4().hex}", name)
+
+
+def _filled(df: DataFrame, schema) -> DataFrame:
+    """``df`` with every column of a schema, null where it has none."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+@query("SELECT 'doc-' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'saved' ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%d') END AS acquired, doc_id % 2 = 0 AS again FROM documents WHERE doc_id < 300")
+def i27_save_documents(spark, d):
+    """Saved twice; a document without an acquisition time has that of its save."""
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))
+    docs = table(spark, d, "documents").filter("doc_id < 300").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), "doc_id", F.col("source").alias("source_id"), F.concat(F.lit("doc://"), "doc_id").alias("original_uri"), F.when(F.col("doc_id") % 3 != 0, at).alias("acquisition_time"), F.lit("text/plain").alias("mime_type"))
+    saved = _collection(spark, "raw_documents")
+    saved.save(_filled(docs, saved.schema))
+    saved.save(_filled(docs.filter("doc_id % 2 = 0").withColumn("metadata", F.lit("again")), saved.schema))
+    now = F.col("acquisition_time") > F.lit("2025-01-01").cast("timestamp")
+    return saved.read().select("id", F.when(now, "saved").otherwise(F.date_format("acquisition_time", "yyyy-MM-dd")).alias("acquired"), F.coalesce(F.col("metadata") == "again", F.lit(False)).alias("again"))
+
+
+@query("SELECT id, CASE WHEN priority % 2 = 0 THEN 'ENABLED' ELSE status END AS status, CASE WHEN priority = 3 THEN 0 ELSE priority END AS priority, 0 AS n_tags FROM sources", VIEWS)
+def i28_save_sources(spark, d):
+    given = sources(spark, d).withColumns({"status": F.when(F.col("priority") % 2 != 0, F.col("status")), "priority": F.when(F.col("priority") != 3, F.col("priority")), "tags": F.lit(None).cast("array<string>")})
+    saved = _collection(spark, "sources")
+    saved.save(_filled(given.drop("authentication"), saved.schema))
+    return saved.read().select("id", "status", "priority", F.size("tags").alias("n_tags"))
+
+
+def _stored_articles(spark, d) -> Collection:
+    rows = articles(spark, d).select("id", "raw_document_id", F.struct(*[F.col(f"metadata.{c}") if c in ("title", "publication_date") else F.lit(None).cast(t).alias(c) for c, t in _kinds("metadata")]).alias("metadata"),
+        F.struct(*[F.col(f"taxonomy.{c}") if c in ("domain", "sub_domain", "event_type") else F.lit(None).cast(t).alias(c) for c, t in _kinds("taxonomy")]).alias("taxonomy"),
+        F.transform("entities", lambda e: F.struct(*[e[c] if c in ("id", "type", "name", "normalized_name", "confidence") else F.lit(None).cast(t).alias(c) for c, t in _kinds("entities")])).alias("entities"),
+        F.transform("events", lambda e: F.struct(*[e[c] if c in ("id", "type", "date", "participants", "locations") else F.lit(None).cast(t).alias(c) for c, t in _kinds("events")])).alias("events"))
+    saved = _collection(spark, "articles")
+    saved.save(_filled(rows, saved.schema))
+    return saved
+
+
+def _kinds(column: str):
+    kind = ARTICLE_SCHEMA[column].dataType
+    return [(f.name, f.dataType) for f in getattr(kind, "elementType", kind).fields]
+
+
+@query("SELECT 'domain' AS search, id FROM articles WHERE domain = 'fr' AND sub_domain = 'src5' UNION ALL SELECT 'entity', article_id FROM entities WHERE normalized_name = 'that' UNION ALL SELECT 'event', article_id FROM article_events WHERE type = 'ELECTION' AND date < DATE '2024-03-01'", VIEWS)
+def i36_article_layout(spark, d):
+    """Lookups on stored articles: a folder of the layout, and the sorted side tables of arrays."""
+    saved = _stored_articles(spark, d)
+    domain = saved.in_folder("fr").filter("taxonomy.sub_domain = 'src5'").select(F.lit("domain").alias("search"), "id")
+    entity = saved.side("entities").filter("normalized_name = 'that'").select(F.lit("entity").alias("search"), F.col("own_id").alias("id"))
+    event = saved.side("events").filter("type = 'ELECTION' AND date < DATE '2024-03-01'").select(F.lit("event").alias("search"), F.col("own_id").alias("id"))
+    return domain.unionByName(entity).unionByName(event)
+
+
+@query("SELECT id, strftime(acquisition_time, '%Y-%m-%d %H:%M:%S') AS acquired FROM raw_documents WHERE mime_type = 'text/html' AND acquisition_time >= TIMESTAMP '2024-01-01 02:00:00'", VIEWS)
+def i37_document_layout(spark, d):
+    saved = _collection(spark, "raw_documents")
+    rows = raw_documents(spark, d).withColumns({"raw_content": F.lit(None), "source_id": F.concat_ws("/", "source_id", "id"), "content_hash": F.lit(None)})
+    saved.save(_filled(rows, saved.schema))
+    return saved.in_folder("text/html").filter(F.col("acquisition_time") >= F.lit("2024-01-01 02:00:00").cast("timestamp")).select("id", _stamp("acquisition_time").alias("acquired"))
+
+
+@query("SELECT 'status' AS search, id FROM sources WHERE status = 'ENABLED' AND priority <= 1 UNION ALL SELECT 'tag', id FROM sources WHERE list_contains(tags, 'tier1')", VIEWS)
+def i38_source_layout(spark, d):
+    saved = _collection(spark, "sources")
+    saved.save(_filled(sources(spark, d).drop("authentication"), saved.schema))
+    status = saved.in_folder("ENABLED").filter("priority <= 1").select(F.lit("status").alias("search"), "id")
+    return status.unionByName(saved.side("tags").filter("value = 'tier1'").select(F.lit("tag").alias("search"), F.col("own_id").alias("id")))
 
 
 # --- codecs --------------------------------------------------------------------------------
@@ -302,6 +393,29 @@ def c01_acquisition(spark, d):
     return acquisition.acquired(sources(spark, d), raw_documents(spark, d)).select("id", "source_id", "priority")
 
 
+class _Delivered:
+    """A connector whose sources deliver the documents that name them."""
+
+    def __init__(self, d: str):
+        self.d = d
+
+    def fetch(self, spark, source_id, endpoint):
+        rows = raw_documents(spark, self.d).filter(F.col("source_id") == source_id).withColumn("raw_content", F.lit(None))
+        return _filled(rows, COLLECTION_SCHEMAS["raw_documents"])
+
+
+@query("""SELECT r.id, r.source_id FROM raw_documents r JOIN (SELECT id FROM sources WHERE status = 'ENABLED' AND type IN ('RSS', 'API', 'EMAIL') ORDER BY priority, name LIMIT 3) s ON s.id = r.source_id
+QUALIFY row_number() OVER (PARTITION BY r.source_id, content_hash ORDER BY acquisition_time, r.id) = 1""", VIEWS)
+def c01_acquisition_loop(spark, d):
+    """Enabled sources by priority, fetched by their type's connector and saved; run twice, which adds nothing."""
+    saved, connectors = _collection(spark, "raw_documents"), {k: _Delivered(d) for k in ("RSS", "API", "EMAIL")}
+    chosen = sources(spark, d).filter(F.col("type").isin(*connectors))
+    acquisition.acquire(chosen, connectors, saved, limit=3)
+    again = acquisition.acquire(chosen, connectors, saved, limit=3)
+    assert all(n == 0 for _, _, n in again)
+    return saved.read().select("id", "source_id")
+
+
 @query("SELECT id, source_id FROM raw_documents QUALIFY row_number() OVER (PARTITION BY source_id, original_uri ORDER BY acquisition_time, id) = 1", VIEWS)
 def c02_dedup_by_uri(spark, d):
     return acquisition.first_by(raw_documents(spark, d), "source_id", "original_uri").select("id", "source_id")
@@ -317,9 +431,19 @@ def c04_duplicate_flag(spark, d):
     return acquisition.flagged_copies(articles(spark, d), "text_hash").select("id", "is_duplicate")
 
 
-@query("SELECT regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^(www|m)\\.', '') || regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '/+$', '') AS canonical, count(*) AS n FROM pages GROUP BY 1")
+_CANONICAL = r"""regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^(www|m)\.', '')
+|| regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#:]*(:[0-9]+)', 1)
+|| regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', ''), '/+$', '')
+|| coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(regexp_replace(url, '#.*$', ''), '\?(.*)$', 1), '&'),
+     lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|msclkid|mc_cid|mc_eid|ref)(=|$)'))), '&'), ''), '')"""
+
+
+@query(f"SELECT {_CANONICAL} AS canonical, count(*) AS n FROM (SELECT url FROM pages UNION ALL SELECT 'https://WWW.example.org:8080/a/?b=' || page_id % 7 || '&utm_source=x&a=' || page_id % 3 || '#top' FROM pages) GROUP BY 1")
 def c05_canonical_urls(spark, d):
-    return table(spark, d, "pages").groupBy(canonical_url(F.col("url")).alias("canonical")).agg(F.count("*").alias("n"))
+    """Addresses of pages, and made ones with ports, parameters and fragments."""
+    pages = table(spark, d, "pages")
+    made = F.concat(F.lit("https://WWW.example.org:8080/a/?b="), F.col("page_id") % 7, F.lit("&utm_source=x&a="), F.col("page_id") % 3, F.lit("#top"))
+    return pages.select("url").union(pages.select(made)).groupBy(canonical_url(F.col("url")).alias("canonical")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT content_hash AS key, count(*) AS n, min(id) AS first_id FROM raw_documents GROUP BY 1 HAVING count(*) > 1", VIEWS)
@@ -327,10 +451,11 @@ def c06_hash_copies(spark, d):
     return acquisition.hash_copies(raw_documents(spark, d))
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-AND list_transform(a.embedding[1:6], lambda x: x >= 0) = list_transform(b.embedding[1:6], lambda x: x >= 0) WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.5""")
+@query("""SELECT v.vec_id, coalesce(n_close, 0) AS n_close, best_cosine FROM embeddings v LEFT JOIN (
+  SELECT a.vec_id, count(*) AS n_close, max(round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)) AS best_cosine
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.5 GROUP BY 1) c ON c.vec_id = v.vec_id""")
 def c07_close_vectors(spark, d):
-    return retrieval.close_pairs(table(spark, d, "embeddings"), 0.5)
+    return retrieval.close_vectors(table(spark, d, "embeddings"), 0.5)
 
 
 @query(r"SELECT trim(regexp_replace(lower(title), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS key, count(*) AS n, min(id) AS first_id FROM articles GROUP BY 1 HAVING count(*) > 1 AND key <> ''", VIEWS)
@@ -338,13 +463,13 @@ def c08_title_copies(spark, d):
     return acquisition.title_copies(articles(spark, d))
 
 
-@query("""SELECT a, b, shared, round(shared / (na + nb - shared), 6) AS share FROM (
-  SELECT x.article_id AS a, y.article_id AS b, count(*) AS shared, any_value(x.n) AS na, any_value(y.n) AS nb
-  FROM (SELECT *, count(*) OVER (PARTITION BY article_id) AS n FROM rare) x JOIN (SELECT *, count(*) OVER (PARTITION BY article_id) AS n FROM rare) y
-  ON x.normalized_name = y.normalized_name AND x.article_id < y.article_id GROUP BY ALL) WHERE share >= 0.5""",
-       VIEWS + ", rare AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY normalized_name) AS df FROM (SELECT DISTINCT article_id, normalized_name FROM entities)) WHERE df BETWEEN 2 AND 50)")
+@query("""SELECT id AS article_id, coalesce(n_links, 0) AS n_links, best_share FROM articles LEFT JOIN (
+  SELECT a, count(*) AS n_links, max(share) AS best_share FROM (
+    SELECT x.article_id AS a, y.article_id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS share
+    FROM named x JOIN named y ON x.normalized_name = y.normalized_name AND x.article_id <> y.article_id GROUP BY ALL) WHERE share >= 0.5 GROUP BY 1) ON a = id""",
+       VIEWS + ", named AS (SELECT *, count(*) OVER (PARTITION BY article_id) AS n FROM (SELECT DISTINCT article_id, normalized_name FROM entities))")
 def c09_entity_overlap(spark, d):
-    return graph.shared_entities(articles(spark, d), 0.5, 50)
+    return graph.shared_entities(articles(spark, d), 0.5)
 
 
 @query("SELECT CASE WHEN mime_type IN ('text/html', 'text/plain') THEN 'article' END AS parser, mime_type, count(*) AS n FROM raw_documents GROUP BY ALL", VIEWS)
@@ -376,11 +501,29 @@ def c15_flat_claims(spark, d):
     return acquisition.flat_claims(articles(spark, d)).withColumn("evidence_confidence", F.round("evidence_confidence", 4))
 
 
-@query("""SELECT a.id, CASE WHEN n % 4 >= 3 THEN 'HIGH' WHEN n % 4 >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS impact_level, m.main_entity,
-CAST(n % 4 + n % 3 AS INTEGER) AS n_statements, round(least(1.0, (n % 4 + n % 3) / 5), 2) AS relevance, vector IS NOT NULL AND reliability IS NOT NULL AS complete
-FROM articles a LEFT JOIN (SELECT article_id, arg_min(normalized_name, {'c': -confidence, 'n': normalized_name}) AS main_entity FROM entities GROUP BY 1) m ON m.article_id = a.id""", VIEWS)
+_ENRICHED = r"""base AS (
+  SELECT doc_id, text, lang, source, string_split(text, chr(10)) AS lines, list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}')) AS long_words,
+         list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{3,}'))) AS names, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '') AS words FROM documents
+), keyed AS (
+  SELECT *, list_transform(list_sort(list_transform(long_words, lambda w: {'n': -length(w), 'w': w}))[1:5], lambda x: x.w) AS keywords FROM base
+), counted AS (
+  SELECT *, len(list_filter(lines, lambda x: regexp_matches(x, '["“«]') OR regexp_matches(x, '[0-9] ?%'))) AS n_claims, len(list_filter(lines, lambda x: regexp_matches(x, '["“«]'))) AS n_quotes,
+         list_filter(list_transform(lines, lambda x: regexp_extract(x, '(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)', 1)), lambda y: y <> '') AS years FROM keyed
+)"""
+
+
+@query("""SELECT doc_id, lang AS domain, array_to_string(keywords, ',') AS keywords, len(names) AS n_entities, CASE WHEN n_claims > 0 THEN lower(names[1]) END AS claimed_by, n_claims, n_quotes, array_to_string(years, ',') AS years,
+round(least(1.0, (n_claims + len(years)) / 5), 4) AS relevance, round(list_sum(list_transform(names, lambda x: CASE WHEN list_contains(keywords, lower(x)) THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END)) / len(names), 4) AS confidence,
+doc_id <> min(doc_id) OVER (PARTITION BY md5(text)) AS duplicate, round(len(list_filter(words, lambda w: length(w) % 8 = 3)) / greatest(len(words), 1), 6) AS share_of_threes, 'rules-2' AS parser_version, '2024-01-01 01:30:00' AS extracted FROM counted""", _ENRICHED)
 def c16_enrichment(spark, d):
-    return acquisition.enriched(articles(spark, d)).select("id", "impact_level", "main_entity", "n_statements", "relevance", "complete")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    out = enrichment.enriched(docs, F.to_timestamp(F.lit(NOW)))
+    quotes = F.size(F.filter("claims", lambda c: c["type"] == "QUOTE"))
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("taxonomy.domain").alias("domain"), F.array_join("taxonomy.keywords", ",").alias("keywords"), F.size("entities").cast("long").alias("n_entities"),
+        F.get("claims", F.lit(0))["source_entity"].alias("claimed_by"), F.size("claims").cast("long").alias("n_claims"), quotes.cast("long").alias("n_quotes"), F.array_join(F.transform("events", lambda e: e["year"]), ",").alias("years"),
+        "assessment.relevance", F.when(F.size("entities") > 0, F.col("assessment.confidence")).alias("confidence"), "assessment.duplicate", F.col("embedding.vector")[3].alias("share_of_threes"), "provenance.parser_version", _stamp("provenance.extraction_time").alias("extracted"),
+    )
 
 
 @query("""SELECT normalized_name, type, count(*) AS n_mentions, count(DISTINCT article_id) AS n_articles, round(max(confidence), 4) AS confidence, max(name) AS name FROM entities GROUP BY 1, 2""", VIEWS)
@@ -451,10 +594,13 @@ def d01_event_type_filter(spark, d):
     return rules.event_type_filter(table(spark, d, "events"), ["error", "signup"]).select("event_id", "relation")
 
 
-@query("SELECT event_id, CASE WHEN k >= 20 AND k < 80 AND k <> 50 AND CAST(k AS VARCHAR) LIKE '%3%' THEN 'True' ELSE 'False' END AS relation FROM ev", EVENTS)
+@query("""SELECT event_id, CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN 'Failure' WHEN event_id % 23 = 0 THEN 'False' WHEN k >= 20 AND k < 80 AND k <> 50 AND CAST(k AS VARCHAR) LIKE '%3%' THEN 'True' ELSE 'False' END AS relation FROM ev""", EVENTS)
 def d02_field_filter(spark, d):
+    """Payloads cut short, with a word for the number, and without the field, among the others."""
     conditions = [{"path": "$.k", "op": "exists"}, {"path": "$.k", "op": "gte", "value": 20}, {"path": "$.k", "op": "lt", "value": 80}, {"path": "$.k", "op": "ne", "value": 50}, {"path": "$.k", "op": "contains", "value": "3"}]
-    return rules.field_filter(table(spark, d, "events"), conditions).select("event_id", "relation")
+    n = F.col("event_id")
+    props = F.when(n % 17 == 0, F.lit('{"k": 3')).when(n % 19 == 0, F.lit('{"k": "many"}')).when(n % 23 == 0, F.lit('{"j": 33}')).otherwise(F.col("props"))
+    return rules.field_filter(table(spark, d, "events").withColumn("props", props), conditions).select("event_id", "relation")
 
 
 @query("SELECT event_id, user_id, org, tenant FROM ev", EVENTS)
@@ -497,14 +643,22 @@ def d06_call_chains(spark, d):
     return _chains(spark, d)
 
 
-@query("""SELECT DISTINCT 'g' || (user_id % 5) AS graph, 'edge to no node' AS fault, 'n' || ((user_id * 7) % 31) AS at FROM events WHERE (user_id * 7) % 31 >= 25
-UNION SELECT 'g0', 'root missing', 'n99'""")
+_GRAPHS = """RECURSIVE calls AS (
+  SELECT DISTINCT 'g' || (user_id % 5) AS graph, user_id % 29 AS source, CASE WHEN user_id % 5 < 3 THEN (user_id * 7) % 31 ELSE user_id % 29 + 1 END AS target FROM events
+), walk AS (
+  SELECT graph, source AS start, target AS node FROM calls UNION SELECT w.graph, start, target FROM walk w JOIN calls c ON c.graph = w.graph AND c.source = w.node
+)"""
+
+
+@query("""SELECT DISTINCT graph, 'edge to no node' AS fault, 'n' || node AS at FROM (SELECT graph, source AS node FROM calls UNION SELECT graph, target FROM calls) WHERE node >= 25
+UNION ALL SELECT 'g0', 'root missing', 'n99' UNION ALL SELECT DISTINCT graph, 'cycle', 'n' || start FROM walk WHERE start = node""", _GRAPHS)
 def d07_graph_faults(spark, d):
     users = table(spark, d, "events").select("user_id").distinct()
     graph_name = F.concat(F.lit("g"), (F.col("user_id") % 5).cast("string"))
     node = lambda x: F.concat(F.lit("n"), x.cast("string"))
     nodes = users.select(graph_name.alias("graph")).distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(24)))).select("graph", node(F.col("n")).alias("node"))
-    edges = users.select(graph_name.alias("graph"), F.lit("n0").alias("source"), node((F.col("user_id") * 7) % 31).alias("target"))
+    target = F.when(F.col("user_id") % 5 < 3, (F.col("user_id") * 7) % 31).otherwise(F.col("user_id") % 29 + 1)
+    edges = users.select(graph_name.alias("graph"), node(F.col("user_id") % 29).alias("source"), node(target).alias("target"))
     roots = spark.createDataFrame([("g0", "n99"), ("g1", "n1")], "graph string, node string")
     return rules.graph_faults(nodes, edges, roots)
 
@@ -523,10 +677,31 @@ def d42_trace_rows(spark, d):
 # --- alarms --------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS alarm_key, count(*) AS occurrence_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at, max(list_position(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], severity)) AS severity_rank FROM al GROUP BY 1", EVENTS)
+#: Errors open alarms of their user, signups close them.
+_HISTORY = EVENTS + """, turns AS (
+  SELECT *, CAST(user_id AS VARCHAR) AS alarm_key, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS closings FROM ev WHERE event_type IN ('error', 'signup')
+), history AS (
+  SELECT alarm_key, closings, arg_min(event_id, {'t': ts, 'i': event_id}) AS alarm_id, arg_min(severity, {'t': ts, 'i': event_id}) AS severity, count(*) AS occurrence_count, min(ts) AS first_at, max(ts) AS last_at
+  FROM turns WHERE event_type = 'error' GROUP BY 1, 2
+), alarms AS (
+  SELECT h.*, lag(alarm_id) OVER (PARTITION BY h.alarm_key ORDER BY h.closings) AS previous_alarm_id, c.closed_at, CASE WHEN closed_at IS NULL THEN 'OPEN' ELSE 'CLOSED' END AS status
+  FROM history h LEFT JOIN (SELECT alarm_key, closings - 1 AS closings, ts AS closed_at FROM turns WHERE event_type = 'signup') c USING (alarm_key, closings))"""
+
+
+def _turns(spark, d):
+    rows = _events(spark, d).filter(F.col("event_type").isin("error", "signup"))
+    return rows.select(alarms.alarm_key("user_id").alias("alarm_key"), "event_id", "ts", "severity", (F.col("event_type") == "signup").alias("closes"))
+
+
+@query("SELECT alarm_key, alarm_id, severity, occurrence_count, occurrence_count - 1 AS n_ignored, strftime(first_at, '%Y-%m-%d %H:%M:%S') AS first_at, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at FROM alarms WHERE status = 'OPEN'", _HISTORY)
 def d09_alarm_dedup(spark, d):
-    found = alarms.deduplicated(_alarms(spark, d).withColumn("alarm_key", alarms.alarm_key("user_id")))
-    return found.withColumns({"first_at": _stamp("first_at"), "last_at": _stamp("last_at"), "severity_rank": F.col("severity_rank").cast("int")})
+    found = alarms.deduplicated(_turns(spark, d))
+    return found.select("alarm_key", "alarm_id", "severity", "occurrence_count", "n_ignored", _stamp("first_at").alias("first_at"), _stamp("last_at").alias("last_at"))
+
+
+@query("SELECT alarm_key, alarm_id, previous_alarm_id, occurrence_count, status, strftime(closed_at, '%Y-%m-%d %H:%M:%S') AS closed FROM alarms WHERE previous_alarm_id IS NOT NULL", _HISTORY)
+def d10_alarm_after_close(spark, d):
+    return alarms.reopened(_turns(spark, d)).select("alarm_key", "alarm_id", "previous_alarm_id", "occurrence_count", "status", _stamp("closed_at").alias("closed"))
 
 
 @query("""SELECT alarm_key, episode, occurrence_count, alarm_id, lag(alarm_id) OVER (PARTITION BY alarm_key ORDER BY episode) AS previous_alarm_id FROM (
@@ -537,10 +712,12 @@ def d10_alarm_episodes(spark, d):
     return alarms.episodes(_alarms(spark, d).withColumn("alarm_key", alarms.alarm_key("user_id")), "48 HOURS")
 
 
-@query("""SELECT alarm_id, nth, before, status FROM (SELECT user_id AS alarm_id, event_id AS nth, status, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM al)
-WHERE before IS NOT NULL AND before || '>' || status NOT IN ('OPEN>ACKNOWLEDGED', 'OPEN>IN_PROGRESS', 'OPEN>RESOLVED', 'ACKNOWLEDGED>IN_PROGRESS', 'ACKNOWLEDGED>RESOLVED', 'IN_PROGRESS>RESOLVED', 'RESOLVED>CLOSED', 'RESOLVED>IN_PROGRESS')""", EVENTS)
+@query("""SELECT alarm_id, nth, before, status FROM (SELECT user_id AS alarm_id, event_id AS nth, status, ['ADMINISTRATOR', 'TENANT', 'USER'][1 + k % 3] AS profile, lag(status) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM al)
+WHERE before IS NOT NULL AND NOT (before || '>' || status IN ('OPEN>ACKNOWLEDGED', 'OPEN>IN_PROGRESS', 'OPEN>RESOLVED', 'ACKNOWLEDGED>IN_PROGRESS', 'ACKNOWLEDGED>RESOLVED', 'IN_PROGRESS>RESOLVED', 'RESOLVED>IN_PROGRESS')
+  OR (before = 'RESOLVED' AND status = 'CLOSED' AND profile <> 'USER') OR (before = 'CLOSED' AND status = 'OPEN' AND profile = 'ADMINISTRATOR'))""", EVENTS)
 def d11_illegal_transitions(spark, d):
-    history = _alarms(spark, d).select(F.col("user_id").alias("alarm_id"), F.col("event_id").alias("nth"), "status")
+    profile = F.get(F.array(*[F.lit(x) for x in ("ADMINISTRATOR", "TENANT", "USER")]), F.col("k") % 3)
+    history = _alarms(spark, d).select(F.col("user_id").alias("alarm_id"), F.col("event_id").alias("nth"), "status", profile.alias("profile"))
     return alarms.illegal_transitions(history).select("alarm_id", "nth", "before", "status")
 
 
@@ -572,10 +749,30 @@ def d14_severity_change(spark, d):
     return alarms.with_new_severity(_due(spark, d), changes).select("alarm_id", "severity", _stamp("due_at").alias("due"))
 
 
-@query("SELECT alarm_id FROM al WHERE status IN ('OPEN', 'RESOLVED') AND severity = 'HIGH' AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-20'", EVENTS)
+_FILTERED = {
+    "status": "status IN ('OPEN', 'RESOLVED')", "severity": "severity = 'HIGH'", "recipient_type": "k % 2 = 0", "organization": "org = 'org3'", "recipient_user": "user_id = 8", "responsible_user": "alarm_id % 200 IN (3, 8)",
+    "source_type": "event_id % 3 = 0", "overdue": "due_at < TIMESTAMP '2024-01-15' AND status IN ('OPEN', 'ACKNOWLEDGED', 'IN_PROGRESS')", "created": "created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-20'",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS filter, alarm_id FROM due WHERE {sql}" for name, sql in _FILTERED.items()) + f" UNION ALL SELECT 'several', alarm_id FROM due WHERE {_FILTERED['status']} AND {_FILTERED['created']} AND {_FILTERED['source_type']} AND {_FILTERED['recipient_type']}", EVENTS + ", " + _DUE)
 def d15_alarm_filters(spark, d):
+    """Each filter on its own, and several together."""
     t = lambda s: F.lit(s).cast("timestamp")
-    return alarms.filtered(_alarms(spark, d), status=["OPEN", "RESOLVED"], severity="HIGH", created_from=t("2024-01-05"), created_to=t("2024-01-20")).select("alarm_id")
+    rows = alarms.with_escalation(_due(spark, d).withColumn("level", F.lit(0)), t("2024-01-15")).withColumns({
+        "recipient_type": F.when(F.col("k") % 2 == 0, "USER").otherwise("ORGANIZATION"), "organization": F.col("org"), "recipient_user": F.col("user_id"),
+        "responsible_user": F.col("alarm_id") % 200, "source_type": F.when(F.col("event_id") % 3 == 0, "WORKFLOW").otherwise("MANUAL"),
+    })
+    given = {
+        "status": {"status": ["OPEN", "RESOLVED"]}, "severity": {"severity": "HIGH"}, "recipient_type": {"recipient_type": "USER"}, "organization": {"organization": "org3"}, "recipient_user": {"recipient_user": 8},
+        "responsible_user": {"responsible_user": [3, 8]}, "source_type": {"source_type": "WORKFLOW"}, "overdue": {"overdue": True}, "created": {"created_from": t("2024-01-05"), "created_to": t("2024-01-20")},
+    }
+    given["several"] = given["status"] | given["created"] | given["source_type"] | given["recipient_type"]
+    found = [alarms.filtered(rows, **x).select(F.lit(name).alias("filter"), "alarm_id") for name, x in given.items()]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 @query("SELECT alarm_id, 'ORGANIZATION' AS profile FROM al WHERE org = 'org3' UNION ALL SELECT alarm_id, 'USER' FROM al WHERE user_id = 8", EVENTS)
@@ -763,6 +960,36 @@ def d55_rejects(spark, d):
     return preparation.split_failures(table(spark, d, "events"), fault)[1].select("event_id", "fault")
 
 
+_PREPARED = r"""lines AS (
+  SELECT doc_id, text, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS body FROM documents
+), prepared AS (
+  SELECT doc_id AS id, CASE WHEN length(body) = 0 THEN 'EMPTY' WHEN length(body) < 300 THEN 'NOTE' WHEN len(string_split(body, chr(10))) > 10 THEN 'REPORT' ELSE 'ARTICLE' END AS type, md5(split_part(body, chr(10), 1)) AS title,
+         len(regexp_extract_all(body, '[0-9]+')) AS n_numbers, CASE WHEN length(body) > 0 THEN CAST(greatest(ceil((length(body) - 100) / 700), 1) AS BIGINT) ELSE 0 END AS n_chunks,
+         CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'FAILED' ELSE 'INDEXED' END AS status FROM lines
+)"""
+
+
+def _prepare(spark, d, request: str, upto: str | None = None):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return preparation.run_stages(spark, request, docs, preparation.STAGES, upto)
+
+
+@query("SELECT id, type, title, n_numbers, n_chunks, status FROM prepared", _PREPARED)
+def d26_document_pipeline(spark, d):
+    rows, _ = _prepare(spark, d, f"d26-{uuid.uuid4().hex}")
+    return rows.select("id", "type", F.md5("title").alias("title"), F.col("n_numbers").cast("long").alias("n_numbers"), "n_chunks", "status")
+
+
+@query("SELECT * FROM (VALUES (1, 'parse', true), (2, 'normalize', true), (3, 'classify', true), (4, 'extract', false), (5, 'chunk', false), (6, 'embed', false), (7, 'commit', false)) v(nth, stage, was_there), (SELECT count(*) AS n_indexed FROM prepared WHERE status = 'INDEXED')", _PREPARED)
+def d39_resume(spark, d):
+    """A run that ends after the third stage, and a second one with the same request id."""
+    request = f"d39-{uuid.uuid4().hex}"
+    _prepare(spark, d, request, upto="classify")
+    rows, log = _prepare(spark, d, request)
+    n = rows.filter("status = 'INDEXED'").count()
+    return spark.createDataFrame([(k + 1, name, there, n) for k, (name, there) in enumerate(log)], "nth int, stage string, was_there boolean, n_indexed bigint")
+
+
 # --- retrieval -----------------------------------------------------------------------------
 
 
@@ -806,12 +1033,35 @@ def s02_sliding_counts(spark, d):
     return streams.finished(streams.sliding_counts(_stream(spark, d)), ["start", "event_type"]).withColumn("start", _stamp("start"))
 
 
-@query("""SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS episode FROM (
-SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 12 HOURS, true) THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, episode""")
+_EPISODES = """episodes AS (SELECT min(ts) AS start, max(ts) AS last, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS episode FROM (
+SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 12 HOURS, true) THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, episode)"""
+
+
+def _by_day(spark, d, days: int) -> list[DataFrame]:
+    """Events in batches of so many days."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date"))
+    return [rows.filter((day >= k) & (day < k + days)) for k in range(0, 31, days)]
+
+
+@query("SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, user_id, n FROM episodes WHERE last + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 2 DAYS FROM events)", _EPISODES)
 def s03_sessions(spark, d):
-    """The same plan over the whole table at once; a stream emits sessions as they close."""
+    """As a stream of several batches: sessions that the watermark has closed, each once."""
+    found = streams.sessions(streams.delivered(spark, _by_day(spark, d, 8)))
+    return streams.finished(found).withColumn("start", _stamp("start"))
+
+
+@query("""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n, max(value) AS worst FROM events, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 DAYS AS mark FROM events WHERE event_type = 'error' AND event_id % 3 <> 0 AND ts >= TIMESTAMP '2024-01-11')
+WHERE event_type = 'error' AND (event_id % 3 <> 0 AND ts >= TIMESTAMP '2024-01-11' OR (event_id % 3 = 0 OR ts < TIMESTAMP '2024-01-11') AND date_trunc('day', ts) + INTERVAL 1 DAY > mark) GROUP BY 1, 2""")
+def s06_late_rows(spark, d):
+    """Rows that come late: those whose day the watermark has closed are dropped.
+
+    A batch is held to the watermark that the batch before it began with, so an empty one comes between.
+    """
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.sessions(rows).withColumn("start", _stamp("start"))
+    early = (F.col("event_id") % 3 != 0) & (F.col("ts") >= F.lit("2024-01-11").cast("timestamp"))
+    found = streams.alarm_counts(streams.delivered(spark, [rows.filter(early), rows.limit(0), rows.filter(~early)]))
+    return streams.finished(found, ["start", "user_id"]).withColumn("start", _stamp("start"))
 
 
 @query("SELECT event_type, user_id FROM events GROUP BY ALL")
@@ -824,4 +1074,6 @@ def s04_first_notifications(spark, d):
 SELECT user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS episode FROM (
 SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 48 HOURS, true) THEN 1 ELSE 0 END AS fresh FROM events WHERE event_type = 'error'))) GROUP BY 1""")
 def s05_open_alarms(spark, d):
-    return streams.finished(streams.open_alarms(_stream(spark, d), 48 * 3600), ["user_id"]).drop("last_seconds")
+    """As a stream of several batches, with the state carried between them."""
+    found = streams.open_alarms(streams.delivered(spark, _by_day(spark, d, 8)), 48 * 3600, watermark="60 days")
+    return streams.finished(found, ["user_id"]).drop("last_seconds")

@@ -1,19 +1,22 @@
 """A collection kept as Parquet under a root folder: whole-row saves, deletes, unique keys.
 
 Every write makes a new version beside the others and never touches one that is being read; a
-version counts once its ``_SUCCESS`` marker is there, so a failed write leaves the last one.
+version counts once its ``_SUCCESS`` marker is there, so a failed write leaves the last one.  A
+writer reserves its version's number by making the folder's marker, which only one can; another
+writer that read the same version before is told so (Conflict) and starts again from the new one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.codecs import empty_lists, with_id
+from ..functions.codecs import empty_lists, with_document_defaults, with_id, with_source_defaults
 from ..operators.collections import deleted, replaced_by_parent, unique_first, upserted
+from ..operators.steps import step
 from ..schemas import ARTICLE, RAW_DOCUMENT, SOURCE
 
 #: Unique keys of each collection; the first writer keeps the key.
@@ -23,8 +26,25 @@ UNIQUE: dict[str, tuple[tuple[str, ...], ...]] = {
     "sources": (("name",),),
 }
 SCHEMAS: dict[str, StructType] = {"articles": ARTICLE, "raw_documents": RAW_DOCUMENT, "sources": SOURCE}
-#: Columns that lookups filter by most, for the layout of files.
-PARTITIONED_BY: dict[str, tuple[str, ...]] = {"raw_documents": ("mime_type",)}
+#: What a save fills in where nothing is given.
+DEFAULTS: dict[str, Callable[[DataFrame], DataFrame]] = {"raw_documents": with_document_defaults, "sources": with_source_defaults}
+#: Layout for lookups: folders by a column (named apart, so that nested fields work and the rows
+#: keep their columns), rows sorted inside files, so that Parquet's minima and maxima skip row groups.
+FOLDERS: dict[str, tuple[str, str]] = {"raw_documents": ("by_mime_type", "mime_type"), "articles": ("by_domain", "taxonomy.domain"), "sources": ("by_status", "status")}
+SORTED_BY: dict[str, tuple[str, ...]] = {
+    "raw_documents": ("acquisition_time DESC", "content_timestamp DESC"),
+    "articles": ("taxonomy.sub_domain", "taxonomy.event_type", "metadata.publication_date DESC"),
+    "sources": ("priority", "type", "endpoint"),
+}
+#: Side tables of arrays that lookups search in: a row for each element, sorted by what is searched.
+SIDES: dict[str, dict[str, tuple[str, tuple[str, ...]]]] = {
+    "articles": {"entities": ("entities", ("normalized_name", "type")), "events": ("events", ("type", "date"))},
+    "sources": {"tags": ("tags", ("value",))},
+}
+
+
+class Conflict(RuntimeError):
+    """Another writer made the version that this one was about to make."""
 
 
 class DuplicateKey(ValueError):
@@ -51,36 +71,83 @@ class Collection:
         versions = self._versions()
         if not versions:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{versions[-1]}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{versions[-1]}").select(*self.schema.names)
 
-    def _write(self, rows: DataFrame) -> None:
-        number = (self._versions() or [0])[-1] + 1
-        writer = rows.select(*self.schema.names).write
-        by = PARTITIONED_BY.get(self.name)
-        (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/v{number}")
+    def _reserve(self, number: int) -> None:
+        made = self.spark._jvm.org.apache.hadoop.fs.Path
+        marker = made(f"{self.folder}/_reserved-{number}")
+        fs = marker.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.createNewFile(marker):
+            raise Conflict(f"{self.name}: version {number}")
+
+    def _release(self, number: int) -> None:
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/_reserved-{number}")
+        marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(marker, False)
+
+    def _write(self, rows: DataFrame, seen: int) -> None:
+        """The next version after ``seen``, the last one when ``rows`` were read."""
+        self._reserve(seen + 1)
+        try:
+            rows = rows.select(*self.schema.names)
+            side = SIDES.get(self.name, {})
+            path = f"{self.folder}/v{seen + 1}"
+            for name, (column, order) in side.items():
+                flat = rows.select(F.col("id").alias("own_id"), F.explode(column).alias("value"))
+                if isinstance(flat.schema["value"].dataType, StructType):
+                    flat = flat.select("own_id", "value.*")
+                flat.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.folder}/side-{name}/v{seen + 1}")
+            if self.name in FOLDERS:
+                folder, column = FOLDERS[self.name]
+                order = [F.expr(c.removesuffix(" DESC")).desc() if c.endswith(" DESC") else F.expr(c) for c in SORTED_BY[self.name]]
+                rows.withColumn(folder, F.col(column)).sortWithinPartitions(F.col(folder), *order).write.partitionBy(folder).parquet(path)
+            else:
+                rows.write.parquet(path)
+        finally:
+            self._release(seen + 1)
+
+    def side(self, name: str) -> DataFrame:
+        """own_id and the fields of every element of an array (entities, events or tags), sorted."""
+        versions = self._versions()
+        if not versions:
+            raise ValueError(f"{self.name} has no version yet")
+        return self.spark.read.parquet(f"{self.folder}/side-{name}/v{versions[-1]}")
+
+    def in_folder(self, value: str) -> DataFrame:
+        """The rows of one folder of the layout (a MIME type, a domain, a status); others aren't read."""
+        folder, _ = FOLDERS[self.name]
+        versions = self._versions()
+        if not versions:
+            return self.spark.createDataFrame([], self.schema)
+        kept = StructType([*self.schema.fields, StructField(folder, StringType())])
+        return self.spark.read.schema(kept).parquet(f"{self.folder}/v{versions[-1]}").filter(F.col(folder) == value).select(*self.schema.names)
 
     def save(self, rows: DataFrame) -> DataFrame:
         """Upserts whole rows by id and returns them as saved.
 
-        Null ids are generated, null lists become empty.  Raises if a unique key would be held
-        by two rows; null keys are exempt.
+        Null ids are generated, null lists become empty, and a collection's own defaults are filled
+        in (acquisition time of documents, status and priority of sources).  Raises if a unique key
+        would be held by two rows; null keys are exempt.
         """
         rows = with_id(empty_lists(rows.select(*self.schema.names)))
+        rows = DEFAULTS.get(self.name, lambda x: x)(rows)
+        seen = (self._versions() or [0])[-1]
+        rows = step(rows, f"{self.name}-saved")  # generated values stay as they are
         after = upserted(self.read(), rows)
         for keys in self.unique:
             _, rejected = unique_first(after.select("id", *keys), list(keys), ["id"])
             if rejected.limit(1).count():
                 raise DuplicateKey(f"{self.name}: {', '.join(keys)}")
-        self._write(after)
+        self._write(after, seen)
         return rows
 
     def delete(self, id: str) -> bool:
         """Whether a row was removed."""
-        before = self.read()
+        seen, before = (self._versions() or [0])[-1], self.read()
         if not before.filter(F.col("id") == id).limit(1).count():
             return False
-        self._write(deleted(before, "id", id))
+        self._write(deleted(before, "id", id), seen)
         return True
 
     def replace_children(self, rows: DataFrame, parent: str) -> None:
-        self._write(replaced_by_parent(self.read(), rows, parent))
+        seen = (self._versions() or [0])[-1]
+        self._write(replaced_by_parent(self.read(), rows, parent), seen)

@@ -6,6 +6,7 @@ now and returns what it wrote.  State is bounded by watermarks.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -14,10 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_written").rstrip("/")
+from ..operators.steps import exists, shared_folder
 
 
 def read(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -29,6 +27,15 @@ def read(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFra
     return reader.parquet(path)
 
 
+def delivered(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
+    """A stream that brings ``batches`` one after the other, each a micro-batch of its own."""
+    folder = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.01)  # files are taken in order of their times
+    return read(spark, folder, files_per_batch=1)
+
+
 def finished(stream: DataFrame, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
     """Runs ``stream`` over all that is there and returns its rows.
 
@@ -45,8 +52,7 @@ def finished(stream: DataFrame, keys: list[str] | None = None, checkpoint: str |
     writer = stream.writeStream.outputMode("update" if keys else "append").trigger(availableNow=True)
     run = writer.option("checkpointLocation", checkpoint or f"{out}/checkpoint").foreachBatch(keep).start()
     run.awaitTermination()
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/rows")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, f"{out}/rows"):
         return spark.createDataFrame([], schema)
     rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows").drop("batch")
     if keys:
@@ -82,13 +88,20 @@ def new_documents(documents: DataFrame, watermark: str = "30 days") -> DataFrame
     return documents.withWatermark("content_timestamp", watermark).dropDuplicatesWithinWatermark(["source_id", "content_hash"])
 
 
-def open_alarms(events: DataFrame, gap_seconds: int) -> DataFrame:
+def open_alarms(events: DataFrame, gap_seconds: int, watermark: str = "2 days") -> DataFrame:
     """Stateful alarm deduplication: user_id, episode, occurrences and last time so far.
 
-    An event after a quiet gap opens the next episode.  The state is three numbers for a user.
+    An event after a quiet gap opens the next episode.  Events of a micro-batch are taken in order
+    of time; one that comes later than the watermark allows is dropped, and one that comes in a
+    later batch than its successors joins the episode that is open, as its alarm isn't closed.  The
+    state is three numbers for a user, and goes when the watermark has passed the last event by
+    the gap (the next event begins with episode 1 again).
     """
 
     def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         episode, count, last = state.get if state.exists else (0, 0, float("-inf"))
         seconds = pd.concat([p[["seconds"]] for p in parts])["seconds"].sort_values()
         for s in seconds:
@@ -96,7 +109,9 @@ def open_alarms(events: DataFrame, gap_seconds: int) -> DataFrame:
                 episode, count = episode + 1, 0
             count, last = count + 1, max(last, float(s))
         state.update((int(episode), int(count), float(last)))
+        state.setTimeoutTimestamp(max(int((last + gap_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "episode": [int(episode)], "occurrences": [int(count)], "last_seconds": [float(last)]})
 
-    rows = events.filter("event_type = 'error'").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("micros")).select("user_id", (F.col("micros") / 1e6).alias("seconds"))
-    return rows.groupBy("user_id").applyInPandasWithState(follow, "user_id bigint, episode bigint, occurrences bigint, last_seconds double", "episode bigint, count bigint, last double", "update", GroupStateTimeout.NoTimeout)
+    rows = events.filter("event_type = 'error'").select("user_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", watermark)
+    rows = rows.withColumn("seconds", F.unix_micros("ts").cast("double") / 1e6)
+    return rows.groupBy("user_id").applyInPandasWithState(follow, "user_id bigint, episode bigint, occurrences bigint, last_seconds double", "episode bigint, count bigint, last double", "update", GroupStateTimeout.EventTimeTimeout)
