@@ -2,17 +2,32 @@
 each group of near-duplicates, mix sources to their weights, pack into sequences.
 
 Every stage takes what its predecessor kept, written as Parquet and read again, and all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``; intermediate tables of a stage go when it is written.
+
+Defined results
+    null or empty text     scored by the measures of no words, and so rejected or kept; has no lines
+                           and no copies; the mix takes nothing of size 0
+    very long text         scored and hashed in pieces, split by line, tokenized by one task
+    repeated rows, ties    exact copies lose all their lines in the second stage if they have three
+                           lines or fifty words; others go in the third, but rows of one doc_id
+                           with different texts, which all stay; the mix takes a document twice
+                           at most
+    null doc_id            never trained on; kept by the third stage, but for equal texts
+    null source            a source of its own
+    empty tables           no rows; without usable labels every document is kept
+    other columns          kept by all stages but the last.  Names that begin with two underscores
+                           are reserved
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm import lines, minhash, mixing, packing, quality
-from quarrylens.llm._spark import written
+from quarrylens.llm._spark import finished
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +69,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = finished(spark, f"stage-{name}", partial(stage, spark, docs, sf_dir))
+    return docs
