@@ -12,6 +12,7 @@ from ..functions import codecs
 from ..functions.text import canonical_url, normal_title
 from ..operators import acquisition, alarms, collections, enrichment, finders, graph, notifications, preparation, retrieval, rules
 from ..operators.steps import shared_folder
+from ..sources.connectors import JsonLinesConnector
 from ..sources.store import SCHEMAS as COLLECTION_SCHEMAS
 from ..sources.store import Collection
 from ..schemas import ARTICLE as ARTICLE_SCHEMA
@@ -364,6 +365,68 @@ def i43_json_rows(spark, d):
     return codecs.from_json_lines(lines, schema).select("user_id", "event_type", "props.k")
 
 
+@query("SELECT 'id' AS argument, 'id must not be null' AS message UNION ALL SELECT 'limit', 'limit must not be null'")
+def i39_null_guard(spark, d):
+    """Lookups by a null argument say which it is."""
+    said = []
+    for name, ask in (("id", lambda: finders.by_id(sources(spark, d), None)), ("limit", lambda: finders.required(None, "limit"))):
+        try:
+            ask()
+        except ValueError as e:
+            said.append((name, str(e)))
+    return spark.createDataFrame(said, "argument string, message string")
+
+
+@query("SELECT 0 AS before, count(*) AS after FROM sources", VIEWS)
+def i40_open_collection(spark, d):
+    """A collection opened under a new root is empty, and is there for another that opens it later."""
+    first = _collection(spark, "sources")
+    before = first.read().count()
+    first.save(_filled(sources(spark, d).drop("authentication"), first.schema))
+    again = Collection(spark, first.folder.rsplit("/", 1)[0], "sources")
+    return again.read().agg(F.lit(before).cast("int").alias("before"), F.count("*").alias("after"))
+
+
+@query("SELECT id, CAST(status AS VARCHAR) AS status, priority, strftime(last_execution, '%Y-%m-%dT%H:%M:%SZ') AS run, tags[1] AS tag FROM sources", VIEWS)
+def i42_row_as_document(spark, d):
+    """Rows as JSON documents, and back by their fields."""
+    rows = sources(spark, d).withColumn("run", codecs.format_instant(F.col("last_execution"))).select("id", "status", "priority", "run", "tags")
+    text = lambda path: F.get_json_object("value", f"$.{path}")
+    return codecs.to_json_lines(rows).select(text("id").alias("id"), text("status").alias("status"), text("priority").cast("int").alias("priority"), text("run").alias("run"), text("tags[0]").alias("tag"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS instant FROM events")
+def i44_instants(spark, d):
+    """Instants to text and back; what is no instant is null."""
+    text = F.when(F.col("event_id") % 13 != 0, codecs.format_instant(F.col("ts").cast("timestamp"))).otherwise("yesterday")
+    return table(spark, d, "events").select("event_id", codecs.format_instant(codecs.parse_instant(text)).alias("instant"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS n_entities, 0 AS n_topics, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS n_events FROM documents")
+def i49_empty_lists(spark, d):
+    """Lists that a document doesn't have, or has as null, are empty, in nested parts too."""
+    some = F.when(F.col("doc_id") % 3 == 0, F.lit('"entities":null,')).otherwise('"entities":[{"id":"e"}],"events":[{"id":"v"}],')
+    lines = table(spark, d, "documents").select(F.concat(F.lit('{"id":"'), "doc_id", F.lit('",'), some, F.lit('"taxonomy":{"domain":"x"}}')).alias("value"))
+    rows = codecs.empty_lists(codecs.from_json_lines(lines, ARTICLE_SCHEMA))
+    return rows.select(F.col("id").cast("long").alias("doc_id"), F.size("entities").alias("n_entities"), F.size("taxonomy.topics").alias("n_topics"), F.size("events").alias("n_events"))
+
+
+@query("SELECT id, CASE WHEN priority = 0 THEN 'ENABLED' ELSE status END AS status FROM sources", VIEWS)
+def i50_status_default(spark, d):
+    given = sources(spark, d).select("id", F.when(F.col("priority") != 0, F.col("status")).alias("status"), "priority")
+    return codecs.with_source_defaults(given).select("id", "status")
+
+
+@query("SELECT doc_id, 'sha256:' || sha256('{\"url\":\"doc://' || doc_id || '\",\"lang\":\"' || lang || '\"}') AS content_hash, 'application/json' AS mime_type FROM documents")
+def i52_fetched_posts(spark, d):
+    """What the connector of JSON lines delivers from a folder of posts."""
+    folder = f"{shared_folder(spark)}/posts-{uuid.uuid4().hex}"
+    posts = table(spark, d, "documents").select(F.concat(F.lit('{"url":"doc://'), "doc_id", F.lit('","lang":"'), "lang", F.lit('"}')).alias("value"))
+    posts.write.text(folder)
+    rows = JsonLinesConnector().fetch(spark, "posts", folder)
+    return rows.select(F.substring("original_uri", 7, 20).cast("long").alias("doc_id"), "content_hash", "mime_type")
+
+
 @query("SELECT 'ONLINE: ' || name || ' ' || 'example.org' || ':' || (8000 + priority) AS probe FROM sources", VIEWS)
 def i58_probe_text(spark, d):
     return sources(spark, d).select(codecs.probe_text(F.lit("ONLINE"), F.col("name"), F.lit("example.org"), 8000 + F.col("priority")).alias("probe"))
