@@ -1,17 +1,20 @@
-"""Exact top-k search by BM25: an inverted index for each shard, block-max pruning, exact merge.
+"""Exact top-k search by BM25: an inverted index for each shard, block-max WAND, exact merge.
 
 1.  A task turns the documents it reads into shards of some millions of words.  A shard holds
-    its documents' terms and counts in order of documents that are alike (most frequent term,
-    then length), so that blocks of documents have tight maxima.  Shards are written once.
+    inverted lists over documents in order of length, so that blocks of documents have tight
+    maxima.  Shards are written once.
 2.  Global statistics: documents, mean length, and each term's document frequency, summed over
     all shards.
-3.  Queries (whole texts) get their terms' global weights and are put in blocks of bounded size;
-    one block at a time is sent to all shards.
-4.  In a shard, a query's terms have inverted lists with the greatest weight in every block of
-    documents.  The sums of these bound each block's scores.  Blocks are scored from the highest
-    bound down, and those whose bound stays under the k-th best score so far are never scored.
-    Where the bounds can't rule out most blocks, the lists are summed outright.
-5.  Every shard's best k merge to the exact best k of all.
+3.  Queries (whole texts) get their terms' global weights and are put in blocks of a bounded
+    number of terms; one block at a time is sent to all shards.
+4.  A shard takes a batch of the block's queries at once.  The short lists of a query's terms are
+    read, and give every document in them a partial score.  The best of these documents are
+    scored in full, which sets the query's threshold, unless an earlier shard of the task has set
+    a higher one already.
+5.  Block-max WAND: the long lists are not read, but bounded by their maxima in each block of
+    documents.  A document is a pivot if its partial score and the bounds of its block together
+    reach the threshold; the other documents are passed over.  Only pivots are scored in full.
+6.  Every shard's best k merge to the exact best k of all.
 
 Scores count to six decimals; equal scores are ranked by doc_id.  Words are lower-cased A-Z runs
 of ``[^\\x20\\x09-\\x0D]+``; a word that a query repeats weighs as often as it stands there.
@@ -19,10 +22,12 @@ of ``[^\\x20\\x09-\\x0D]+``; a word that a query repeats weighs as often as it s
 Defined results
     null or empty text     never found; as a query it has no results
     no word in common      not a result, so a query may have fewer than k
+    very long text         one document of a shard that may be all its own; as a query, all its terms
+    ties                   equal scores by doc_id; of repeated rows as many as fit
     repeated rows          each is a document (tied), and each is a query of its own
     null doc_id            found, ranked after equal scores; never a query
     empty table            no rows
-    other columns          ignored
+    other columns          ignored.  doc_id is a whole number
 """
 
 from __future__ import annotations
@@ -40,9 +45,12 @@ from ._words import hashed_texts
 
 K = 10
 K1, B = 1.2, 0.75
-SHARD_WORDS = 8_000_000
-BLOCK_DOCS = 64
-QUERY_BLOCK = 2048
+SHARD_WORDS = 4_000_000
+BLOCK_DOCS = 16
+LONG_LISTS = 8  # a list is long if it has more than this part of the shard's documents
+SEEDS = 3  # documents scored for the first threshold, in terms of k
+BATCH_CELLS = 1 << 19  # partial scores that are kept at once
+QUERY_TERMS = 2_000_000  # of a block of queries, 16 bytes each
 DECIMALS = 6
 _NO_ID = -(1 << 63)  # stands for a null doc_id inside a shard
 
@@ -61,24 +69,26 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndar
                     yield int(ids[row + k]), *_terms(words[offsets[k] : offsets[k + 1]])
 
 
-_SHARD = ["ids", "lengths", "ends", "vocabulary", "frequencies", "terms", "counts"]
-_TYPES = {"ids": np.int64, "lengths": np.int32, "ends": np.int64, "vocabulary": np.int64, "frequencies": np.int32, "terms": np.int32, "counts": np.int32}
+_SHARD = ["ids", "lengths", "vocabulary", "frequencies", "docs", "counts"]
+_TYPES = {"ids": np.int64, "lengths": np.int32, "vocabulary": np.int64, "frequencies": np.int32, "docs": np.int32, "counts": np.int32}
 
 
 def _shard(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     lengths = np.array([c.sum() for _, _, c in docs])
-    likeness = np.array([t[c.argmax()] for _, t, c in docs])
-    docs = [docs[k] for k in np.lexsort((lengths, likeness))]
+    by_length = np.argsort(lengths, kind="stable")
+    docs = [docs[k] for k in by_length]
     flat = np.concatenate([t for _, t, _ in docs])
-    vocabulary, terms, frequencies = np.unique(flat, return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for _, t, _ in docs])
+    order = np.argsort(flat, kind="stable")  # lists by term, documents in order
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     parts = {
         "ids": np.array([i for i, _, _ in docs]),
-        "lengths": np.array([c.sum() for _, _, c in docs]),
-        "ends": np.cumsum([len(t) for _, t, _ in docs]),
-        "vocabulary": vocabulary,
-        "frequencies": frequencies,
-        "terms": terms,
-        "counts": np.concatenate([c for _, _, c in docs]),
+        "lengths": lengths[by_length],
+        "vocabulary": flat[first],
+        "frequencies": np.diff(np.append(first, len(flat))),
+        "docs": of[order],
+        "counts": np.concatenate([c for _, _, c in docs])[order],
     }
     columns = [pa.array([len(docs)], pa.int64()), pa.array([int(lengths.sum())], pa.int64())]
     return pa.RecordBatch.from_arrays([*columns, *[pa.array([parts[c].astype(_TYPES[c]).tobytes()], pa.binary()) for c in _SHARD]], ["n_docs", "n_words", *_SHARD])
@@ -114,83 +124,66 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
 
 class _Shard:
-    """A shard as arrays: documents with their terms, inverted lists, block maxima."""
+    """A shard as arrays: inverted lists with weights, and for the long ones block maxima and a
+    table of weights by document."""
 
     def __init__(self, row: dict, mean_length: float):
         part = {c: np.frombuffer(row[c], _TYPES[c]) for c in _SHARD}
-        self.ids, self.vocabulary, self.terms = part["ids"], part["vocabulary"], part["terms"]
+        self.ids, self.vocabulary, self.docs = part["ids"], part["vocabulary"], part["docs"]
         n = len(self.ids)
-        self.starts = np.concatenate([[0], part["ends"][:-1]])
-        self.ends = part["ends"]
-        doc = np.repeat(np.arange(n, dtype=np.int32), self.ends - self.starts)
         damp = K1 * (1 - B + B * part["lengths"] / mean_length)
-        self.weight = part["counts"] * (K1 + 1) / (part["counts"] + damp[doc])
-        order = np.argsort(self.terms, kind="stable")
-        self.list_docs, self.list_weight = doc[order], self.weight[order]
-        self.list_at = np.concatenate([[0], np.cumsum(part["frequencies"])])
-        block = self.list_docs // BLOCK_DOCS
-        sorted_terms = self.terms[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(sorted_terms) != 0) | (np.diff(block) != 0)]))
-        self.max_block, self.max_weight = block[first], np.maximum.reduceat(self.list_weight, first)
-        self.max_at = np.searchsorted(sorted_terms[first], np.arange(len(self.vocabulary) + 1))
-        self.blocks = -(-n // BLOCK_DOCS)
-        self.dense = np.zeros(len(self.vocabulary))
-
-    def bounds(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The most that a document of each block can score."""
-        many = self.max_at[at + 1] - self.max_at[at]
-        which = np.repeat(self.max_at[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        return np.bincount(self.max_block[which], self.max_weight[which] * np.repeat(weights, many), minlength=self.blocks)
-
-    def score_block(self, block: int) -> np.ndarray:
-        a, b = block * BLOCK_DOCS, min((block + 1) * BLOCK_DOCS, len(self.ids))
-        span = slice(self.starts[a], self.ends[b - 1])
-        return np.add.reduceat(self.dense[self.terms[span]] * self.weight[span], self.starts[a:b] - self.starts[a])
-
-    def score_all(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.ids))
-        for t, w in zip(at, weights):
-            span = slice(self.list_at[t], self.list_at[t + 1])
-            out[self.list_docs[span]] += self.list_weight[span] * w
-        return out
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best k; more if more tie with the k-th."""
+        self.weight = part["counts"] * (K1 + 1) / (part["counts"] + damp[self.docs])
+        self.at = np.concatenate([[0], np.cumsum(part["frequencies"])])
+        long = np.flatnonzero(part["frequencies"] * LONG_LISTS > n)
+        self.column = np.full(len(self.vocabulary), -1, np.int64)
+        self.column[long] = np.arange(len(long))
+        self.long = np.zeros((n, len(long)))
+        for k, t in enumerate(long):
+            span = slice(self.at[t], self.at[t + 1])
+            self.long[self.docs[span], k] = self.weight[span]
+        self.blocks = np.arange(n) // BLOCK_DOCS
+        self.most = np.maximum.reduceat(self.long, np.arange(0, n, BLOCK_DOCS), axis=0)
+
+    def best(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the best ``k`` for each query 0, 1, ... of the batch; none below
+        ``least``, the thresholds so far, which are raised."""
+        n, many = len(self.ids), len(least)
         at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
         here = self.vocabulary[at] == terms
-        at, weights = at[here], weights[here]
-        if not len(at):
-            return self.ids[:0], weights[:0]
-        bounds = self.bounds(at, weights)
-        order = np.argsort(-bounds, kind="stable")
+        query, at, weights = query[here], at[here], weights[here]
+        column = self.column[at]
+        # short lists are read
+        short = column < 0
+        start, size = self.at[at[short]], self.at[at[short] + 1] - self.at[at[short]]
+        which = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]])[: len(size)], size) + np.arange(size.sum())
+        cell = np.repeat(query[short] * n, size) + self.docs[which]
+        partial = np.bincount(cell, self.weight[which] * np.repeat(weights[short], size), minlength=many * n).reshape(many, n)
+        # long lists are bounded by block
+        ask = np.zeros((many, self.long.shape[1]))
+        ask[query[~short], column[~short]] = weights[~short]
+        bound = partial + (ask @ self.most.T)[:, self.blocks]
         slack = 10.0**-DECIMALS
-        self.dense[at] = weights
-        docs, scores, least, done = [], [], -np.inf, 0
-        while done < len(order) and bounds[order[done]] >= least - slack:
-            left = int(np.searchsorted(-bounds[order], slack - least, side="right")) - done if done else len(order)
-            if done >= 8 and left > 0.25 * self.blocks:
-                docs, scores = [np.arange(len(self.ids))], [self.score_all(at, weights)]
-                break
-            for block in order[done : done + 8]:
-                got = self.score_block(int(block))
-                docs.append(np.arange(block * BLOCK_DOCS, block * BLOCK_DOCS + len(got)))
-                scores.append(got)
-            done += 8
-            flat = np.concatenate(scores)
-            if len(flat) >= k:
-                least = np.partition(flat, len(flat) - k)[len(flat) - k]
-        self.dense[at] = 0
-        docs, scores = np.concatenate(docs), np.round(np.concatenate(scores), DECIMALS)
-        found = scores > 0
-        docs, scores = docs[found], scores[found]
-        if len(scores) > k:
-            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            docs, scores = docs[keep], scores[keep]
-            if len(scores) > k:  # ties at the end: the lower ids
-                ids = np.where(self.ids[docs] == _NO_ID, (1 << 63) - 1, self.ids[docs])
-                first = np.lexsort((ids, -scores))[:k]
-                docs, scores = docs[first], scores[first]
-        return self.ids[docs], scores
+        out = []
+        for q in range(many):
+            seeds = np.argpartition(partial[q], n - SEEDS * k)[n - SEEDS * k :] if n > SEEDS * k else np.arange(n)
+            if len(seeds) >= k:
+                scores = partial[q, seeds] + self.long[seeds] @ ask[q]
+                least[q] = max(least[q], np.partition(scores, len(scores) - k)[len(scores) - k])
+            pivots = np.flatnonzero(bound[q] >= max(least[q] - slack, slack / 10))
+            scores = np.round(partial[q, pivots] + self.long[pivots] @ ask[q], DECIMALS)
+            found = scores > 0
+            docs, scores = pivots[found], scores[found]
+            if len(scores) > k:
+                keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+                docs, scores = docs[keep], scores[keep]
+                if len(scores) > k:  # ties at the end: the lower ids
+                    ids = np.where(self.ids[docs] == _NO_ID, (1 << 63) - 1, self.ids[docs])
+                    first = np.lexsort((ids, -scores))[:k]
+                    docs, scores = docs[first], scores[first]
+            if len(scores) == k:
+                least[q] = max(least[q], scores.min() - slack)
+            out.append((self.ids[docs], scores))
+        return out
 
 
 def top_k(docs: DataFrame, is_query: Column, k: int = K, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -207,7 +200,7 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K, shard_words: int = SHAR
 
     queries = asked.mapInArrow(words_of, "query_id bigint, nth bigint, terms array<bigint>, counts array<bigint>")
     queries = written(queries.withColumn("query", F.monotonically_increasing_id()), "search-queries")
-    n_blocks = -(-queries.count() // QUERY_BLOCK)
+    n_blocks = -(-(queries.agg(F.sum(F.size("terms"))).first()[0] or 0) // QUERY_TERMS)
     terms = queries.select("query", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("query", F.col("x.terms").alias("term"), F.col("x.counts").alias("count"))
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = terms.join(document_frequencies(index), "term").select("query", "term", (F.col("count") * idf).alias("weight"), F.pmod(F.xxhash64("query"), F.lit(max(n_blocks, 1))).alias("block"))
@@ -218,10 +211,11 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K, shard_words: int = SHAR
         packed = [query.astype(np.int64), np.append(ends[1:], len(part)).astype(np.int64), part["term"].to_numpy(np.int64), part["weight"].to_numpy(np.float64)]
         return pd.DataFrame([[part["block"].iloc[0], *(x.tobytes() for x in packed)]], columns=["block", "queries", "ends", "terms", "weights"])
 
+    # a block has about QUERY_TERMS terms (more if a single query has)
     blocks = written(weighted.groupBy("block").applyInPandas(together, "block bigint, queries binary, ends binary, terms binary, weights binary"), "search-blocks")
     found = None
     for number in range(n_blocks):
-        block = blocks.filter(F.col("block") == number).first()  # about QUERY_BLOCK queries
+        block = blocks.filter(F.col("block") == number).first()
         if block is None:
             continue
         sent = docs.sparkSession.sparkContext.broadcast({c: bytes(block[c]) for c in ("queries", "ends", "terms", "weights")})
@@ -230,13 +224,17 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K, shard_words: int = SHAR
             own = sent.value
             query, ends = np.frombuffer(own["queries"], np.int64), np.frombuffer(own["ends"], np.int64)
             term, weight = np.frombuffer(own["terms"], np.int64), np.frombuffer(own["weights"], np.float64)
+            least = np.zeros(len(query))  # kept from shard to shard
             for batch in batches:
                 for n in range(len(batch)):
                     shard = _Shard({c: batch.column(c)[n].as_py() for c in _SHARD}, mean)
-                    out = []
-                    for q, a, b in zip(query, np.concatenate([[0], ends[:-1]]), ends):
-                        ids, scores = shard.best(term[a:b], weight[a:b], k)
-                        out.append((np.full(len(ids), q), ids, scores))
+                    width, out = max(1, BATCH_CELLS // len(shard.ids)), []
+                    for a in range(0, len(query), width):
+                        b = min(a + width, len(query))
+                        span = slice(ends[a - 1] if a else 0, ends[b - 1])
+                        of = np.repeat(np.arange(b - a), np.diff(ends[a:b], prepend=span.start))
+                        for q, (ids, scores) in zip(query[a:b], shard.best(of, term[span], weight[span], least[a:b], k)):
+                            out.append((np.full(len(ids), q), ids, scores))
                     if out:
                         q, ids, scores = (np.concatenate(x) for x in zip(*out))
                         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, mask=ids == _NO_ID), pa.array(scores)], ["query", "doc_id", "score"])
