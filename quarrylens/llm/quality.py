@@ -13,11 +13,15 @@ A network of two layers (numpy) reads the pooled vector and a few plain measures
 words, and gives a logit.  On rows set aside from training, a temperature is fitted that makes
 the probabilities match the labels.
 
-Training sees a bounded sample of labelled rows (``sample``, chosen by hash of the text); every
-document is scored, whole.  lang, source and doc_id are never inputs.
+Training sees a bounded sample of labelled rows (``sample``, chosen by hash of doc_id) and runs in
+one task, which gets that sample's pooled vectors and nothing else; the driver only passes its
+weights on.  Every document is scored, whole.  lang, source and doc_id are never inputs.
 
 Defined results
     null or empty text     scored like any text, by the measures of no words
+    very long text         pooled a piece of about a megabyte after the other (pieces end between
+                           words where they can), so memory doesn't grow with it; neighbours
+                           across the border of two pieces don't count
     labels                 null quality and ids without a document are ignored; an id labelled
                            more than once takes each label
     no usable labels       score 0.5 for every row
@@ -29,6 +33,7 @@ Defined results
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import text_column
-from ._words import hash_spans, hashed_texts, mix, text_bytes, word_spans
+from ._words import hash_spans, hashed_texts, mix, pieces, text_bytes, word_spans
 
 DIMENSIONS = 128  # of each pooled vector
 CONTEXTS = 4096  # places of the table of context vectors
@@ -88,8 +93,8 @@ def neighbour_sums(words: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
-def context_vectors(docs: DataFrame) -> np.ndarray:
-    """The table of unit context vectors over all of ``docs``: CONTEXTS rows at any corpus size."""
+def context_vectors(docs: DataFrame) -> DataFrame:
+    """One row, ``table``: unit context vectors over all of ``docs``, CONTEXTS rows at any corpus size."""
     names = [f"d{k}" for k in range(CONTEXT_DIMENSIONS)]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,20 +105,23 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
         table = total.reshape(CONTEXTS, CONTEXT_DIMENSIONS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS, dtype=np.int32)), *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(CONTEXT_DIMENSIONS)]], ["place", *names])
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((CONTEXTS, CONTEXT_DIMENSIONS))
+        for batch in batches:
+            table[batch.column(0).to_numpy()] = np.column_stack([batch.column(k + 1).to_numpy() for k in range(CONTEXT_DIMENSIONS)])
+        yield pa.RecordBatch.from_arrays([pa.array([_unit(table).astype(np.float32).tobytes()], pa.binary())], ["contexts"])
+
     parts = docs.select(text_column(docs).alias("text")).mapInArrow(sums, "place int, " + ", ".join(f"{n} bigint" for n in names))
-    rows = parts.groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).collect()
-    table = np.zeros((CONTEXTS, CONTEXT_DIMENSIONS))
-    for r in rows:
-        table[r["place"]] = r[1:]
-    return _unit(table).astype(np.float32)
+    rows = parts.groupBy("place").agg(*[F.sum(n).alias(n) for n in names])  # at most CONTEXTS rows
+    return rows.repartition(1).mapInArrow(together, "contexts binary")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def pooled(data: np.ndarray, offsets: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Features of the texts at ``offsets`` of a byte buffer, one row each."""
+def summed(data: np.ndarray, offsets: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Sums over the texts at ``offsets`` of a byte buffer, one row each; those of a text's pieces add up."""
     n = len(offsets) - 1
     starts, ends = word_spans(data, offsets)
     docs = np.searchsorted(offsets, starts, side="right") - 1
@@ -129,22 +137,26 @@ def pooled(data: np.ndarray, offsets: np.ndarray, contexts: np.ndarray) -> np.nd
             shape = shape * np.uint64(64) + kinds[at].astype(np.uint64) + np.uint64(1)
         shape = shape * np.uint64(64) + kinds[starts].astype(np.uint64)
         shape = shape * np.uint64(8) + np.minimum(length // 3, 7).astype(np.uint64)
-    count = np.bincount(docs, minlength=n).astype(np.float64)
-    own = np.maximum(count, 1)[:, None]
     near = np.flatnonzero(docs[1:] == docs[:-1]) if len(docs) else np.zeros(0, np.int64)
     pair = mix(shape[near] * np.uint64(0x9E3779B97F4A7C15) ^ shape[near + 1]) if len(near) else np.zeros(0, np.uint64)
     same = np.bincount(docs[near], (words[near] == words[near + 1]).astype(np.float64), minlength=n)
     sums = [_index(words, docs, n, 0x11), _index(tails, docs, n, 0x22), _index(shape, docs, n, 0x33), _index(pair, docs[near], n, 0x44)]
     places = np.bincount(docs * CONTEXTS + (words & np.uint64(CONTEXTS - 1)).astype(np.int64), minlength=n * CONTEXTS).reshape(n, CONTEXTS)
     sums.append(places.astype(np.float32) @ contexts)
+    bytes_where = lambda where: np.bincount(np.searchsorted(offsets, np.flatnonzero(where), side="right") - 1, minlength=n)
+    plain = [np.bincount(docs, minlength=n), np.diff(offsets), np.bincount(docs, length.astype(np.float64), minlength=n), same, bytes_where(data == 10), bytes_where(kinds >= 8), *[bytes_where(kinds == k) for k in (0, 1, 2, 5)]]
+    return np.column_stack([*sums, *plain]).astype(np.float64)
+
+
+def features(total: np.ndarray) -> np.ndarray:
+    """Features from the sums of whole texts: pooled vectors, their directions, plain measures."""
+    *sums, plain = np.split(total, np.cumsum([DIMENSIONS] * 4 + [CONTEXT_DIMENSIONS]), axis=1)
+    count, size, letters, same, breaks, marks = plain[:, :6].T
+    own, per_byte = np.maximum(count, 1)[:, None], np.maximum(size, 1)
     # the pooled vector's length against the count says how varied the words are
     spread = [np.linalg.norm(x, axis=1, keepdims=True) / own for x in sums]
-    by_class = [np.bincount(np.searchsorted(offsets, np.flatnonzero(kinds == k), side="right") - 1, minlength=n) / np.maximum(np.diff(offsets), 1) for k in (0, 1, 2, 5)]
-    marks = np.bincount(np.searchsorted(offsets, np.flatnonzero(kinds >= 8), side="right") - 1, minlength=n) / np.maximum(np.diff(offsets), 1)
-    breaks = np.bincount(np.searchsorted(offsets, np.flatnonzero(data == 10), side="right") - 1, minlength=n) / own[:, 0]
-    mean = np.bincount(docs, length.astype(np.float64), minlength=n) / own[:, 0]
-    plain = np.column_stack([np.log1p(count), np.log1p(np.diff(offsets)), mean, same / own[:, 0], breaks, marks, *by_class])
-    return np.hstack([*[x / own for x in sums], *[_unit(x) for x in sums], *spread, plain]).astype(np.float32)
+    measures = np.column_stack([np.log1p(count), np.log1p(size), letters / own[:, 0], same / own[:, 0], breaks / own[:, 0], marks / per_byte, plain[:, 6:] / per_byte[:, None]])
+    return np.hstack([*[x / own for x in sums], *[_unit(x) for x in sums], *spread, measures]).astype(np.float32)
 
 
 def feature_rows(column: pa.Array, contexts: np.ndarray) -> Iterator[np.ndarray]:
@@ -153,7 +165,12 @@ def feature_rows(column: pa.Array, contexts: np.ndarray) -> Iterator[np.ndarray]
     row, rows = 0, len(offs) - 1
     while row < rows:
         last = min(max(int(np.searchsorted(offs, offs[row] + SLICE_BYTES, side="right")) - 1, row + 1), rows, row + SLICE_ROWS)
-        yield pooled(data[offs[row] : offs[last]], offs[row : last + 1] - offs[row], contexts)
+        part = data[offs[row] : offs[last]]
+        if last == row + 1 and len(part) > SLICE_BYTES:
+            total = sum(summed(part[a:b], np.array([0, b - a]), contexts) for a, b in pieces(part, SLICE_BYTES, 2 * SLICE_BYTES))
+        else:
+            total = summed(part, offs[row : last + 1] - offs[row], contexts)
+        yield features(total)
         row = last
 
 
@@ -177,6 +194,20 @@ class Network:
             loss = [-np.mean(np.log(np.clip(np.where(y[aside] > 0, p, 1 - p), 1e-9, 1))) for p in (_sigmoid(logits / t) for t in grid)]
             self.temperature = float(grid[int(np.argmin(loss))])
 
+    def weights(self) -> bytes:
+        """What scoring needs, as bytes."""
+        out = io.BytesIO()
+        np.savez(out, self.mean, self.scale, np.array(self.temperature), *[p for layers in self.layers for p in layers])
+        return out.getvalue()
+
+    @classmethod
+    def of(cls, weights: bytes) -> Network:
+        have = list(np.load(io.BytesIO(weights)).values())
+        self = cls.__new__(cls)
+        self.mean, self.scale, self.temperature = have[0], have[1], float(have[2])
+        self.layers = [have[k : k + 4] for k in range(3, len(have), 4)]
+        return self
+
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         z = x - self.mean
         z /= self.scale
@@ -216,8 +247,10 @@ def held_out_rows(doc_id, folds: int = FOLDS):
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, contexts: np.ndarray, sample: int = SAMPLE) -> Network | None:
-    """A network fitted on at most ``sample`` labelled rows that aren't held out."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, np.ndarray]:
+    """A network fitted on at most ``sample`` labelled rows that aren't held out, and the context vectors."""
+    table = np.frombuffer(bytes(context_vectors(docs).first()["contexts"]), np.float32)  # CONTEXTS rows, a megabyte
+    contexts = table.reshape(CONTEXTS, CONTEXT_DIMENSIONS)
     marks = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).filter("label IN (0, 1)")
     marks = marks.filter(~held_out_rows(F.col("id")))
     rows = marks.select("id", "label", F.xxhash64(F.col("id").cast("string")).alias("nth")).orderBy("nth", "id", "label").limit(sample)
@@ -229,21 +262,25 @@ def trained(docs: DataFrame, labels: DataFrame, contexts: np.ndarray, sample: in
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for part in found for x in part], pa.binary()), batch.column(1), batch.column(2)], ["x", "label", "nth"])
 
-    got = known.select("text", "label", "nth").mapInArrow(featured, "x binary, label int, nth bigint").collect()
-    if not got:
-        return None
-    got.sort(key=lambda r: (r["nth"], r["label"], bytes(r["x"])))
-    y = np.array([r["label"] for r in got], np.float32)
-    x = np.empty((len(got), len(got[0]["x"]) // 4), np.float32)
-    for k in range(len(got)):
-        x[k], got[k] = np.frombuffer(got[k]["x"], np.float32), None  # rows go as they are copied
-    return Network(x, y)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), batch.column(0).to_pylist())]
+        got.sort()
+        y = np.array([label for _, label, _ in got], np.float32)
+        if len(got):
+            x = np.empty((len(got), len(got[0][2]) // 4), np.float32)
+            for k in range(len(got)):
+                x[k], got[k] = np.frombuffer(got[k][2], np.float32), None  # rows go as they are copied
+            yield pa.RecordBatch.from_arrays([pa.array([Network(x, y).weights()], pa.binary())], ["weights"])
+
+    # the sample's rows meet in one task: `sample` rows of some 5 kB (more only if an id is labelled or held more than once)
+    seen = known.select("text", "label", "nth").mapInArrow(featured, "x binary, label int, nth bigint")
+    weights = seen.repartition(1).mapInArrow(fit, "weights binary").first()
+    return (Network.of(bytes(weights["weights"])) if weights else None), contexts
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    contexts = context_vectors(docs)
-    network = trained(docs, labels, contexts, sample)
+    network, contexts = trained(docs, labels, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,8 +295,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that score the threshold or more, all columns unchanged."""
-    contexts = context_vectors(docs)
-    network = trained(docs, labels, contexts, sample)
+    network, contexts = trained(docs, labels, sample)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
