@@ -38,13 +38,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ._spark import level_size, running_total, text_column, written
 
 CAPACITY = 1024
 END_ID = 2
+FEW = 1 << 20  # sequences whose ranks need no second level
 # Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS: dict = {}
@@ -214,8 +215,13 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     open_ones, plans, matched = none, None, None
     while left:
         fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
-        sorted_gaps = open_ones.union(fresh).withColumn("_bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(level_size(opened + more)))).withColumn("_one", F.lit(1).cast("long"))
-        sorted_gaps = written(running_total(sorted_gaps, ["gap"], "_bucket", ["sequence_id"], "_one", "gap_rank").select("sequence_id", "gap", "gap_rank"), "pack-gaps")
+        sorted_gaps = open_ones.union(fresh)
+        if opened + more <= FEW:  # one task may hold them
+            sorted_gaps = sorted_gaps.withColumn("gap_rank", F.row_number().over(Window.partitionBy("gap").orderBy("sequence_id")).cast("long") - 1)
+        else:
+            sorted_gaps = sorted_gaps.withColumn("_bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(level_size(opened + more)))).withColumn("_one", F.lit(1).cast("long"))
+            sorted_gaps = running_total(sorted_gaps, ["gap"], "_bucket", ["sequence_id"], "_one", "gap_rank")
+        sorted_gaps = written(sorted_gaps.select("sequence_id", "gap", "gap_rank"), "pack-gaps")
         opened += more
         counts = todo.unionByName(sorted_gaps.groupBy(F.col("gap").alias("length")).agg(F.count("*").alias("first_rank")).withColumns({"kind": F.lit(2), "many": F.lit(0).cast("long")}))
         plan = written(_superstep(counts, capacity), "pack-plan")
