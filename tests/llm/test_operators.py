@@ -194,7 +194,7 @@ def test_pages(spark, edge, middle):
 
 @pytest.mark.parametrize(("size", "percent", "more"), [(3, 85, {}), (5, 80, {"family": 2})])
 def test_near_duplicates(spark, edge, middle, size, percent, more):
-    for folder in (edge, middle):
+    for folder in (edge,) if more else (edge, middle):  # the pipeline's test has the others
         rows = documents(spark, folder)
         want, sizes = brute.near_duplicates(rows, size, percent)
         got = minhash.near_duplicates(table(spark, folder, "documents"), shingle=size, percent=percent, **more).collect()
@@ -438,8 +438,9 @@ def test_cells_reached_hold_every_link(noise):
 # 9 packing
 
 
-def test_packing(spark, edge, middle):
-    for folder in (edge, middle):
+def test_packing(spark, edge):
+    """On odd rows; the test of the pipeline's last stage has ordinary ones."""
+    for folder in (edge,):
         rows = QUERIES["op9_best_fit_packing"](spark, folder).toPandas()
         got = Counter((None if i != i else int(i), *x) for i, *x in zip(rows["doc_id"], rows["piece"], rows["start"], rows["length"], rows["ids_crc32"]))
         assert got == brute.token_pieces(documents(spark, folder), packing.default_vocabulary(), 1024, 2)
@@ -468,10 +469,12 @@ def test_sweeps_take_the_smallest_gap_that_holds():
         assert all(left == counts[n] - sum(k for (length, _), k in want.items() if length == n) for n, left, _ in rest)
 
 
-def test_packing_is_tight(spark):
-    """Against best-fit decreasing, one piece after the other."""
+@pytest.mark.parametrize("few", [packing.FEW, 0])
+def test_packing_is_tight(spark, monkeypatch, few):
+    """Against best-fit decreasing, one piece after the other; sequences ranked in one level and in two."""
     import random
 
+    monkeypatch.setattr(packing, "FEW", few)
     rng = random.Random(2)
     texts = [" ".join(["a"] * rng.choice([1, 3, 30, 120, 300, 500, 700])) for _ in range(400)] + [None] * 50
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
