@@ -14,7 +14,7 @@
 5.  Block-max WAND: the long lists are not read, but bounded by their maxima in each block of
     documents.  A document is a pivot if its partial score and the bounds of its block together
     reach the threshold; the other documents are passed over.  Only pivots are scored in full.
-6.  Every shard's best k merge to the exact best k of all.
+6.  Every shard's best k, packed by parts of the queries, merge to the exact best k of all.
 
 Scores count to six decimals; equal scores are ranked by doc_id.  Words are lower-cased A-Z runs
 of ``[^\\x20\\x09-\\x0D]+``; a word that a query repeats weighs as often as it stands there.
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import text_column, written
@@ -50,6 +50,7 @@ BLOCK_DOCS = 16
 LONG_LISTS = 8  # a list is long if it has more than this part of the shard's documents
 SEEDS = 3  # documents scored for the first threshold, in terms of k
 BATCH_CELLS = 1 << 19  # partial scores that are kept at once
+PART_BYTES = 64 << 20  # of results that one task merges
 QUERY_TERMS = 2_000_000  # of a block of queries, 16 bytes each
 DECIMALS = 6
 _NO_ID = -(1 << 63)  # stands for a null doc_id inside a shard
@@ -191,7 +192,7 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K, shard_words: int = SHAR
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
     asked = rows.filter(is_query & F.col("doc_id").isNotNull())
     index = indexed(rows, shard_words)
-    n_docs, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    n_docs, n_words, n_shards = index.agg(F.sum("n_docs"), F.sum("n_words"), F.count("*")).first()
     n_docs, mean = n_docs or 0, (n_words or 0) / max(n_docs or 0, 1)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,10 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K, shard_words: int = SHAR
             continue
         sent = docs.sparkSession.sparkContext.broadcast({c: bytes(block[c]) for c in ("queries", "ends", "terms", "weights")})
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        # what all shards find for a part of the block's queries is merged by one task
+        parts = max(1, -(-n_shards * (len(block["queries"]) // 8) * k * 24 // PART_BYTES))
+
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, number=number, parts=parts) -> Iterator[pa.RecordBatch]:
             own = sent.value
             query, ends = np.frombuffer(own["queries"], np.int64), np.frombuffer(own["ends"], np.int64)
             term, weight = np.frombuffer(own["terms"], np.int64), np.frombuffer(own["weights"], np.float64)
@@ -237,12 +241,23 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K, shard_words: int = SHAR
                             out.append((np.full(len(ids), q), ids, scores))
                     if out:
                         q, ids, scores = (np.concatenate(x) for x in zip(*out))
-                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids, mask=ids == _NO_ID), pa.array(scores)], ["query", "doc_id", "score"])
+                        part = np.searchsorted(query, q) % parts
+                        packed = [[x[part == k].tobytes() for k in range(parts)] for x in (q, ids, scores)]
+                        yield pa.RecordBatch.from_arrays([pa.array([number] * parts, pa.int32()), pa.array(range(parts), pa.int32()), *[pa.array(x, pa.binary()) for x in packed]], ["block", "part", "queries", "ids", "scores"])
 
-        part = written(index.select(*_SHARD).mapInArrow(search, "query bigint, doc_id bigint, score double"), "search-found")
+        part = written(index.select(*_SHARD).mapInArrow(search, "block int, part int, queries binary, ids binary, scores binary"), "search-found")
         found = part if found is None else found.union(part)
     if found is None:
         return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("doc_id"), F.lit(0.0).alias("score")).filter(F.lit(False))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        query, ids, scores = (np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in (("queries", np.int64), ("ids", np.int64), ("scores", np.float64)))
+        last = np.where(ids == _NO_ID, (1 << 63) - 1, ids)
+        order = np.lexsort((last, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))[: len(query)]
+        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) + 1
+        best = rank <= k
+        return pd.DataFrame({"query": query[best], "rank": rank[best], "doc_id": pd.array(ids[best], "Int64"), "score": scores[best]}).assign(doc_id=lambda x: x["doc_id"].mask(x["doc_id"] == _NO_ID))
+
+    best = found.groupBy("block", "part").applyInPandas(merge, "query bigint, rank int, doc_id bigint, score double")
     return best.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "doc_id", "score")
