@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.codecs import content_hash
 from ..functions.text import canonical_url, normal_title
-from ..sources.connectors import SourceConnector
+from ..schemas import RAW_DOCUMENT
+from ..sources import feed
+from ..sources.feed import Fetcher
+from ..sources.store import Collection
+from .steps import delete_folder, shared_folder, step
 
 SECRETS = ("password", "api_key", "bearer_token")
 
@@ -28,27 +36,82 @@ def acquired(sources: DataFrame, fetched: DataFrame) -> DataFrame:
     return fetched.join(enabled, "source_id")
 
 
-def acquire(sources: DataFrame, connectors: dict[str, SourceConnector], documents, limit: int = 100) -> list[tuple[str, int, int]]:
-    """Enabled sources by priority, each fetched by the connector of its type and saved to the
-    collection ``documents``: (source id, fetched, saved) in that order.
+def fetched(spark: SparkSession, due: DataFrame, fetchers: dict[str, Fetcher], now: Column) -> DataFrame:
+    """What the sources ``due`` (id, type, endpoint, mark) bring: raw documents with ``error``, written.
+
+    Every source is a partition of its own, fetched on the executors (see ``sources.feed``).
+    """
+    path = f"{shared_folder(spark)}/due-{uuid.uuid4().hex}"
+    due.coalesce(1).write.parquet(path)  # a row for each source
+    rows = spark.read.format(feed.register(spark, fetchers)).option("due", path).load()
+    rows = rows.withColumn("content_hash", content_hash(F.col("raw_content"))).withColumn("acquisition_time", now)
+    rows = rows.withColumn("id", F.sha2(F.concat_ws("\x1f", "source_id", "original_uri", "content_hash"), 256)).withColumn("metadata", F.lit(None).cast("string"))
+    out = step(rows.select(*RAW_DOCUMENT.names, "error"), "fetched")
+    delete_folder(spark, path)
+    return out
+
+
+def fresh(documents: Collection, rows: DataFrame) -> DataFrame:
+    """Rows whose address and content are new to the collection and to the rows before them."""
+    rows = first_by(first_by(rows.dropDuplicates(["id"]), "source_id", "original_uri"), "source_id", "content_hash")
+    return documents.not_held(rows)
 
-    What a source has delivered before (its address or content is known) is not saved again;
-    sources of a type without a connector are passed over.  The loop is over sources, of which at
-    most ``limit`` are taken; their documents stay on the executors.
+
+def acquire(sources: Collection, documents: Collection, fetchers: dict[str, Fetcher], now: dt.datetime, limit: int | None = None) -> DataFrame:
+    """One run: the due sources are fetched, new documents saved, and the sources' state updated.
+
+    Due are enabled sources whose polling interval has passed and whose type has a fetcher; with a
+    ``limit`` the first by priority, and the others in the runs after, as these are due later again.
+    A source is asked for what is newer than its last content timestamp.  If a run dies before the
+    state is saved, the next one fetches the same again and saves what is missing.  A source
+    that fails keeps its mark, and is due again after its polling interval.
+
+    Returns source_id, fetched, saved and error for every source of the run.
+    """
+    spark = sources.spark
+    at = F.lit(now)
+    seen = sources.manifest()
+    due = due_sources(sources.read(seen["version"]), at).filter(F.col("type").isin(*fetchers))
+    if limit is not None:
+        due = due.orderBy(F.col("priority").asc_nulls_first(), F.col("name").asc_nulls_first(), "id").limit(limit)
+    due = step(due, "due")
+    rows = fetched(spark, due.select("id", "type", "endpoint", F.col("last_content_timestamp").alias("mark")), fetchers, at)
+    saved = documents.save(fresh(documents, rows.filter("error IS NULL").drop("error")))
+    found = rows.groupBy("source_id").agg(F.count_if(F.col("error").isNull()).alias("fetched"), F.max("content_timestamp").alias("__newest"), F.max("error").alias("error"))
+    report = step(due.select(F.col("id").alias("source_id")).join(found, "source_id", "left").join(saved.groupBy("source_id").agg(F.count("*").alias("saved")), "source_id", "left"), "report")
+    good = F.col("error").isNull()
+    state = due.join(report.withColumnRenamed("source_id", "id"), "id").withColumns({
+        "last_execution": at,
+        "last_successful_run": F.when(good, at).otherwise(F.col("last_successful_run")),
+        "last_content_timestamp": F.when(good, F.greatest("last_content_timestamp", "__newest")).otherwise(F.col("last_content_timestamp")),
+    })
+    sources.save(state, seen=seen)
+    return report.select("source_id", F.coalesce("fetched", F.lit(0)).alias("fetched"), F.coalesce("saved", F.lit(0)).alias("saved"), "error")
+
+
+def acquire_stream(sources: Collection, documents: Collection, fetchers: dict[str, Fetcher], checkpoint: str, name: str = "acquisition") -> int:
+    """Reads the enabled sources as a stream up to what is there now and saves what is new.
+
+    The stream's offsets are the sources' high-water marks, kept in ``checkpoint``.  Every batch is saved
+    under its number, so that one that is run again changes nothing.  Returns the documents saved.
     """
-    done = []
-    turn = sources.filter(F.col("status") == "ENABLED").orderBy(F.col("priority").asc_nulls_first(), F.col("name").asc_nulls_first(), "id").limit(limit)
-    for source in turn.select("id", "type", "endpoint").collect():
-        connector = connectors.get(source["type"])
-        if connector is None:
-            continue
-        fetched = connector.fetch(sources.sparkSession, source["id"], source["endpoint"])
-        fresh = first_by(first_by(fetched.dropDuplicates(["id"]), "source_id", "original_uri"), "source_id", "content_hash")
-        for key in ("original_uri", "content_hash"):
-            fresh = fresh.join(documents.read().select("source_id", key), ["source_id", key], "left_anti")
-        saved = documents.save(fresh)
-        done.append((source["id"], fetched.count(), saved.count()))
-    return done
+    spark = sources.spark
+    path = f"{shared_folder(spark)}/due-{uuid.uuid4().hex}"
+    enabled = sources.read().filter((F.col("status") == "ENABLED") & F.col("type").isin(*fetchers))
+    enabled.select("id", "type", "endpoint", F.lit(None).cast("timestamp").alias("mark")).coalesce(1).write.parquet(path)
+    counts = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        rows = batch.filter("error IS NULL").withColumn("content_hash", content_hash(F.col("raw_content"))).withColumn("acquisition_time", F.current_timestamp())
+        rows = rows.withColumn("id", F.sha2(F.concat_ws("\x1f", "source_id", "original_uri", "content_hash"), 256)).withColumn("metadata", F.lit(None).cast("string"))
+        rows = step(rows.select(*RAW_DOCUMENT.names), "fetched")
+        counts.append(documents.save(fresh(documents, rows), batch=(name, number)).count())
+
+    stream = spark.readStream.format(feed.register(spark, fetchers)).option("due", path).load()
+    run = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(save).start()
+    run.awaitTermination()
+    delete_folder(spark, path)
+    return sum(counts)
 
 
 def first_by(documents: DataFrame, *keys: str) -> DataFrame:

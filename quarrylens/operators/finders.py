@@ -100,3 +100,9 @@ def sources_by_tag(sources: DataFrame, tag: str) -> DataFrame:
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(max(offset, 0)).limit(normal_limit(limit))
+
+
+def asked_for(asked: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """``asked`` (with a column ``key``) beside what it finds in ``df``; ``message`` says where it asks
+    for null, which finds nothing."""
+    return asked.withColumn("message", F.when(F.col(key).isNull(), f"{key} must not be null")).join(df, key, "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +22,42 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the shared one, removed when the work it is made in is ``finished``."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+def finished(spark: SparkSession, name: str, work: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``work()``.  If it makes folders, they are written, and the folders removed."""
+    token = _made.set([])
+    try:
+        out = work()
+        if _made.get():
+            path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+            out.write.parquet(path)
+            out = spark.read.schema(out.schema).parquet(path)
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        for folder in made:
+            delete_folder(spark, folder)
+    return out
+
+
 def step(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that later steps don't repeat it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

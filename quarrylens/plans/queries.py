@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import codecs
 from ..functions.text import canonical_url, normal_title
 from ..operators import acquisition, alarms, collections, enrichment, finders, graph, notifications, preparation, retrieval, rules
-from ..operators.steps import shared_folder
+from ..operators.steps import finished, new_folder
 from ..sources.connectors import JsonLinesConnector
+from ..sources.feed import PostFetcher
 from ..sources.store import SCHEMAS as COLLECTION_SCHEMAS
 from ..sources.store import Collection
 from ..schemas import ARTICLE as ARTICLE_SCHEMA
+from ..schemas import ENUMS
 from ..sources.views import VIEWS, articles, raw_documents, sources, table
 from ..streaming import streams
 
@@ -51,7 +55,7 @@ def query(sql: str | None = None, views: str = ""):
     """Registers a query under its function's name."""
 
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = wraps(f)(lambda spark, d: finished(spark, f.__name__, lambda: f(spark, d)))
         if sql is not None:
             ORACLE_SQL[f.__name__] = (f"WITH {views} " if views else "") + sql
         return f
@@ -264,7 +268,7 @@ def i33_i34_two_unique_keys(spark, d):
 
 
 def _collection(spark, name: str) -> Collection:
-    return Collection(spark, f"{shared_folder(spark)}/collections-{uuid.uuid4().hex}", name)
+    return Collection(spark, new_folder(spark, "collections"), name)
 
 
 def _filled(df: DataFrame, schema) -> DataFrame:
@@ -272,16 +276,18 @@ def _filled(df: DataFrame, schema) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-@query("SELECT 'doc-' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'saved' ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%d') END AS acquired, doc_id % 2 = 0 AS again FROM documents WHERE doc_id < 300")
+@query("""SELECT 'doc-' || doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'saved' ELSE strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id), '%Y-%m-%d') END AS acquired,
+CASE WHEN doc_id % 2 = 0 THEN 'again' WHEN doc_id % 5 = 0 THEN 'later' END AS metadata FROM documents""")
 def i27_save_documents(spark, d):
-    """Saved twice; a document without an acquisition time has that of its save."""
+    """All documents, some twice in one save (the later one counts), half of them saved again; without an acquisition time they have that of their save."""
     at = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.col("doc_id").cast("int"))
-    docs = table(spark, d, "documents").filter("doc_id < 300").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), "doc_id", F.col("source").alias("source_id"), F.concat(F.lit("doc://"), "doc_id").alias("original_uri"), F.when(F.col("doc_id") % 3 != 0, at).alias("acquisition_time"), F.lit("text/plain").alias("mime_type"))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), "doc_id", F.col("source").alias("source_id"), F.concat(F.lit("doc://"), "doc_id").alias("original_uri"), at.alias("content_timestamp"), F.when(F.col("doc_id") % 3 != 0, at).alias("acquisition_time"), F.lit("text/plain").alias("mime_type"))
+    twice = docs.filter("doc_id % 5 = 0").withColumn("content_timestamp", F.col("content_timestamp") + F.expr("INTERVAL 1 DAY")).withColumn("metadata", F.lit("later"))
     saved = _collection(spark, "raw_documents")
-    saved.save(_filled(docs, saved.schema))
+    saved.save(_filled(docs, saved.schema).unionByName(_filled(twice, saved.schema)), latest=["content_timestamp"])
     saved.save(_filled(docs.filter("doc_id % 2 = 0").withColumn("metadata", F.lit("again")), saved.schema))
     now = F.col("acquisition_time") > F.lit("2025-01-01").cast("timestamp")
-    return saved.read().select("id", F.when(now, "saved").otherwise(F.date_format("acquisition_time", "yyyy-MM-dd")).alias("acquired"), F.coalesce(F.col("metadata") == "again", F.lit(False)).alias("again"))
+    return saved.read().select("id", F.when(now, "saved").otherwise(F.date_format("acquisition_time", "yyyy-MM-dd")).alias("acquired"), "metadata")
 
 
 @query("SELECT id, CASE WHEN priority % 2 = 0 THEN 'ENABLED' ELSE status END AS status, CASE WHEN priority = 3 THEN 0 ELSE priority END AS priority, 0 AS n_tags FROM sources", VIEWS)
@@ -365,16 +371,23 @@ def i43_json_rows(spark, d):
     return codecs.from_json_lines(lines, schema).select("user_id", "event_type", "props.k")
 
 
-@query("SELECT 'id' AS argument, 'id must not be null' AS message UNION ALL SELECT 'limit', 'limit must not be null'")
+@query("SELECT event_id, CASE WHEN k IS NULL THEN 'name must not be null' END AS message, s.id FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN 'src' || (event_id % 40) END AS k FROM events) LEFT JOIN sources s ON s.name = k", VIEWS)
 def i39_null_guard(spark, d):
-    """Lookups by a null argument say which it is."""
-    said = []
-    for name, ask in (("id", lambda: finders.by_id(sources(spark, d), None)), ("limit", lambda: finders.required(None, "limit"))):
-        try:
-            ask()
-        except ValueError as e:
-            said.append((name, str(e)))
-    return spark.createDataFrame(said, "argument string, message string")
+    """Every event asks for a source by name: which it finds, or that it asked for null."""
+    asked = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("src"), (F.col("event_id") % 40).cast("string"))).alias("name"))
+    return finders.asked_for(asked, sources(spark, d), "name").select("event_id", "message", "id")
+
+
+@query("SELECT id, id IN ('src1', 'src2', 'src3') AS deleted FROM sources WHERE id NOT IN ('src1', 'src2')", VIEWS)
+def i31_stored_delete(spark, d):
+    """Deletes of a collection that is saved to between them: of rows there, gone, and there again."""
+    saved = _collection(spark, "sources")
+    rows = _filled(sources(spark, d).drop("authentication"), saved.schema)
+    saved.save(rows)
+    for id in ("src1", "src2", "src3", "src1", "none"):
+        saved.delete(id)
+    saved.save(rows.filter("id = 'src3'").withColumn("description", F.lit("again")))
+    return saved.read().select("id", F.coalesce(F.col("description") == "again", F.lit(False)).alias("deleted"))
 
 
 @query("SELECT 0 AS before, count(*) AS after FROM sources", VIEWS)
@@ -420,7 +433,7 @@ def i50_status_default(spark, d):
 @query("SELECT doc_id, 'sha256:' || sha256('{\"url\":\"doc://' || doc_id || '\",\"lang\":\"' || lang || '\"}') AS content_hash, 'application/json' AS mime_type FROM documents")
 def i52_fetched_posts(spark, d):
     """What the connector of JSON lines delivers from a folder of posts."""
-    folder = f"{shared_folder(spark)}/posts-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "posts")
     posts = table(spark, d, "documents").select(F.concat(F.lit('{"url":"doc://'), "doc_id", F.lit('","lang":"'), "lang", F.lit('"}')).alias("value"))
     posts.write.text(folder)
     rows = JsonLinesConnector().fetch(spark, "posts", folder)
@@ -456,27 +469,29 @@ def c01_acquisition(spark, d):
     return acquisition.acquired(sources(spark, d), raw_documents(spark, d)).select("id", "source_id", "priority")
 
 
-class _Delivered:
-    """A connector whose sources deliver the documents that name them."""
-
-    def __init__(self, d: str):
-        self.d = d
-
-    def fetch(self, spark, source_id, endpoint):
-        rows = raw_documents(spark, self.d).filter(F.col("source_id") == source_id).withColumn("raw_content", F.lit(None))
-        return _filled(rows, COLLECTION_SCHEMAS["raw_documents"])
+_RUNS = VIEWS + """, posts AS (
+  SELECT source_id, content_hash, CAST(replace(id, 'doc-', '') AS BIGINT) % 3 + 1 AS drop_number FROM raw_documents WHERE id LIKE 'doc-%'
+), due AS (  -- polling takes 15, 30, 45 or 60 minutes; runs are 40 minutes apart
+  SELECT id, unnest(CASE WHEN last_execution + to_minutes(polling_minutes) > TIMESTAMP '2024-02-01' THEN [2, 3] WHEN polling_minutes <= 40 THEN [1, 2, 3] ELSE [1, 3] END) AS run
+  FROM sources WHERE status = 'ENABLED'
+)"""
 
 
-@query("""SELECT r.id, r.source_id FROM raw_documents r JOIN (SELECT id FROM sources WHERE status = 'ENABLED' AND type IN ('RSS', 'API', 'EMAIL') ORDER BY priority, name LIMIT 3) s ON s.id = r.source_id
-QUALIFY row_number() OVER (PARTITION BY r.source_id, content_hash ORDER BY acquisition_time, r.id) = 1""", VIEWS)
+@query("SELECT source_id, content_hash, min(run) AS run FROM posts JOIN due ON due.id = source_id AND run >= drop_number GROUP BY source_id, content_hash", _RUNS)
 def c01_acquisition_loop(spark, d):
-    """Enabled sources by priority, fetched by their type's connector and saved; run twice, which adds nothing."""
-    saved, connectors = _collection(spark, "raw_documents"), {k: _Delivered(d) for k in ("RSS", "API", "EMAIL")}
-    chosen = sources(spark, d).filter(F.col("type").isin(*connectors))
-    acquisition.acquire(chosen, connectors, saved, limit=3)
-    again = acquisition.acquire(chosen, connectors, saved, limit=3)
-    assert all(n == 0 for _, _, n in again)
-    return saved.read().select("id", "source_id")
+    """Three runs over all sources, 40 minutes apart, a third of the documents delivered before each; run: which one brought a document."""
+    root, start = new_folder(spark, "acquired"), dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
+    known, saved = Collection(spark, root, "sources"), Collection(spark, root, "raw_documents")
+    known.save(_filled(sources(spark, d).drop("authentication").withColumn("endpoint", F.concat(F.lit(f"{root}/posts/source="), "id")), known.schema))
+    posts = table(spark, d, "documents").filter("source IS NOT NULL")
+    for run in range(3):
+        now = start + dt.timedelta(minutes=40 * run)
+        fresh = posts.filter(F.col("doc_id") % 3 == run)
+        time = F.date_format(F.lit(now - dt.timedelta(minutes=20)) + F.make_dt_interval(secs=(F.col("doc_id") % 1000).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ssXXX")
+        fresh.select("source", F.concat(F.lit("doc://"), "doc_id").alias("url"), time.alias("time"), F.coalesce("text", F.lit("")).alias("body")).repartition("source").write.mode("append").partitionBy("source").json(f"{root}/posts")
+        acquisition.acquire(known, saved, {kind: PostFetcher() for kind in ENUMS["SourceType"]}, now)
+    number = 1 + F.round((F.unix_timestamp("acquisition_time") - int(start.timestamp())) / 2400).cast("int")
+    return saved.read().select("source_id", "content_hash", number.alias("run"))
 
 
 @query("SELECT id, source_id FROM raw_documents QUALIFY row_number() OVER (PARTITION BY source_id, original_uri ORDER BY acquisition_time, id) = 1", VIEWS)

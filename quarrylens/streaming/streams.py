@@ -7,7 +7,6 @@ now and returns what it wrote.  State is bounded by watermarks.
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.steps import exists, shared_folder
+from ..operators.steps import exists, new_folder
 
 
 def read(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -29,7 +28,7 @@ def read(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFra
 
 def delivered(spark: SparkSession, batches: list[DataFrame]) -> DataFrame:
     """A stream that brings ``batches`` one after the other, each a micro-batch of its own."""
-    folder = f"{shared_folder(spark)}/arriving-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "arriving")
     for batch in batches:
         batch.coalesce(1).write.mode("append").parquet(folder)
         time.sleep(0.01)  # files are taken in order of their times
@@ -43,7 +42,7 @@ def finished(stream: DataFrame, keys: list[str] | None = None, checkpoint: str |
     an earlier run, only what is new is read.
     """
     spark = stream.sparkSession
-    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = new_folder(spark, "stream")
     schema = stream.schema
 
     def keep(batch: DataFrame, number: int) -> None:

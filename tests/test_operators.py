@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from quarrylens import config, schemas
 from quarrylens.functions import codecs
 from quarrylens.functions.text import canonical_url, normal_title
-from quarrylens.operators import acquisition, alarms, collections, finders, graph, preparation, retrieval, rules
+from quarrylens.operators import alarms, collections, finders, graph, preparation, retrieval, rules
 from quarrylens.sources.connectors import FolderConnector, JsonLinesConnector
-from quarrylens.sources.store import Collection, Conflict, DuplicateKey
+from quarrylens.sources.store import Collection, DuplicateKey
 from quarrylens.streaming import streams
 
 
@@ -106,7 +106,7 @@ def test_collection_on_disk(spark, tmp_path):
     assert values(store.read(), "id") == [("2",)]
 
 
-def test_save_fills_in_and_reserves(spark, tmp_path):
+def test_save_fills_in(spark, tmp_path):
     docs, sources = Collection(spark, str(tmp_path), "raw_documents"), Collection(spark, str(tmp_path), "sources")
     make = lambda text, schema: codecs.from_json_lines(spark.createDataFrame([(text,)], "value string"), schema)
     saved = docs.save(make('{"source_id":"s","original_uri":"u","mime_type":"text/plain"}', schemas.RAW_DOCUMENT)).first()
@@ -116,30 +116,10 @@ def test_save_fills_in_and_reserves(spark, tmp_path):
     assert values(sources.read(), "status", "priority", "tags") == [("ENABLED", 0, ["x", "y"])]
     assert values(sources.in_folder("ENABLED"), "id") == [("a",)] and sorted(values(sources.side("tags"), "own_id", "value")) == [("a", "x"), ("a", "y")]
     assert "by_status" in sources.in_folder("ENABLED")._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1]
-    sources._reserve(2)  # another writer is at it
-    with pytest.raises(Conflict):
-        sources.save(make('{"id":"b","name":"m"}', schemas.SOURCE))
-    sources._release(2)
     sources.save(make('{"id":"b","name":"m"}', schemas.SOURCE))
     assert sources.read().count() == 2
 
 
-def test_acquisition_loop(spark, tmp_path):
-    class Posts:
-        asked = []
-
-        def fetch(self, spark, source_id, endpoint):
-            self.asked.append(source_id)
-            return JsonLinesConnector().fetch(spark, source_id, endpoint)
-
-    (tmp_path / "p.jsonl").write_text('{"url":"u1"}\n{"url":"u1"}\n{"url":"u2","x":1}\n')
-    sources = spark.createDataFrame([("a", "A", "API", "ENABLED", 2), ("b", "B", "API", "ENABLED", 1), ("c", "C", "API", "DISABLED", 0), ("d", "D", "RSS", "ENABLED", 0)], "id string, name string, type string, status string, priority int").withColumn("endpoint", F.lit(str(tmp_path / "p.jsonl")))
-    docs = Collection(spark, str(tmp_path / "store"), "raw_documents")
-    assert acquisition.acquire(sources, {"API": Posts()}, docs) == [("b", 3, 2), ("a", 3, 2)] and Posts.asked == ["b", "a"]
-    assert acquisition.acquire(sources, {"API": Posts()}, docs) == [("b", 3, 0), ("a", 3, 0)]
-    assert docs.read().count() == 4
-
-
 def test_connectors(spark, tmp_path):
     (tmp_path / "a.html").write_text("<html></html>")
     rows = FolderConnector().fetch(spark, "s", str(tmp_path)).select("source_id", "mime_type", "content_hash").collect()
