@@ -1,6 +1,7 @@
 """Plain versions of the operators, one row at a time."""
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -104,3 +105,79 @@ def token_pieces(rows, vocabulary, capacity, end_id):
         for n, (a, b) in enumerate(zip(at, at[1:])):
             out[i, n, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
     return out
+
+
+def repaired(turns):
+    """turns of one conversation in order: (role, text).  Cheapest edits by trying all, least in ASCII."""
+    space = "\x20\x09\x0a\x0b\x0c\x0d"
+    seen, faults = set(), []
+    for role, text in turns:
+        bare = text.rstrip(space)
+        faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    best = {}  # (turns done, state): (cost, audit, roles and texts)
+    follow = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    todo = [(0, "", 0, "", ())]
+    while todo:
+        cost, audit, t, state, out = heapq.heappop(todo)
+        if (t, state) in best:
+            continue
+        best[t, state] = True
+        if t == len(turns) and state in ("", "a"):
+            return faults, cost, audit, out
+        for to in ("u", "a"):
+            if follow[state].get(to):
+                heapq.heappush(todo, (cost + 3, audit + "I", t, to, (*out, ({"u": "user", "a": "assistant"}[to], ""))))
+        if t < len(turns):
+            role, text = turns[t]
+            heapq.heappush(todo, (cost + 4, audit + "D", t + 1, state, out))
+            if faults[t] in ("", "truncated"):
+                more = 3 * (faults[t] == "truncated")
+                if role[:1] and follow[state].get(role[0]):
+                    heapq.heappush(todo, (cost + more, audit + "K", t + 1, role[0], (*out, (role, text))))
+                for to in ("u", "a"):
+                    if follow[state].get(to):
+                        heapq.heappush(todo, (cost + more + 3, audit + "R", t + 1, to, (*out, ({"u": "user", "a": "assistant"}[to], text))))
+
+
+def shards(rows, shards, grain):
+    """rows: (key, size), any order.  The shard of each key."""
+    total = sum(n for _, n in rows)
+    groups = defaultdict(list)
+    for key, n in sorted(rows):
+        groups[key[:32]].append((key, n))
+    units = []
+    for g, members in groups.items():
+        if sum(n for _, n in members) * 4 * shards > total:
+            units += [(key, n, [key]) for key, n in members]
+        else:
+            units.append((g, sum(n for _, n in members), [key for key, _ in members]))
+    loads, place = [0] * shards, {}
+    for key, n, members in sorted(units, key=lambda u: (-u[1], u[0])):
+        if n * shards * grain > total:
+            s = loads.index(min(loads))
+            loads[s] += n
+            place |= dict.fromkeys(members, s)
+    rest = [u for u in sorted(units) if u[1] * shards * grain <= total]
+    level = max(x for x in range(total + 1) if sum(max(0, x - load) for load in loads) <= sum(n for _, n, _ in rest))
+    borders = np.cumsum([max(0, level - load) for load in loads])[:-1]
+    before = 0
+    for _, n, members in rest:
+        place |= dict.fromkeys(members, int((2 * before + n >= 2 * borders).sum()))
+        before += n
+    return place
+
+
+def hard_negatives(rows):
+    """rows: (vec_id, vector, label), usable ones."""
+    scaled = [(i, np.floor(256 * np.array(v, np.float64)), (label + 1) % 10 if i is not None and i % 7 == 0 else label) for i, v, label in rows]
+    late = lambda i: float("inf") if i is None else i
+    out = []
+    for a, (anchor, q, own) in enumerate(scaled):
+        if anchor is None or anchor % 100:
+            continue
+        all_scores = [(int(x @ q), i, label) for b, (i, x, label) in enumerate(scaled) if b != a and len(x) == len(q)]
+        for p, positive, _ in sorted((r for r in all_scores if r[2] == own), key=lambda r: (-r[0], late(r[1])))[:5]:
+            found = sorted((r for r in all_scores if r[2] != own and 30 * p <= 100 * r[0] <= 90 * p), key=lambda r: (-r[0], late(r[1])))[:10]
+            out += [(anchor, positive, k, i, p, n) for k, (n, i, _) in enumerate(found, 1)]
+    return sorted(out, key=str)

@@ -7,6 +7,8 @@ DOCS = f"doc_id bigint, text string, lang string, source string, n_chars bigint,
 PAGES = f"page_id bigint, url string, html string, text string, {EXTRA}"
 VECTORS = f"vec_id bigint, embedding array<float>, label int, weight int, home string, cell int, {EXTRA}"
 
+TURNS = f"conv_id bigint, turn bigint, role string, text string, conv string, {EXTRA}"
+
 
 def clash(n):
     """Values for columns that carry names an operator might use itself."""
@@ -53,7 +55,15 @@ def edge_vectors():
     return rows
 
 
-def put(spark, folder, documents, labels, pages, vectors):
+def edge_turns():
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None]), rng.choice([None, "", "cut", f"Text {t}.", "Same!", "é\u2029漢?\n"])) for c in range(40) for t in range(rng.randrange(9))]
+    rows += rows[:5] + [(None, None, "user", "x."), (None, 2, "assistant", "y"), (7, None, None, None), (900, 0, "user", "word " * 200_000), (901, 5, "system", "only.")]
+    return [(*r, "clash", *clash(n)) for n, r in enumerate(rows)]
+
+
+def put(spark, folder, documents, labels, pages, vectors, turns):
+    spark.createDataFrame(turns, TURNS).repartition(2).write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame(documents, DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int, text string").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(pages, PAGES).write.parquet(f"{folder}/pages.parquet")
@@ -64,12 +74,12 @@ def put(spark, folder, documents, labels, pages, vectors):
 @pytest.fixture(scope="session")
 def edge(spark, tmp_path_factory):
     labels = [(i, int(i % 4 > 0), 0, "t") for i in range(200, 320)] + [(1, None, None, None), (None, 1, 1, None), (9999, 1, 0, None), (205, 1, 1, "again")]
-    return put(spark, tmp_path_factory.mktemp("edge"), edge_documents(), labels, edge_pages(), edge_vectors())
+    return put(spark, tmp_path_factory.mktemp("edge"), edge_documents(), labels, edge_pages(), edge_vectors(), edge_turns())
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
-    return put(spark, tmp_path_factory.mktemp("empty"), [], [], [], [])
+    return put(spark, tmp_path_factory.mktemp("empty"), [], [], [], [], [])
 
 
 @pytest.fixture(scope="session")
