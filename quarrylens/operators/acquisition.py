@@ -14,6 +14,7 @@ from ..schemas import RAW_DOCUMENT
 from ..sources import feed
 from ..sources.feed import Fetcher
 from ..sources.store import Collection
+from .similar import near_texts
 from .steps import delete_folder, shared_folder, step
 
 SECRETS = ("password", "api_key", "bearer_token")
@@ -143,6 +144,12 @@ def title_copies(articles: DataFrame) -> DataFrame:
     return copies_by(articles.filter(normal_title(F.col("metadata.title")) != ""), normal_title(F.col("metadata.title")))
 
 
+def near_titles(articles: DataFrame, distance: int = 2) -> DataFrame:
+    """article_id, class_id, n_links and nearest by normalized titles within an edit distance, in bytes."""
+    title = F.decode(F.encode(normal_title(F.col("metadata.title")), "UTF-8"), "ISO-8859-1")  # a character for each byte
+    return near_texts(articles.select("id", title.alias("text")), distance).withColumnRenamed("id", "article_id")
+
+
 def routed(documents: DataFrame) -> DataFrame:
     """``documents`` with the parser of their MIME type; null if none takes it."""
     mime = F.lower(F.substring_index("mime_type", ";", 1))

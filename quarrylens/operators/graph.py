@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .similar import counts_within
 from .steps import step
 
 
@@ -20,6 +21,12 @@ def vertices(articles: DataFrame) -> DataFrame:
     return mentions(articles).groupBy("normalized_name", "type").agg(F.count("*").alias("n_mentions"), F.count_distinct("article_id").alias("n_articles"), F.max("confidence").alias("confidence"), best["name"].alias("name"))
 
 
+def _read_once(articles: DataFrame, *columns: str) -> DataFrame:
+    """Columns of articles, written.  Where arrays are exploded or joined with themselves, Spark
+    would work out again what they are made of, for a filter on their size and for each use."""
+    return step(articles.select(*columns), "graph-articles")
+
+
 def _names(articles: DataFrame) -> DataFrame:
     """article_id, id and normalized_name of every mention, the first if an id is named twice."""
     rows = articles.select(F.col("id").alias("article_id"), F.posexplode("entities").alias("place", "e")).select("article_id", "place", "e.id", "e.normalized_name")
@@ -31,6 +38,7 @@ def edges(articles: DataFrame) -> DataFrame:
 
     A relation names entities of its own article, so both ends are equi-joins on (article, id).
     """
+    articles = _read_once(articles, "id", "entities", "relationships")
     rows = articles.select(F.col("id").alias("article_id"), F.explode("relationships").alias("r")).select("article_id", "r.source", "r.target", "r.predicate", "r.confidence")
     names = _names(articles)
     named = rows.withColumnRenamed("source", "id").join(names.withColumnRenamed("name", "source"), ["article_id", "id"], "left").drop("id")
@@ -52,6 +60,7 @@ def evidence_with_provenance(articles: DataFrame) -> DataFrame:
 
 def event_links(articles: DataFrame) -> DataFrame:
     """Each event with each participant and location, by name."""
+    articles = _read_once(articles, "id", "entities", "events")
     rows = articles.select(F.col("id").alias("article_id"), F.explode("events").alias("e"))
     ends = F.concat(
         F.transform("e.participants", lambda x: F.struct(F.lit("participant").alias("role"), x.alias("id"))),
@@ -61,6 +70,16 @@ def event_links(articles: DataFrame) -> DataFrame:
     return rows.join(_names(articles), ["article_id", "id"], "left").select("article_id", "event_id", "event_type", "role", F.col("name").alias("entity"))
 
 
+def event_overlap(articles: DataFrame, days: int) -> DataFrame:
+    """article_id and n_overlaps: for each of an article's events, the events of other articles that have
+    its type and a date within so many days; counted, never paired."""
+    events = articles.select(F.col("id").alias("article_id"), F.explode_outer("events").alias("e"))
+    events = step(events.select("article_id", F.col("e.type").alias("type"), F.unix_date("e.date").cast("long").alias("day")), "graph-events")
+    rows = counts_within(events, ["type"], "day", days, "every")
+    rows = counts_within(rows, ["type", "article_id"], "day", days, "own")
+    return rows.groupBy("article_id").agg(F.sum(F.col("every") - F.col("own")).alias("n_overlaps"))
+
+
 BLOCK = 512  # sets that meet others in one task
 
 
@@ -73,7 +92,7 @@ def shared_entities(articles: DataFrame, min_share: float) -> DataFrame:
     (prefix filter), in blocks where a name is frequent.  A pair counts at the rarest name it
     shares.  Tasks return counts for each class, never pairs.
     """
-    names = mentions(articles).select("article_id", "normalized_name").distinct()
+    names = step(mentions(articles).select("article_id", "normalized_name").distinct(), "graph-names")
     df = names.groupBy("normalized_name").agg(F.count("*").alias("df"))
     keyed = names.join(df, "normalized_name").select("article_id", F.struct("df", F.xxhash64("normalized_name").alias("h")).alias("t"))
     sets = keyed.groupBy("article_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["h"]).alias("names"))

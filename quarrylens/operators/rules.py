@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .components import strong_components
 from .steps import step
 
 MAX_DEPTH = 5
@@ -81,28 +82,13 @@ def call_chains(spark: SparkSession, calls: DataFrame, max_depth: int = MAX_DEPT
     return out.select("root", "node", "depth", "cyclic")
 
 
-def cycles(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """graph and node of every node that leads back to itself.
-
-    Nodes without a way in or out are peeled off until none is left of that kind; what remains is
-    small, and is closed by doubling paths.  A graph's nodes are few, graphs may be many.
-    """
-    now = step(edges.select("graph", "source", "target").distinct(), "rules-edges")
-    n = now.count()
-    for _ in range(max_rounds):
-        inner = now.join(now.select("graph", F.col("target").alias("source")).distinct(), ["graph", "source"], "left_semi")
-        inner = inner.join(now.select("graph", F.col("source").alias("target")).distinct(), ["graph", "target"], "left_semi").select("graph", "source", "target")
-        now, before = step(inner, "rules-edges"), n
-        n = now.count()
-        if n in (0, before):
-            break
-    for _ in range(max_rounds if n else 0):
-        longer = now.select("graph", "source", F.col("target").alias("via")).join(now.select("graph", F.col("source").alias("via"), "target"), ["graph", "via"])
-        now, before = step(now.union(longer.select("graph", "source", "target")).distinct(), "rules-paths"), n
-        n = now.count()
-        if n == before:
-            break
-    return now.filter("source = target").select("graph", F.col("source").alias("node"))
+def cycles(edges: DataFrame) -> DataFrame:
+    """graph and node of every node that leads back to itself."""
+    edges = step(edges.select("graph", "source", "target"), "rules-edges")
+    found = step(strong_components(edges), "rules-components")
+    several = found.groupBy(F.to_json(F.struct("graph")).alias("__g"), "component").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    within = found.withColumn("__g", F.to_json(F.struct("graph"))).join(several, ["__g", "component"], "left_semi").select("graph", "node")
+    return within.union(edges.filter("source = target").select("graph", "source")).distinct()
 
 
 def graph_faults(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

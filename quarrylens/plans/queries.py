@@ -538,7 +538,7 @@ def c07_close_vectors(spark, d):
 
 @query(r"SELECT trim(regexp_replace(lower(title), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS key, count(*) AS n, min(id) AS first_id FROM articles GROUP BY 1 HAVING count(*) > 1 AND key <> ''", VIEWS)
 def c08_title_copies(spark, d):
-    return acquisition.title_copies(articles(spark, d))
+    return acquisition.title_copies(articles(spark, d, assessed=False))
 
 
 @query("""SELECT id AS article_id, coalesce(n_links, 0) AS n_links, best_share FROM articles LEFT JOIN (
@@ -547,7 +547,21 @@ def c08_title_copies(spark, d):
     FROM named x JOIN named y ON x.normalized_name = y.normalized_name AND x.article_id <> y.article_id GROUP BY ALL) WHERE share >= 0.5 GROUP BY 1) ON a = id""",
        VIEWS + ", named AS (SELECT *, count(*) OVER (PARTITION BY article_id) AS n FROM (SELECT DISTINCT article_id, normalized_name FROM entities))")
 def c09_entity_overlap(spark, d):
-    return graph.shared_entities(articles(spark, d), 0.5)
+    return graph.shared_entities(articles(spark, d, assessed=False), 0.5)
+
+
+@query(r"""SELECT a.id AS article_id, c.class_id, coalesce(c.weight - 1 + coalesce(n.links, 0), 0) AS n_links, CASE WHEN c.weight > 1 THEN 0 ELSE n.away END AS nearest
+FROM titled a LEFT JOIN classes c ON c.key = a.key LEFT JOIN (
+  SELECT a.key, sum(b.weight) AS links, min(levenshtein(a.key, b.key)) AS away FROM classes a JOIN classes b ON a.key <> b.key AND abs(strlen(a.key) - strlen(b.key)) <= 2 AND levenshtein(a.key, b.key) <= 2 GROUP BY 1) n ON n.key = c.key""",
+       VIEWS + r""", titled AS (SELECT id, trim(regexp_replace(lower(title), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS key FROM articles
+), classes AS (SELECT key, min(id) AS class_id, count(*) AS weight FROM titled WHERE key <> '' GROUP BY key)""")
+def c08_near_titles(spark, d):
+    return acquisition.near_titles(articles(spark, d, assessed=False), 2)
+
+
+@query("SELECT a.id AS article_id, coalesce(o.n, 0) AS n_overlaps FROM articles a LEFT JOIN (SELECT x.article_id, count(*) AS n FROM article_events x JOIN article_events y ON x.type = y.type AND x.article_id <> y.article_id AND abs(date_diff('day', x.date, y.date)) <= 3 GROUP BY 1) o ON o.article_id = a.id", VIEWS)
+def c09_event_overlap(spark, d):
+    return graph.event_overlap(articles(spark, d, assessed=False), 3)
 
 
 @query("SELECT CASE WHEN mime_type IN ('text/html', 'text/plain') THEN 'article' END AS parser, mime_type, count(*) AS n FROM raw_documents GROUP BY ALL", VIEWS)
@@ -606,30 +620,30 @@ def c16_enrichment(spark, d):
 
 @query("""SELECT normalized_name, type, count(*) AS n_mentions, count(DISTINCT article_id) AS n_articles, round(max(confidence), 4) AS confidence, max(name) AS name FROM entities GROUP BY 1, 2""", VIEWS)
 def c17_vertices(spark, d):
-    return graph.vertices(articles(spark, d)).withColumn("confidence", F.round("confidence", 4))
+    return graph.vertices(articles(spark, d, assessed=False)).withColumn("confidence", F.round("confidence", 4))
 
 
 @query("""SELECT a.normalized_name AS source, b.normalized_name AS target, predicate, count(*) AS n, max(r.confidence) AS confidence
 FROM relationships r JOIN entities a ON a.article_id = r.article_id AND a.id = r.source JOIN entities b ON b.article_id = r.article_id AND b.id = r.target GROUP BY 1, 2, 3""", VIEWS)
 def c18_edges(spark, d):
-    return graph.edges(articles(spark, d))
+    return graph.edges(articles(spark, d, assessed=False))
 
 
 @query("""SELECT article_id, c.id AS claim_id, c.type, c.confidence, source_entity_id AS attributed_to, 'CLAIM' AS status, CAST(1 + (n + k) % 2 AS INTEGER) AS n_evidence, 'rules-1' AS parser_version FROM claims c""", VIEWS)
 def c19_assertions(spark, d):
-    return graph.assertions(articles(spark, d))
+    return graph.assertions(articles(spark, d, assessed=False))
 
 
 @query("""SELECT v.article_id, a.raw_document_id, claim_id, v.id AS evidence_id, v.type, round(v.confidence, 4) AS confidence, strftime(extraction_time, '%Y-%m-%d %H:%M:%S') AS extracted
 FROM evidence v JOIN articles a ON a.id = v.article_id""", VIEWS)
 def c20_evidence_with_provenance(spark, d):
-    return graph.evidence_with_provenance(articles(spark, d)).withColumn("extracted", _stamp("extraction_time")).drop("extraction_time")
+    return graph.evidence_with_provenance(articles(spark, d, assessed=False)).withColumn("extracted", _stamp("extraction_time")).drop("extraction_time")
 
 
 @query("""SELECT e.article_id, e.id AS event_id, e.type AS event_type, CASE WHEN x.place < k + 2 THEN 'participant' ELSE 'location' END AS role, x.normalized_name AS entity
 FROM article_events e JOIN entities x ON x.article_id = e.article_id AND x.place >= k AND x.place <= k + 2""", VIEWS)
 def c21_event_links(spark, d):
-    return graph.event_links(articles(spark, d))
+    return graph.event_links(articles(spark, d, assessed=False))
 
 
 @query("SELECT id, len(vector) AS dimensions, round(list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x)), 4) AS norm FROM articles WHERE vector IS NOT NULL", VIEWS)

@@ -71,7 +71,8 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.unionByName(web).withColumn("content_hash", content_hash(F.col("raw_content")))
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, assessed: bool = True) -> DataFrame:
+    """Articles; if not ``assessed``, without labels and vectors, and the joins that bring them."""
     docs, labels, vectors = (table(spark, sf_dir, n) for n in ("documents", "labels", "embeddings"))
     n, key = F.col("doc_id"), F.col("doc_id").cast("string")
     names = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), 0)))
@@ -97,7 +98,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.sequence(F.lit(0), ((n + k) % 2).cast("int")), lambda j: proof(k, j)).alias("evidence"),
     )
     upto = lambda m: F.filter(F.sequence(F.lit(0), (n % m).cast("int")), lambda k: k < (n % m).cast("int"))
-    base = docs.join(labels, "doc_id", "left").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").withColumn("entities", F.transform(names, entity))
+    base = docs.join(labels, "doc_id", "left").join(vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left") if assessed else docs
+    base = base.withColumn("entities", F.transform(names, entity))
+    judged = [
+        F.struct(F.col("quality").cast("double").alias("reliability"), (F.col("toxic") == 1).alias("propaganda")).alias("assessment"),
+        F.struct(F.col("embedding").alias("vector")).alias("embedding"),
+    ]
     return base.select(
         F.concat(F.lit("art-"), key).alias("id"),
         F.concat(F.lit("doc-"), key).alias("raw_document_id"),
@@ -110,8 +116,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.size("entities") > 1, F.slice(F.transform("entities", pair), F.lit(1), F.size("entities") - 1)).otherwise(F.expr("slice(transform(entities, x -> named_struct('source', '', 'target', '', 'predicate', '', 'confidence', 0D)), 1, 0)")).alias("relationships"),
         F.transform(upto(4), event).alias("events"),
         F.transform(upto(3), claim).alias("claims"),
-        F.struct(F.col("quality").cast("double").alias("reliability"), (F.col("toxic") == 1).alias("propaganda")).alias("assessment"),
-        F.struct(F.col("embedding").alias("vector")).alias("embedding"),
+        *(judged if assessed else []),
         F.struct(_minutes(n * 37 % 1440).alias("extraction_time"), F.lit("rules-1").alias("parser_version")).alias("provenance"),
         F.md5("text").alias("text_hash"),
     )
