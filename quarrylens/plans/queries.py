@@ -21,7 +21,7 @@ from ..sources.store import Collection
 from ..schemas import ARTICLE as ARTICLE_SCHEMA
 from ..schemas import ENUMS
 from ..sources.views import VIEWS, articles, raw_documents, sources, table
-from ..streaming import streams
+from ..streaming import streams, timers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -1169,3 +1169,31 @@ def s05_open_alarms(spark, d):
     """As a stream of several batches, with the state carried between them."""
     found = streams.open_alarms(streams.delivered(spark, _by_day(spark, d, 8)), 48 * 3600, watermark="60 days")
     return streams.finished(found, ["user_id"]).drop("last_seconds")
+
+
+_CHANGES = """, changed AS (
+  SELECT alarm_id, created_at, due_at AS due1, CASE WHEN alarm_id % 3 = 0 THEN created_at + INTERVAL 30 MINUTES END AS raised_at, created_at + INTERVAL 1 HOUR AS due2,
+         CASE WHEN status IN ('RESOLVED', 'CLOSED') THEN created_at + to_hours(alarm_id % 96) END AS stopped_at FROM due
+), spans AS (
+  SELECT alarm_id, due1 AS due, created_at AS start, least(coalesce(raised_at, stopped_at), coalesce(stopped_at, raised_at)) AS stop FROM changed
+  UNION ALL SELECT alarm_id, due2, raised_at, stopped_at FROM changed WHERE raised_at IS NOT NULL AND coalesce(stopped_at > raised_at, true)
+)"""
+
+
+@query("""SELECT DISTINCT alarm_id, kind, strftime(fires, '%Y-%m-%d %H:%M:%S') AS fires, strftime(due, '%Y-%m-%d %H:%M:%S') AS due FROM (
+SELECT alarm_id, 'reminded' AS kind, due - INTERVAL 24 HOURS AS fires, due, stop FROM spans UNION ALL SELECT alarm_id, 'escalated', due, due, stop FROM spans) WHERE coalesce(fires <= stop, true)""", EVENTS + ", " + _DUE + _CHANGES)
+def s07_service_timers(spark, d):
+    """Reminders and escalations as timers of a stream, in slices of time; some alarms become CRITICAL after half an hour, some are resolved or closed after hours."""
+    a = _due(spark, d).select("alarm_id", "status", "created_at", "due_at")
+    hours = lambda n, minutes=0: F.make_dt_interval(F.lit(0), n, F.lit(minutes))
+    change = lambda ts, seq, status, due: F.struct(ts.alias("ts"), F.lit(seq).alias("seq"), status.cast("string").alias("status"), due.cast("timestamp").alias("due_at"))
+    made = change(F.col("created_at"), 1, F.lit("OPEN"), F.col("due_at"))
+    raised = F.when(F.col("alarm_id") % 3 == 0, change(F.col("created_at") + hours(F.lit(0), 30), 2, F.lit(None), F.col("created_at") + hours(F.lit(1))))
+    ended = F.when(F.col("status") != "OPEN", change(F.col("created_at") + hours((F.col("alarm_id") % 96).cast("int")), 3, F.col("status"), F.lit(None)))
+    changes = a.select("alarm_id", F.explode(F.array(made, raised, ended)).alias("c")).filter("c IS NOT NULL").select("alarm_id", "c.*")
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date"))
+    slices = [changes.filter((day >= k) & (day < k + 20)) for k in (0, 20)]
+    tick = spark.createDataFrame([(-1, "2030-01-01 00:00:00", 1, "CLOSED", None)], "alarm_id long, ts string, seq int, status string, due_at timestamp").withColumn("ts", F.col("ts").cast("timestamp"))
+    with timers.timer_state(spark):
+        found = streams.finished(timers.service_timers(streams.delivered(spark, [*slices, tick]), 24 * 60))
+    return found.select("alarm_id", "kind", _stamp("at").alias("fires"), _stamp("due_at").alias("due"))
