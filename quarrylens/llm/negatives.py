@@ -104,9 +104,8 @@ def _block(part: pd.DataFrame) -> pd.DataFrame:
     length = int(part["length"].iloc[0])
     x = np.frombuffer(b"".join(part["body"]), np.int32).reshape(len(part), length)
     codes, low, high = quantised(x)
-    ids = part["vec_id"].fillna(NO_ID).astype(np.int64) if part["vec_id"].isna().any() else part["vec_id"].astype(np.int64)
     return pd.DataFrame([{
-        "length": length, "block": part["block"].iloc[0], "n": len(part), "rows": part["row"].to_numpy(np.int64).tobytes(), "ids": ids.to_numpy().tobytes(),
+        "length": length, "block": part["block"].iloc[0], "n": len(part), "rows": part["row"].to_numpy(np.int64).tobytes(), "ids": part["vec_id"].to_numpy(np.int64).tobytes(),
         "labels": part["label"].to_numpy(np.int64).tobytes(), "codes": codes.tobytes(), "low": low.tobytes(), "high": high.tobytes(), "exact": x.tobytes(),
     }])
 
@@ -259,7 +258,8 @@ def hard_negatives(
     Returns anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
     """
     rows = usable(vectors, label).withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows.withColumn("is_anchor", F.coalesce(anchors, F.lit(False))), "negatives-rows")
+    rows = rows.withColumn("is_anchor", F.coalesce(anchors, F.lit(False))).withColumn("vec_id", F.coalesce("vec_id", F.lit(int(NO_ID))))
+    rows = written(rows, "negatives-rows")
     in_block = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.col("length"), F.lit(1)))))
     counts = rows.groupBy("length").agg(F.count("*").alias("n"), F.count_if("is_anchor").alias("asked"))
     counts = counts.select("length", F.ceil(F.col("n") / in_block).cast("int").alias("blocks"), F.ceil(F.col("asked") / PACK).cast("int").alias("packs"))
@@ -292,4 +292,4 @@ def hard_negatives(
     out = found.select("length", "pack", "scores", "ids").join(packs.select("length", "pack", F.col("ids").alias("anchor_ids"), "positive", "positive_ids"), ["length", "pack"])
     out = out.mapInPandas(unpacked, "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint")
     no_null = lambda c: F.when(F.col(c) != int(NO_ID), F.col(c)).alias(c)
-    return out.select("anchor_id", no_null("positive_id"), "rank", no_null("negative_id"), "positive_score", "negative_score")
+    return out.select(no_null("anchor_id"), no_null("positive_id"), "rank", no_null("negative_id"), "positive_score", "negative_score")

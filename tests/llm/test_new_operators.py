@@ -171,8 +171,12 @@ def test_repair_by_brute_force(spark, monkeypatch, piece, cells):
 
 def test_repair_of_very_long_texts_and_batches(spark):
     rows = [(1, 0, "user", "word " * 300_000 + "."), (1, 1, "assistant", "é" * 500_000), (1, 2, "user", "\x0b\x0c" * 100_000), (2, 0, "assistant", "?")]
-    rows += [(3, t, ("user", "assistant")[t % 2], f"{t}.") for t in range(25_000)]
-    check_repair(spark, rows)
+    rows += [(3, t, ("user", "assistant")[t % 2], f"{t}.") for t in range(2_500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        check_repair(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_damage_is_what_the_contract_says(spark):
