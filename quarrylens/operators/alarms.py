@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .steps import running_sum
+from .steps import running_sum, step
 
 # Time to the service level, in minutes; working time runs 8 to 16 on weekdays.
 SLA_MINUTES = {"CRITICAL": 60, "HIGH": 8 * 60, "MEDIUM": 2 * 480, "LOW": 5 * 480}
@@ -190,3 +190,46 @@ def scope_faults(alarms: DataFrame, users: DataFrame) -> DataFrame:
     both = alarms.join(known, "responsible", "left")
     fault = F.when(F.col("responsible_org").isNull(), "no such user").when(F.col("responsible_org") != F.col("org"), "other organization")
     return both.withColumn("fault", fault).filter("fault IS NOT NULL").select("alarm_id", "fault")
+
+
+CALENDAR_STEP = 480  # working minutes of a bucket of the calendar
+
+
+def summed_calendar(calendar: DataFrame) -> DataFrame:
+    """org, day, opens, minutes worked and ``before``, the minutes worked on the days before, for every
+    day from an organization's first to its last.
+
+    calendar: org, day, opens and closes (minutes of the day).  A day that isn't there, or doesn't open,
+    isn't worked; of several rows for one day the first to open counts.
+    """
+    given = calendar.filter("org IS NOT NULL AND day IS NOT NULL").groupBy("org", "day").agg(F.min(F.struct("opens", "closes")).alias("d"))
+    span = given.groupBy("org").agg(F.sequence(F.min("day"), F.max("day")).alias("days")).select("org", F.explode("days").alias("day"))
+    days = span.join(given, ["org", "day"], "left").select("org", "day", F.coalesce("d.opens", F.lit(0)).alias("opens"), F.coalesce(F.greatest(F.col("d.closes") - F.col("d.opens"), F.lit(0)), F.lit(0)).alias("minutes"))
+    return days.withColumn("before", F.sum("minutes").over(Window.partitionBy("org").orderBy("day")) - F.col("minutes"))
+
+
+def with_calendar_due(alarms: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``alarms`` (org, created_at, severity) with ``due_at`` by the calendar of their organization.
+
+    CRITICAL counts the clock; others count working minutes from the creation on, and a deadline at
+    the end of a working day stays on that day.  Null without a severity, for an organization without
+    a calendar, and where the calendar begins after the creation or ends before the deadline.
+
+    Working minutes are summed along an organization's days.  The creation's day gives the sum so far;
+    the day on which the sum passes what the alarm needs is the last one that begins before, which an
+    as-of join finds: days are dealt to the buckets of the sum that they touch, so it is an equi-join.
+    """
+    days = step(summed_calendar(calendar), "alarms-calendar")
+    today = days.select("org", F.col("day").alias("__day"), F.col("opens").alias("__opens"), F.col("minutes").alias("__minutes"), F.col("before").alias("__before"))
+    minute = F.floor((F.unix_seconds("created_at") - F.unix_seconds(F.date_trunc("DAY", F.col("created_at")))) / 60)
+    need = F.coalesce(*[F.when(F.col("severity") == s, m) for s, m in SLA_MINUTES.items() if s != "CRITICAL"])
+    worked = F.least(F.greatest(minute - F.col("__opens"), F.lit(0)), F.col("__minutes"))
+    rows = alarms.withColumn("__day", F.to_date("created_at")).join(today, ["org", "__day"], "left").withColumn("__until", F.col("__before") + worked + need)
+    rows = rows.withColumn("__bucket", F.floor((F.col("__until") - 1) / CALENDAR_STEP)).drop("__day", "__opens", "__minutes", "__before")
+    touched = F.sequence(F.floor(F.col("before") / CALENDAR_STEP), F.floor((F.col("before") + F.col("minutes") - 1) / CALENDAR_STEP))
+    ends = days.filter("minutes > 0").select("org", F.col("day").alias("__on"), F.col("opens").alias("__from"), F.col("minutes").alias("__length"), F.col("before").alias("__sum"), F.explode(touched).alias("__bucket"))
+    reached = (F.col("__until") > F.col("__sum")) & (F.col("__until") <= F.col("__sum") + F.col("__length"))
+    found = rows.alias("a").join(ends.alias("b"), (F.col("a.org") == F.col("b.org")) & (F.col("a.__bucket") == F.col("b.__bucket")) & reached, "left")
+    due = F.timestamp_seconds(F.unix_seconds(F.col("__on").cast("timestamp")) + (F.col("__from") + F.col("__until") - F.col("__sum")) * 60)
+    due = F.when(F.col("severity") == "CRITICAL", F.timestamp_seconds(F.unix_seconds("created_at") + SLA_MINUTES["CRITICAL"] * 60)).otherwise(due)
+    return found.select(*[F.col(f"a.{c}") for c in alarms.columns if c != "due_at"], due.alias("due_at"))

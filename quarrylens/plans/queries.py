@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.text import canonical_url, normal_title
-from ..operators import acquisition, alarms, collections, enrichment, finders, graph, notifications, preparation, retrieval, rules
+from ..operators import acquisition, alarms, collections, enrichment, finders, graph, identity, notifications, preparation, retrieval, rules
 from ..operators.steps import finished, new_folder
 from ..sources.connectors import JsonLinesConnector
 from ..sources.feed import PostFetcher
@@ -623,6 +623,20 @@ def c17_vertices(spark, d):
     return graph.vertices(articles(spark, d, assessed=False)).withColumn("confidence", F.round("confidence", 4))
 
 
+@query("""SELECT key, min(other) AS entity FROM walk GROUP BY key""", "RECURSIVE " + VIEWS + """, given AS (
+  SELECT DISTINCT 'name:' || type || ':' || normalized_name AS named, CASE WHEN normalized_name < 'n' THEN 'id:Q' || substr(normalized_name, 1, 5) END AS outside FROM entities
+), links AS (
+  SELECT named AS a, outside AS b FROM given WHERE outside IS NOT NULL UNION SELECT outside, named FROM given WHERE outside IS NOT NULL
+), walk AS (
+  SELECT named AS key, named AS other FROM given UNION SELECT outside, outside FROM given WHERE outside IS NOT NULL UNION SELECT w.key, l.b FROM walk w JOIN links l ON l.a = w.other
+)""")
+def c17_entity_identity(spark, d):
+    """Names of an entity across types, by an outside identifier; a third of the articles at a time, merged into what is known."""
+    found = graph.mentions(articles(spark, d, assessed=False)).withColumn("outside", F.when(F.col("normalized_name") < "n", F.concat(F.lit("Q"), F.substring("normalized_name", 1, 5))))
+    rows = found.select(F.substring("article_id", 5, 20).cast("long").alias("n"), identity.identity_keys(F.col("normalized_name"), F.col("type"), F.col("outside")).alias("keys"))
+    return identity.entities([rows.filter(F.col("n") % 3 == k) for k in range(3)])
+
+
 @query("""SELECT a.normalized_name AS source, b.normalized_name AS target, predicate, count(*) AS n, max(r.confidence) AS confidence
 FROM relationships r JOIN entities a ON a.article_id = r.article_id AND a.id = r.source JOIN entities b ON b.article_id = r.article_id AND b.id = r.target GROUP BY 1, 2, 3""", VIEWS)
 def c18_edges(spark, d):
@@ -830,6 +844,31 @@ def d12_sla_due(spark, d):
     return _due(spark, d).select("alarm_id", "severity", _stamp("due_at").alias("due"))
 
 
+_CALENDAR = """, calendar AS (
+  SELECT 'org' || o AS org, o, CAST(DATE '2023-12-25' + CAST(k AS INTEGER) AS DATE) AS day, CASE WHEN o = 3 THEN 540 ELSE 480 END AS opens, k
+  FROM range(7) t(o), range(120) u(k)
+), days AS (
+  SELECT org, day, opens, CASE WHEN (isodow(day) >= 6 AND NOT (o = 5 AND isodow(day) = 6)) OR (k + o) % 9 = 0 THEN 0 WHEN o = 3 THEN 600 ELSE 480 END AS minutes FROM calendar
+), summed AS (
+  SELECT *, CAST(sum(minutes) OVER (PARTITION BY org ORDER BY day) AS BIGINT) - minutes AS before FROM days
+), needs AS (
+  SELECT alarm_id, al.org, severity, created_at, before + least(greatest(hour(created_at) * 60 + minute(created_at) - opens, 0), minutes) + CASE severity WHEN 'HIGH' THEN 480 WHEN 'MEDIUM' THEN 960 WHEN 'LOW' THEN 2400 END AS until
+  FROM al JOIN summed s ON s.org = al.org AND s.day = CAST(created_at AS DATE)
+)"""
+
+
+@query("""SELECT alarm_id, severity, strftime(CASE WHEN severity = 'CRITICAL' THEN created_at + INTERVAL 1 HOUR ELSE s.day + to_minutes(CAST(opens + until - before AS INTEGER)) END, '%Y-%m-%d %H:%M:%S') AS due
+FROM needs n ASOF LEFT JOIN (SELECT * FROM summed WHERE minutes > 0) s ON s.org = n.org AND n.until > s.before""", EVENTS + _CALENDAR)
+def d12_calendar_due(spark, d):
+    """Due times by a calendar for each organization: its hours, its sixth day, its holidays."""
+    days = spark.range(7 * 120).select((F.col("id") % 7).alias("o"), F.floor(F.col("id") / 7).alias("k"))
+    day = F.date_add(F.lit("2023-12-25").cast("date"), F.col("k").cast("int"))
+    closed = ((F.weekday(day) >= 5) & ~((F.col("o") == 5) & (F.weekday(day) == 5))) | ((F.col("k") + F.col("o")) % 9 == 0)
+    opens = F.when(F.col("o") == 3, 540).otherwise(480)
+    calendar = days.select(F.concat(F.lit("org"), F.col("o").cast("string")).alias("org"), day.alias("day"), opens.alias("opens"), F.when(closed, opens).when(F.col("o") == 3, 1140).otherwise(960).alias("closes"))
+    return alarms.with_calendar_due(_alarms(spark, d), calendar).select("alarm_id", "severity", _stamp("due_at").alias("due"))
+
+
 @query("SELECT alarm_id, status IN ('OPEN', 'ACKNOWLEDGED', 'IN_PROGRESS') AND due_at < TIMESTAMP '2024-01-15' AS overdue, CAST(CASE WHEN status IN ('OPEN', 'ACKNOWLEDGED', 'IN_PROGRESS') AND due_at < TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END AS INTEGER) AS level FROM due", EVENTS + ", " + _DUE)
 def d13_escalation(spark, d):
     return alarms.with_escalation(_due(spark, d).withColumn("level", F.lit(0)), F.lit("2024-01-15").cast("timestamp")).select("alarm_id", "overdue", "level")
