@@ -68,7 +68,8 @@ def test_two_unique_keys_in_turn(spark):
     assert got == {"r1": None, "r2": "original_uri", "r3": None, "r4": None, "r5": None, "r6": None}
 
 
-def test_two_unique_keys_by_brute_force(spark):
+@pytest.mark.parametrize("in_task", [200_000, 60, 0])
+def test_two_unique_keys_by_brute_force(spark, in_task):
     import random
 
     rng = random.Random(3)
@@ -80,7 +81,7 @@ def test_two_unique_keys_by_brute_force(spark):
             seen |= {(scope, "a", a), (scope, "b", b)}
         want[i] = reason
     df = spark.createDataFrame(rows, "id string, scope string, one int, two int, at int")
-    got = collections.unique_by_two(df, "scope", "one", "two", ["at"]).collect()
+    got = collections.unique_by_two(df, "scope", "one", "two", ["at"], rows_in_task=in_task).collect()
     assert {r["id"]: r["reason"] for r in got} == want and all(r["accepted"] == (r["reason"] is None) for r in got) and len(got) == 300
 
 
