@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .steps import exists, shared_folder
 
+if TYPE_CHECKING:
+    from ..sources.vector_index import VectorIndex
+
 CHUNK, OVERLAP = 800, 100
 
 
@@ -142,6 +146,19 @@ def embedded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector", F.when(F.col("chunk_text").isNotNull(), F.array(count("[a-z]"), count("[A-Z]"), count("[0-9]"), count(r"\s"))))
 
 
+def upserting(index: VectorIndex, kb: str) -> Stage:
+    """The stage that puts chunks into a vector index: a document's points are replaced as a whole, those
+    of a document that failed are removed."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        points = rows.withColumns({"parent": F.col("id").cast("string"), "kb": F.lit(kb)})
+        points = points.select(F.concat_ws("#", "parent", F.coalesce(F.col("chunk").cast("string"), F.lit("none"))).alias("id"), "kb", "parent", "vector")
+        index.upsert(points)
+        return rows
+
+    return "upsert", work
+
+
 def committed(rows: DataFrame) -> DataFrame:
     """One row for each document: INDEXED with its chunks, or FAILED with the reason."""
     out = rows.groupBy("id").agg(F.first("type").alias("type"), F.first("title").alias("title"), F.first("n_numbers").alias("n_numbers"), F.first("fault").alias("fault"), F.count("vector").alias("n_chunks"))

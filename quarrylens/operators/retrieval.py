@@ -80,6 +80,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "kb", "vec_id", "score", "rank")
 
 
+def with_sources(found: DataFrame) -> DataFrame:
+    """query_id and sources: the documents (kb, parent, score, n) that a query's points are from, over all of
+    its knowledge bases, each once, with its best score and its number of points, best first."""
+    each = found.groupBy("query_id", "kb", "parent").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    rows = each.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "kb", "parent", "score", "n"))).alias("sources"))
+    return rows.select("query_id", F.transform("sources", lambda x: F.struct(x["kb"].alias("kb"), x["parent"].alias("parent"), x["score"].alias("score"), x["n"].alias("n"))).alias("sources"))
+
+
 def close_vectors(vectors: DataFrame, least: float) -> DataFrame:
     """vec_id, n_close and best_cosine: other rows with a cosine of ``least`` or more, exact.
 

@@ -20,6 +20,7 @@ from ..sources.store import SCHEMAS as COLLECTION_SCHEMAS
 from ..sources.store import Collection
 from ..schemas import ARTICLE as ARTICLE_SCHEMA
 from ..schemas import ENUMS
+from ..sources.vector_index import VectorIndex
 from ..sources.views import VIEWS, articles, raw_documents, sources, table
 from ..streaming import streams, timers
 
@@ -1111,6 +1112,19 @@ def d26_document_pipeline(spark, d):
     return rows.select("id", "type", F.md5("title").alias("title"), F.col("n_numbers").cast("long").alias("n_numbers"), "n_chunks", "status")
 
 
+@query("SELECT id, CASE WHEN id % 5 <> 0 THEN n_chunks ELSE 0 END AS n_points FROM prepared", _PREPARED)
+def d26_upserted_chunks(spark, d):
+    """Documents prepared and put into a vector index, twice; in the second run every fifth has lost its text."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = VectorIndex(spark, new_folder(spark, "index"))
+    stages = [*preparation.STAGES[:-1], preparation.upserting(index, "documents"), preparation.STAGES[-1]]
+    for run in range(2):
+        text = F.when(F.col("id") % 5 != 0, F.col("text")) if run else F.col("text")
+        preparation.run_stages(spark, f"d26-{uuid.uuid4().hex}", docs.withColumn("text", text), stages)
+    points = index.points.read().groupBy(F.col("parent").cast("long").alias("id")).agg(F.count("*").alias("n"))
+    return docs.select("id").join(points, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_points"))
+
+
 @query("SELECT * FROM (VALUES (1, 'parse', true), (2, 'normalize', true), (3, 'classify', true), (4, 'extract', false), (5, 'chunk', false), (6, 'embed', false), (7, 'commit', false)) v(nth, stage, was_there), (SELECT count(*) AS n_indexed FROM prepared WHERE status = 'INDEXED')", _PREPARED)
 def d39_resume(spark, d):
     """A run that ends after the third stage, and a second one with the same request id."""
@@ -1133,6 +1147,25 @@ def d34_retrieval(spark, d):
     return retrieval.nearest(e, queries, 5)
 
 
+@query("""WITH points AS (SELECT *, vec_id // 4 AS parent FROM embeddings WHERE NOT (vec_id // 4 % 5 = 0 AND vec_id % 4 = 3)), found AS (
+  SELECT q.vec_id AS query_id, 'kb' || q.label AS kb, v.parent, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS score,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) DESC, CAST(v.vec_id AS VARCHAR)) AS rank
+  FROM embeddings q JOIN points v ON v.label = q.label WHERE q.vec_id % 100 = 0 QUALIFY rank <= 5
+), sources AS (SELECT query_id, kb, parent, max(score) AS score, count(*) AS n FROM found GROUP BY ALL)
+SELECT query_id, string_agg(parent || 'x' || n, ',' ORDER BY score DESC, kb, CAST(parent AS VARCHAR)) AS sources, max(score) AS best FROM sources GROUP BY query_id""")
+def d34_index_retrieval(spark, d):
+    """From a stored index, after documents have been replaced: the sources of each query's best points."""
+    e = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 4).alias("parent"), F.concat(F.lit("kb"), F.col("label").cast("string")).alias("kb"), F.col("embedding").alias("vector"))
+    index = VectorIndex(spark, new_folder(spark, "index"))
+    replaced = F.col("parent") % 5 == 0
+    index.upsert(e.withColumn("id", F.col("vec_id")).withColumn("vector", F.when(replaced, F.reverse("vector")).otherwise(F.col("vector"))))
+    index.upsert(e.filter(replaced & (F.col("vec_id") % 4 != 3)).withColumn("id", F.col("vec_id")))
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "kb", F.col("vector").alias("query_vector"))
+    rows = retrieval.with_sources(index.search(asked, 5))
+    text = F.array_join(F.transform("sources", lambda s: F.concat(s["parent"], F.lit("x"), s["n"].cast("string"))), ",")
+    return rows.select("query_id", text.alias("sources"), F.array_max(F.transform("sources", lambda s: s["score"])).alias("best"))
+
+
 @query("SELECT kb FROM (SELECT DISTINCT 'kb' || lpad(CAST(label AS VARCHAR), 2, '0') AS kb, label FROM embeddings) WHERE label % 4 <> 3 AND (label % 2 = 0 OR label = 5) ORDER BY kb LIMIT 5")
 def d35_candidate_bases(spark, d):
     labels = table(spark, d, "embeddings").select("label").distinct()

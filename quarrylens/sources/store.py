@@ -322,12 +322,13 @@ class Collection:
         self._commit(seen, [*seen["parts"], part])
         return True
 
-    def replace_children(self, rows: DataFrame, parent: str) -> DataFrame:
-        """Delete-then-insert of all rows of the parents that ``rows`` brings; running twice is the same."""
+    def replace_children(self, rows: DataFrame, parent: str, parents: DataFrame | None = None) -> DataFrame:
+        """Delete-then-insert of all rows of the parents that ``rows`` brings (and of ``parents``, which may
+        have none left); running twice is the same.  Returns the rows as saved."""
         seen = self.manifest()
         rows = rows.select(*self.schema.names)
         now = self._live("rows", seen, "id", self.schema)
-        gone = None if now is None else now.join(rows.select(parent).distinct(), parent, "left_semi").select("id")
+        gone = None if now is None else now.join((rows if parents is None else parents).select(parent).distinct(), parent, "left_semi").select("id")
         return self._add(rows, seen, {}, gone)
 
     def compact(self) -> None:
