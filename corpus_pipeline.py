@@ -2,7 +2,8 @@
 each group of near-duplicates, mix sources to their weights, pack into sequences.
 
 Every stage takes what its predecessor kept, written as Parquet and read again, and all but the
-last return the columns of ``documents``; intermediate tables of a stage go when it is written.
+last return the columns of ``documents``.  A stage writes its result and then removes its
+intermediate tables, whoever calls it.
 
 Defined results
     null or empty text     scored by the measures of no words, and so rejected or kept; has no lines
@@ -22,7 +23,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,32 +31,50 @@ from quarrylens.llm import lines, minhash, mixing, packing, quality
 from quarrylens.llm._spark import finished
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(work: Stage) -> Stage:
+    """``work`` with its result written and its intermediate tables removed."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return finished(spark, f"stage-{work.__name__}", partial(work, spark, docs, sf_dir))
+
+    return run_stage
+
+
+@_stage
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on ``labels``, scores 0.3 or more."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
+@_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that stand in an earlier document (or further up)."""
     return lines.without_repeats(docs)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at a similarity of 0.8 or more over shingles of five words."""
     return minhash.one_of_each(docs, shingle=5, percent=80)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, sources at their targets."""
     return mixing.mixed(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 1024 tokens."""
     return packing.packed(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", reject_poor),
     ("line_dedup", drop_repeated_lines),
     ("minhash_near_dedup", drop_near_duplicates),
@@ -69,6 +88,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = finished(spark, f"stage-{name}", partial(stage, spark, docs, sf_dir))
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
     return docs
