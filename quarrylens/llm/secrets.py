@@ -45,15 +45,15 @@ HEX_ONLY = r"^[0-9a-fA-F]+$"
 WINDOW = 20
 HEX_BITS, OTHER_BITS = 3.0, 3.6
 
-# Allow-list: what such strings are when they aren't secrets.
-ALLOWED_LENGTH = 256  # longer candidates are never names or paths; patterns aren't tried on them
+# Allow-list: what such strings are when they aren't secrets.  Tried at any length: repetitions are
+# possessive, so they neither go back nor nest calls.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(.)\1{7,}",
     r"(?i)0123456789|abcdefghij|qwertyuiop|987654321",
     r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?(api|key|token|secret)|xxxx",
-    r"^[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}$",
-    r"^([A-Za-z]{1,12}|[0-9]{1,4})([-_/+=]([A-Za-z]{1,12}|[0-9]{1,4}))+$",
+    r"^[A-Za-z]++(?:[-_/][A-Za-z]++)*+[-_/]?[0-9]{1,4}$",
+    r"^(?:[A-Za-z]{1,12}|[0-9]{1,4})(?:[-_/+=](?:[A-Za-z]{1,12}|[0-9]{1,4}))++$",
     r"^[0-9]{1,4}([-_/][0-9]{1,4}){2}",
 )
 
@@ -169,7 +169,7 @@ def secret_spans(docs: DataFrame, window: int = WINDOW, hex_bits: float = HEX_BI
         when_found(CANDIDATE, located(CANDIDATE, "0", "true", "3")).alias("candidates"),
     )
     found = found.withColumn("base", F.concat("assign", "access", "hex"))
-    allowed = f"length(c.body) <= {ALLOWED_LENGTH} AND (" + " OR ".join(f"c.body RLIKE {_quoted(p)}" for p in ALLOWED) + ")"
+    allowed = " OR ".join(f"c.body RLIKE {_quoted(p)}" for p in ALLOWED)
     # in order of starts, a candidate is inside a base span if one of those before it ends as late
     in_order = "array_sort(concat(base, candidates))"
     uncovered = _scan(in_order, "-1L", lambda t: f"IF(x.ord < 3, greatest({t}, x.stop), {t})", lambda t, u: f"greatest({t}, {u})", "x.ord = 3 AND total < x.stop", "x")
