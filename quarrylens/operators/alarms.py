@@ -67,10 +67,21 @@ def reopened(events: DataFrame) -> DataFrame:
 
 
 def episodes(events: DataFrame, gap: str) -> DataFrame:
-    """Alarms of a key that begin anew after a quiet ``gap``: one row each, with the alarm before."""
-    by_key = Window.partitionBy("alarm_key").orderBy("ts", "event_id")
-    fresh = F.coalesce(F.col("ts") - F.lag("ts").over(by_key) > F.expr(f"INTERVAL {gap}"), F.lit(True))
-    numbered = events.withColumn("fresh", fresh.cast("int")).withColumn("episode", F.sum("fresh").over(by_key))
+    """Alarms of a key that begin anew after a quiet ``gap``: one row each, with the alarm before.
+
+    A key's events are taken day by day, so that no task has all of a hot key.  Events without a key
+    or time are left out.
+    """
+    day = F.to_date("ts")
+    rows = events.withColumn("__day", day)
+    # a day's first event looks back to the last one of its key's day before, others within their day
+    days = rows.groupBy("alarm_key", "__day").agg(F.max("ts").alias("__last"))
+    days = days.select("alarm_key", "__day", F.lag("__last").over(Window.partitionBy("alarm_key").orderBy("__day")).alias("__earlier"))
+    in_day = Window.partitionBy("alarm_key", "__day").orderBy("ts", "event_id")
+    rows = rows.join(days, ["alarm_key", "__day"])
+    fresh = F.coalesce(F.col("ts") - F.coalesce(F.lag("ts").over(in_day), "__earlier") > F.expr(f"INTERVAL {gap}"), F.lit(True))
+    rows = rows.withColumn("fresh", fresh.cast("int"))
+    numbered = running_sum(rows, ["alarm_key"], "__day", ["ts", "event_id"], "fresh", "__before").withColumn("episode", F.col("__before") + F.col("fresh"))
     alarms = numbered.groupBy("alarm_key", "episode").agg(F.count("*").alias("occurrence_count"), F.min_by("event_id", F.struct("ts", "event_id")).alias("alarm_id"))
     return alarms.withColumn("previous_alarm_id", F.lag("alarm_id").over(Window.partitionBy("alarm_key").orderBy("episode")))
 

@@ -275,3 +275,27 @@ def test_settings(tmp_path):
     (tmp_path / "bad.yaml").write_text("{")
     assert config.load(tmp_path / "bad.yaml") == usual
     assert config.Endpoint("h", 0).state() == "INVALID"
+
+
+def test_episodes_of_a_hot_key(spark):
+    """A third of all events on one key, gaps over midnight and over empty days."""
+    import random
+
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(n, "hot" if n % 3 == 0 else f"k{n % 5}", start + dt.timedelta(minutes=rng.choice([rng.randrange(30_000), 1439, 1440, 1441]))) for n in range(900)]
+    want = set()
+    for key in {r[1] for r in rows}:
+        last, before, episode, found = None, None, 0, None
+        for ts, n in sorted((t, n) for n, k, t in rows if k == key):
+            if last is None or ts - last > dt.timedelta(hours=2):
+                if found:
+                    want.add(tuple(found))
+                    before = found[3]
+                episode += 1
+                found = [key, episode, 0, n, before]
+            found[2] += 1
+            last = ts
+        want.add(tuple(found))
+    got = alarms.episodes(spark.createDataFrame(rows, "event_id int, alarm_key string, ts timestamp"), "2 HOURS")
+    assert {tuple(r) for r in got.select("alarm_key", "episode", "occurrence_count", "alarm_id", "previous_alarm_id").collect()} == want
