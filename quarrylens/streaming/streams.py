@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,11 +103,10 @@ def open_alarms(events: DataFrame, gap_seconds: int, watermark: str = "2 days")
             state.remove()
             return
         episode, count, last = state.get if state.exists else (0, 0, float("-inf"))
-        seconds = pd.concat([p[["seconds"]] for p in parts])["seconds"].sort_values()
-        for s in seconds:
-            if s - last > gap_seconds:
-                episode, count = episode + 1, 0
-            count, last = count + 1, max(last, float(s))
+        seconds = np.sort(np.concatenate([p["seconds"].to_numpy() for p in parts]))
+        fresh = np.flatnonzero(seconds - np.maximum(np.r_[last, seconds[:-1]], last) > gap_seconds)
+        count = len(seconds) - fresh[-1] if len(fresh) else count + len(seconds)
+        episode, last = episode + len(fresh), max(last, float(seconds[-1]))
         state.update((int(episode), int(count), float(last)))
         state.setTimeoutTimestamp(max(int((last + gap_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "episode": [int(episode)], "occurrences": [int(count)], "last_seconds": [float(last)]})
