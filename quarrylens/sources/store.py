@@ -121,13 +121,13 @@ class Collection:
             out.write(json.dumps(now).encode())
         finally:
             out.close()
-        jvm = self.spark._jvm
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri() if "://" in self.folder else jvm.java.io.File(self.folder).toURI(), self.spark._jsc.hadoopConfiguration())
+        jvm, whole = self.spark._jvm, self._fs().makeQualified
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole(beside).toUri(), self.spark._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            files.rename(files.makeQualified(beside), files.makeQualified(self._path(f"{self.folder}/log/{version:012}.json")), none)
+            files.rename(whole(beside), whole(self._path(f"{self.folder}/log/{version:012}.json")), none)
         except Exception as e:  # a Java exception, by name
-            files.delete(files.makeQualified(beside), False)
+            files.delete(whole(beside), False)
             if "FileAlreadyExists" in str(e):
                 raise Conflict(f"{self.name}: version {version} is there") from None
             raise

@@ -62,6 +62,14 @@ def test_stale_writer_and_racing_writer(spark, tmp_path):
     assert not [s for s in (tmp_path / "things" / "log").iterdir() if s.name.startswith("_")]
 
 
+@pytest.mark.parametrize("scheme", ["file:", "file://"])
+def test_roots_with_a_scheme(spark, tmp_path, scheme):
+    store = stored(spark, f"{scheme}{tmp_path}")
+    store.save(rows(spark, ("a", "A", 1)))
+    store.save(rows(spark, ("a", "A", 2)))
+    assert held(store) == [("a", "A", 2)] and store.versions() == [1, 2] and (tmp_path / "things" / "log").is_dir()
+
+
 def test_writer_that_dies(spark, tmp_path, monkeypatch):
     store = stored(spark, tmp_path)
     store.save(rows(spark, ("a", "A", 1)))
