@@ -23,7 +23,8 @@ Defined results
     null or empty text     one piece that holds the end id only
     very long text         tokenized whole by one task
     repeated rows          each is packed
-    ties                   pieces of one length are in order of doc_id, piece and content
+    ties                   pieces of one length are in order of a hash of (doc_id, piece, content),
+                           sequences with one gap in order of their number, at any count of either
     null doc_id            kept, like any other value
     empty table            no rows
     other columns          ignored.  Names that begin with an underscore are the operator's own
@@ -31,6 +32,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -45,7 +47,7 @@ from ._spark import level_size, running_total, text_column, written
 
 CAPACITY = 1024
 END_ID = 2
-FEW = 1 << 20  # sequences whose ranks need no second level
+FEW = 1 << 20  # sequences whose ranks need no second level (they are the same with one)
 # Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS: dict = {}
@@ -80,14 +82,17 @@ def encoder(vocabulary: str):
         ranks = {bytes(back[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
         fast = tiktoken.Encoding("corpus", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+        @functools.cache
+        def slow():
+            import tokenizers
+
+            return tokenizers.Tokenizer.from_file(vocabulary)
+
         def encode(text: str) -> np.ndarray:
             try:
                 return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
-            except Exception:
-                import tokenizers
-
-                slow = tokenizers.Tokenizer.from_file(vocabulary)
-                return np.asarray(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            except (ValueError, RuntimeError):  # its pattern engine gives up
+                return np.asarray(slow().encode(text, add_special_tokens=False).ids, dtype="<u4")
 
         _ENCODERS[vocabulary] = encode
     return _ENCODERS[vocabulary]
@@ -216,10 +221,12 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     while left:
         fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
         sorted_gaps = open_ones.union(fresh)
-        if opened + more <= FEW:  # one task may hold them
+        # ranked by sequence_id within each gap, in one level or in two: a bucket is a range of ids
+        if opened + more <= FEW:
             sorted_gaps = sorted_gaps.withColumn("gap_rank", F.row_number().over(Window.partitionBy("gap").orderBy("sequence_id")).cast("long") - 1)
         else:
-            sorted_gaps = sorted_gaps.withColumn("_bucket", F.pmod(F.xxhash64("sequence_id"), F.lit(level_size(opened + more)))).withColumn("_one", F.lit(1).cast("long"))
+            width = -(-(opened + more) // level_size(opened + more))
+            sorted_gaps = sorted_gaps.withColumn("_bucket", F.floor(F.col("sequence_id") / F.lit(width))).withColumn("_one", F.lit(1).cast("long"))
             sorted_gaps = running_total(sorted_gaps, ["gap"], "_bucket", ["sequence_id"], "_one", "gap_rank")
         sorted_gaps = written(sorted_gaps.select("sequence_id", "gap", "gap_rank"), "pack-gaps")
         opened += more
