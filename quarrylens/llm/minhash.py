@@ -10,10 +10,11 @@
     group of copies of any size is linked by this already, in one comparison for each member.
 4.  What is left to compare are pairs in buckets whose members are in different components so
     far.  Such buckets join to families; a large family is taken bucket by bucket instead where
-    that is less work (chains of buckets).  Members of the largest component there aren't compared
-    with each other; the others are dealt to blocks, and each pair of blocks is one task's work,
-    which intersects the sets by shared shingles and returns only the links that join different
-    components, never all pairs.
+    that is less work (chains of buckets).  Either way a pair counts if it shares a bucket, so
+    links don't depend on how large the family around them is.  Members of the largest component
+    there aren't compared with each other; the others are dealt to blocks, and each pair of
+    blocks is one task's work, which intersects the sets by shared shingles and returns only the
+    links that join different components, never all pairs.
 5.  Components of all links, and the members of each class, give the result.
 
 Defined results
@@ -170,8 +171,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def spanning_links(ids: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links enough to connect what is linked: pairs with 100 * |a & b| >= percent * |a | b|.
+def spanning_links(ids: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], buckets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links enough to connect what is linked: pairs in one bucket with 100 * |a & b| >= percent * |a | b|.
 
     Rows of one group are connected already.  If there are two sides, pairs on one side are
     another task's.
@@ -180,6 +181,7 @@ def spanning_links(ids: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets:
     both = intersections(sets)
     linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
     linked &= both > 0
+    linked &= intersections(buckets) > 0
     if (sides != sides[0]).any():
         linked &= sides[:, None] != sides[None, :]
     same = groups[:, None] == groups[None, :]
@@ -231,7 +233,7 @@ def _open_buckets(entries: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _units(open_ones: DataFrame, family: int) -> DataFrame:
-    """kind, unit, class_id, grp: what has to be compared.  A unit is a family of buckets (kind 0),
+    """kind, unit, class_id, grp, buckets: what has to be compared.  A unit is a family of buckets (kind 0),
     or, in large families where that is less work, each of its buckets (kind 1)."""
     ties = open_ones.filter("class_id > leader").select(F.col("leader").alias("a"), F.col("class_id").alias("b"))
     families = components(ties, "minhash-families").select(F.col("id").alias("class_id"), F.col("component").alias("family"))
@@ -239,8 +241,9 @@ def _units(open_ones: DataFrame, family: int) -> DataFrame:
     work = of_family.groupBy("family", "bucket").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("by_bucket"))
     size = families.groupBy("family").agg(F.count("*").alias("size"))
     apart = work.join(size, "family").filter((F.col("size") > family) & (2 * F.col("by_bucket") < F.col("size").cast("double") * F.col("size"))).select("family")
-    whole = of_family.join(apart, "family", "left_anti").select(F.lit(0).alias("kind"), F.col("family").alias("unit"), "class_id", "grp").distinct()
-    chained = of_family.join(apart, "family", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("unit"), "class_id", "grp")
+    whole = of_family.join(apart, "family", "left_anti").select(F.lit(0).alias("kind"), F.col("family").alias("unit"), "class_id", "grp", "bucket")
+    whole = whole.groupBy("kind", "unit", "class_id", "grp").agg(F.collect_set("bucket").alias("buckets"))  # at most one a band
+    chained = of_family.join(apart, "family", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("unit"), "class_id", "grp", F.array("bucket").alias("buckets"))
     return whole.unionByName(chained)
 
 
@@ -262,13 +265,13 @@ def _remaining(open_ones: DataFrame, sets: DataFrame, percent: int, block: int,
     of_main = F.transform(every("others"), lambda k: place(k, F.col("block"), True))
     of_other = F.concat(F.transform(every("others"), lambda k: place(F.least("block", k), F.greatest("block", k), False)), F.transform(every("mains"), lambda k: place(F.col("block"), k, True)))
     rows = rows.withColumn("at", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_other)))
-    rows = rows.select("kind", "unit", "at.*", "is_main", "block", "class_id", "grp").join(sets, "class_id")
+    rows = rows.select("kind", "unit", "at.*", "is_main", "block", "class_id", "grp", "buckets").join(sets, "class_id")
 
     def confirm(part: pd.DataFrame) -> pd.DataFrame:
         sides = part["is_main" if part["across"].iloc[0] else "block"].to_numpy()
         found = []
         if (sides != sides[0]).any() or not part["across"].iloc[0] and part["lo"].iloc[0] == part["hi"].iloc[0]:
-            found = spanning_links(part["class_id"].to_numpy(), part["grp"].to_numpy(), sides, [np.frombuffer(x, np.uint64) for x in part["shingles"]], percent)
+            found = spanning_links(part["class_id"].to_numpy(), part["grp"].to_numpy(), sides, [np.frombuffer(x, np.uint64) for x in part["shingles"]], list(part["buckets"]), percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("kind", "unit", "lo", "hi", "across").applyInPandas(confirm, "a bigint, b bigint")
