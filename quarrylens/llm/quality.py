@@ -19,9 +19,9 @@ weights on.  Every document is scored, whole.  lang, source and doc_id are never
 
 Defined results
     null or empty text     scored like any text, by the measures of no words
-    very long text         pooled a piece of about a megabyte after the other (pieces end between
-                           words where they can), so memory doesn't grow with it; neighbours
-                           across the border of two pieces don't count
+    very long text         pooled a piece of about a megabyte after the other, with the neighbours
+                           across borders: the same sums as in one piece, up to rounding.  Pieces
+                           end between words, so a longer word makes a longer piece
     labels                 null quality and ids without a document are ignored; an id labelled
                            more than once takes each label
     no usable labels       score 0.5 for every row
@@ -148,6 +148,26 @@ def summed(data: np.ndarray, offsets: np.ndarray, contexts: np.ndarray) -> np.nd
     return np.column_stack([*sums, *plain]).astype(np.float64)
 
 
+def long_text_sums(data: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """``summed`` of one text, a piece after the other.
+
+    Pieces end between words.  All sums are over words, bytes or neighbours, so only the pair of
+    words on either side of a border is missing, and is added: what both have beyond each alone.
+    """
+    one = lambda x: summed(x, np.array([0, len(x)]), contexts)
+    total, before = 0, None
+    for a, b in pieces(data, SLICE_BYTES):
+        piece = data[a:b]
+        total = total + one(piece)
+        starts, ends = word_spans(piece, np.array([0, len(piece)]))
+        if len(starts):
+            first = piece[starts[0] : ends[0]]
+            if before is not None:
+                total += one(np.concatenate([before, first])) - one(before) - one(first)
+            before = np.append(piece[starts[-1] : ends[-1]], np.uint8(32))
+    return total
+
+
 def features(total: np.ndarray) -> np.ndarray:
     """Features from the sums of whole texts: pooled vectors, their directions, plain measures."""
     *sums, plain = np.split(total, np.cumsum([DIMENSIONS] * 4 + [CONTEXT_DIMENSIONS]), axis=1)
@@ -167,7 +187,7 @@ def feature_rows(column: pa.Array, contexts: np.ndarray) -> Iterator[np.ndarray]
         last = min(max(int(np.searchsorted(offs, offs[row] + SLICE_BYTES, side="right")) - 1, row + 1), rows, row + SLICE_ROWS)
         part = data[offs[row] : offs[last]]
         if last == row + 1 and len(part) > SLICE_BYTES:
-            total = sum(summed(part[a:b], np.array([0, b - a]), contexts) for a, b in pieces(part, SLICE_BYTES, 2 * SLICE_BYTES))
+            total = long_text_sums(part, contexts)
         else:
             total = summed(part, offs[row : last + 1] - offs[row], contexts)
         yield features(total)
