@@ -91,6 +91,57 @@ def test_scores_ignore_everything_but_text(spark, edge):
     assert before == after
 
 
+def test_pooled_sums_of_a_small_table(spark):
+    """Index and context vectors word by word, against the table and the pooled rows."""
+    from quarrylens.llm._words import hash_spans
+
+    texts = ["the cat sat on the mat", "", "a b a b", "the dog sat", None]
+    hash_of = lambda w: hash_spans(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))
+    index = lambda w, salt: quality._index(hash_of(w), np.array([0]), 1, salt)[0]
+    table_of = np.zeros((quality.CONTEXTS, quality.CONTEXT_DIMENSIONS))
+    place = lambda w: int(hash_of(w)[0]) % quality.CONTEXTS
+
+    def entries(word):
+        out, h = np.zeros(quality.CONTEXT_DIMENSIONS), int(quality.mix(hash_of(word) ^ np.uint64(0x55))[0])
+        for _ in range(quality.ENTRIES):
+            out[h % quality.CONTEXT_DIMENSIONS] += 1 if h >> 20 & 1 else -1
+            h = int(quality.mix(np.array([h], np.uint64))[0])
+        return out
+
+    for text in texts:
+        w = (text or "").split()
+        for left, right in zip(w, w[1:]):
+            table_of[place(left)] += entries(right)
+            table_of[place(right)] += entries(left)
+    want = table_of / np.maximum(np.linalg.norm(table_of, axis=1, keepdims=True), 1e-9)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    got = np.frombuffer(bytes(quality.context_vectors(docs).first()["contexts"]), np.float32).reshape(want.shape)
+    assert np.allclose(got, want, atol=1e-6)
+    for text in texts[:4]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        sums = quality.summed(data, np.array([0, len(data)]), got)[0]
+        w, d = text.split(), quality.DIMENSIONS
+        assert np.allclose(sums[:d], sum((index(x, 0x11) for x in w), np.zeros(d)))
+        assert np.allclose(sums[d : 2 * d], sum((index(x[-3:], 0x22) for x in w), np.zeros(d)))
+        assert np.allclose(sums[4 * d : 4 * d + quality.CONTEXT_DIMENSIONS], sum((want[place(x)] for x in w), np.zeros(quality.CONTEXT_DIMENSIONS)), atol=1e-5)
+        assert sums[-10:][:4].tolist() == [len(w), len(data), sum(map(len, w)), sum(x == y for x, y in zip(w, w[1:]))]
+
+
+def test_long_texts_are_pooled_as_in_one_piece(monkeypatch):
+    """At both sides of a piece's size, with borders inside repeated words, and a word longer than a piece."""
+    rng = np.random.default_rng(4)
+    contexts = rng.normal(size=(quality.CONTEXTS, quality.CONTEXT_DIMENSIONS)).astype(np.float32)
+    whole = [" ".join(rng.choice(["la", "Wort,", "é漢字", "x1"], 900)), "la " * 700, "w" * 3000 + " end end " + "\n" * 900 + "v" * 2000, " " * 3000, "  la" + " " * 1500 + "la  "]
+    for size in (64, 1000, 1024):
+        monkeypatch.setattr(quality, "SLICE_BYTES", size)
+        for text in whole:
+            data = np.frombuffer(text.encode(), np.uint8)
+            one = quality.summed(data, np.array([0, len(data)]), contexts)
+            assert np.allclose(quality.long_text_sums(data, contexts), one, rtol=1e-4, atol=2e-2)
+            exact = [*range(4 * quality.DIMENSIONS), *range(one.shape[1] - 10, one.shape[1])]
+            assert (quality.long_text_sums(data, contexts)[0, exact] == one[0, exact]).all()
+
+
 # 3 extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -469,12 +520,10 @@ def test_sweeps_take_the_smallest_gap_that_holds():
         assert all(left == counts[n] - sum(k for (length, _), k in want.items() if length == n) for n, left, _ in rest)
 
 
-@pytest.mark.parametrize("few", [packing.FEW, 0])
-def test_packing_is_tight(spark, monkeypatch, few):
-    """Against best-fit decreasing, one piece after the other; sequences ranked in one level and in two."""
+def test_packing_is_tight(spark, monkeypatch):
+    """Against best-fit decreasing, one piece after the other; sequences ranked in one level and in two give one packing."""
     import random
 
-    monkeypatch.setattr(packing, "FEW", few)
     rng = random.Random(2)
     texts = [" ".join(["a"] * rng.choice([1, 3, 30, 120, 300, 500, 700])) for _ in range(400)] + [None] * 50
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -488,6 +537,9 @@ def test_packing_is_tight(spark, monkeypatch, few):
             bins.append([length])
     assert rows.groupby("sequence_id")["length"].sum().max() <= 512
     assert rows["sequence_id"].nunique() <= 1.02 * len(bins) + 1
+    monkeypatch.setattr(packing, "FEW", 0)
+    again = packing.packed(docs, capacity=512).toPandas()
+    assert set(map(tuple, rows.to_numpy())) == set(map(tuple, again.to_numpy()))
 
 
 def test_sequences_round_trip(spark, middle):
