@@ -205,24 +205,65 @@ def test_markup_that_is_not_well_formed():
 
 
 def test_pages_without_article(spark):
-    """Made of blocks with known windows: what lies between surge and dive, and nothing else."""
+    """Brute force: a region's text goes from the first to the last run of three lines (or fewer) that holds enough."""
     import random
 
     rng = random.Random(9)
-    rows, want = [], []
-    for n in range(60):
-        html, kept = ["<body>"], []
+    rows, want, trimmed = [], [], 0
+    for n in range(80):
+        html, regions = ["<body>"], []
         for _ in range(rng.randrange(1, 6)):
-            sizes = [rng.choice([5, 18, 70, 200]) for _ in range(rng.randrange(1, 6))]
-            texts = [("w" * (k - 1)) + str(rng.randrange(10)) for k in sizes]
-            sums = [sum(sizes[max(0, k - 2) : k + 1]) for k in range(len(sizes))]
-            html.append("<table><tr><td>" + "".join(f"<p>{t}</p>" for t in texts) + "</td></tr></table><nav><a href=/>menu</a></nav>")
-            kept.append((max(sums), texts))
-        least = min(60, max(peak for peak, _ in kept))
+            sizes = [rng.choice([2, 5, 18, 70, 200]) for _ in range(rng.randrange(1, 9))]
+            regions.append([("w" * (k - 1)) + str(rng.randrange(10)) for k in sizes])
+            html.append("<table><tr><td>" + "".join(f"<p>{t}</p>" for t in regions[-1]) + "</td></tr></table><nav><a href=/>menu</a></nav>")
+        runs = [[(sum(map(len, x[i:j])), i, j) for i in range(len(x)) for j in range(i + 1, min(len(x), i + 3) + 1)] for x in regions]
+        least, kept = min(60, max(x[0] for run in runs for x in run)), []
+        for texts, run in zip(regions, runs):
+            full = [(i, j) for total, i, j in run if total >= least]
+            if full:  # the widest of the runs that end where one first holds enough
+                end = min(j for _, j in full)
+                kept += texts[max(end - 3, 0) : min(len(texts), max(i for i, _ in full) + 3)]
+                trimmed += len(texts) - len(texts[max(end - 3, 0) : min(len(texts), max(i for i, _ in full) + 3)])
         rows.append((n, "u", "".join(html) + "</body>"))
-        want.append("\n".join(t for peak, texts in kept if peak >= least for t in texts))
+        want.append("\n".join(kept))
     got = extraction.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).orderBy("page_id").collect()
-    assert [r["text"] for r in got] == want and len(set(want)) > 50
+    assert [r["text"] for r in got] == want and len(set(want)) > 70 and trimmed > 20
+
+
+def test_surge_and_dive_decide():
+    long = "A paragraph of the main text that is long enough to surge on its own, surely."
+    letters = "".join(f"<p>{x}</p>" for x in "abcdefghij" * 20)
+    page = f"<body><div class=xq7>{letters}<p>{long}</p>{letters}</div></body>"
+    assert extraction.main_text(page) == f"i\nj\n{long}\na\nb"
+    assert extraction.main_text(page, window=1) == long
+    assert extraction.main_text(page, surge=5000) == extraction.main_text(page, surge=len(long) + 2)
+    # in articles a factor lowers the threshold; it doesn't take its place
+    article = f"<body><article><h1>T</h1>{'<p>short</p>' * 6}<p>{long * 4}</p>{'<p>x</p>' * 6}</article></body>"
+    assert len(extraction.main_text(article).split("\n")) == 14
+    assert extraction.main_text(article, surge=5000).split("\n") == ["short", "short", long * 4, "x", "x"]
+    assert extraction.main_text(article, prior=1) == extraction.main_text(article, surge=60 * 20)
+
+
+def test_boxes_told_by_what_they_hold():
+    text = "<p>" + "A paragraph of the main text that is long enough to surge on its own, surely. " * 4 + "</p>"
+    want = extraction.main_text(f"<article>{text}</article>")
+    menu = "<div class=xq1><ul><li><a href=#a>First part</a><li><a href=#b>Second part</a><li><a href=#c>Third</a></ul></div>"
+    said = "".join(f"<div class=xq3><a href=/u{k}>Reader {k}</a> <time>today</time><p>It is so, and I say so at some length.</p></div>" for k in range(3))
+    for box in (menu, f"<p class=xq2><a href=/a>one</a>, <a href=/b>two</a>, <a href=/c>three</a></p>", f"<div class=xq4>{said}<form><input></form></div>", f"<ol class=xq5>{said}</ol><form><textarea>x</textarea></form>"):
+        assert extraction.main_text(f"<article>{text}{box}</article>") == want
+        assert extraction.main_text(f"<body><div class=xq6>{text}{box}</div></body>") == want
+    # no form: it may be anything; two links: a line like others
+    assert "Reader 1" in extraction.main_text(f"<article>{text}<div class=xq4>{said}</div></article>")
+    assert extraction.main_text(f"<article>{text}<p><a href=/>one</a> <a href=/>two</a></p></article>") == want + "\none two"
+    chapters = "".join(f"<section class=xq8><h2><a href=#{k}>Chapter {k}</a></h2>{text}</section>" for k in range(3))
+    assert extraction.main_text(f"<article><div>{chapters}</div><form><input></form></article>").count("Chapter") == 3
+
+
+def test_math_and_long_values():
+    assert extraction.main_text("<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> is here.</p></article>") == "Energy E=m is here."
+    for n in (60_000, 65_537, 2_000_000):
+        image = "data:image/svg+xml," + "<path d='0'/>" * (n // 13)
+        assert extraction.main_text(f'<article><p>Before.</p><img src="{image}" alt=x><p>After.</p></article>') == "Before.\nAfter."
 
 
 def test_pages(spark, edge, middle):
@@ -234,10 +275,13 @@ def test_pages(spark, edge, middle):
     import html
     import re
 
+    changed = 0
     for r in table(spark, middle, "pages").join(extraction.extracted(table(spark, middle, "pages")).select("page_id", "text"), "page_id").collect():
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
         assert r["text"] == "\n".join(x for x in blocks if x)
+        changed += extraction.main_text(r["html"], surge=5000) != r["text"]
+    assert changed > 0  # the threshold decides
 
 
 # 4 near-duplicates
