@@ -140,10 +140,11 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def embedded(rows: DataFrame) -> DataFrame:
-    """A small vector of each chunk by character classes; a stand-in for a model's vector."""
+    """A small vector of each chunk by character classes; a stand-in for a model's vector.  The last class is
+    all other characters, so that every chunk has a direction and can be indexed."""
     n = F.greatest(F.length("chunk_text"), F.lit(1))
     count = lambda pattern: F.round((F.length("chunk_text") - F.length(F.regexp_replace("chunk_text", pattern, ""))) / n, 6)
-    return rows.withColumn("vector", F.when(F.col("chunk_text").isNotNull(), F.array(count("[a-z]"), count("[A-Z]"), count("[0-9]"), count(r"\s"))))
+    return rows.withColumn("vector", F.when(F.col("chunk_text").isNotNull(), F.array(count("[a-z]"), count("[A-Z]"), count("[0-9]"), count(r"\s"), count(r"[^a-zA-Z0-9\s]"))))
 
 
 def upserting(index: VectorIndex, kb: str) -> Stage:
