@@ -6,7 +6,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +18,12 @@ from ..operators.alarms import ACTIVE
 OUT = "alarm_id bigint, kind string, at timestamp, due_at timestamp, level int"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 MINUTE = 60_000  # milliseconds
+BUCKETS = 1024  # of alarms; fixed for the life of a stream
+NOBODY = -1  # the bucket of rows without an alarm_id
+NEVER = -(1 << 62)  # no such time
+ALARM = {"alarm_id": "int64", "status": object, "due": "int64", "level": "int64", "reminded": "int64", "escalated": "int64", "last": "int64"}
+ALARM_ROWS = pa.schema([(c, pa.string() if kind is object else pa.int64()) for c, kind in ALARM.items()])
+CHANGE_ROWS = pa.schema([("alarm_id", pa.int64()), ("at", pa.int64()), ("status", pa.string())])
 
 
 @contextmanager
@@ -30,73 +38,108 @@ def timer_state(spark: SparkSession) -> Iterator[None]:
 
 
 class ServiceTimers(StatefulProcessor):
-    """State of an alarm: its status, due time and level, for which due times it was reminded and
-    escalated, and the times of the last changes (a list, oldest first, of ``kept`` at most)."""
+    """State of a bucket of alarms: for each alarm its status, due time and level, for which due times it was
+    reminded and escalated, and the times of its last changes (oldest first, ``kept`` at most).
+
+    A call for each alarm, with its own reads and writes of state, costs milliseconds; so alarms
+    are dealt to BUCKETS by hash, a bucket's are worked on together as arrays, and its timer is that of
+    the alarm which comes first.
+    """
 
     def __init__(self, lead_minutes: int, keep_minutes: int, kept: int = 20):
         self.lead, self.keep, self.kept = lead_minutes * MINUTE, keep_minutes * MINUTE, kept
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.alarm = handle.getValueState("alarm", "status string, due bigint, level int, reminded bigint, escalated bigint, last bigint")
-        self.changes = handle.getListState("changes", "at bigint, status string")
-
-    def _passed(self, alarm: list, until: int) -> list[tuple[str, int, int, int]]:
-        """What has come due up to a time, in order; marks it in ``alarm``."""
-        status, due, level, reminded, escalated, _ = alarm
-        out: list[tuple[str, int, int, int]] = []
-        if due is None or status not in ACTIVE:
-            return out
-        if reminded != due and due - self.lead <= until:
-            out.append(("reminded", due - self.lead, due, level))
-            alarm[3] = due
-        if escalated != due and due <= until:
-            alarm[2], alarm[4] = level + 1, due
-            out.append(("escalated", due, due, level + 1))
-        return out
-
-    def _frame(self, key: tuple, found: list) -> pd.DataFrame:
-        stamp = lambda ms: pd.Timestamp(ms, unit="ms")
-        return pd.DataFrame([(key[0], kind, stamp(at), stamp(due), level) for kind, at, due, level in found], columns=["alarm_id", "kind", "at", "due_at", "level"])
-
-    def _timers(self, alarm: list) -> None:
-        """One timer: for the next thing to do, or to forget an alarm that is over."""
+        self.alarms = handle.getValueState("alarms", "rows binary")
+        self.changes = handle.getValueState("changes", "rows binary")
+
+    def _load(self) -> tuple[dict[str, np.ndarray], pd.DataFrame]:
+        if not self.alarms.exists():
+            return {c: np.array([], kind) for c, kind in ALARM.items()}, pd.DataFrame({"alarm_id": np.array([], "int64"), "at": np.array([], "int64"), "status": np.array([], object)})
+        unpacked = lambda state: pa.ipc.open_stream(bytes(state.get()[0])).read_all().to_pandas()
+        rows = unpacked(self.alarms)
+        return {c: rows[c].to_numpy(kind, copy=True) for c, kind in ALARM.items()}, unpacked(self.changes)
+
+    def _store(self, alarms: dict[str, np.ndarray], changes: pd.DataFrame) -> None:
+        """Keeps the bucket, and one timer: for the next thing to do, or to forget an alarm that is over."""
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old if isinstance(old, int) else old[0])
-        status, due, _, reminded, escalated, last = alarm
-        if status in ACTIVE and due is not None and escalated != due:
-            self.handle.registerTimer(due - self.lead if reminded != due else due)
-        elif status not in ACTIVE:
-            self.handle.registerTimer(last + self.keep)
+        if not len(alarms["alarm_id"]):
+            self.alarms.clear()
+            self.changes.clear()
+            return
+
+        def packed(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, schema) as stream:
+                stream.write_table(pa.Table.from_pandas(rows, schema, preserve_index=False))
+            return out.getvalue().to_pybytes()
+
+        self.alarms.update((packed(pd.DataFrame(alarms), ALARM_ROWS),))
+        self.changes.update((packed(changes, CHANGE_ROWS),))
+        active, due = np.isin(alarms["status"], ACTIVE), alarms["due"]
+        waiting = active & (due != NEVER) & (alarms["escalated"] != due)
+        times = [np.where(alarms["reminded"] != due, due - self.lead, due)[waiting], (alarms["last"] + self.keep)[~active]]
+        if len(times := np.concatenate(times)):
+            self.handle.registerTimer(int(times.min()))
+
+    def _passed(self, alarms: dict[str, np.ndarray], at: np.ndarray, until: np.ndarray | int) -> list[pd.DataFrame]:
+        """What has come due for the alarms at ``at`` (each once) up to a time; marks it in ``alarms``."""
+        due, level = alarms["due"][at], alarms["level"][at]
+        known = np.isin(alarms["status"][at], ACTIVE) & (due != NEVER)
+        remind = known & (alarms["reminded"][at] != due) & (due - self.lead <= until)
+        escalate = known & (alarms["escalated"][at] != due) & (due <= until)
+        alarms["reminded"][at[remind]] = due[remind]
+        alarms["escalated"][at[escalate]] = due[escalate]
+        alarms["level"][at[escalate]] += 1
+        told = lambda some, kind, ms, level: pd.DataFrame({"alarm_id": alarms["alarm_id"][at[some]], "kind": kind, "at": pd.to_datetime(ms[some], unit="ms"), "due_at": pd.to_datetime(due[some], unit="ms"), "level": level[some]})
+        return [told(some, *more) for some, *more in ((remind, "reminded", due - self.lead, level), (escalate, "escalated", due, level + 1)) if some.any()]
+
+    def _frame(self, key: tuple, found: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if found:
+            rows = pd.concat(found, ignore_index=True).astype({"level": "int32"})
+            yield rows.assign(alarm_id=pd.array([None] * len(rows), "Int64")) if key[0] == NOBODY else rows
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.alarm.get() if self.alarm.exists() else None
-        alarm = [None, None, 0, None, None, 0] if known is None else list(known)
-        found, changes = [], [tuple(c) for c in self.changes.get()] if self.changes.exists() else []
-        for part in rows:
-            for _, ms, status, due in sorted(zip(part["seq"], part["ms"], part["status"], part["due_ms"]), key=lambda r: (r[1], r[0])):
-                found += self._passed(alarm, int(ms))  # what was due before this change
-                if status is not None and status != alarm[0]:
-                    changes.append((int(ms), status))
-                alarm[0] = status if status is not None else alarm[0]
-                alarm[1] = int(due) if due is not None and not pd.isna(due) else alarm[1]
-                alarm[5] = max(alarm[5], int(ms))
-        self.alarm.update(tuple(alarm))
-        self.changes.put(changes[-self.kept :])
-        self._timers(alarm)
-        yield self._frame(key, found)
+        alarms, changes = self._load()
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["alarm_id", "ms", "seq"], kind="stable")
+        fresh = np.setdiff1d(new["alarm_id"].to_numpy("int64"), alarms["alarm_id"])
+        start = {"alarm_id": fresh, "status": None, "due": NEVER, "level": 0, "reminded": NEVER, "escalated": NEVER, "last": 0}
+        alarms = {c: np.concatenate([alarms[c], np.full(len(fresh), start[c], kind)]) for c, kind in ALARM.items()}
+        order = np.argsort(alarms["alarm_id"])
+        alarms = {c: v[order] for c, v in alarms.items()}
+        # the first change of every alarm, then the second, and so on
+        new = new.assign(nth=new.groupby("alarm_id").cumcount()).sort_values("nth", kind="stable")
+        place = np.searchsorted(alarms["alarm_id"], new["alarm_id"].to_numpy("int64"))
+        ms, status = new["ms"].to_numpy("int64"), new["status"].astype(object).where(new["status"].notna(), None).to_numpy()
+        due = new["due_ms"].astype("Int64").fillna(NEVER).to_numpy("int64")
+        ends = np.cumsum(np.bincount(new["nth"])) if len(new) else []
+        found, changed, a = [], np.zeros(len(new), bool), 0
+        for b in ends:
+            at, some = place[a:b], slice(a, b)
+            found += self._passed(alarms, at, ms[some])  # what was due before this change
+            given = np.array([s is not None for s in status[some]])
+            changed[some] = given & (status[some] != alarms["status"][at])
+            alarms["status"][at[given]] = status[some][given]
+            dated = due[some] != NEVER
+            alarms["due"][at[dated]] = due[some][dated]
+            alarms["last"][at] = np.maximum(alarms["last"][at], ms[some])
+            a = b
+        more = pd.DataFrame({"alarm_id": alarms["alarm_id"][place], "at": ms, "status": status})[changed]
+        changes = pd.concat([changes, more], ignore_index=True) if len(changes) else more
+        self._store(alarms, changes.groupby("alarm_id").tail(self.kept))
+        yield from self._frame(key, found)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        alarm = list(self.alarm.get())
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if alarm[0] not in ACTIVE:
-            self.alarm.clear()
-            self.changes.clear()
-            return
-        found = self._passed(alarm, max(now, timerValues.getCurrentWatermarkInMs()))
-        self.alarm.update(tuple(alarm))
-        self._timers(alarm)
-        yield self._frame(key, found)
+        alarms, changes = self._load()
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        over = ~np.isin(alarms["status"], ACTIVE) & (alarms["last"] + self.keep <= until)
+        changes = changes[~changes["alarm_id"].isin(alarms["alarm_id"][over])]
+        alarms = {c: v[~over] for c, v in alarms.items()}
+        found = self._passed(alarms, np.arange(len(alarms["alarm_id"])), until)
+        self._store(alarms, changes)
+        yield from self._frame(key, found)
 
     def close(self) -> None:
         pass
@@ -109,8 +152,10 @@ def service_timers(events: DataFrame, lead_minutes: int, keep_minutes: int = 7 *
     was.  An active alarm is reminded ``lead_minutes`` before it is due and escalated when it is, once for
     each due time; what came due before a change counts as it was before the change.  A RESOLVED
     or CLOSED alarm's state goes ``keep_minutes`` after its last change.  Changes that come later than
-    the watermark allows are dropped.  One timer an alarm, and state of a bounded size.
+    the watermark allows are dropped.  Alarms are kept in BUCKETS, each with one timer, and an alarm's state
+    is of a bounded size.
     """
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    rows = rows.select("alarm_id", "ts", "seq", "status", F.unix_millis("ts").alias("ms"), F.unix_millis(F.col("due_at").cast("timestamp")).alias("due_ms"))
-    return rows.groupBy("alarm_id").transformWithStateInPandas(statefulProcessor=ServiceTimers(lead_minutes, keep_minutes), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    bucket = F.when(F.col("alarm_id").isNull(), NOBODY).otherwise(F.pmod(F.xxhash64("alarm_id"), F.lit(BUCKETS)))
+    rows = rows.select(bucket.cast("int").alias("bucket"), F.coalesce("alarm_id", F.lit(0)).alias("alarm_id"), "ts", "seq", "status", F.unix_millis("ts").alias("ms"), F.unix_millis(F.col("due_at").cast("timestamp")).alias("due_ms"))
+    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=ServiceTimers(lead_minutes, keep_minutes), outputStructType=OUT, outputMode="Append", timeMode="EventTime")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarrylens.streaming import streams
+from quarrylens.streaming import streams, timers
 
 
 def events(spark, users, day):
@@ -25,3 +25,13 @@ def test_open_alarms_keep_a_row_of_state_for_a_bucket(spark, monkeypatch, tmp_pa
     found = streams.finished(stream, ["user_id"], checkpoint=str(tmp_path / "mark")).collect()
     assert sorted((-1 if r["user_id"] is None else r["user_id"], r["episode"], r["occurrences"]) for r in found) == [(k if k else -1, 2, 1) if k < 50 else (k, 1, 2) for k in range(200)]
     assert spark.read.format("statestore").load(str(tmp_path / "mark")).count() <= 5
+
+
+def test_timers_keep_a_row_of_state_for_a_bucket(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(timers, "BUCKETS", 4, raising=False)
+    made = spark.range(200).select(F.col("id").alias("alarm_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), F.lit(1).alias("seq"), F.lit("OPEN").alias("status"), F.lit("2024-01-03").cast("timestamp").alias("due_at"))
+    tick = made.limit(1).withColumns({"alarm_id": F.lit(-1).cast("long"), "ts": F.lit("2024-03-01").cast("timestamp"), "status": F.lit("CLOSED")})
+    with timers.timer_state(spark):
+        found = streams.finished(timers.service_timers(streams.delivered(spark, [made, tick]), 60), checkpoint=str(tmp_path / "mark"))
+        assert found.count() == 400
+        assert spark.read.format("statestore").option("stateVarName", "alarms").load(str(tmp_path / "mark")).count() <= 4
