@@ -63,17 +63,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     def best(part: pd.DataFrame) -> pd.DataFrame:
         a, b = part[part["id"].isna()], part[part["vec_id"].isna()]
-        out = []
+        out = [pd.DataFrame([], columns=["kb", "query_id", "vec_id", "score"])]
         if len(a) and len(b):
             y, ids = _matrix(a["v"]), a["vec_id"].to_numpy()
+            order = np.argsort(ids, kind="stable")  # columns by id, for ties
+            y, ids, few = y[order], ids[order], min(k, len(a))
             for n in range(0, len(b), SLICE):
                 some = b.iloc[n : n + SLICE]
                 scores = np.round(_matrix(some["v"]) @ y.T, 9)
-                for query, row in zip(some["id"], scores):
-                    top = np.flatnonzero(row >= np.partition(row, max(len(row) - k, 0))[max(len(row) - k, 0)])
-                    top = top[np.lexsort((ids[top], -row[top]))[:k]]
-                    out.append(pd.DataFrame({"kb": part["kb"].iloc[0], "query_id": query, "vec_id": ids[top], "score": row[top]}))
-        return pd.concat(out) if out else pd.DataFrame([], columns=["kb", "query_id", "vec_id", "score"])
+                least = -np.partition(-scores, few - 1, axis=1)[:, few - 1]
+                query, at = np.nonzero(scores >= least[:, None])  # ``few`` of each query, and ties of the last
+                score = scores[query, at]
+                by = np.lexsort((at, -score, query))
+                query, at, score = query[by], at[by], score[by]
+                rank = np.arange(len(query)) - np.searchsorted(query, query)
+                top = rank < few
+                out.append(pd.DataFrame({"kb": part["kb"].iloc[0], "query_id": some["id"].to_numpy()[query[top]], "vec_id": ids[at[top]], "score": score[top]}))
+        return pd.concat(out[1:] or out)
 
     found = left.unionByName(right).groupBy("kb", "length", "i", "j").applyInPandas(best, f"kb string, query_id {q_kind}, vec_id {kind}, score double")
     order = Window.partitionBy("query_id", "kb").orderBy(F.desc("score"), "vec_id")
@@ -105,18 +111,29 @@ def close_vectors(vectors: DataFrame, least: float) -> DataFrame:
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         i, j = part["i"].iloc[0], part["j"].iloc[0]
-        out = [pd.DataFrame([], columns=["row", "n_close", "best"])]
-        for here, there in [(i, j)] if i == j else [(i, j), (j, i)]:
-            a, b = part[part["own"] == here], part[part["own"] == there]
-            if len(a) and len(b):
-                x, y, others = _matrix(a["v"]), _matrix(b["v"]), b["row"].to_numpy()
-                for k in range(0, len(a), SLICE):
-                    ids = a["row"].to_numpy()[k : k + SLICE]
-                    products = np.round(x[k : k + SLICE] @ y.T, 6)
-                    products[ids[:, None] == others[None, :]] = -2  # itself
-                    close = products >= least
-                    some = close.any(1)
-                    out.append(pd.DataFrame({"row": ids[some], "n_close": close.sum(1)[some], "best": products.max(1)[some]}))
+        a, b = part[part["own"] == i], part[part["own"] == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"row": np.array([], "int64"), "n_close": np.array([], "int64"), "best": np.array([])})
+        x = _matrix(a["v"])
+        y = x if i == j else _matrix(b["v"])
+        near, best = (np.zeros(len(a), "int64"), np.zeros(len(b), "int64")), (np.full(len(a), -2.0), np.full(len(b), -2.0))
+        for k in range(0, len(a), SLICE):
+            products = x[k : k + SLICE] @ y.T
+            if i == j:
+                at = np.arange(len(products))
+                products[at, k + at] = -2  # itself
+            # rounding is monotone: only what could be rounded up to the bound needs it
+            close = products >= least - 1e-6
+            r, c = np.nonzero(close & (products < least + 1e-6))
+            close[r, c] = np.round(products[r, c], 6) >= least
+            near[0][k : k + SLICE] = close.sum(1)
+            best[0][k : k + SLICE] = products.max(1)
+            if i != j:  # the same products serve the rows of the other block
+                near[1][:] += close.sum(0)
+                np.maximum(best[1], products.max(0), out=best[1])
+        out = []
+        for ids, n, top in [(a, near[0], best[0]), (b, near[1], best[1])][: 1 if i == j else 2]:
+            out.append(pd.DataFrame({"row": ids["row"].to_numpy()[n > 0], "n_close": n[n > 0], "best": np.round(top[n > 0], 6)}))
         return pd.concat(out).astype({"row": "int64", "n_close": "int64", "best": "float64"})
 
     pairs = blocks * (blocks + 1) // 2
