@@ -8,13 +8,17 @@
 3.  Queries (whole texts) get their terms' global weights and are put in blocks of a bounded
     number of terms; one block at a time is sent to all shards.
 4.  A shard takes a batch of the block's queries at once.  The short lists of a query's terms are
-    read, and give every document in them a partial score.  The best of these documents are
-    scored in full, which sets the query's threshold, unless an earlier shard of the task has set
-    a higher one already.
+    read, and give every document in them a partial score.
 5.  Block-max WAND: the long lists are not read, but bounded by their maxima in each block of
-    documents.  A document is a pivot if its partial score and the bounds of its block together
-    reach the threshold; the other documents are passed over.  Only pivots are scored in full.
-6.  Every shard's best k, packed by parts of the queries, merge to the exact best k of all.
+    documents.  Blocks whose partial scores and bounds together don't reach the query's threshold
+    are passed over.  If many blocks are left, their documents are bounded too, by a product in
+    single precision, whose best blocks set the threshold.  A document is a pivot if its bound
+    reaches the threshold; only pivots are scored in full, in double precision.
+6.  A task keeps the best k of all its shards, which raise the thresholds; what the tasks return,
+    packed by parts of the queries, merges to the exact best k of all.
+
+Work is queries times documents by nature: a long query shares words with most documents, and its
+tenth score is no more than the bounds of half of them.
 
 Scores count to six decimals; equal scores are ranked by doc_id.  Words are lower-cased A-Z runs
 of ``[^\\x20\\x09-\\x0D]+``; a word that a query repeats weighs as often as it stands there.
@@ -48,8 +52,9 @@ K1, B = 1.2, 0.75
 SHARD_WORDS = 4_000_000
 BLOCK_DOCS = 16
 LONG_LISTS = 8  # a list is long if it has more than this part of the shard's documents
-SEEDS = 3  # documents scored for the first threshold, in terms of k
-BATCH_CELLS = 1 << 19  # partial scores that are kept at once
+LONG_CELLS = 1 << 24  # of a table of the long lists by document
+WIDE = 8  # a query is wide in a shard if more than this part of the blocks can hold results
+BATCH_CELLS = 1 << 18  # partial scores that are kept at once
 PART_BYTES = 64 << 20  # of results that one task merges
 QUERY_TERMS = 2_000_000  # of a block of queries, 16 bytes each
 DECIMALS = 6
@@ -124,26 +129,47 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.select("vocabulary", "frequencies").mapInArrow(each, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def _first(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each query, in order, with their ranks."""
+    order = np.lexsort((np.where(ids == _NO_ID, (1 << 63) - 1, ids), -scores, query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))[: len(query)]
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) + 1
+    best = rank <= k
+    return query[best], ids[best], scores[best], rank[best]
+
+
 class _Shard:
-    """A shard as arrays: inverted lists with weights, and for the long ones block maxima and a
-    table of weights by document."""
+    """A shard as arrays: inverted lists with weights, and for the long ones block maxima and
+    tables of counts and of weights in single precision by document."""
 
     def __init__(self, row: dict, mean_length: float):
         part = {c: np.frombuffer(row[c], _TYPES[c]) for c in _SHARD}
-        self.ids, self.vocabulary, self.docs = part["ids"], part["vocabulary"], part["docs"]
+        self.ids, self.vocabulary, self.docs = part["ids"], part["vocabulary"], part["docs"].astype(np.intp)
         n = len(self.ids)
-        damp = K1 * (1 - B + B * part["lengths"] / mean_length)
-        self.weight = part["counts"] * (K1 + 1) / (part["counts"] + damp[self.docs])
+        self.damp = K1 * (1 - B + B * part["lengths"] / mean_length)
+        self.weight = part["counts"] * (K1 + 1) / (part["counts"] + self.damp[self.docs])
         self.at = np.concatenate([[0], np.cumsum(part["frequencies"])])
         long = np.flatnonzero(part["frequencies"] * LONG_LISTS > n)
+        if len(long) * n > LONG_CELLS:  # the longest that the tables have room for
+            long = np.sort(long[np.argsort(-part["frequencies"][long], kind="stable")[: LONG_CELLS // n]])
         self.column = np.full(len(self.vocabulary), -1, np.int64)
         self.column[long] = np.arange(len(long))
-        self.long = np.zeros((n, len(long)))
+        self.n_blocks = -(-n // BLOCK_DOCS)
+        self.counts = np.zeros((n, len(long)), np.int32)
+        self.long = np.zeros((self.n_blocks * BLOCK_DOCS, len(long)), np.float32)
         for k, t in enumerate(long):
             span = slice(self.at[t], self.at[t + 1])
+            self.counts[self.docs[span], k] = part["counts"][span]
             self.long[self.docs[span], k] = self.weight[span]
-        self.blocks = np.arange(n) // BLOCK_DOCS
-        self.most = np.maximum.reduceat(self.long, np.arange(0, n, BLOCK_DOCS), axis=0)
+        self.most = self.long.reshape(self.n_blocks, BLOCK_DOCS, -1).max(1)
+        self.error = 1 + (len(long) + 4) * 2.0**-23  # sums in single precision are less than this factor off
+
+    def _full(self, docs: np.ndarray, ask: np.ndarray) -> np.ndarray:
+        """What the long lists add to the scores of some documents, in double precision."""
+        terms = np.flatnonzero(ask)
+        counts = self.counts[np.ix_(docs, terms)]
+        return (counts * (K1 + 1) / (counts + self.damp[docs, None])) @ ask[terms]
 
     def best(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and scores of the best ``k`` for each query 0, 1, ... of the batch; none below
@@ -155,35 +181,47 @@ class _Shard:
         column = self.column[at]
         # short lists are read
         short = column < 0
-        start, size = self.at[at[short]], self.at[at[short] + 1] - self.at[at[short]]
-        which = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]])[: len(size)], size) + np.arange(size.sum())
-        cell = np.repeat(query[short] * n, size) + self.docs[which]
-        partial = np.bincount(cell, self.weight[which] * np.repeat(weights[short], size), minlength=many * n).reshape(many, n)
+        start, size, factor = self.at[at[short]], self.at[at[short] + 1] - self.at[at[short]], weights[short]
+        ends = np.searchsorted(query[short], np.arange(many), "right")
+        filled = np.concatenate([[0], np.cumsum(size)])
+        numbers = np.arange(np.diff(filled[ends], prepend=0).max(initial=0))
+        partial = np.zeros((many, self.n_blocks * BLOCK_DOCS))
+        for q in range(many):
+            a, b = ends[q - 1] if q else 0, ends[q]
+            which = np.repeat(start[a:b] - filled[a:b] + filled[a], size[a:b])
+            which += numbers[: len(which)]
+            value = self.weight.take(which)
+            value *= np.repeat(factor[a:b], size[a:b])
+            partial[q] = np.bincount(self.docs.take(which), value, partial.shape[1])
         # long lists are bounded by block
         ask = np.zeros((many, self.long.shape[1]))
         ask[query[~short], column[~short]] = weights[~short]
-        bound = partial + (ask @ self.most.T)[:, self.blocks]
+        narrow = ask.astype(np.float32)
+        most = partial.reshape(many, self.n_blocks, BLOCK_DOCS).max(2) + (narrow @ self.most.T) * self.error
         slack = 10.0**-DECIMALS
+        border = np.maximum(least - slack, slack / 10)
+        # where many blocks are left, their documents are bounded in single precision, and so are the blocks
+        wide = np.flatnonzero((most >= border[:, None]).sum(1) * WIDE > self.n_blocks)
+        bound = dict(zip(wide.tolist(), partial[wide] + (narrow[wide] @ self.long.T) * self.error))
+        for q, scores in bound.items():
+            most[q] = scores.reshape(self.n_blocks, BLOCK_DOCS).max(1)
+            if self.n_blocks >= k:  # k documents of different blocks
+                sure = np.partition(most[q], self.n_blocks - k)[self.n_blocks - k] / self.error**2
+                least[q] = max(least[q], sure)
+        border = np.maximum(least - slack, slack / 10)
         out = []
         for q in range(many):
-            seeds = np.argpartition(partial[q], n - SEEDS * k)[n - SEEDS * k :] if n > SEEDS * k else np.arange(n)
-            if len(seeds) >= k:
-                scores = partial[q, seeds] + self.long[seeds] @ ask[q]
-                least[q] = max(least[q], np.partition(scores, len(scores) - k)[len(scores) - k])
-            pivots = np.flatnonzero(bound[q] >= max(least[q] - slack, slack / 10))
-            scores = np.round(partial[q, pivots] + self.long[pivots] @ ask[q], DECIMALS)
-            found = scores > 0
+            pivots = (np.flatnonzero(most[q] >= border[q])[:, None] * BLOCK_DOCS + np.arange(BLOCK_DOCS)).ravel()
+            pivots = pivots[pivots < n]
+            if q in bound:
+                pivots = pivots[bound[q][pivots] >= border[q]]
+            scores = np.round(partial[q, pivots] + self._full(pivots, ask[q]), DECIMALS)
+            found = scores >= border[q]
             docs, scores = pivots[found], scores[found]
-            if len(scores) > k:
-                keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-                docs, scores = docs[keep], scores[keep]
-                if len(scores) > k:  # ties at the end: the lower ids
-                    ids = np.where(self.ids[docs] == _NO_ID, (1 << 63) - 1, self.ids[docs])
-                    first = np.lexsort((ids, -scores))[:k]
-                    docs, scores = docs[first], scores[first]
+            _, ids, scores, _ = _first(np.zeros(len(docs), np.int64), self.ids[docs], scores, k)
             if len(scores) == k:
-                least[q] = max(least[q], scores.min() - slack)
-            out.append((self.ids[docs], scores))
+                least[q] = max(least[q], scores[-1] - slack)
+            out.append((ids, scores))
         return out
 
 
@@ -228,36 +266,35 @@ def top_k(docs: DataFrame, is_query: Column, k: int = K, shard_words: int = SHAR
             own = sent.value
             query, ends = np.frombuffer(own["queries"], np.int64), np.frombuffer(own["ends"], np.int64)
             term, weight = np.frombuffer(own["terms"], np.int64), np.frombuffer(own["weights"], np.float64)
-            least = np.zeros(len(query))  # kept from shard to shard
+            least = np.zeros(len(query))  # kept from shard to shard, as are the best so far
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for batch in batches:
                 for n in range(len(batch)):
                     shard = _Shard({c: batch.column(c)[n].as_py() for c in _SHARD}, mean)
-                    width, out = max(1, BATCH_CELLS // len(shard.ids)), []
+                    width, out = max(1, BATCH_CELLS // len(shard.ids)), [best]
                     for a in range(0, len(query), width):
                         b = min(a + width, len(query))
                         span = slice(ends[a - 1] if a else 0, ends[b - 1])
                         of = np.repeat(np.arange(b - a), np.diff(ends[a:b], prepend=span.start))
                         for q, (ids, scores) in zip(query[a:b], shard.best(of, term[span], weight[span], least[a:b], k)):
                             out.append((np.full(len(ids), q), ids, scores))
-                    if out:
-                        q, ids, scores = (np.concatenate(x) for x in zip(*out))
-                        part = np.searchsorted(query, q) % parts
-                        packed = [[x[part == k].tobytes() for k in range(parts)] for x in (q, ids, scores)]
-                        yield pa.RecordBatch.from_arrays([pa.array([number] * parts, pa.int32()), pa.array(range(parts), pa.int32()), *[pa.array(x, pa.binary()) for x in packed]], ["block", "part", "queries", "ids", "scores"])
+                    *best, rank = _first(*(np.concatenate(x) for x in zip(*out)), k)
+                    last = np.searchsorted(query, best[0][rank == k])
+                    least[last] = np.maximum(least[last], best[2][rank == k] - 10.0**-DECIMALS)
+            if len(best[0]):
+                part = np.searchsorted(query, best[0]) % parts
+                packed = [[x[part == k].tobytes() for k in range(parts)] for x in best]
+                yield pa.RecordBatch.from_arrays([pa.array([number] * parts, pa.int32()), pa.array(range(parts), pa.int32()), *[pa.array(x, pa.binary()) for x in packed]], ["block", "part", "queries", "ids", "scores"])
 
         part = written(index.select(*_SHARD).mapInArrow(search, "block int, part int, queries binary, ids binary, scores binary"), "search-found")
         found = part if found is None else found.union(part)
     if found is None:
         return queries.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("doc_id"), F.lit(0.0).alias("score")).filter(F.lit(False))
+
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        query, ids, scores = (np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in (("queries", np.int64), ("ids", np.int64), ("scores", np.float64)))
-        last = np.where(ids == _NO_ID, (1 << 63) - 1, ids)
-        order = np.lexsort((last, -scores, query))
-        query, ids, scores = query[order], ids[order], scores[order]
-        first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))[: len(query)]
-        rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) + 1
-        best = rank <= k
-        return pd.DataFrame({"query": query[best], "rank": rank[best], "doc_id": pd.array(ids[best], "Int64"), "score": scores[best]}).assign(doc_id=lambda x: x["doc_id"].mask(x["doc_id"] == _NO_ID))
+        found = (np.concatenate([np.frombuffer(x, kind) for x in part[c]]) for c, kind in (("queries", np.int64), ("ids", np.int64), ("scores", np.float64)))
+        query, ids, scores, rank = _first(*found, k)
+        return pd.DataFrame({"query": query, "rank": rank, "doc_id": pd.array(ids, "Int64"), "score": scores}).assign(doc_id=lambda x: x["doc_id"].mask(x["doc_id"] == _NO_ID))
 
     best = found.groupBy("block", "part").applyInPandas(merge, "query bigint, rank int, doc_id bigint, score double")
     return best.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "doc_id", "score")
