@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import components, text_column, written
@@ -48,6 +48,8 @@ BLOCK = 256
 FAMILY = 4 * BLOCK  # members; larger families are taken bucket by bucket
 COLUMNS = 4096  # shingles that a block compares at once
 SALT = 0x51ED2701
+BITS, MOST_BITS = 64, 1 << 26  # of the bitmap of ids whose sets are compared: for each, and in all
+PIECE = 8 * 4096  # bits that Spark's bitmaps have
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -134,19 +136,43 @@ def signatures(docs: DataFrame, shingle: int, permutations: int, bands: int, row
     return docs.select("doc_id", text_column(docs).alias("text")).mapInArrow(sign, schema)
 
 
-def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """The rows of ``docs`` with the sorted shingle hashes of ``text``, as bytes, in its place."""
-    others = [c for c in docs.columns if c != "text"]
-    fields = [f"{docs.schema[c].name} {docs.schema[c].dataType.simpleString()}" for c in others]
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """One bit for each place that an id of ``ids`` (class_id) falls on, by hash; of BITS places for each
+    id, but MOST_BITS at most.  What is put on the driver and broadcast is bounded by that."""
+    size = min(MOST_BITS, max(PIECE, 1 << (BITS * ids.count()).bit_length()))
+    placed = ids.select(_place("class_id", size).alias("at"))
+    pieces = placed.groupBy(F.floor(F.col("at") / PIECE).alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % PIECE).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for piece, bits in pieces.collect():
+        out[piece * (PIECE // 8) : (piece + 1) * (PIECE // 8)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _place(column: str, size: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(size))
+
+
+def full_sets(docs: DataFrame, shingle: int, ids: DataFrame) -> DataFrame:
+    """class_id and shingles, the sorted shingle hashes of the text as bytes, for the rows of ``docs`` (doc_id,
+    text) that have words and whose doc_id is in ``ids`` (class_id), and for a few more: ids are
+    looked up in a bitmap, by hash.  Texts are not shuffled."""
+    bitmap = _bitmap(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
-            for row, words, offsets in hashed_texts(batch.column(len(others)), lower=True):
-                sets = [s.tobytes() for s in shingle_sets(words, offsets, shingle)]
-                kept = [batch.column(k).slice(row, len(sets)) for k in range(len(others))]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], [*others, "shingles"])
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
+            for row, words, offsets in hashed_texts(batch.column(1), lower=True):
+                sets = shingle_sets(words, offsets, shingle)
+                full = [k for k, s in enumerate(sets) if len(s)]
+                kept = batch.column(0).slice(row, len(sets)).take(pa.array(full, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept, pa.array([sets[k].tobytes() for k in full], pa.binary())], ["class_id", "shingles"])
 
-    return docs.select(*others, text_column(docs).alias("text")).mapInArrow(make, ", ".join([*fields, "shingles binary"]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", text_column(docs).alias("text"), _place("doc_id", 8 * len(bitmap)).alias("at"))
+    return rows.mapInArrow(make, f"class_id {kind}, shingles binary")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -289,9 +315,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, permut
     entries = written(entries.join(leaders, "bucket"), "minhash-buckets")
 
     # full sets of the classes that share a bucket (of all rows, if several have the id)
-    text = docs.select("doc_id", "text").join(entries.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id")
-    sets = full_sets(text, shingle).filter(F.length("shingles") > 0).withColumnRenamed("doc_id", "class_id")
-    sets = written(sets, "minhash-sets", "uncompressed")
+    sets = written(full_sets(docs, shingle, entries.select("class_id").distinct()), "minhash-sets", "uncompressed")
     ties = entries.filter("class_id > leader").select("leader", "class_id").distinct()
     groups = written(components(written(_stars(ties, sets, percent, block), "minhash-stars"), "minhash-groups"), "minhash-grouped")
     rest = _remaining(written(_open_buckets(entries.select("bucket", "class_id"), groups), "minhash-open"), sets, percent, block, family)
