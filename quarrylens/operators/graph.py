@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .similar import counts_within
-from .steps import step
+from .steps import blocks_for, step
 
 
 def mentions(articles: DataFrame) -> DataFrame:
@@ -80,7 +80,31 @@ def event_overlap(articles: DataFrame, days: int) -> DataFrame:
     return rows.groupBy("article_id").agg(F.sum(F.col("every") - F.col("own")).alias("n_overlaps"))
 
 
-BLOCK = 512  # sets that meet others in one task
+BLOCK = 2048  # sets that meet others in one task
+TILE = 128  # of them that are compared at once
+NAMES = 4096  # names that a comparison takes at once
+
+
+def _common(column: np.ndarray, owner: np.ndarray, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``rows`` with the sets ``others``; the k-th entry says
+    that set owner[k] has the name column[k]."""
+    at = np.full((2, max(rows.max(), others.max(), owner.max()) + 1), -1)
+    at[0, rows], at[1, others] = np.arange(len(rows)), np.arange(len(others))
+    mine = at[0, owner] >= 0
+    names, own = np.unique(column[mine], return_inverse=True)
+    number = np.full(column.max() + 1, -1)
+    number[names] = np.arange(len(names))
+    theirs = (at[1, owner] >= 0) & (number[column] >= 0)
+    left, right, other = at[0, owner[mine]], at[1, owner[theirs]], number[column[theirs]]
+    out = np.zeros((len(rows), len(others)))
+    for a in range(0, len(names), NAMES):
+        one, two = (np.zeros((n, min(NAMES, len(names) - a)), np.float32) for n in out.shape)
+        some = (own >= a) & (own < a + NAMES)
+        one[left[some], own[some] - a] = 1
+        some = (other >= a) & (other < a + NAMES)
+        two[right[some], other[some] - a] = 1
+        out += one @ two.T
+    return out
 
 
 def shared_entities(articles: DataFrame, min_share: float) -> DataFrame:
@@ -90,7 +114,9 @@ def shared_entities(articles: DataFrame, min_share: float) -> DataFrame:
     Articles with equal sets are one class.  Two sets that overlap so much share one of their
     rarest names, as many as a share below would miss, so classes meet at those names only
     (prefix filter), in blocks where a name is frequent.  A pair counts at the rarest name it
-    shares.  Tasks return counts for each class, never pairs.
+    shares, so what it has in common is no more than either set has from there on: pairs for
+    which this or their sizes leave too little are not compared (positional filter).  Tasks
+    return counts for each class, never pairs.
     """
     names = step(mentions(articles).select("article_id", "normalized_name").distinct(), "graph-names")
     df = names.groupBy("normalized_name").agg(F.count("*").alias("df"))
@@ -100,41 +126,53 @@ def shared_entities(articles: DataFrame, min_share: float) -> DataFrame:
     classes = sets.groupBy("class").agg(F.count("*").alias("weight"), F.first("names").alias("names"))
     prefix = F.size("names") - F.ceil(F.size("names") * F.lit(min_share) - 1e-9).cast("int") + 1
     met = step(classes.select("class", "weight", "names", F.explode(F.slice("names", F.lit(1), prefix)).alias("name")), "graph-prefixes")
-    count = met.groupBy("name").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    dealt = met.join(count, "name").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    count = met.groupBy("name").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
+    parts = blocks_for(count.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0, BLOCK)
+    dealt = met.join(count.drop("n"), "name").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("name", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "weight", "names")
+    frequent = F.col("blocks") > 1  # a group has a pair of blocks of such a name, or many of the other names
+    unit = F.when(frequent, F.col("name")).otherwise(F.pmod("name", F.lit(parts)))
+    dealt = dealt.select(frequent.alias("frequent"), unit.alias("unit"), "name", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "class", "weight", "names")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        own, name = part["lo"].iloc[0] == part["hi"].iloc[0], part["name"].iloc[0]
-        sizes = part["names"].map(len).to_numpy()
+        own = part["lo"].iloc[0] == part["hi"].iloc[0]
+        part = part.iloc[np.argsort(part["name"].to_numpy(), kind="stable")]
+        name, sizes = part["name"].to_numpy(), part["names"].map(len).to_numpy()
         flat = np.concatenate(part["names"].to_list())
         owner = np.repeat(np.arange(len(part)), sizes)
-        place = np.concatenate([np.arange(n) for n in sizes])
-        at = np.full(len(part), -1)
-        at[owner[flat == name]] = place[flat == name]
-        _, column = np.unique(flat, return_inverse=True)
-        both, early = np.zeros((len(part), len(part))), np.zeros((len(part), len(part)))
-        for a in range(0, int(column.max()) + 1, 4096):  # names, a slice at a time
-            some = (column >= a) & (column < a + 4096)
-            table = np.zeros((len(part), 4096), np.float32)
-            table[owner[some], column[some] - a] = 1
-            both += table @ table.T
-            table[:] = 0
-            some &= place < at[owner]
-            table[owner[some], column[some] - a] = 1
-            early += table @ table.T
-        share = both / (sizes[:, None] + sizes[None, :] - both)
-        linked = (share >= min_share - 1e-9) & (early == 0)
-        if not own:
-            blocks = part["block"].to_numpy()
-            linked &= blocks[:, None] != blocks[None, :]
-        np.fill_diagonal(linked, False)
-        some = np.flatnonzero(linked.any(1))
-        best = np.where(linked, share, 0).max(1)
-        return pd.DataFrame({"class": part["class"].to_numpy()[some], "links": (linked @ part["weight"].to_numpy())[some].astype("int64"), "best": best[some]})
-
-    found = dealt.groupBy("name", "lo", "hi").applyInPandas(compare, "class string, links bigint, best double")
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = place[flat == np.repeat(name, sizes)]  # each set has its name once
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        owner, column, before = owner[shared], column[shared], place[shared] < at[owner[shared]]
+        blocks, weight = part["block"].to_numpy(), part["weight"].to_numpy()
+        links, best = np.zeros(len(part), np.int64), np.zeros(len(part))
+        for a in range(0, len(part), TILE):
+            tile = np.arange(a, min(a + TILE, len(part)))
+            near = np.arange(np.searchsorted(name, name[tile[0]]), np.searchsorted(name, name[tile[-1]], "right"))  # all with the tile's names
+            most = np.minimum((sizes - at)[tile, None], (sizes - at)[near])
+            may = (name[tile, None] == name[near]) & (most >= (min_share - 1e-9) * (sizes[tile, None] + sizes[near] - most))
+            may &= tile[:, None] != near if own else blocks[tile, None] != blocks[near]
+            rows, others = tile[may.any(1)], near[may.any(0)]
+            if not len(rows):
+                continue
+            may = may[np.ix_(rows - a, others - near[0])]
+            span = slice(*np.searchsorted(owner, [near[0], near[-1] + 1]))
+            both = _common(column[span], owner[span], rows, others)
+            share = both / (sizes[rows, None] + sizes[others] - both)
+            linked = may & (share >= min_share - 1e-9)
+            some, few = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            if len(some):  # pairs that share a rarer name count there
+                early = before[span]
+                if early.any():
+                    rarer = _common(column[span][early], owner[span][early], rows[some], others[few])
+                    linked[np.ix_(some, few)] &= rarer == 0
+            links[rows] = linked @ weight[others]
+            best[rows] = np.where(linked, share, 0).max(1)
+        some = np.flatnonzero(links)
+        return pd.DataFrame({"class": part["class"].to_numpy()[some], "links": links[some], "best": best[some]})
+
+    found = dealt.groupBy("frequent", "unit", "lo", "hi").applyInPandas(compare, "class string, links bigint, best double")
     found = classes.select("class", "weight").join(found.groupBy("class").agg(F.sum("links").alias("links"), F.max("best").alias("best")), "class", "left")
     rows = articles.select(F.col("id").alias("article_id")).join(sets.select("article_id", "class"), "article_id", "left").join(found, "class", "left")
     links = F.coalesce(F.coalesce("links", F.lit(0)) + F.col("weight") - 1, F.lit(0))
