@@ -59,15 +59,23 @@ def finished(spark: SparkSession, name: str, work: Callable[[], DataFrame]) -> D
     return spark.read.schema(out.schema).parquet(path)
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes with the other intermediate tables."""
+    return _note("folder", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+
+
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts lineage: what reads it later doesn't depend on any executor's local files.
     """
-    spark = df.sparkSession
-    path = _note("folder", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return written_to(df, fresh_folder(df.sparkSession, name), codec)
+
+
+def written_to(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
+    """``df`` written as Parquet to ``path`` and read back."""
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, column: str, name: str, n_bytes: int) -> DataFrame:

@@ -17,7 +17,9 @@ supersteps, longer ones (over a quarter of the capacity) before the others:
 
 All rows stay on the executors: sequences are ranked, matched and updated there, and pieces join
 the sequences they were matched with by (superstep, gap, rank).  The driver gets one row a
-superstep: pieces left, sequences to open.
+superstep: pieces left, sequences to open.  Sequences and plans of all supersteps are the
+partitions of one folder each, so that the last query has one scan of either, however many
+supersteps there were.
 
 Defined results
     null or empty text     one piece that holds the end id only
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ._spark import level_size, running_total, text_column, written
+from ._spark import fresh_folder, level_size, running_total, text_column, written, written_to
 
 CAPACITY = 1024
 END_ID = 2
@@ -172,6 +174,21 @@ def to_open(lengths: list[tuple[int, int, int]], widest: int, capacity: int) ->
 
 
 _PLAN = "kind int, length bigint, first_rank bigint, many bigint, gap bigint, first_gap bigint"
+_GAPS = "sequence_id bigint, gap bigint, gap_rank bigint"
+
+
+def _taking(gaps: DataFrame, ranges: DataFrame, how: str, by_step: bool = False) -> DataFrame:
+    """``gaps`` with ``taken``: the tokens that a sequence takes by the ranges of its superstep."""
+    place, each = F.col("gap_rank") - F.col("first_gap"), F.floor(F.col("gap") / F.col("length"))
+    meets = (F.col("gap") == F.col("_gap")) & (place >= 0) & (place * each < F.col("many"))
+    if by_step:
+        meets &= F.col("step") == F.col("_step")
+    taken = F.coalesce(F.least(each, F.col("many") - place * each) * F.col("length"), F.lit(0)).cast("long")
+    return gaps.join(F.broadcast(ranges), meets, how).select(*gaps.columns, taken.alias("taken"))
+
+
+def _ranges(plan: DataFrame, *more: str) -> DataFrame:
+    return plan.filter("kind = 0").select("length", "first_rank", "many", F.col("gap").alias("_gap"), "first_gap", *[F.col(c).alias(f"_{c}") for c in more])
 
 
 def _superstep(counts: DataFrame, capacity: int) -> DataFrame:
@@ -217,7 +234,7 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     left, more, opened, step = total, max(-(-(seen.get["tokens"] or 0) // capacity), seen.get["alone"]), 0, 0
     none = spark.range(0).select(F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("gap"))
     todo = cut.groupBy("length").agg(F.count("*").alias("first_rank"), F.lit(0).cast("long").alias("many")).select(F.lit(1).alias("kind"), "length", "first_rank", "many")
-    open_ones, plans, matched = none, None, None
+    open_ones, gap_folder, plan_folder = none, fresh_folder(spark, "pack-gaps"), fresh_folder(spark, "pack-plans")
     while left:
         fresh = spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"))
         sorted_gaps = open_ones.union(fresh)
@@ -228,32 +245,25 @@ def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             width = -(-(opened + more) // level_size(opened + more))
             sorted_gaps = sorted_gaps.withColumn("_bucket", F.floor(F.col("sequence_id") / F.lit(width))).withColumn("_one", F.lit(1).cast("long"))
             sorted_gaps = running_total(sorted_gaps, ["gap"], "_bucket", ["sequence_id"], "_one", "gap_rank")
-        sorted_gaps = written(sorted_gaps.select("sequence_id", "gap", "gap_rank"), "pack-gaps")
+        sorted_gaps = written_to(sorted_gaps.select("sequence_id", "gap", "gap_rank"), f"{gap_folder}/step={step}")
         opened += more
         counts = todo.unionByName(sorted_gaps.groupBy(F.col("gap").alias("length")).agg(F.count("*").alias("first_rank")).withColumns({"kind": F.lit(2), "many": F.lit(0).cast("long")}))
-        plan = written(_superstep(counts, capacity), "pack-plan")
+        plan = written_to(_superstep(counts, capacity), f"{plan_folder}/step={step}")
         totals = plan.filter("kind = 3").first()
         left, more, shortest = totals["length"], totals["first_rank"], totals["many"]
-        ranges = F.broadcast(plan.filter("kind = 0").select("length", "first_rank", "many", F.col("gap").alias("_gap"), "first_gap"))
-        place = F.col("gap_rank") - F.col("first_gap")
-        each = F.floor(F.col("gap") / F.col("length"))
-        meets = (F.col("gap") == F.col("_gap")) & (place >= 0) & (place * each < F.col("many"))
-        taken = F.coalesce(F.least(each, F.col("many") - place * each) * F.col("length"), F.lit(0))
-        both = sorted_gaps.join(ranges, meets, "left").select("sequence_id", "gap", "gap_rank", taken.cast("long").alias("taken"))
-        own = both.filter("taken > 0").select(F.lit(step).alias("step"), "gap", "gap_rank", "sequence_id")
-        matched = own if matched is None else matched.unionByName(own)
-        plans = ranges.withColumn("step", F.lit(step)) if plans is None else plans.unionByName(ranges.withColumn("step", F.lit(step)))
+        both = _taking(sorted_gaps, _ranges(plan), "left")
         open_ones = both.select("sequence_id", (F.col("gap") - F.col("taken")).alias("gap")).filter(F.col("gap") >= shortest)
         todo = plan.filter("kind = 1").select("kind", "length", "first_rank", "many")
         step += 1
     if not step:
         return cut.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # every piece to its range, and so to its sequence
-    ranges = F.broadcast(written(plans, "pack-ranges").withColumnRenamed("length", "_length"))  # at most 2 * capacity rows a superstep
+    ranges = _ranges(spark.read.schema(f"{_PLAN}, step int").parquet(plan_folder), "step")  # at most 2 * capacity rows a superstep
+    matched = _taking(spark.read.schema(f"{_GAPS}, step int").parquet(gap_folder), ranges, "inner", by_step=True)
     nth, each = F.col("_rank") - F.col("first_rank"), F.floor(F.col("_gap") / F.col("_length"))
     meets = (ranked["length"] == F.col("_length")) & (nth >= 0) & (nth < F.col("many"))
-    placed = ranked.join(ranges, meets).select(*cut.columns, "step", F.col("_gap").alias("gap"), (F.col("first_gap") + F.floor(nth / each)).alias("gap_rank"), (capacity - F.col("_gap") + nth % each * F.col("_length")).cast("long").alias("offset"))
-    return placed.join(matched, ["step", "gap", "gap_rank"]).select(*cut.columns, "sequence_id", "offset")
+    placed = ranked.join(F.broadcast(ranges.withColumnRenamed("length", "_length")), meets).select(*cut.columns, F.col("_step").alias("step"), F.col("_gap").alias("gap"), (F.col("first_gap") + F.floor(nth / each)).alias("gap_rank"), (capacity - F.col("_gap") + nth % each * F.col("_length")).cast("long").alias("offset"))
+    return placed.join(matched.drop("taken"), ["step", "gap", "gap_rank"]).select(*cut.columns, "sequence_id", "offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
