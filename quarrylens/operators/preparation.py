@@ -8,20 +8,31 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .steps import exists, shared_folder
+from .steps import delete_folder, exists, shared_folder
 
 if TYPE_CHECKING:
     from ..sources.vector_index import VectorIndex
 
 CHUNK, OVERLAP = 800, 100
+CLASSES = ("[a-z]+", "[A-Z]+", "[0-9]+", r"\s+")
+
+
+def _numbers(text: str, size: int, overlap: int) -> Column:
+    """The numbers of a text's chunks; null if it has none."""
+    n = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(size - overlap)), F.lit(1)).cast("int")
+    return F.when(F.length(text) > 0, F.sequence(F.lit(0), n - 1))
+
+
+def _place(text: str, size: int, overlap: int) -> tuple[Column, Column]:
+    """Where the chunk of a row's number starts, and what it holds."""
+    start = F.col("chunk") * (size - overlap)
+    return start, F.substr(F.col(text), start + 1, F.lit(size))
 
 
 def chunks(docs: DataFrame, id: str, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of at most ``size`` characters, each starting ``overlap`` before the last one's end."""
-    step = size - overlap
-    n = F.greatest(F.ceil((F.length(text) - overlap) / F.lit(step)), F.when(F.length(text) > 0, 1).otherwise(0)).cast("int")
-    numbered = docs.filter(F.length(text) > 0).select(id, text, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    return numbered.select(id, "chunk", (F.col("chunk") * step).alias("start"), F.substr(F.col(text), F.col("chunk") * step + 1, F.lit(size)).alias("body"))
+    start, body = _place(text, size, overlap)
+    return docs.select(id, text, F.explode(_numbers(text, size, overlap)).alias("chunk")).select(id, "chunk", start.alias("start"), body.alias("body"))
 
 
 def by_domain(docs: DataFrame, domain: str, fields: list[str]) -> DataFrame:
@@ -96,19 +107,23 @@ def run_stages(spark: SparkSession, request: str, start: DataFrame, stages: Sequ
 
     A stage's rows are written under the request's id; a stage counts once its write is complete.
     A later run of the same request takes up after the last such stage, and repeats none.
-    ``upto`` ends a run early.
+    ``upto`` ends a run early.  A run removes what its stages wrote once the next one is complete, so
+    that a text is there twice at most; what earlier runs of the request returned stays.
     """
-    root, now, log = f"{shared_folder(spark)}/requests/{request}", start, []
-    for name, work in stages:
+    root, now, own = f"{shared_folder(spark)}/requests/{request}", start, None
+    names = [name for name, _ in stages]
+    names = names[: names.index(upto) + 1] if upto in names else names
+    done = max((k for k, name in enumerate(names) if exists(spark, f"{root}/{name}/_SUCCESS")), default=-1)
+    if done >= 0:
+        now = spark.read.parquet(f"{root}/{names[done]}")
+    for name, work in stages[done + 1 : len(names)]:
         path = f"{root}/{name}"
-        there = exists(spark, f"{path}/_SUCCESS")
-        if not there:
-            work(now).write.mode("overwrite").parquet(path)
+        work(now).write.mode("overwrite").option("compression", "zstd").parquet(path)
         now = spark.read.parquet(path)
-        log.append((name, there))
-        if name == upto:
-            break
-    return now, log
+        if own:
+            delete_folder(spark, own)
+        own = path
+    return now, [(name, k <= done) for k, name in enumerate(names)]
 
 
 def parsed(docs: DataFrame) -> DataFrame:
@@ -134,17 +149,24 @@ def extracted(docs: DataFrame) -> DataFrame:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """A row for each chunk; failed and empty documents keep one row without a body."""
-    cut = chunks(docs, "id", "text").withColumnRenamed("body", "chunk_text")
-    return docs.drop("text").join(cut, "id", "left")
+    """A row for each chunk; failed and empty documents keep one row without a body.  A title can be as
+    long as its text, so only a document's first row has it."""
+    start, body = _place("text", CHUNK, OVERLAP)
+    rows = docs.select("*", F.explode_outer(_numbers("text", CHUNK, OVERLAP)).alias("chunk"))
+    first = F.coalesce(F.col("chunk"), F.lit(0)) == 0
+    return rows.withColumns({"title": F.when(first, F.col("title")), "start": start, "chunk_text": body}).drop("text")
 
 
 def embedded(rows: DataFrame) -> DataFrame:
     """A small vector of each chunk by character classes; a stand-in for a model's vector.  The last class is
-    all other characters, so that every chunk has a direction and can be indexed."""
-    n = F.greatest(F.length("chunk_text"), F.lit(1))
-    count = lambda pattern: F.round((F.length("chunk_text") - F.length(F.regexp_replace("chunk_text", pattern, ""))) / n, 6)
-    return rows.withColumn("vector", F.when(F.col("chunk_text").isNotNull(), F.array(count("[a-z]"), count("[A-Z]"), count("[0-9]"), count(r"\s"), count(r"[^a-zA-Z0-9\s]"))))
+    all other characters, so that every chunk has a direction and can be indexed.  The chunk's text goes
+    no further."""
+    out = rows.withColumn("__left0", F.col("chunk_text"))
+    for k, some in enumerate(CLASSES):  # each is looked for in what the ones before have left
+        out = out.withColumn(f"__left{k + 1}", F.regexp_replace(f"__left{k}", some, ""))
+    n = [*[F.length(f"__left{k}") for k in range(len(CLASSES) + 1)], F.lit(0)]
+    shares = F.array(*[F.round((a - b) / F.greatest(n[0], F.lit(1)), 6) for a, b in zip(n, n[1:])])
+    return out.select(*[c for c in rows.columns if c != "chunk_text"], F.when(F.col("chunk_text").isNotNull(), shares).alias("vector"))
 
 
 def upserting(index: VectorIndex, kb: str) -> Stage:
@@ -162,7 +184,7 @@ def upserting(index: VectorIndex, kb: str) -> Stage:
 
 def committed(rows: DataFrame) -> DataFrame:
     """One row for each document: INDEXED with its chunks, or FAILED with the reason."""
-    out = rows.groupBy("id").agg(F.first("type").alias("type"), F.first("title").alias("title"), F.first("n_numbers").alias("n_numbers"), F.first("fault").alias("fault"), F.count("vector").alias("n_chunks"))
+    out = rows.groupBy("id").agg(F.first("type").alias("type"), F.first("title", True).alias("title"), F.first("n_numbers").alias("n_numbers"), F.first("fault").alias("fault"), F.count("vector").alias("n_chunks"))
     return out.withColumn("status", F.when(F.col("fault").isNull(), "INDEXED").otherwise("FAILED"))
 
 

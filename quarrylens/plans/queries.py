@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -1105,6 +1104,11 @@ _PREPARED = r"""lines AS (
 )"""
 
 
+def _request(spark, name: str) -> str:
+    """The id of a request whose folder is removed when the query is finished."""
+    return new_folder(spark, f"requests/{name}").rsplit("/", 1)[1]
+
+
 def _prepare(spark, d, request: str, upto: str | None = None):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return preparation.run_stages(spark, request, docs, preparation.STAGES, upto)
@@ -1112,7 +1116,7 @@ def _prepare(spark, d, request: str, upto: str | None = None):
 
 @query("SELECT id, type, title, n_numbers, n_chunks, status FROM prepared", _PREPARED)
 def d26_document_pipeline(spark, d):
-    rows, _ = _prepare(spark, d, f"d26-{uuid.uuid4().hex}")
+    rows, _ = _prepare(spark, d, _request(spark, "d26"))
     return rows.select("id", "type", F.md5("title").alias("title"), F.col("n_numbers").cast("long").alias("n_numbers"), "n_chunks", "status")
 
 
@@ -1124,7 +1128,7 @@ def d26_upserted_chunks(spark, d):
     stages = [*preparation.STAGES[:-1], preparation.upserting(index, "documents"), preparation.STAGES[-1]]
     for run in range(2):
         text = F.when(F.col("id") % 5 != 0, F.col("text")) if run else F.col("text")
-        preparation.run_stages(spark, f"d26-{uuid.uuid4().hex}", docs.withColumn("text", text), stages)
+        preparation.run_stages(spark, _request(spark, "d26"), docs.withColumn("text", text), stages)
     points = index.points.read().groupBy(F.col("parent").cast("long").alias("id")).agg(F.count("*").alias("n"))
     return docs.select("id").join(points, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_points"))
 
@@ -1132,7 +1136,7 @@ def d26_upserted_chunks(spark, d):
 @query("SELECT * FROM (VALUES (1, 'parse', true), (2, 'normalize', true), (3, 'classify', true), (4, 'extract', false), (5, 'chunk', false), (6, 'embed', false), (7, 'commit', false)) v(nth, stage, was_there), (SELECT count(*) AS n_indexed FROM prepared WHERE status = 'INDEXED')", _PREPARED)
 def d39_resume(spark, d):
     """A run that ends after the third stage, and a second one with the same request id."""
-    request = f"d39-{uuid.uuid4().hex}"
+    request = _request(spark, "d39")
     _prepare(spark, d, request, upto="classify")
     rows, log = _prepare(spark, d, request)
     n = rows.filter("status = 'INDEXED'").count()
