@@ -108,7 +108,8 @@ def run_stages(spark: SparkSession, request: str, start: DataFrame, stages: Sequ
     A stage's rows are written under the request's id; a stage counts once its write is complete.
     A later run of the same request takes up after the last such stage, and repeats none.
     ``upto`` ends a run early.  A run removes what its stages wrote once the next one is complete, so
-    that a text is there twice at most; what earlier runs of the request returned stays.
+    that a text is there twice at most; what earlier runs of the request returned stays.  An ``upto``
+    before all that is left begins anew.
     """
     root, now, own = f"{shared_folder(spark)}/requests/{request}", start, None
     names = [name for name, _ in stages]
